@@ -176,7 +176,7 @@ def clean_user_text(spark, sf):
     body = tx.strip(F.col("text"))
     header = F.lit("Conversation info (untrusted metadata):\n```json\n{\"id\": 1}\n```\n\n"
                    "Sender (untrusted metadata):\n```json\n{\"name\": \"x\"}\n```\n\n")
-    one_line = F.regexp_replace(body, r"(?U)\s*[\r\n\x0b\x0c\x1c-\x1e\x85  ]\s*", "\n")
+    one_line = F.regexp_replace(body, r"(?U)\s*[\r\n\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]\s*", "\n")
     kind = F.col("doc_id") % 4
     wrapped = (F.when(kind == 0, F.concat(header, body))
                 .when(kind == 1, F.concat(F.lit("[[reply_to:17]] [[reply_to_current]]\n"), body))

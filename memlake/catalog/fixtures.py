@@ -35,7 +35,7 @@ def days(spark: SparkSession, sf: str) -> DataFrame:
     """Transcript days with a day number that drives the flags of the lifecycle views."""
     return (with_days(turns(spark, sf)).groupBy("agent_id", "memory_date").agg(
         F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"))
-        .withColumn("d", F.datediff("memory_date", F.lit("2024-01-01").cast("date")).cast("bigint")))
+        .withColumn("d", F.datediff("memory_date", F.lit("2023-12-01").cast("date")).cast("bigint")))
 
 
 def _status(archived: Column, trimmed: Column) -> Column:
@@ -55,7 +55,7 @@ def l1_days(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"),
         F.count_if(F.col("role") == "assistant").alias("assistant_turns"),
         F.min_by("content", "message_id").alias("first_text"), F.max_by("content", "message_id").alias("last_text"))
-    d = F.datediff("memory_date", F.lit("2024-01-01").cast("date"))
+    d = F.datediff("memory_date", F.lit("2023-12-01").cast("date"))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("milestone", "bug_fix", "incident", "question")]), (d % 4 + 1).cast("int"))
     return per_day.filter(d % 4 != 0).select(
         "agent_id", "memory_date", "total_turns", "user_turns", "assistant_turns",
@@ -76,7 +76,7 @@ def day_markers(spark: SparkSession, sf: str) -> DataFrame:
 
 def l0_index(spark: SparkSession, sf: str) -> DataFrame:
     """Surface index rows of every other summarised day, plus week rows."""
-    return l1_days(spark, sf).filter(F.datediff("memory_date", F.lit("2024-01-01").cast("date")) % 2 == 1).select(
+    return l1_days(spark, sf).filter(F.datediff("memory_date", F.lit("2023-12-01").cast("date")) % 2 == 1).select(
         "agent_id", F.lit("surface").alias("depth"), F.col("memory_date").cast("string").alias("time_key"), "summary",
         "tags", F.col("day_mood").alias("mood"), F.lit(None).cast("string").alias("window_date_start"),
         F.col("total_turns").alias("access_count"))
@@ -224,7 +224,7 @@ FROM (SELECT *, {_DAY} AS memory_date, strftime({_LOCAL}, '%H:%M') AS hhmm FROM
 SELECT agent_id, memory_date, count(*) AS total_turns, count(*) FILTER (role = 'user') AS user_turns,
        count(*) FILTER (role = 'assistant') AS assistant_turns,
        arg_min(content, message_id) AS first_text, arg_max(content, message_id) AS last_text,
-       date_diff('day', DATE '2024-01-01', memory_date) AS d
+       date_diff('day', DATE '2023-12-01', memory_date) AS d
 FROM fx_day_turns GROUP BY agent_id, memory_date"""),
     "fx_l2": (("fx_days",), "SELECT agent_id, memory_date, d % 3 <> 0 AS archived, d % 7 = 0 AS trimmed FROM fx_days"),
     "fx_l1": (("fx_days",), """

@@ -1 +1,54 @@
-"""stub"""
+"""Streaming queries: the shared tables as a stream, folded into tables and read back."""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import functions as F
+
+from memlake.catalog import fixtures as fx
+from memlake.catalog.registry import query
+from memlake.session import checkpoint_dir
+from memlake.streaming import intake
+
+_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+
+def _turn_stream(spark, sf):
+    schema = fx.table(spark, sf, "conversations").schema
+    # A pattern that names exactly one file: the file source wants a folder or a pattern.
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]")
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("conv_id") * 1021 + F.col("turn") * 3).cast("int"))
+    return rows.select(
+        F.concat(F.lit("agent_"), (F.col("conv_id") % 5).cast("string")).alias("agent_id"), F.col("conv_id").alias("session_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "role",
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + minutes).alias("ts"), F.col("text").alias("content"))
+
+
+def _run(spark, writer_of):
+    """Run a stream over all there is and return the table it wrote, under the shared checkpoint folder."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    writer = writer_of(f"{base}/table").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.parquet(f"{base}/table")
+
+
+@query("stream_session_registry", """
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, session_id, CAST(epoch(min(ts)) AS BIGINT) AS first_seen FROM fx_day_turns GROUP BY ALL""", ("fx_day_turns",))
+def stream_session_registry(spark, sf):
+    table = _run(spark, lambda path: intake.stream_session_registry(_turn_stream(spark, sf), path))
+    return table.select("agent_id", _DATE, "session_id", F.unix_timestamp("first_seen").alias("first_seen"))
+
+
+@query("stream_turns_to_days", """
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, message_id, turn_index, content FROM fx_day_turns""", ("fx_day_turns",))
+def stream_turns_to_days(spark, sf):
+    table = _run(spark, lambda path: intake.stream_turns_to_days(_turn_stream(spark, sf), path))
+    return table.select("agent_id", _DATE, "message_id", "turn_index", "content")
+
+
+@query("stream_day_stats", """
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, total_turns, user_turns, assistant_turns FROM fx_days""", ("fx_days",))
+def stream_day_stats(spark, sf):
+    table = _run(spark, lambda path: intake.stream_day_stats(_turn_stream(spark, sf), path))
+    return intake.read_day_stats(table).withColumn("memory_date", _DATE)

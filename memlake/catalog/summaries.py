@@ -1 +1,165 @@
-"""stub"""
+"""Model output, extractive summaries and the daily write."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memlake.catalog import fixtures as fx
+from memlake.catalog.registry import query
+from memlake.functions import documents as dc
+from memlake.functions.scores import render_topic
+from memlake.operators.chunking import chunk_bounds, chunk_fragments
+from memlake.plans import write
+
+_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+
+def _outputs(spark, sf):
+    """Day summaries as a model might write them: one sound form in six wrappings and faulty variants."""
+    k = F.col("doc_id") % 13
+    text = F.col("text")
+
+    def peak(intensity):
+        return F.array(F.struct(F.lit(1).alias("turn"), F.lit("calm").alias("emotion"), intensity.alias("intensity"), text.alias("context")))
+
+    def summary(intensity=F.lit(3), kind="milestone", **extra):
+        parts = {
+            "memory_signal": F.lit("normal"), "topics": F.array(F.struct(F.col("lang").alias("name"), text.alias("detail"))),
+            "decisions": F.array(text), "todos": F.array().cast("array<string>"), "summary": text,
+            "key_items": F.array(F.struct(F.lit(kind).alias("type"), text.alias("desc"))), "tags": F.array("lang", "source"),
+            "day_mood": F.lit(""), "emotional_peaks": peak(intensity), "source_turns": F.array(F.lit(0), F.col("doc_id"))}
+        parts.update(extra)
+        return F.to_json(F.struct(*[v.alias(n) for n, v in parts.items() if v is not None]))
+
+    plain = summary()
+    raw = (F.when(k == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
+            .when(k == 2, F.concat(F.lit("Here is the result:\n"), plain, F.lit("\nDone.")))
+            .when(k == 3, F.concat(plain, F.lit("],\n")))
+            .when(k == 4, F.concat(F.left(plain, F.length(plain) - 2), F.lit("]")))
+            .when(k == 5, summary(note=F.lit("extra")))
+            .when(k == 6, summary(todos=None))
+            .when(k == 7, summary(intensity=F.lit(True)))
+            .when(k == 8, summary(intensity=F.lit(6)))
+            .when(k == 9, summary(kind="surprise"))
+            .when(k == 10, summary(source_turns=F.array(F.lit(0.5))))
+            .when(k == 11, summary(memory_signal=F.lit("medium")))
+            .when(k == 12, summary(tags=F.array(F.lit(7))))
+            .otherwise(F.concat(F.lit("  \n"), plain, F.lit("\n"))))
+    return fx.table(spark, sf, "documents").select("doc_id", "source", raw.alias("raw"))
+
+
+_EXPECTED = """
+SELECT doc_id, CASE doc_id % 13 WHEN 1 THEN 'strip_markdown_fence' WHEN 2 THEN 'extract_outer_json_object' WHEN 3 THEN 'extract_outer_json_object'
+         WHEN 4 THEN NULL ELSE 'direct' END AS method,
+       CASE doc_id % 13 WHEN 4 THEN 'unparsable' WHEN 5 THEN 'keys' WHEN 6 THEN 'keys' WHEN 7 THEN 'emotional_peaks' WHEN 8 THEN 'emotional_peaks'
+         WHEN 9 THEN 'key_items' WHEN 10 THEN 'source_turns' WHEN 11 THEN 'memory_signal' WHEN 12 THEN 'tags' END AS problem, text
+FROM documents"""
+
+
+@query("repair_json", f"SELECT doc_id, method, CASE WHEN method IS NOT NULL THEN text END AS summary FROM ({_EXPECTED})")
+def repair_json(spark, sf):
+    checked = write.read_model_output(_outputs(spark, sf))
+    return checked.select("doc_id", "method", F.try_variant_get("document", "$.summary", "string").alias("summary"))
+
+
+@query("validate_day_summary", f"SELECT doc_id, problem, problem IS NULL AS valid FROM ({_EXPECTED})")
+def validate_day_summary(spark, sf):
+    return write.read_model_output(_outputs(spark, sf)).select("doc_id", "problem", "valid")
+
+
+@query("summaries_from_documents", f"""
+SELECT doc_id, text AS summary, lang || ',' || source AS tags, lang || ': ' || text AS topic, doc_id AS last_turn
+FROM documents WHERE doc_id % 13 < 4""")
+def summaries_from_documents(spark, sf):
+    checked = write.read_model_output(_outputs(spark, sf)).withColumnRenamed("doc_id", "chunk_id")
+    typed = write.summaries_from_documents(checked)
+    topic = F.element_at("topics", 1)
+    return typed.select(F.col("chunk_id").alias("doc_id"), "summary", F.array_join("tags", ",").alias("tags"),
+                        render_topic(topic["name"], topic["detail"]).alias("topic"), F.element_at("source_turns", -1).alias("last_turn"))
+
+
+def _rollup_outputs(spark, sf, window: bool):
+    k, text = F.col("doc_id") % 5, F.col("text")
+
+    def document(intensity, **extra):
+        span = {"window": F.lit("2024-01-01+28d"), "source_weeks": F.array(F.lit("2024-W01")), "window_mood": F.lit("")} if window else {
+            "week": F.lit("2024-W01"), "week_mood": F.lit("")}
+        parts = {**span, "window_date_start": F.lit("2024-01-01"), "window_date_end": F.lit("2024-01-07"), "summary": text,
+                 "tags": F.array("lang"), "topics": F.array(F.struct(F.col("lang").alias("name"), text.alias("detail"))),
+                 "decisions": F.array(text), "todos": F.array(text),
+                 "key_items": F.array(F.struct(F.lit("incident").alias("type"), text.alias("desc"))),
+                 "emotional_peaks": F.array(F.struct(F.lit("2024-01-02").alias("date"), F.lit("joy").alias("emotion"),
+                                                     intensity.alias("intensity"), text.alias("context")))}
+        parts.update(extra)
+        return F.to_json(F.struct(*[v.alias(n) for n, v in parts.items()]))
+
+    raw = (F.when(k == 1, document(F.lit(9))).when(k == 2, document(F.lit("3")))
+            .when(k == 3, document(F.lit(1), summary=F.lit(3))).when(k == 4, document(F.lit(1), extra=text)).otherwise(document(F.lit(2))))
+    problem = dc.window_summary_problem if window else dc.week_summary_problem
+    return write.read_model_output(fx.table(spark, sf, "documents").select("doc_id", raw.alias("raw")), problem).select(
+        "doc_id", "problem", "valid")
+
+
+# An intensity of 9 is no fault in a rollup.
+_ROLLUP_SQL = """
+SELECT doc_id, problem, problem IS NULL AS valid FROM (
+  SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN 'emotional_peaks' WHEN 3 THEN 'summary' WHEN 4 THEN 'keys' END AS problem FROM documents)"""
+query("validate_week_summary", _ROLLUP_SQL)(lambda spark, sf: _rollup_outputs(spark, sf, False))
+query("validate_window_summary", _ROLLUP_SQL)(lambda spark, sf: _rollup_outputs(spark, sf, True))
+
+
+def _fragments(spark, sf):
+    turns = fx.day_turns(spark, sf)
+    bounds = chunk_bounds(turns.withColumn("length", F.length("content").cast("bigint")))
+    return chunk_fragments(turns, bounds)
+
+
+_WORDS = f"""SELECT agent_id, memory_date, turn_index, unnest({fx.sql_tokens('content')}) AS word FROM fx_day_turns"""
+
+
+@query("infer_map", f"""
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, left(word, 20) AS word, count(*) AS n
+FROM ({_WORDS}) WHERE length(word) >= 4 GROUP BY agent_id, memory_date, left(word, 20)""", ("fx_day_turns",))
+def infer_map(spark, sf):
+    found = write.infer_map(_fragments(spark, sf)).filter("kind = 'topic'")
+    return found.groupBy("agent_id", _DATE, F.substring_index("value", "\n", 1).alias("word")).agg(F.sum("weight").alias("n"))
+
+
+_DAY_TAGS = f"""
+SELECT agent_id, memory_date, string_agg(word, ',' ORDER BY n DESC, place, word) AS tags FROM (
+  SELECT agent_id, memory_date, left(word, 20) AS word, count(*) AS n, min(turn_index) AS place FROM ({_WORDS}) WHERE length(word) >= 4
+  GROUP BY agent_id, memory_date, left(word, 20)
+  QUALIFY row_number() OVER (PARTITION BY agent_id, memory_date ORDER BY count(*) DESC, min(turn_index), left(word, 20)) <= 10) GROUP BY ALL"""
+
+
+@query("infer_reduce", f"""
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, CASE WHEN user_turns = 0 THEN 'low' ELSE 'normal' END AS memory_signal,
+       CASE WHEN user_turns = 0 THEN '' ELSE tags END AS tags
+FROM fx_days LEFT JOIN ({_DAY_TAGS}) USING (agent_id, memory_date)""", ("fx_days",))
+def infer_reduce(spark, sf):
+    fragments = _fragments(spark, sf)
+    days = write.infer_reduce(write.infer_map(fragments), write.low_signal_context(fragments))
+    return days.select("agent_id", _DATE, "memory_signal", F.array_join("tags", ",").alias("tags"))
+
+
+@query("low_signal_context", """
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, 1 AS chunks, total_turns AS turns, user_turns,
+       total_turns <= 8 AS low_allowed, user_turns = 0 AS low_forced FROM fx_days""", ("fx_days",))
+def low_signal_context(spark, sf):
+    return write.low_signal_context(_fragments(spark, sf)).withColumn("memory_date", _DATE)
+
+
+@query("write_days", f"""
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS time_key, total_turns, tags, '标签：' || replace(tags, ',', ', ') AS tag_line
+FROM fx_days JOIN ({_DAY_TAGS}) USING (agent_id, memory_date) WHERE user_turns > 0""", ("fx_days",))
+def write_days(spark, sf):
+    """Chunks, summaries, filled days, index rows and the text to embed, in one go."""
+    fragments = _fragments(spark, sf)
+    summaries = write.infer_reduce(write.infer_map(fragments), write.low_signal_context(fragments))
+    skeletons = write.l1_skeleton(fx.days(spark, sf).select("agent_id", "memory_date", "total_turns", "user_turns"))
+    filled, _ = write.finalize_days(skeletons, summaries)
+    index = write.with_embed_text(write.index_rows(filled))
+    counts = filled.select("agent_id", F.col("memory_date").cast("string").alias("time_key"), "total_turns")
+    return index.join(counts, ["agent_id", "time_key"]).select(
+        "agent_id", "time_key", "total_turns", F.array_join("tags", ",").alias("tags"),
+        F.element_at(F.split("text_used", "\n"), F.when(F.col("mood") == "", -1).otherwise(-2)).alias("tag_line"))

@@ -1 +1,87 @@
-"""stub"""
+"""Upserts, merges and deletes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memlake.catalog import fixtures as fx
+from memlake.catalog.registry import query
+from memlake.operators import landmarks, merging
+from memlake.plans import write
+
+_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+
+@query("l0_upsert", """
+SELECT agent_id, coalesce(n.time_key, o.time_key) AS time_key, coalesce(n.summary, o.summary) AS summary,
+       CASE WHEN n.time_key IS NULL THEN o.access_count ELSE coalesce(o.access_count, 0) END AS access_count,
+       coalesce(n.time_key, o.time_key) || '|0|surface|' || coalesce(n.time_key, o.time_key) AS ord_key
+FROM fx_l0 o FULL JOIN (SELECT agent_id, CAST(memory_date AS VARCHAR) AS time_key, first_text AS summary FROM fx_l1 WHERE d % 3 = 0) n
+USING (agent_id, time_key)""", ("fx_l0",))
+def l0_upsert(spark, sf):
+    fresh = write.index_rows(fx.l1_days(spark, sf).filter(F.datediff("memory_date", F.lit("2023-12-01").cast("date")) % 3 == 0))
+    merged = merging.upsert_index(fx.l0_index(spark, sf), fresh)
+    return merged.select("agent_id", "time_key", "summary", "access_count", "ord_key")
+
+
+@query("index_order_after_rollup", """
+SELECT agent_id, doc_id, CASE depth WHEN 'deep' THEN time_key || '|0|deep|' WHEN 'shallow' THEN time_key || '|1|shallow|' ELSE time_key || '|2|surface|' END || time_key AS ord_key
+FROM fx_memories""", ("fx_memories",))
+def index_order_after_rollup(spark, sf):
+    rows = fx.memories(spark, sf).withColumn("window_date_start", F.lit(None).cast("string"))
+    return merging.order_index(rows, "deep").select("agent_id", "doc_id", "ord_key")
+
+
+_EMBED = "'摘要：' || regexp_replace(first_text, '^\\s+|\\s+$', '', 'g') || chr(10) || '标签：' || agent_id || ', ' || kind || chr(10) || '情绪：' || kind"
+
+
+@query("embedding_upsert", f"""
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS time_key, {_EMBED} AS text_used, d % 6 <> 1 AS recomputed
+FROM fx_l1 WHERE d % 2 = 1""", ("fx_l1",))
+def embedding_upsert(spark, sf):
+    """Stored vectors are current for some days and stale for the others; only stale ones are computed."""
+    index = write.with_embed_text(fx.l0_index(spark, sf))
+    current = F.datediff("time_key", F.lit("2023-12-01").cast("date")) % 6 == 1
+    old = index.select("agent_id", "depth", "time_key",
+                       F.when(current, F.col("text_used")).otherwise("stale").alias("text_used"),
+                       F.array(F.lit(0.0)).alias("embedding"))
+    merged = merging.upsert_embeddings(old, index, write.hashed_embedding(16))
+    return merged.select("agent_id", "time_key", "text_used", (F.size("embedding") == 16).alias("recomputed"))
+
+
+@query("upsert_counts", """
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, CASE WHEN new THEN fixes ELSE 100 END AS bug_fix
+FROM (SELECT agent_id, memory_date, day(memory_date) % 2 = 0 AS new, count(*) FILTER (item_type = 'bug_fix') AS fixes FROM fx_day_items GROUP BY ALL)""", ("fx_day_items",))
+def upsert_counts(spark, sf):
+    counts = landmarks.count_items(fx.day_items(spark, sf))
+    stale = counts.withColumn("key_items", F.create_map(F.lit("bug_fix"), F.lit(100).cast("bigint")))
+    merged = merging.upsert(stale, counts.filter(F.dayofmonth("memory_date") % 2 == 0), ["agent_id", "memory_date"])
+    return merged.select("agent_id", _DATE, F.element_at("key_items", "bug_fix").alias("bug_fix"))
+
+
+@query("merge_days", """
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, total_turns, user_turns,
+       CASE WHEN d % 4 <> 0 THEN first_text END AS summary, coalesce(d % 4 <> 0 AND d % 3 <> 0, false) AS archived
+FROM fx_days""", ("fx_days",))
+def merge_days(spark, sf):
+    days = fx.days(spark, sf)
+    fresh = write.l1_skeleton(days.select("agent_id", "memory_date", "total_turns", "user_turns"))
+    known = fx.l1_days(spark, sf).withColumn("total_turns", F.lit(1).cast("bigint"))
+    merged = merging.merge_days(known, fresh)
+    return merged.select("agent_id", _DATE, "total_turns", "user_turns", "summary", F.col("status.archived").alias("archived"))
+
+
+@query("register_weeks", """
+SELECT agent_id, strftime(memory_date, '%G-W%V') AS week FROM fx_days GROUP BY ALL""", ("fx_days",))
+def register_weeks(spark, sf):
+    from memlake.functions import timeaxis
+    weeks = fx.days(spark, sf).select("agent_id", timeaxis.week_id(F.col("memory_date")).alias("week"), "d")
+    return merging.register_weeks(weeks.filter("d % 2 = 0"), weeks)
+
+
+@query("prune_index", """
+SELECT agent_id, time_key FROM fx_l0 o WHERE NOT EXISTS (
+  SELECT 1 FROM fx_markers m WHERE m.agent_id = o.agent_id AND CAST(m.memory_date AS VARCHAR) = o.time_key)""", ("fx_l0", "fx_markers"))
+def prune_index(spark, sf):
+    doomed = fx.day_markers(spark, sf).select("agent_id", F.lit("surface").alias("depth"), F.col("memory_date").cast("string").alias("time_key"))
+    return merging.prune(fx.l0_index(spark, sf), doomed, ["agent_id", "depth", "time_key"]).select("agent_id", "time_key")

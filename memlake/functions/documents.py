@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from memlake.functions import let
 from memlake.functions.text import strip
 
 # --- fixed values: the document contracts -----------------------------------------
@@ -18,6 +19,17 @@ WINDOW_KEYS = ("window", "window_date_start", "window_date_end", "source_weeks",
 # ----------------------------------------------------------------------------------
 
 
+def parse_strict(text: Column) -> Column:
+    """A JSON text as a VARIANT, null unless all of it is one value.
+
+    The parser stops after the first value. Inside brackets what follows must
+    make a second element or break; inside an object a closing bracket breaks.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    alone = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    return let(items, lambda found: F.when((F.size(found) == 1) & alone, F.element_at(found, 1)))
+
+
 def repair_json(text: Column) -> Column:
     """Struct `(method, document)`: the first reading of the text that parses.
 
@@ -25,15 +37,21 @@ def repair_json(text: Column) -> Column:
     Text after the object, such as stray brackets, falls away with the third.
     Both fields are null when nothing parses.
     """
-    bare = strip(text)
-    inner = F.regexp_extract(bare, r"(?s)\A```[^\n]*\n(.*?)(?:(?<=\n)[ \t]*```)\z", 1)
-    fenced = F.when(inner == "", bare).otherwise(strip(inner))
-    outer = F.regexp_extract(fenced, r"(?s)(\{.*\})", 1)
-    readings = [("direct", F.try_parse_json(bare)),
-                ("strip_markdown_fence", F.try_parse_json(F.when(fenced != bare, fenced))),
-                ("extract_outer_json_object", F.try_parse_json(F.when(outer != "", outer)))]
-    method = F.coalesce(*[F.when(parsed.isNotNull(), F.lit(name)) for name, parsed in readings])
-    return F.struct(method.alias("method"), F.coalesce(*[parsed for _, parsed in readings]).alias("document"))
+    def reading(method: str, candidate: Column) -> Column:
+        return let(parse_strict(candidate), lambda document: F.when(
+            document.isNotNull(), F.struct(F.lit(method).alias("method"), document.alias("document"))))
+
+    def unfenced(bare: Column) -> Column:
+        inner = F.regexp_extract(bare, r"(?s)\A```[^\n]*\n(.*?)(?:(?<=\n)[ \t]*```)\z", 1)
+        return F.when(inner == "", bare).otherwise(strip(inner))
+
+    def readings(bare: Column) -> Column:
+        return let(unfenced(bare), lambda fenced: F.coalesce(
+            reading("direct", bare),
+            reading("strip_markdown_fence", F.when(fenced != bare, fenced)),
+            reading("extract_outer_json_object", F.nullif(F.regexp_extract(fenced, r"(?s)(\{.*\})", 1), F.lit("")))))
+
+    return let(strip(text), readings)
 
 
 def _kind(value: Column) -> Column:

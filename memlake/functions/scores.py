@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from memlake.functions import let
 from memlake.settings import DEFAULTS, Settings
 
 # --- fixed values: signs of text that a runtime wrote, not a person --------------
@@ -25,19 +26,41 @@ RUNTIME_PENALTY = 0.3
 # ----------------------------------------------------------------------------------
 
 
-def lexical_score(terms: Column, tokens: Column, haystack: Column) -> Column:
+PART_TERM_LENGTH = 40
+
+
+def term_parts(terms: Column) -> Column:
+    """All substrings of the terms of usual length; a token lies inside a term when it is one of them.
+
+    Longer terms have too many substrings and are compared with tokens directly.
+    """
+    def parts(term: Column) -> Column:
+        size = F.length(term)
+        return F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+            F.sequence(F.lit(1), size - i + 1), lambda n: F.substr(term, i, n))))
+
+    usual = F.filter(terms, lambda t: F.length(t) <= PART_TERM_LENGTH)
+    return F.array_distinct(F.flatten(F.transform(usual, parts)))
+
+
+def lexical_score(terms: Column, parts: Column, tokens: Column, haystack: Column) -> Column:
     """Word-overlap score of query terms against a text.
 
     A term found as a whole token adds 1; a term that contains a token or lies
-    inside one adds 0.5. `tokens` are the distinct tokens, `haystack` the same
-    text from `text.spaced` with a space at both ends: whole-token and
-    inside-a-token tests are then plain substring searches.
+    inside one adds 0.5. `tokens` are the distinct tokens of the text, `haystack`
+    the same tokens joined by spaces with a space at both ends, so that
+    whole-token and inside-a-token tests are plain substring searches. `parts`
+    (from `term_parts`) narrows the tokens to the few that lie inside some term
+    with one hashed intersection, before terms are looked at one by one.
     """
-    return F.aggregate(terms, F.lit(0.0), lambda total, term: total + (
-        F.when(haystack.contains(F.concat(F.lit(" "), term, F.lit(" "))), 1.0)
-         .when(haystack.contains(term), 0.5)
-         .when(F.exists(tokens, lambda token: term.contains(token)), 0.5)
-         .otherwise(0.0)))
+    def value(term: Column, near: Column) -> Column:
+        exact = F.when(haystack.contains(F.concat(F.lit(" "), term, F.lit(" "))), 1.0).otherwise(0.5)
+        inside = F.when(F.length(term) <= PART_TERM_LENGTH, F.exists(near, lambda token: term.contains(token))).otherwise(
+            F.exists(tokens, lambda token: term.contains(token)))
+        return F.when(haystack.contains(term), exact).when(inside, 0.5).otherwise(0.0)
+
+    return let(F.array_intersect(tokens, parts), lambda near: F.aggregate(
+        terms, F.lit(0.0), lambda total, term: total + value(term, near)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from memlake.functions import let
+
 # --- fixed values: whitespace trimmed at text ends ------------------------------
-WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-              "        　")
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # --- fixed values: separators that end a match token ----------------------------
 SEPARATORS = "\n\t,，.。!！?？:：;；()（）[]【】/\\|\"'-_"
 # --- fixed values: what is redacted, in this order -------------------------------
@@ -24,7 +26,7 @@ REDACT_GUARD = r"(?iu)sk-|pk-|api|@|\p{Nd}{9}|\p{Nd}\.\p{Nd}"
 AUDIO_MARKERS = ("[Audio]", "User text:", "Transcript:", "[Telegram ")
 # ----------------------------------------------------------------------------------
 
-_LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def strip(text: Column) -> Column:
@@ -52,8 +54,8 @@ def strip_metadata_envelope(text: Column) -> Column:
     """Remove the two JSON header blocks a host puts before user text; keep the text if nothing is left."""
     block = r"\(untrusted metadata\):\s*```json\s*.*?```\s*"
     bare = strip(F.regexp_replace(text, rf"(?sU)\AConversation info {block}Sender {block}", ""))
-    return (F.when(~text.startswith("Conversation info (untrusted metadata):"), text)
-             .when(bare == "", text).otherwise(bare))
+    return F.when(text.startswith("Conversation info (untrusted metadata):"),
+                  let(bare, lambda b: F.when(b == "", text).otherwise(b))).otherwise(text)
 
 
 def strip_reply_tags(text: Column) -> Column:
@@ -74,28 +76,28 @@ def audio_transcript_text(text: Column) -> Column:
     def after(value: Column, marker: str) -> Column:
         return F.substr(value, F.instr(value, marker) + F.lit(len(marker)))
 
+    def without_sender(line: Column) -> Column:
+        return F.when(line.startswith("[Telegram ") & line.contains("]"), strip(after(line, "]"))).otherwise(line)
+
+    def unwrap(lines: Column) -> Column:
+        return F.array_join(F.filter(F.transform(
+            lines, lambda line, i: F.when(i == 0, without_sender(line)).otherwise(line)), lambda line: line != ""), "\n")
+
     user_part = strip(F.substring_index(after(text, "User text:"), "Transcript:", 1))
-    lines = F.filter(F.transform(F.split(user_part, _LINE_BREAK), strip), lambda line: line != "")
-    head = F.try_element_at(lines, F.lit(1))
-    head = F.when(head.startswith("[Telegram ") & head.contains("]"), strip(after(head, "]"))).otherwise(head)
-    spoken = F.array_join(
-        F.filter(F.concat(F.array(head), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))),
-                 lambda line: line != ""), "\n")
-    transcript = strip(after(text, "Transcript:"))
-    has_transcript = text.contains("Transcript:")
-    return (F.when(~text.contains("[Audio]"), text)
-             .when(text.contains("User text:") & has_transcript & (spoken != ""), spoken)
-             .when(has_transcript & (transcript != ""), transcript)
-             .otherwise(text))
+    spoken = let(F.filter(F.transform(F.split(user_part, _LINE_BREAK), strip), lambda line: line != ""), unwrap)
+    heard = F.when(text.contains("Transcript:"), _nonblank(strip(after(text, "Transcript:"))))
+    both = F.when(text.contains("User text:") & text.contains("Transcript:"), _nonblank(spoken))
+    return F.when(text.contains("[Audio]"), F.coalesce(both, heard, text)).otherwise(text)
 
 
 def clean_user_text(text: Column) -> Column:
     """Struct of cleaned `text` and `message_type` for one user text."""
-    bare = strip_reply_tags(strip_metadata_envelope(text))
-    kind = message_type(bare, F.lit("user"))
-    return F.struct(
-        redact(F.when(kind == "audio", audio_transcript_text(bare)).otherwise(bare)).alias("text"),
-        kind.alias("message_type"))
+    def cleaned(bare: Column) -> Column:
+        kind = message_type(bare, F.lit("user"))
+        spoken = F.when(kind == "audio", audio_transcript_text(bare)).otherwise(bare)
+        return F.struct(let(spoken, redact).alias("text"), kind.alias("message_type"))
+
+    return let(let(text, strip_metadata_envelope), lambda t: let(strip_reply_tags(t), cleaned))
 
 
 def join_text_blocks(blocks: Column, role: Column) -> Column:
@@ -110,10 +112,9 @@ def join_text_blocks(blocks: Column, role: Column) -> Column:
         role == "assistant",
         F.struct(strip_reply_tags(t).alias("text"), F.lit("text").alias("message_type"))
     ).otherwise(clean_user_text(t)))
-    joined = F.array_join(F.filter(F.transform(cleaned, lambda c: c["text"]), lambda t: t != ""), " ")
-    return F.struct(
-        redact(joined).alias("content"),
-        F.coalesce(F.try_element_at(cleaned, F.lit(-1))["message_type"], F.lit("text")).alias("message_type"))
+    return let(cleaned, lambda parts: F.struct(
+        let(F.array_join(F.filter(F.transform(parts, lambda c: c["text"]), lambda t: t != ""), " "), redact).alias("content"),
+        F.coalesce(F.try_element_at(parts, F.lit(-1))["message_type"], F.lit("text")).alias("message_type")))
 
 
 # --- tokens --------------------------------------------------------------------

@@ -12,10 +12,10 @@ DAY = ["agent_id", "memory_date"]
 
 def count_documents(l1_days: DataFrame) -> DataFrame:
     """Key items per type and a histogram of intensities, straight from day summaries."""
-    items = F.coalesce("key_items", F.array())
-    kinds = F.map_from_arrays(
-        F.array(*[F.lit(t) for t in KEY_ITEM_TYPES]),
-        F.array(*[F.size(F.filter(items, lambda k, t=t: k["type"] == t)).cast("bigint") for t in KEY_ITEM_TYPES]))
+    def occurrences(kind: str) -> Column:
+        return F.size(F.filter(F.coalesce("key_items", F.array()), lambda k: k["type"] == kind)).cast("bigint")
+
+    kinds = F.map_from_arrays(F.array(*[F.lit(t) for t in KEY_ITEM_TYPES]), F.array(*map(occurrences, KEY_ITEM_TYPES)))
     levels = F.filter(F.transform(F.coalesce("emotional_peaks", F.array()), lambda p: p["intensity"].cast("int")),
                       lambda x: x >= 0)
     histogram = F.map_from_entries(F.transform(

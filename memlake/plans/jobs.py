@@ -94,9 +94,8 @@ def rerun_targets(failures: DataFrame) -> DataFrame:
 
 def mark_rerun_done(failures: DataFrame, targets: DataFrame, run_name: str) -> DataFrame:
     """Flag the failures that a rerun covered."""
-    hit = targets.select("memory_date", F.col("agent_id").alias("_agent")).withColumn("_hit", F.lit(True))
-    joined = failures.join(hit, (failures["memory_date"] == hit["memory_date"])
-                           & failures["agent_id"].eqNullSafe(hit["_agent"]), "left").drop(hit["memory_date"])
+    hit = targets.select(F.col("memory_date").alias("_day"), F.col("agent_id").alias("_agent"), F.lit(True).alias("_hit"))
+    joined = failures.join(hit, (F.col("memory_date") == F.col("_day")) & F.col("agent_id").eqNullSafe(F.col("_agent")), "left")
     done = F.coalesce("_hit", F.lit(False))
     return joined.select(
         *[c for c in failures.columns if c not in ("rerun_done", "rerun_at", "rerun_run_name")],

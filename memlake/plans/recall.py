@@ -26,19 +26,19 @@ ROW = ["agent_id", "depth", "time_key"]
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """Queries that have at least one term."""
-    return (queries.withColumn("terms", tx.match_tokens(F.col("query")))
-            .filter(F.size("terms") > 0))
+    """Queries that have at least one term, with their terms and the parts of these."""
+    return (queries.withColumn("terms", tx.match_tokens(F.col("query"))).filter(F.size("terms") > 0)
+            .withColumn("parts", sc.term_parts(F.col("terms"))))
 
 
 def searchable(df: DataFrame, text: str) -> DataFrame:
     """Add the token set and the padded text that `lexical_score` reads, once per row."""
-    return (df.withColumn("haystack", F.concat(F.lit(" "), tx.spaced(F.col(text)), F.lit(" ")))
-            .withColumn("tokens", F.array_distinct(F.array_remove(F.split("haystack", " "), F.lit("")))))
+    return (df.withColumn("tokens", F.array_distinct(tx.match_tokens(F.col(text))))
+            .withColumn("haystack", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))))
 
 
 def _lexical() -> Column:
-    return sc.lexical_score(F.col("terms"), F.col("tokens"), F.col("haystack"))
+    return sc.lexical_score(F.col("terms"), F.col("parts"), F.col("tokens"), F.col("haystack"))
 
 
 def score_index(queries: DataFrame, l0_index: DataFrame, embeddings: DataFrame | None = None,
@@ -50,7 +50,7 @@ def score_index(queries: DataFrame, l0_index: DataFrame, embeddings: DataFrame |
     queries when they are measured to be small. Token sets and norms are
     computed once per row before it.
     """
-    terms = query_terms(queries).select("query_id", "agent_id", "terms")
+    terms = query_terms(queries).select("query_id", "agent_id", "terms", "parts")
     rows = searchable(l0_index.filter(F.col("depth").isin("surface", "shallow", "deep")
                                       & (F.col("time_key") != "")), "text").select(
         *ROW, "ord_key", "haystack", "tokens")
@@ -130,7 +130,7 @@ def summary_candidates(documents: DataFrame) -> DataFrame:
 def _ranked(candidates: DataFrame, coarse: list[Column], tie_order: list[str], identity: list[str],
             order: list[Column], limit: int) -> DataFrame:
     scored = materialize(candidates.withColumn("raw_score", _lexical())
-                         .filter("raw_score > 0").drop("terms", "tokens", "haystack"))
+                         .filter("raw_score > 0").drop("terms", "parts", "tokens", "haystack"))
     calibrated = calibrate(scored, ["query_id"], {"raw_score": "score"}, tie_order, coarse).filter("score > 0")
     rest = [c for c in calibrated.columns if c not in ("query_id", *identity, "score", "raw_score")]
     # Equal pieces: the best placed one stays; placement decides only fields that are not compared.
@@ -144,7 +144,7 @@ def _ranked(candidates: DataFrame, coarse: list[Column], tie_order: list[str], i
 def recall_summaries(queries: DataFrame, anchors: DataFrame, documents: DataFrame,
                      limit: int = DEFAULTS.l1_limit) -> DataFrame:
     """Best pieces of the anchored documents per query."""
-    terms = query_terms(queries).select("query_id", "terms")
+    terms = query_terms(queries).select("query_id", "terms", "parts")
     pieces = searchable(summary_candidates(documents), "information")
     hits = (anchors.select("query_id", *ROW, "anchor_rank").join(pieces, ROW).join(terms, "query_id"))
     spread = F.col("anchor_rank") * 10 + F.col("field_no")
@@ -156,7 +156,7 @@ def recall_summaries(queries: DataFrame, anchors: DataFrame, documents: DataFram
 def recall_turns(queries: DataFrame, anchors: DataFrame, turns: DataFrame,
                  limit: int = DEFAULTS.l2_limit) -> DataFrame:
     """Best transcript turns of the anchored days per query."""
-    terms = query_terms(queries).select("query_id", "terms")
+    terms = query_terms(queries).select("query_id", "terms", "parts")
     days = anchors.filter("depth = 'surface'").select("query_id", *ROW, "anchor_rank")
     spoken = searchable(turns.select(
         "agent_id", "time_key", "turn_index", F.coalesce(tx.strip(F.col("role")), F.lit("")).alias("role"),

@@ -110,8 +110,9 @@ def extract_summaries(fragments: DataFrame) -> DataFrame:
                        spoken.filter(item_type.isNotNull())))
     words = spoken.select(*CHUNK, "turn_index", "from_char", "sentence_pos", "sentence",
                           F.explode(tx.match_tokens(F.col("sentence"))).alias("word")).filter(F.length("word") >= 4)
-    # One row per word of a chunk, with its count and the first sentence that has it.
-    first = F.min(F.struct(place, "turn_index", cut(LIMITS["topic_detail"]).alias("detail"))).alias("_f")
+    # One row per word of a chunk, with its count and the first turn that has it.
+    at = (F.col("turn_index") * 1_000_000 + F.coalesce("from_char", F.lit(0))).alias("place")
+    first = F.min(F.struct(at, "turn_index", cut(LIMITS["topic_detail"]).alias("detail"))).alias("_f")
     counted = words.groupBy(*CHUNK, "word").agg(F.count(F.lit(1)).alias("weight"), first)
     topics = counted.select(*CHUNK, F.col("_f.turn_index").alias("turn_index"), F.lit("topic").alias("kind"),
                             F.concat_ws("\n", F.left("word", F.lit(LIMITS["topic_name"])), "_f.detail").alias("value"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from memlake.functions import text as tx
+from memlake.functions.documents import parse_strict
 
 BLOCKS = "array<struct<type:string,text:string,name:string,arguments:map<string,string>>>"
 
@@ -34,7 +35,7 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     results are skipped. Other columns of `lines` are kept.
     """
     rest = [c for c in lines.columns if c != value]
-    parsed = lines.select(*rest, F.try_parse_json(F.col(value)).alias("_d")).filter(F.col("_d").isNotNull())
+    parsed = lines.select(*rest, parse_strict(tx.strip(F.col(value))).alias("_d")).filter(F.col("_d").isNotNull())
     fields = parsed.select(
         *rest, _text("_d", "$.type").alias("_type"),
         F.try_to_timestamp(_text("_d", "$.timestamp")).alias("ts"),

@@ -6,20 +6,39 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from memlake.functions import timeaxis
-from memlake.operators.merging import upsert_sessions
-from memlake.plans.extract import day_stats, order_turns, union_distinct, with_days
+from memlake.operators.merging import union_distinct, upsert, upsert_sessions
+from memlake.plans.extract import order_turns, with_days
+from memlake.session import materialize
 from memlake.settings import DEFAULTS, Settings
 from memlake.sources import tables
 
 DAY = ["agent_id", "memory_date"]
 
 
+def _existing(path: str, like: DataFrame) -> DataFrame:
+    """The table at `path`, or an empty one shaped like `like` before its first write."""
+    spark = like.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.read.schema(like.schema).parquet(path)
+    return like.limit(0)
+
+
+def _fold_months(path: str, incoming: DataFrame, merge) -> None:
+    """Merge rows into the months of the table that they touch, and rewrite only those."""
+    fresh = tables.with_month(materialize(incoming))
+    months = fresh.select("memory_month").distinct()
+    known = _existing(path, fresh).join(months, "memory_month", "left_semi")
+    merged = merge(known.drop("memory_month"), fresh.drop("memory_month"))
+    tables.update_layer(tables.with_month(merged), path, ["memory_month"])
+
+
 def stream_session_registry(messages: DataFrame, path: str, settings: Settings = DEFAULTS,
                             delay: str = "2 days") -> DataStreamWriter:
     """Keep the session registry table at `path` current from a message stream.
 
-    The stream aggregates first sightings per agent, day and session; each batch
-    is folded into the partitions of the months it touches.
+    The stream holds first sightings per agent, day and session until the
+    watermark passes; each batch is folded into the months it touches.
     """
     first = (messages.withWatermark("ts", delay)
              .withColumn("memory_date", timeaxis.logical_day(F.col("ts"), settings))
@@ -27,24 +46,11 @@ def stream_session_registry(messages: DataFrame, path: str, settings: Settings =
              .agg(F.min("ts").alias("first_seen")).drop("_state"))
 
     def fold(batch: DataFrame, _: int) -> None:
-        seen = tables.with_month(batch)
-        spark = batch.sparkSession
-        months = seen.select("memory_month").distinct()
-        known = _existing(spark, path, seen).join(months, "memory_month", "left_semi")
-        merged = upsert_sessions(known.drop("memory_month"), seen.drop("memory_month"))
-        tables.update_layer(tables.with_month(merged), path, ["memory_month"])
+        _fold_months(path, batch, upsert_sessions)
 
     return first.writeStream.outputMode("update").foreachBatch(fold)
 
 
-def _existing(spark, path: str, like: DataFrame) -> DataFrame:
-    """The table at `path`, or an empty one shaped like `like` before its first write."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.schema(like.schema).parquet(path)
-    return like.limit(0)
-
-
 def stream_turns_to_days(turns: DataFrame, path: str, settings: Settings = DEFAULTS,
                          delay: str = "1 day") -> DataStreamWriter:
     """Append turns to their day, merging late ones.
@@ -54,20 +60,17 @@ def stream_turns_to_days(turns: DataFrame, path: str, settings: Settings = DEFAU
     lands in its place.
     """
     fresh = (with_days(turns, settings).withWatermark("ts", delay)
-             .dropDuplicatesWithinWatermark(["agent_id", "session_id", "message_id"]))
+             .dropDuplicatesWithinWatermark(["agent_id", "session_id", "message_id"])
+             .withColumn("turn_index", F.lit(-1).cast("bigint")))
+
+    def merge(known: DataFrame, incoming: DataFrame) -> DataFrame:
+        identity = [c for c in incoming.columns if c not in ("message_id", "turn_index")]
+        days = incoming.select(*DAY).distinct()
+        touched = union_distinct(known.join(days, DAY, "left_semi"), incoming, identity, "message_id")
+        return order_turns(touched.drop("origin")).unionByName(known.join(days, DAY, "left_anti"))
 
     def fold(batch: DataFrame, _: int) -> None:
-        incoming = tables.with_month(batch)
-        identity = [c for c in batch.columns if c != "message_id"]
-        days = incoming.select(*DAY, "memory_month").distinct()
-        months = days.select("memory_month").distinct()
-        stored = _existing(batch.sparkSession, path, incoming.withColumn("turn_index", F.lit(0).cast("bigint")))
-        same_months = stored.join(months, "memory_month", "left_semi")
-        merged = union_distinct(same_months.join(days, DAY, "left_semi"), incoming, identity, "message_id")
-        renumbered = order_turns(merged.drop("origin"))
-        untouched = same_months.join(days, DAY, "left_anti").drop("memory_month")
-        whole = renumbered.unionByName(untouched)
-        tables.update_layer(tables.with_month(whole), path, ["memory_month"])
+        _fold_months(path, batch, merge)
 
     return fresh.writeStream.outputMode("append").foreachBatch(fold)
 
@@ -77,6 +80,25 @@ def late_turns(turns: DataFrame, watermark) -> DataFrame:
     return turns.filter(F.col("ts") < F.lit(watermark))
 
 
-def stream_day_stats(turns: DataFrame, settings: Settings = DEFAULTS, delay: str = "1 day") -> DataFrame:
-    """Counts per agent-day, for update mode."""
-    return day_stats(with_days(turns.withWatermark("ts", delay), settings))
+def stream_day_stats(turns: DataFrame, path: str, settings: Settings = DEFAULTS,
+                     delay: str = "1 day") -> DataStreamWriter:
+    """Keep counts per agent-day current at `path`.
+
+    Counts are kept per day and UTC date of event time, so that state drops out
+    once the watermark has passed; `read_day_stats` adds the two parts of a day.
+    """
+    dated = with_days(turns.withWatermark("ts", delay), settings)
+    parts = (dated.groupBy(*DAY, F.window("ts", "1 day").alias("_part")).agg(
+        F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"),
+        F.count_if(F.col("role") == "assistant").alias("assistant_turns")))
+
+    def fold(batch: DataFrame, _: int) -> None:
+        _fold_months(path, batch.withColumn("_part", F.col("_part.start")),
+                     lambda known, fresh: upsert(known, fresh, [*DAY, "_part"]))
+
+    return parts.writeStream.outputMode("update").foreachBatch(fold)
+
+
+def read_day_stats(parts: DataFrame) -> DataFrame:
+    """Counts per agent-day from the table that `stream_day_stats` keeps (a day spans two UTC dates)."""
+    return parts.groupBy(*DAY).agg(*[F.sum(c).alias(c) for c in ("total_turns", "user_turns", "assistant_turns")])

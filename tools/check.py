@@ -16,6 +16,10 @@ import duckdb
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
+import logging
+
+logging.disable(logging.CRITICAL)
+
 from memlake import build_session  # noqa: E402
 from memlake.catalog import oracle_sql, queries  # noqa: E402
 
@@ -42,8 +46,8 @@ def main() -> int:
     args = parser.parse_args()
     spark = build_session("check", "local[8]", {
         "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.sql.shuffle.partitions": "8",
-        "spark.log.level": "ERROR"})
-    spark.sparkContext.setLogLevel("ERROR")
+        "spark.log.level": "OFF", "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("OFF")
     db = duckdb.connect()
     for path in sorted(pathlib.Path(args.sf).glob("*.parquet")):
         db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
@@ -84,7 +88,7 @@ def main() -> int:
             print(f"{name}: {note}", flush=True)
         except Exception as error:  # noqa: BLE001
             failed.append(name)
-            print(f"{name}: FAILED {type(error).__name__} {str(error)[:1500]}", flush=True)
+            print(f"{name}: FAILED {type(error).__name__} {str(error)[:500]}", flush=True)
             if "--trace" in sys.argv:
                 traceback.print_exc()
     print("failed:", failed)
