@@ -13,7 +13,10 @@ from memlake.settings import Settings
 # Small budgets, so that the test documents are cut into many chunks.
 SMALL = Settings(context_total=12_000, context_free=4_000, map_prompt=1_000, reduce_prompt=1_000, system_prompt=1_000,
                  reduce_output=1_000, chunk_max_turns=20)
-_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+def _date():
+    return F.col("memory_date").cast("string").alias("memory_date")
+
 
 
 def _sized(spark, sf):
@@ -71,7 +74,7 @@ def split_point(spark, sf):
 @query("plan_chunks")
 def plan_chunks(spark, sf):
     """Chunks of every source's documents; compared with a brute-force model in the tests."""
-    return ck.chunk_bounds(fx.long_turns(spark, sf), SMALL).withColumn("memory_date", _DATE)
+    return ck.chunk_bounds(fx.long_turns(spark, sf), SMALL).withColumn("memory_date", _date())
 
 
 # The pieces of a day must give its text back, whole and in order.

@@ -10,7 +10,10 @@ from memlake.functions import timeaxis
 from memlake.functions.documents import KEY_ITEM_TYPES
 from memlake.operators import landmarks
 
-_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+def _date():
+    return F.col("memory_date").cast("string").alias("memory_date")
+
 _KINDS = ", ".join(f"count(*) FILTER (item_type = '{t}') AS {t}" for t in KEY_ITEM_TYPES)
 _STATS = f"""
 SELECT agent_id, memory_date, {_KINDS}, count(*) AS peak_count, avg(intensity) AS simple_mean,
@@ -35,7 +38,7 @@ def landmark_counts(spark, sf):
     counts = landmarks.count_items(fx.day_items(spark, sf))
     levels = F.transform(F.array_sort(F.map_entries("intensities")), lambda e: F.concat_ws(
         ":", e["key"].cast("string"), e["value"].cast("string")))
-    return counts.select("agent_id", _DATE, *[F.element_at("key_items", t).alias(t) for t in KEY_ITEM_TYPES],
+    return counts.select("agent_id", _date(), *[F.element_at("key_items", t).alias(t) for t in KEY_ITEM_TYPES],
                          F.array_join(levels, ",").alias("intensities"))
 
 
@@ -44,14 +47,14 @@ SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, peak_count, round(
        round(weighted_mean, 4) AS weighted_mean, CAST(max_intensity AS BIGINT) AS max_intensity, intensity5_count FROM ({_STATS})""", ("fx_day_items",))
 def intensity_stats(spark, sf):
     analyzed = landmarks.analyze_counts(landmarks.count_items(fx.day_items(spark, sf)))
-    return analyzed.select("agent_id", _DATE, "peak_count", F.round("simple_mean", 4).alias("simple_mean"),
+    return analyzed.select("agent_id", _date(), "peak_count", F.round("simple_mean", 4).alias("simple_mean"),
                            F.round("weighted_mean", 4).alias("weighted_mean"), "max_intensity", "intensity5_count")
 
 
 @query("landmark_judge", f"""
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, round(score, 3) AS score, score >= 5.5 AS landmark FROM ({_SCORED})""", ("fx_day_items",))
 def landmark_judge(spark, sf):
-    return landmarks.judge(landmarks.analyze_items(fx.day_items(spark, sf))).withColumn("memory_date", _DATE)
+    return landmarks.judge(landmarks.analyze_items(fx.day_items(spark, sf))).withColumn("memory_date", _date())
 
 
 @query("landmark_range", f"""
@@ -62,7 +65,7 @@ def landmark_range(spark, sf):
     from datetime import date
     items = fx.day_items(spark, sf).filter(timeaxis.date_in_range(
         F.col("memory_date"), start=date(2024, 1, 8), end=date(2024, 1, 14)))
-    return landmarks.judge(landmarks.analyze_items(items)).withColumn("memory_date", _DATE)
+    return landmarks.judge(landmarks.analyze_items(items)).withColumn("memory_date", _date())
 
 
 @query("landmark_threshold", f"""

@@ -12,7 +12,10 @@ from memlake.functions import timeaxis
 from memlake.operators import landmarks, merging
 from memlake.plans import decay, jobs, preserve, write
 
-_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+def _date():
+    return F.col("memory_date").cast("string").alias("memory_date")
+
 WEEK = "2024-W04"
 
 
@@ -50,7 +53,7 @@ def archive_manifest(spark, sf):
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, archived OR strftime(memory_date, '%G-W%V') = '{WEEK}' AS archived FROM fx_l2""", ("fx_l2",))
 def mark_archived(spark, sf):
     _, marked = preserve.archive_and_mark(store(spark, sf), [WEEK])
-    return marked["l2_days"].select("agent_id", _DATE, F.col("status.archived").alias("archived"))
+    return marked["l2_days"].select("agent_id", _date(), F.col("status.archived").alias("archived"))
 
 
 def _live_and_archive(spark, sf):
@@ -68,7 +71,7 @@ def _restored(mode: str):
         live, archive = _live_and_archive(spark, sf)
         selected = preserve.select_for_restore(archive, week=WEEK)
         return preserve.restore(live, selected, mode)["l1_days"].select(
-            "agent_id", _DATE, "summary", F.col("status.restored").alias("restored"))
+            "agent_id", _date(), "summary", F.col("status.restored").alias("restored"))
 
     return run
 
@@ -113,7 +116,7 @@ def _trim_plan(spark, sf):
 
 @query("trim_plan", _PLAN.replace("SELECT agent_id, memory_date, CASE", "SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, CASE", 1), _TRIM_VIEWS)
 def trim_plan(spark, sf):
-    return _trim_plan(spark, sf).withColumn("memory_date", _DATE)
+    return _trim_plan(spark, sf).withColumn("memory_date", _date())
 
 
 @query("trim_l2", f"""
@@ -123,7 +126,7 @@ WHERE p.mode IS NULL OR (p.mode = 'trim_from_l1' AND turn_index IN (0, 2, l.user
 def trim_l2(spark, sf):
     turns, _, _ = decay.trim_l2(fx.day_turns(spark, sf), fx.l2_days(spark, sf), fx.l1_days(spark, sf),
                                 fx.day_markers(spark, sf), "2024-W08")
-    return turns.select("agent_id", _DATE, "turn_index", "message_id")
+    return turns.select("agent_id", _date(), "turn_index", "message_id")
 
 
 @query("week_view", """
@@ -158,7 +161,7 @@ def shallow_delete_set(spark, sf):
     days = fx.days(spark, sf)
     verdicts = days.filter("d % 6 != 5").select("agent_id", "memory_date", (F.col("d") % 6 == 1).alias("landmark"))
     return decay.shallow_delete_set(days, fx.l1_days(spark, sf), fx.l2_days(spark, sf), fx.day_markers(spark, sf),
-                                    verdicts, WEEK).select("agent_id", _DATE, "artefact")
+                                    verdicts, WEEK).select("agent_id", _date(), "artefact")
 
 
 @query("apply_day_deletes", f"""
@@ -167,7 +170,7 @@ def apply_day_deletes(spark, sf):
     everything, days = store(spark, sf), fx.days(spark, sf)
     none = days.limit(0).select("agent_id", "memory_date", F.lit(True).alias("landmark"))
     doomed = decay.shallow_delete_set(days, everything["l1_days"], everything["l2_days"], everything["day_markers"], none, WEEK)
-    return decay.apply_day_deletes(everything, doomed)["l1_days"].select("agent_id", _DATE)
+    return decay.apply_day_deletes(everything, doomed)["l1_days"].select("agent_id", _date())
 
 
 _WEEKS = "SELECT agent_id, strftime(memory_date, '%G-W%V') AS week, CAST(date_trunc('week', memory_date) AS DATE) AS monday FROM fx_day_items GROUP BY ALL"
@@ -231,13 +234,13 @@ WHERE (a.agent_id, day) NOT IN (
   LEFT JOIN fx_l0 i USING (agent_id, memory_date) WHERE m.marker IS NOT NULL OR (l1.kind IS NOT NULL AND i.time_key IS NOT NULL))""", ("fx_l2", "fx_l0", "fx_markers"))
 def backfill_targets(spark, sf):
     return jobs.backfill_targets(fx.days(spark, sf), date(2024, 1, 1), date(2024, 2, 29), fx.l2_days(spark, sf), fx.l1_days(spark, sf),
-                                 fx.day_markers(spark, sf), fx.l0_index(spark, sf)).select("agent_id", _DATE)
+                                 fx.day_markers(spark, sf), fx.l0_index(spark, sf)).select("agent_id", _date())
 
 
 @query("rerun_targets", """
 SELECT DISTINCT 'agent_' || user_id AS agent_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS memory_date FROM events WHERE event_type = 'error' AND event_id % 3 <> 0""")
 def rerun_targets(spark, sf):
-    return jobs.rerun_targets(_failures(spark, sf)).withColumn("memory_date", _DATE)
+    return jobs.rerun_targets(_failures(spark, sf)).withColumn("memory_date", _date())
 
 
 def _failures(spark, sf):
@@ -265,4 +268,4 @@ FROM fx_l1 WHERE memory_date >= DATE '2024-01-15'""", ("fx_l1",))
 def rescore_range(spark, sf):
     empty = landmarks.count_documents(fx.l1_days(spark, sf)).limit(0)
     return jobs.rescore_range(empty, fx.l1_days(spark, sf), start=date(2024, 1, 15)).select(
-        "agent_id", _DATE, F.element_at("key_items", "bug_fix").alias("bug_fix"))
+        "agent_id", _date(), F.element_at("key_items", "bug_fix").alias("bug_fix"))

@@ -13,10 +13,13 @@ from memlake.operators.ranking import calibrate, top_k
 from memlake.plans import recall as rc
 from memlake.session import materialize
 
-TODAY = F.lit("2024-06-30").cast("date")
 _L2_VIEWS = ("fx_l1_ranked", "fx_l2_ranked")
 
 
+def _today():
+    return F.lit("2024-06-30").cast("date")
+
+
 def _scored(spark, sf):
     return rc.score_index(fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_vectors(spark, sf),
                           fx.query_vectors(spark, sf))
@@ -105,11 +108,11 @@ def recency_modulation(spark, sf):
     day = timeaxis.characterized_date(F.col("depth"), F.col("time_key"))
     none, date = F.lit(None).cast("date"), lambda d: F.lit(d).cast("date")
     rows = fx.memories(spark, sf).withColumn("day", day)
-    recency = sc.recency_score(F.col("day"), TODAY, none, none)
+    recency = sc.recency_score(F.col("day"), _today(), none, none)
     weighted = F.lit(0.8) * sc.layer_weight(F.lit("l1"), F.lit(None).cast("double"))
     return rows.select(
         "agent_id", "doc_id", F.col("day").cast("string").alias("characterized_date"), F.round(recency, 4).alias("recency"),
-        F.round(sc.recency_score(F.col("day"), TODAY, date("2024-03-01"), date("2024-03-31")), 4).alias("window_recency"),
+        F.round(sc.recency_score(F.col("day"), _today(), date("2024-03-01"), date("2024-03-31")), 4).alias("window_recency"),
         F.round(sc.recency_modulate(weighted, recency), 4).alias("modulated"))
 
 
@@ -161,7 +164,7 @@ def diversified(spark, sf):
 def _candidates(spark, sf):
     return materialize(rc.recall_candidates(
         fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_documents(spark, sf), fx.memory_turns(spark, sf),
-        fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=TODAY))
+        fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=_today()))
 
 
 _LINE = """'- [' || depth || ' ' || time_key || CASE source_layer WHEN 'l2' THEN ' ' || hhmm || ' ' || role || '] ' ELSE '] ' || CASE field
@@ -178,7 +181,7 @@ LEFT JOIN lines b ON b.query_id = q.query_id AND b.source_layer = 'l2'""", (*_L2
 def recall(spark, sf):
     """The whole recall path: index, summaries, turns, weighing, selection, answer text."""
     answers = rc.recall(fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_documents(spark, sf),
-                        fx.memory_turns(spark, sf), fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=TODAY)
+                        fx.memory_turns(spark, sf), fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=_today())
     return answers.select("query_id", "agent_id", "assembled_text")
 
 

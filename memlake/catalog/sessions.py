@@ -11,7 +11,6 @@ from memlake.operators.merging import upsert_sessions
 from memlake.plans import sessions as sn
 from memlake.sources import message_log
 
-_DATES = F.array_join(F.transform("dates", lambda d: d.cast("string")), ",").alias("dates")
 WEEK = "2024-W03"   # ends on 2024-01-21
 _ROLLUP = """
 SELECT agent_id, session_id, list_sort(list(memory_date)) AS days, min(first_seen) AS seen FROM fx_registry WHERE {where} GROUP BY ALL"""
@@ -21,6 +20,10 @@ def _text(days: str) -> str:
     return f"array_to_string(list_transform({days}, lambda x: CAST(x AS VARCHAR)), ',')"
 
 
+def _dates():
+    return F.array_join(F.transform("dates", lambda d: d.cast("string")), ",").alias("dates")
+
+
 def _seconds(column: str):
     return F.unix_timestamp(column).alias(column)
 
@@ -58,7 +61,7 @@ SELECT agent_id, session_id, {_text('days')} AS dates, CAST(floor(epoch(seen)) A
 FROM ({_ROLLUP.format(where="memory_date <= DATE '2024-01-21'")})""", ("fx_registry",))
 def session_rollup(spark, sf):
     return sn.session_rollup(fx.registry(spark, sf), timeaxis.week_sunday(F.lit(WEEK))).select(
-        "agent_id", "session_id", _DATES, _seconds("first_seen_min"))
+        "agent_id", "session_id", _dates(), _seconds("first_seen_min"))
 
 
 @query("session_preserve", f"""
@@ -68,7 +71,7 @@ SELECT agent_id, session_id, {_text("list_sort(list_distinct(coalesce(o.days, []
 FROM ({_ARCHIVE}) o FULL JOIN (SELECT r.* FROM ({_ROLLUP.format(where="memory_date <= DATE '2024-01-21'")}) r ANTI JOIN ({_CURRENT}) c USING (agent_id, session_id)) n USING (agent_id, session_id)""", ("fx_registry",))
 def session_preserve(spark, sf):
     archived = sn.session_preserve(fx.registry(spark, sf), _archive(spark, sf), _current(spark, sf), WEEK)
-    return archived.select("agent_id", "session_id", _DATES, _seconds("first_seen_min"),
+    return archived.select("agent_id", "session_id", _dates(), _seconds("first_seen_min"),
                            F.array_join("archived_files", ",").alias("archived_files"),
                            (F.col("archived_at") == F.lit("2024-01-11").cast("timestamp")).alias("kept_time"))
 

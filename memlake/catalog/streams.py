@@ -11,7 +11,10 @@ from memlake.catalog.registry import query
 from memlake.session import checkpoint_dir
 from memlake.streaming import intake
 
-_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+def _date():
+    return F.col("memory_date").cast("string").alias("memory_date")
+
 
 
 def _turn_stream(spark, sf):
@@ -37,18 +40,18 @@ def _run(spark, writer_of):
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, session_id, CAST(epoch(min(ts)) AS BIGINT) AS first_seen FROM fx_day_turns GROUP BY ALL""", ("fx_day_turns",))
 def stream_session_registry(spark, sf):
     table = _run(spark, lambda path: intake.stream_session_registry(_turn_stream(spark, sf), path))
-    return table.select("agent_id", _DATE, "session_id", F.unix_timestamp("first_seen").alias("first_seen"))
+    return table.select("agent_id", _date(), "session_id", F.unix_timestamp("first_seen").alias("first_seen"))
 
 
 @query("stream_turns_to_days", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, message_id, turn_index, content FROM fx_day_turns""", ("fx_day_turns",))
 def stream_turns_to_days(spark, sf):
     table = _run(spark, lambda path: intake.stream_turns_to_days(_turn_stream(spark, sf), path))
-    return table.select("agent_id", _DATE, "message_id", "turn_index", "content")
+    return table.select("agent_id", _date(), "message_id", "turn_index", "content")
 
 
 @query("stream_day_stats", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, total_turns, user_turns, assistant_turns FROM fx_days""", ("fx_days",))
 def stream_day_stats(spark, sf):
     table = _run(spark, lambda path: intake.stream_day_stats(_turn_stream(spark, sf), path))
-    return intake.read_day_stats(table).withColumn("memory_date", _DATE)
+    return intake.read_day_stats(table).withColumn("memory_date", _date())

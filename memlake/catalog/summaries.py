@@ -11,7 +11,10 @@ from memlake.functions.scores import render_topic
 from memlake.operators.chunking import chunk_bounds, chunk_fragments
 from memlake.plans import write
 
-_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+def _date():
+    return F.col("memory_date").cast("string").alias("memory_date")
+
 
 
 def _outputs(spark, sf):
@@ -122,7 +125,7 @@ SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, left(word, 20) AS
 FROM ({_WORDS}) WHERE length(word) >= 4 GROUP BY agent_id, memory_date, left(word, 20)""", ("fx_day_turns",))
 def infer_map(spark, sf):
     found = write.infer_map(_fragments(spark, sf)).filter("kind = 'topic'")
-    return found.groupBy("agent_id", _DATE, F.substring_index("value", "\n", 1).alias("word")).agg(F.sum("weight").alias("n"))
+    return found.groupBy("agent_id", _date(), F.substring_index("value", "\n", 1).alias("word")).agg(F.sum("weight").alias("n"))
 
 
 _DAY_TAGS = f"""
@@ -139,14 +142,14 @@ FROM fx_days LEFT JOIN ({_DAY_TAGS}) USING (agent_id, memory_date)""", ("fx_days
 def infer_reduce(spark, sf):
     fragments = _fragments(spark, sf)
     days = write.infer_reduce(write.infer_map(fragments), write.low_signal_context(fragments))
-    return days.select("agent_id", _DATE, "memory_signal", F.array_join("tags", ",").alias("tags"))
+    return days.select("agent_id", _date(), "memory_signal", F.array_join("tags", ",").alias("tags"))
 
 
 @query("low_signal_context", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, 1 AS chunks, total_turns AS turns, user_turns,
        total_turns <= 8 AS low_allowed, user_turns = 0 AS low_forced FROM fx_days""", ("fx_days",))
 def low_signal_context(spark, sf):
-    return write.low_signal_context(_fragments(spark, sf)).withColumn("memory_date", _DATE)
+    return write.low_signal_context(_fragments(spark, sf)).withColumn("memory_date", _date())
 
 
 @query("write_days", f"""

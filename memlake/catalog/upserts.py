@@ -9,7 +9,10 @@ from memlake.catalog.registry import query
 from memlake.operators import landmarks, merging
 from memlake.plans import write
 
-_DATE = F.col("memory_date").cast("string").alias("memory_date")
+
+def _date():
+    return F.col("memory_date").cast("string").alias("memory_date")
+
 
 
 @query("l0_upsert", """
@@ -56,7 +59,7 @@ def upsert_counts(spark, sf):
     counts = landmarks.count_items(fx.day_items(spark, sf))
     stale = counts.withColumn("key_items", F.create_map(F.lit("bug_fix"), F.lit(100).cast("bigint")))
     merged = merging.upsert(stale, counts.filter(F.dayofmonth("memory_date") % 2 == 0), ["agent_id", "memory_date"])
-    return merged.select("agent_id", _DATE, F.element_at("key_items", "bug_fix").alias("bug_fix"))
+    return merged.select("agent_id", _date(), F.element_at("key_items", "bug_fix").alias("bug_fix"))
 
 
 @query("merge_days", """
@@ -68,7 +71,7 @@ def merge_days(spark, sf):
     fresh = write.l1_skeleton(days.select("agent_id", "memory_date", "total_turns", "user_turns"))
     known = fx.l1_days(spark, sf).withColumn("total_turns", F.lit(1).cast("bigint"))
     merged = merging.merge_days(known, fresh)
-    return merged.select("agent_id", _DATE, "total_turns", "user_turns", "summary", F.col("status.archived").alias("archived"))
+    return merged.select("agent_id", _date(), "total_turns", "user_turns", "summary", F.col("status.archived").alias("archived"))
 
 
 @query("register_weeks", """

@@ -47,17 +47,17 @@ def lexical_score(terms: Column, parts: Column, tokens: Column, haystack: Column
     """Word-overlap score of query terms against a text.
 
     A term found as a whole token adds 1; a term that contains a token or lies
-    inside one adds 0.5. `tokens` are the distinct tokens of the text, `haystack`
-    the same tokens joined by spaces with a space at both ends, so that
-    whole-token and inside-a-token tests are plain substring searches. `parts`
-    (from `term_parts`) narrows the tokens to the few that lie inside some term
-    with one hashed intersection, before terms are looked at one by one.
+    inside one adds 0.5. `tokens` are the distinct tokens of the text and
+    `haystack` the same tokens joined by spaces. `parts` (from `term_parts`)
+    narrows the tokens with one hashed intersection to the few that equal a term
+    or lie inside one; only terms without such a token are searched for in the
+    text.
     """
     def value(term: Column, near: Column) -> Column:
-        exact = F.when(haystack.contains(F.concat(F.lit(" "), term, F.lit(" "))), 1.0).otherwise(0.5)
-        inside = F.when(F.length(term) <= PART_TERM_LENGTH, F.exists(near, lambda token: term.contains(token))).otherwise(
-            F.exists(tokens, lambda token: term.contains(token)))
-        return F.when(haystack.contains(term), exact).when(inside, 0.5).otherwise(0.0)
+        candidates = F.when(F.length(term) <= PART_TERM_LENGTH, near).otherwise(tokens)
+        return (F.when(F.array_contains(candidates, term), 1.0)
+                 .when(F.exists(candidates, lambda token: term.contains(token)), 0.5)
+                 .when(haystack.contains(term), 0.5).otherwise(0.0))
 
     return let(F.array_intersect(tokens, parts), lambda near: F.aggregate(
         terms, F.lit(0.0), lambda total, term: total + value(term, near)))

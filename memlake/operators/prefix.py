@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def id_bucket(column: str | Column) -> Column:

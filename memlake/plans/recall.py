@@ -32,9 +32,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def searchable(df: DataFrame, text: str) -> DataFrame:
-    """Add the token set and the padded text that `lexical_score` reads, once per row."""
+    """Add the token set and the text of tokens that `lexical_score` reads, once per row."""
     return (df.withColumn("tokens", F.array_distinct(tx.match_tokens(F.col(text))))
-            .withColumn("haystack", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))))
+            .withColumn("haystack", F.array_join("tokens", " ")))
 
 
 def _lexical() -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake import schemas
-from memlake.functions import documents, text as tx
+from memlake.functions import documents, let, text as tx
 from memlake.operators.landmarks import count_documents
 from memlake.operators.merging import upsert
 from memlake.operators.ranking import top_k
@@ -186,18 +186,20 @@ def infer_reduce(found: DataFrame, context: DataFrame) -> DataFrame:
 def read_model_output(raw: DataFrame, problem: Callable[[Column], Column] = documents.day_summary_problem,
                       column: str = "raw") -> DataFrame:
     """Repair, parse and check model output; adds `method`, `document`, `problem`, `valid`."""
-    repaired = raw.withColumn("_r", documents.repair_json(F.col(column)))
-    checked = repaired.withColumn("method", F.col("_r.method")).withColumn("document", F.col("_r.document")).drop("_r")
-    issue = F.when(F.col("document").isNull(), "unparsable").otherwise(problem(F.col("document")))
-    return checked.withColumn("problem", issue).withColumn("valid", F.col("problem").isNull())
+    def checked(repaired: Column) -> Column:
+        issue = F.when(repaired["document"].isNull(), "unparsable").otherwise(let(repaired["document"], problem))
+        return F.struct(repaired["method"].alias("method"), repaired["document"].alias("document"), issue.alias("problem"))
+
+    parsed = raw.withColumn("_c", let(documents.repair_json(F.col(column)), checked))
+    return parsed.select(*raw.columns, "_c.method", "_c.document", "_c.problem").withColumn("valid", F.col("problem").isNull())
 
 
 def summaries_from_documents(checked: DataFrame) -> DataFrame:
     """Typed day-summary columns of valid documents."""
-    fields = _columns(checked.sparkSession, schemas.DAY_SUMMARY)
     keys = [c for c in checked.columns if c in CHUNK]
-    return checked.filter("valid").select(*keys, *[
-        F.try_variant_get("document", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields])
+    shape = checked.sparkSession.createDataFrame([], schemas.DAY_SUMMARY).schema.simpleString()
+    whole = F.try_variant_get("document", "$", shape)
+    return checked.filter("valid").select(*keys, whole.alias("_s")).select(*keys, "_s.*")
 
 
 def retry_failed(rows: DataFrame, run: Callable[[DataFrame], DataFrame], retries: int = DEFAULTS.retries) -> DataFrame:

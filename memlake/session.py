@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +44,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the written rows.
+    """Write `df` as a table under the shared checkpoint folder and continue from the written rows.
 
     Used where several branches read one expensive result, in loops, and before
-    a table that is being read gets overwritten.
+    a table that is being read gets overwritten. A written table is computed
+    once, where `checkpoint()` runs the last stage twice; it survives the loss
+    of executors and is read back with column pruning and known sizes.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of few files over all cores before work that is heavy per row.
+
+    A table with at least as many files as cores is read in parallel as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
