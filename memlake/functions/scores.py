@@ -59,7 +59,7 @@ def lexical_score(terms: Column, parts: Column, tokens: Column, haystack: Column
                  .when(F.exists(candidates, lambda token: term.contains(token)), 0.5)
                  .when(haystack.contains(term), 0.5).otherwise(0.0))
 
-    return let(F.array_intersect(tokens, parts), lambda near: F.aggregate(
+    return let(F.array_intersect(parts, tokens), lambda near: F.aggregate(
         terms, F.lit(0.0), lambda total, term: total + value(term, near)))
 
 

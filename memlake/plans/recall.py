@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from memlake.functions import scores as sc, text as tx
+from memlake.functions import let, scores as sc, text as tx
 from memlake.functions.timeaxis import characterized_date
 from memlake.operators.diversity import assemble, diversify
 from memlake.operators.prefix import id_bucket
@@ -129,8 +129,11 @@ def summary_candidates(documents: DataFrame) -> DataFrame:
 
 def _ranked(candidates: DataFrame, coarse: list[Column], tie_order: list[str], identity: list[str],
             order: list[Column], limit: int) -> DataFrame:
-    scored = materialize(candidates.withColumn("raw_score", _lexical())
-                         .filter("raw_score > 0").drop("terms", "parts", "tokens", "haystack"))
+    # Unnesting drops rows without a hit. A filter on the score would be pushed below
+    # the projection and compute every score twice.
+    hit = let(_lexical(), lambda score: F.when(score > 0, F.array(score)))
+    kept = [c for c in candidates.columns if c not in ("terms", "parts", "tokens", "haystack")]
+    scored = materialize(candidates.select(*kept, F.explode(hit).alias("raw_score")))
     calibrated = calibrate(scored, ["query_id"], {"raw_score": "score"}, tie_order, coarse).filter("score > 0")
     rest = [c for c in calibrated.columns if c not in ("query_id", *identity, "score", "raw_score")]
     # Equal pieces: the best placed one stays; placement decides only fields that are not compared.
