@@ -132,7 +132,8 @@ def characterized_date(depth: Column, time_key: Column) -> Column:
     start = _iso_date(F.substring_index(time_key, "+", 1))
     return (F.when(depth == "surface", _iso_date(time_key))
              .when(depth == "shallow", F.date_add(week_monday(time_key), 3))
-             .when(depth == "deep", F.date_add(start, F.greatest(F.lit(0), F.floor(span / 2).cast("int")))))
+             .when((depth == "deep") & span.isNotNull(),
+                   F.date_add(start, F.greatest(F.lit(0), F.floor(span / 2).cast("int")))))
 
 
 def date_window(text: str | None) -> tuple[date, date] | None:
