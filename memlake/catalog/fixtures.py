@@ -193,6 +193,11 @@ _PIECES = (f"list_transform(range(0, CAST(ceil(length(text) / {PIECE}.0) AS BIGI
 _ENDS = r"[\n\t,，.。!！?？:：;；()（）\[\]【】/\\|\"''\-_\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+def four_digits(value: Column) -> Column:
+    """Rounded by plain arithmetic, which both engines do alike where their `round` differs."""
+    return F.floor(value * 10000 + 0.5) / 10000
+
+
 def sql_tokens(text: str) -> str:
     return f"list_filter(string_split_regex(lower({text}), '{_ENDS}'), lambda t: t <> '')"
 

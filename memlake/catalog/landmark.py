@@ -43,12 +43,12 @@ def landmark_counts(spark, sf):
 
 
 @query("intensity_stats", f"""
-SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, peak_count, round(simple_mean, 4) AS simple_mean,
-       round(weighted_mean, 4) AS weighted_mean, CAST(max_intensity AS BIGINT) AS max_intensity, intensity5_count FROM ({_STATS})""", ("fx_day_items",))
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, peak_count, floor((simple_mean)::DOUBLE * 10000 + 0.5) / 10000 AS simple_mean,
+       floor((weighted_mean)::DOUBLE * 10000 + 0.5) / 10000 AS weighted_mean, CAST(max_intensity AS BIGINT) AS max_intensity, intensity5_count FROM ({_STATS})""", ("fx_day_items",))
 def intensity_stats(spark, sf):
     analyzed = landmarks.analyze_counts(landmarks.count_items(fx.day_items(spark, sf)))
-    return analyzed.select("agent_id", _date(), "peak_count", F.round("simple_mean", 4).alias("simple_mean"),
-                           F.round("weighted_mean", 4).alias("weighted_mean"), "max_intensity", "intensity5_count")
+    return analyzed.select("agent_id", _date(), "peak_count", fx.four_digits(F.col("simple_mean")).alias("simple_mean"),
+                           fx.four_digits(F.col("weighted_mean")).alias("weighted_mean"), "max_intensity", "intensity5_count")
 
 
 @query("landmark_judge", f"""

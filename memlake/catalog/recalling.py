@@ -37,7 +37,7 @@ def lexical_score(spark, sf):
 
 
 @query("cosine_topk", """
-SELECT query_id, depth, time_key, round(embedding_raw, 4) AS similarity, rank FROM (
+SELECT query_id, depth, time_key, floor((embedding_raw)::DOUBLE * 10000 + 0.5) / 10000 AS similarity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY embedding_raw DESC, depth, time_key) AS rank
   FROM (SELECT DISTINCT query_id, depth, time_key, embedding_raw FROM fx_scored WHERE hybrid)) WHERE rank <= 12""", ("fx_scored",))
 def cosine_topk(spark, sf):
@@ -51,46 +51,46 @@ def cosine_topk(spark, sf):
     similar = F.greatest(F.lit(0.0), F.coalesce(sc.cosine(F.col("q"), F.col("v"), F.col("qn"), F.col("vn")), F.lit(0.0)))
     ranked = top_k(pairs.select("query_id", "depth", "time_key", similar.alias("exact")), ["query_id"],
                    [F.desc("exact"), "depth", "time_key"], 12)
-    return ranked.select("query_id", "depth", "time_key", F.round("exact", 4).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+    return ranked.select("query_id", "depth", "time_key", fx.four_digits(F.col("exact")).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("calibrate_lexical", f"""
-SELECT query_id, ord_key, round({fx.sql_calibrated('lexical_raw', 'query_id', 'ord_key')}, 4) AS lexical_score FROM fx_pairs""", ("fx_pairs",))
+SELECT query_id, ord_key, floor(({fx.sql_calibrated('lexical_raw', 'query_id', 'ord_key')})::DOUBLE * 10000 + 0.5) / 10000 AS lexical_score FROM fx_pairs""", ("fx_pairs",))
 def calibrate_lexical(spark, sf):
     scored = materialize(rc.score_index(fx.memory_queries(spark, sf), fx.memories(spark, sf)))
     return calibrate(scored, ["query_id"], {"lexical_raw": "lexical_score"}, ["ord_key"], [id_bucket("ord_key")]).select(
-        "query_id", "ord_key", F.round("lexical_score", 4).alias("lexical_score"))
+        "query_id", "ord_key", fx.four_digits(F.col("lexical_score")).alias("lexical_score"))
 
 
 @query("gated_fusion", """
-SELECT query_id, ord_key, round(score, 4) AS score FROM fx_fused""", ("fx_fused",))
+SELECT query_id, ord_key, floor((score)::DOUBLE * 10000 + 0.5) / 10000 AS score FROM fx_fused""", ("fx_fused",))
 def gated_fusion(spark, sf):
     calibrated = calibrate(materialize(_scored(spark, sf)), ["query_id"],
                            {"lexical_raw": "lexical_score", "embedding_raw": "embedding_score"}, ["ord_key"], [id_bucket("ord_key")])
-    return calibrated.select("query_id", "ord_key", F.round(sc.gated_fuse(
-        F.col("lexical_score"), F.col("embedding_score"), F.col("hybrid")), 4).alias("score"))
+    return calibrated.select("query_id", "ord_key", fx.four_digits(sc.gated_fuse(
+        F.col("lexical_score"), F.col("embedding_score"), F.col("hybrid"))).alias("score"))
 
 
 @query("recall_anchors", """
-SELECT query_id, agent_id, depth, time_key, round(score, 4) AS score, anchor_rank FROM fx_anchors""", ("fx_anchors",))
+SELECT query_id, agent_id, depth, time_key, floor((score)::DOUBLE * 10000 + 0.5) / 10000 AS score, anchor_rank FROM fx_anchors""", ("fx_anchors",))
 def recall_anchors(spark, sf):
     return rc.recall_anchors(materialize(_scored(spark, sf))).select(
-        "query_id", "agent_id", "depth", "time_key", F.round("score", 4).alias("score"), F.col("anchor_rank").cast("bigint").alias("anchor_rank"))
+        "query_id", "agent_id", "depth", "time_key", fx.four_digits(F.col("score")).alias("score"), F.col("anchor_rank").cast("bigint").alias("anchor_rank"))
 
 
 @query("recall_summaries", """
-SELECT query_id, depth, time_key, field, information, round(score, 4) AS score, layer_rank FROM fx_l1_ranked""", ("fx_l1_ranked",))
+SELECT query_id, depth, time_key, field, information, floor((score)::DOUBLE * 10000 + 0.5) / 10000 AS score, layer_rank FROM fx_l1_ranked""", ("fx_l1_ranked",))
 def recall_summaries(spark, sf):
     found = rc.recall_summaries(fx.memory_queries(spark, sf), _anchors(spark, sf), fx.memory_documents(spark, sf))
-    return found.select("query_id", "depth", "time_key", "field", "information", F.round("score", 4).alias("score"),
+    return found.select("query_id", "depth", "time_key", "field", "information", fx.four_digits(F.col("score")).alias("score"),
                         F.col("layer_rank").cast("bigint").alias("layer_rank"))
 
 
 @query("recall_turns", """
-SELECT query_id, time_key, role, hhmm, information, round(score, 4) AS score, layer_rank FROM fx_l2_ranked""", ("fx_l2_ranked",))
+SELECT query_id, time_key, role, hhmm, information, floor((score)::DOUBLE * 10000 + 0.5) / 10000 AS score, layer_rank FROM fx_l2_ranked""", ("fx_l2_ranked",))
 def recall_turns(spark, sf):
     found = rc.recall_turns(fx.memory_queries(spark, sf), _anchors(spark, sf), fx.memory_turns(spark, sf))
-    return found.select("query_id", "time_key", "role", "hhmm", "information", F.round("score", 4).alias("score"),
+    return found.select("query_id", "time_key", "role", "hhmm", "information", fx.four_digits(F.col("score")).alias("score"),
                         F.col("layer_rank").cast("bigint").alias("layer_rank"))
 
 
@@ -100,20 +100,20 @@ _CHARACTERIZED = """CASE depth WHEN 'surface' THEN CAST(time_key AS DATE)
 
 
 @query("recency_modulation", f"""
-SELECT agent_id, doc_id, CAST(day AS VARCHAR) AS characterized_date, round(1 / (1 + abs(date_diff('day', day, DATE '2024-06-30')) / 30.0), 4) AS recency,
-       round(1 / (1 + greatest(0, date_diff('day', day, DATE '2024-03-01'), date_diff('day', DATE '2024-03-31', day)) / 14.0), 4) AS window_recency,
-       round(0.7 * 0.8 * (0.85 + 0.15 / (1 + abs(date_diff('day', day, DATE '2024-06-30')) / 30.0)), 4) AS modulated
+SELECT agent_id, doc_id, CAST(day AS VARCHAR) AS characterized_date, floor((1 / (1 + abs(date_diff('day', day, DATE '2024-06-30')) / 30.0))::DOUBLE * 10000 + 0.5) / 10000 AS recency,
+       floor((1 / (1 + greatest(0, date_diff('day', day, DATE '2024-03-01'), date_diff('day', DATE '2024-03-31', day)) / 14.0))::DOUBLE * 10000 + 0.5) / 10000 AS window_recency,
+       floor((0.7 * 0.83 * (0.85 + 0.15 / (1 + abs(date_diff('day', day, DATE '2024-06-30')) / 30.0)))::DOUBLE * 10000 + 0.5) / 10000 AS modulated
 FROM (SELECT agent_id, doc_id, {_CHARACTERIZED} AS day FROM fx_memories)""", ("fx_memories",))
 def recency_modulation(spark, sf):
     day = timeaxis.characterized_date(F.col("depth"), F.col("time_key"))
     none, date = F.lit(None).cast("date"), lambda d: F.lit(d).cast("date")
     rows = fx.memories(spark, sf).withColumn("day", day)
     recency = sc.recency_score(F.col("day"), _today(), none, none)
-    weighted = F.lit(0.8) * sc.layer_weight(F.lit("l1"), F.lit(None).cast("double"))
+    weighted = F.lit(0.83) * sc.layer_weight(F.lit("l1"), F.lit(None).cast("double"))
     return rows.select(
-        "agent_id", "doc_id", F.col("day").cast("string").alias("characterized_date"), F.round(recency, 4).alias("recency"),
-        F.round(sc.recency_score(F.col("day"), _today(), date("2024-03-01"), date("2024-03-31")), 4).alias("window_recency"),
-        F.round(sc.recency_modulate(weighted, recency), 4).alias("modulated"))
+        "agent_id", "doc_id", F.col("day").cast("string").alias("characterized_date"), fx.four_digits(recency).alias("recency"),
+        fx.four_digits(sc.recency_score(F.col("day"), _today(), date("2024-03-01"), date("2024-03-31"))).alias("window_recency"),
+        fx.four_digits(sc.recency_modulate(weighted, recency)).alias("modulated"))
 
 
 # Greedy selection as a recursive walk over the ranked candidates of each query.
@@ -153,12 +153,12 @@ chosen AS (
 
 
 @query("diversify", _CHOSEN + """
-SELECT query_id, rank, source_layer, depth, time_key, field, round(final_score, 4) AS final_score, information
+SELECT query_id, rank, source_layer, depth, time_key, field, floor((final_score)::DOUBLE * 10000 + 0.5) / 10000 AS final_score, information
 FROM chosen JOIN walk USING (query_id, place)""", _L2_VIEWS)
 def diversified(spark, sf):
     return diversify(_candidates(spark, sf), 8).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "source_layer", "depth", "time_key", "field",
-        F.round("final_score", 4).alias("final_score"), "information")
+        fx.four_digits(F.col("final_score")).alias("final_score"), "information")
 
 
 def _candidates(spark, sf):
