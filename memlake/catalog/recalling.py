@@ -120,7 +120,7 @@ def recency_modulation(spark, sf):
 _WORDS = r"[^\p{L}\p{M}\p{N}]+"
 _WEIGHED = f"""
 , cand AS (
-  SELECT query_id, depth, time_key, field, information, score, layer_rank, 'l1' AS source_layer, NULL AS role, NULL AS hhmm FROM fx_l1_ranked
+  SELECT query_id, depth, time_key, field, information, score, layer_rank, 'l1' AS source_layer, NULL::VARCHAR AS role, NULL::VARCHAR AS hhmm FROM fx_l1_ranked
   UNION ALL SELECT query_id, depth, time_key, 'conversation_excerpt', information, score, layer_rank, 'l2', role, hhmm FROM fx_l2_ranked),
 weighed AS (
   SELECT *, round(w * (0.85 + 0.15 / (1 + abs(date_diff('day', {_CHARACTERIZED}, DATE '2024-06-30')) / 30.0)), 6) AS final_score,
