@@ -1,9 +1,11 @@
-"""Toxicity by two class-conditional Kneser-Ney word models.
-
-Each class has an interpolated Kneser-Ney bigram model; both back off to one
-distribution of continuation counts shared by the classes, so that an expression
-which either class has rarely seen weighs little. A text's score compares the two
-log-likelihoods, divided by its length, on a logistic scale.
+"""Toxicity by two class-conditional Kneser-Ney models.
+
+Each class has an interpolated Kneser-Ney model that makes a word in two steps,
+first its leading bytes (a stem), then the word after the stem. Counts are
+continuation counts: the distinct words that an item follows. Both classes back
+off to continuation counts shared by them, so that an expression which either
+has rarely seen weighs little. A text's score compares the two log-likelihoods,
+normalised by length, on a logistic scale.
 """
 
 from __future__ import annotations
@@ -17,99 +19,108 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm import common, words
 
-DISCOUNT = 0.75
+STEM_BYTES = 4
+CLASS_DISCOUNT = 3.0
+SHARED_DISCOUNT = 0.75
 #: Bounds of the training sample, in rows of one class: for the counts, and for the logistic scale.
-ROWS_PER_CLASS = 2000
-SCALE_ROWS_PER_CLASS = 700
-_START = np.uint64(0x51A7)  # the context of a text's first word
+ROWS_PER_CLASS = 4000
+SCALE_ROWS_PER_CLASS = 1200
+_START = np.uint64(0x51A7)  # what a text's first word follows
 
 
 @dataclass
 class Model:
-    """Sorted names with, for each class (ordinary, toxic), what the score needs; a and b are the logistic scale."""
-    word: np.ndarray          # names of known words
-    unigram: np.ndarray       # classes x words: log Q(w)
-    unseen: np.ndarray        # classes: log Q of an unknown word
-    context: np.ndarray       # names of known contexts
-    backoff: np.ndarray       # classes x contexts: log weight of Q after the context
-    bigram: np.ndarray        # names of pairs seen in either class
-    seen: np.ndarray          # classes x pairs: log P(w | v)
+    """Log-ratios toxic to ordinary by name: of known stems and words, and of the weight left to unknown ones."""
+    stem: np.ndarray
+    stem_ratio: np.ndarray
+    new_stem_ratio: float
+    word: np.ndarray
+    word_ratio: np.ndarray
+    parent: np.ndarray
+    new_word_ratio: np.ndarray
     slope: float = 1.0
+    by_length: float = 0.0
     offset: float = 0.0
 
-    def margin(self, found: words.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log P(toxic) - log P(ordinary) and number of words of every row."""
-        total = np.diff(found.first)
-        if not len(found.hash):
-            return np.zeros(len(total)), total
-        before = np.concatenate([[_START], found.hash[:-1]])
-        before[found.first[:-1][total > 0]] = _START
-        at, known = words.lookup(self.word, found.hash)
-        gap = self.unigram[1] - self.unigram[0]
-        value = np.where(known, gap[at] if len(gap) else 0.0, self.unseen[1] - self.unseen[0])
-        at, known = words.lookup(self.context, before)
-        gap = self.backoff[1] - self.backoff[0]
-        value += np.where(known, gap[at] if len(gap) else 0.0, 0.0)
-        at, known = words.lookup(self.bigram, words.pair(before, found.hash))
-        gap = self.seen[1] - self.seen[0]
-        if known.any():
-            value[known] = gap[at[known]]
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        return sums[found.first[1:]] - sums[found.first[:-1]], total
-
-    def score(self, found: words.Words) -> np.ndarray:
-        margin, total = self.margin(found)
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin / np.maximum(total, 1) + self.offset, -700, 700)))
-
-
-def estimate(before: np.ndarray, word: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT) -> Model:
-    """The two models from distinct pairs (context name, word name) and their counts, classes x pairs."""
-    vocabulary, w = np.unique(word, return_inverse=True)
-    contexts, v = np.unique(before, return_inverse=True)
-    seen = counts > 0
-    kinds = np.stack([np.bincount(w, s, len(vocabulary)) for s in seen]) if len(w) else np.zeros((2, 0))
-
-    def smooth(n: np.ndarray, lower: np.ndarray | float) -> np.ndarray:
-        total = n.sum()
-        if not total:
-            return np.broadcast_to(lower, n.shape).astype(float)
-        return (np.maximum(n - discount, 0) + discount * (n > 0).sum() * lower) / total
-
-    flat = 1 / (len(vocabulary) + 1)
-    both = kinds.sum(0)
-    shared = smooth(both, flat)
-    rest = discount * (both > 0).sum() / both.sum() * flat if both.sum() else flat
-    unigram = np.stack([smooth(k, shared) for k in kinds])
-    unseen = np.array([discount * (k > 0).sum() / k.sum() * rest if k.sum() else rest for k in kinds])
-    total = np.stack([np.bincount(v, c, len(contexts)) for c in counts]) if len(v) else np.zeros((2, 0))
-    follow = np.stack([np.bincount(v, s, len(contexts)) for s in seen]) if len(v) else np.zeros((2, 0))
-    weight = np.where(total > 0, discount * follow / np.maximum(total, 1), 1.0)
-    joint = weight[:, v] * unigram[:, w] + np.maximum(counts - discount, 0) / np.maximum(total[:, v], 1)
-    name = words.pair(before, word)
-    order = np.argsort(name)
-    return Model(vocabulary, np.log(unigram), np.log(unseen), contexts, np.log(weight), name[order],
-                 np.log(joint)[:, order])
-
-
-def scale(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through labelled margins, each class with half of the weight."""
+    def ratios(self, stem: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        def pick(table, values, names, rest):
+            at, known = words.lookup(table, names)
+            return np.where(known, values[at], rest) if len(table) else np.broadcast_to(rest, len(names))
+
+        left = pick(self.parent, self.new_word_ratio, stem, 0.0)
+        return pick(self.stem, self.stem_ratio, stem, self.new_stem_ratio) + pick(
+            self.word, self.word_ratio, word, left)
+
+    def score(self, margin: np.ndarray, total: np.ndarray) -> np.ndarray:
+        scaled = self.slope * margin + self.by_length * np.sqrt(total) + self.offset
+        return 1 / (1 + np.exp(-np.clip(scaled, -700, 700)))
+
+
+def margins(ratio: np.ndarray, found: words.Words) -> np.ndarray:
+    """Summed log-ratio of every row over the square root of its length, the row's median ratio taken off each word.
+
+    The median is what the usual words of the row's language and topic have; the
+    root gives the sum the same spread at every length. No word: 0.
+    """
+    total = np.diff(found.first)
+    ordered = ratio[np.lexsort((ratio, found.row))]
+    middle = found.first[:-1] + total // 2
+    filled = total > 0
+    median = np.zeros(len(total))
+    median[filled] = ordered[middle[filled]]
+    sums = np.concatenate([[0.0], np.cumsum(ratio)])
+    return (sums[found.first[1:]] - sums[found.first[:-1]] - total * median) / np.sqrt(np.maximum(total, 1))
+
+
+def _ratios(item: np.ndarray, parent: np.ndarray, counts: np.ndarray):
+    """Names and log-ratios of items, then of the weight left after each parent, from classes x items counts."""
+    parents, at = np.unique(parent, return_inverse=True)
+    by_parent = lambda values: np.stack([np.bincount(at, v, len(parents)) for v in np.atleast_2d(values)])
+    cut = np.minimum(counts, CLASS_DISCOUNT)
+    total, lost = by_parent(counts), by_parent(cut)
+    both = counts.sum(0)
+    pooled, kinds = by_parent(both)[0], by_parent(both > 0)[0]
+    shared = (both - SHARED_DISCOUNT + SHARED_DISCOUNT * (kinds / (kinds + 1))[at]) / pooled[at]
+    weight = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
+    p = (counts - cut) / np.maximum(total[:, at], 1) + weight[:, at] * shared
+    order = np.argsort(item)
+    return item[order], np.log(p[1] / p[0])[order], parents, np.log(weight[1] / weight[0])
+
+
+def estimate(stem: np.ndarray, word: np.ndarray, counts: np.ndarray) -> Model:
+    """The model from distinct words, their stems, and their continuation counts (ordinary, toxic) x words."""
+    if not len(word):
+        none, flat = np.zeros(0, np.uint64), np.zeros(0)
+        return Model(none, flat, 0.0, none, flat, none, flat)
+    stems, at = np.unique(stem, return_inverse=True)
+    by_stem = np.stack([np.bincount(at, c, len(stems)) for c in counts])
+    first, first_ratio, _, left = _ratios(stems, np.zeros(len(stems), np.uint64), by_stem)
+    second, second_ratio, parents, rest = _ratios(word, stem, counts.astype(float))
+    return Model(first, first_ratio, float(left[0]), second, second_ratio, parents, rest)
+
+
+def scale(margin: np.ndarray, total: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
+    """Logistic weights of the margin and of the root of the length, and offset, from labelled rows; each class has
+    half of the weight. The length's weight takes off what an ordinary word adds on average."""
     if toxic.all() or not toxic.any():
-        return 1.0, 0.0
-    spread = value.std() or 1.0
-    x = np.stack([(value - value.mean()) / spread, np.ones(len(value))])
+        return 1.0, 0.0, 0.0
+    values = np.stack([margin, np.sqrt(total)])
+    mean, spread = values.mean(1), values.std(1)
+    spread[spread == 0] = 1.0
+    x = np.concatenate([(values - mean[:, None]) / spread[:, None], np.ones((1, len(margin)))])
     weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
-    beta = np.array([1.0, 0.0])
+    ridge = np.array([1e-2, 1e-2, 1e-9])
+    beta = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(beta @ x, -30, 30)))
-        ridge = 1e-2 * np.array([1.0, 0.0])
-        gradient = x @ (weight * (toxic - p)) - ridge * beta
-        hessian = (x * (weight * p * (1 - p))) @ x.T + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + np.diag(ridge),
+                               x @ (weight * (toxic - p)) - ridge * beta)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    slope = beta[0] / spread
-    return float(slope), float(beta[1] - slope * value.mean())
+    by_margin, by_length = beta[:2] / spread
+    return float(by_margin), float(by_length), float(beta[2] - by_margin * mean[0] - by_length * mean[1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -119,16 +130,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows without id or label are left out; an id with several labels counts as
     toxic if one of them says so. A fixed quarter of the labelled ids, by hash,
-    only sets the logistic scale; up to `rows_per_class` and
-    `scale_rows_per_class` ids of each class, those of least hash, are used.
+    only sets the logistic scale; `rows_per_class` and `scale_rows_per_class` ids
+    of each class, those of least hash, are used, or as many as the rarer class
+    has, so that neither class is smoothed more than the other.
     Without labels of both classes every text scores by the rest (0.5 if none).
     """
     tagged = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     tagged = tagged.where("id is not null and label is not null").groupBy("id").agg(
         F.max((F.col("label") > 0).cast("int")).alias("toxic"))
     tagged = tagged.withColumn("for_scale", F.pmod(F.xxhash64("id", F.lit("scale")), F.lit(4)) == 0)
-    counted = common.bounded_sample(tagged.where(~F.col("for_scale")), "toxic", "id", rows_per_class)
-    scaled = common.bounded_sample(tagged.where("for_scale"), "toxic", "id", scale_rows_per_class)
+    sizes = {(r.for_scale, r.toxic): r["count"] for r in tagged.groupBy("for_scale", "toxic").count().collect()}
+    fewest = lambda part, most: min(most, *(sizes.get((part, kind), most) for kind in (0, 1)))
+    counted = common.bounded_sample(tagged.where(~F.col("for_scale")), "toxic", "id", fewest(False, rows_per_class))
+    scaled = common.bounded_sample(tagged.where("for_scale"), "toxic", "id", fewest(True, scale_rows_per_class))
     chosen = common.materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         counted.unionByName(scaled), "id"))
 
@@ -136,37 +150,36 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         splitter = words.Splitter("alnum", lower=True)
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            kind = batch["toxic"].to_numpy()
+            kind = batch["toxic"].to_numpy() > 0
             for at, texts in words.chunks(batch["text"]):
                 found = splitter.split(texts)
                 if not len(found.hash):
                     continue
                 before = np.concatenate([[_START], found.hash[:-1]])
                 before[found.first[:-1][np.diff(found.first) > 0]] = _START
-                toxic = kind[at + found.row] > 0
-                name, which, back = np.unique(words.pair(before, found.hash), return_index=True, return_inverse=True)
+                toxic = kind[at + found.row]
+                _, which = np.unique(words.pair(before, found.hash) ^ toxic.astype(np.uint64), return_index=True)
                 yield pa.record_batch({
                     "v": before[which].view(np.int64), "w": found.hash[which].view(np.int64),
-                    "ordinary": np.bincount(back, ~toxic, len(name)).astype(np.int64),
-                    "toxic": np.bincount(back, toxic, len(name)).astype(np.int64)})
+                    "stem": splitter.prefixes(found, STEM_BYTES)[which].view(np.int64), "toxic": toxic[which]})
         return work
 
     pairs = common.by_batch(chosen.where(~F.col("for_scale")).select("text", "toxic"),
-                            "v long, w long, ordinary long, toxic long", start)
-    rows = pairs.groupBy("v", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
-    column = lambda name: rows[name].to_numpy()
-    model = estimate(column("v").view(np.uint64), column("w").view(np.uint64),
+                            "v long, w long, stem long, toxic boolean", start).distinct()
+    counts = pairs.groupBy("w", "stem").agg(F.count_if(~F.col("toxic")).alias("ordinary"),
+                                            F.count_if("toxic").alias("toxic")).toArrow()
+    column = lambda name: counts[name].to_numpy()
+    model = estimate(column("stem").view(np.uint64), column("w").view(np.uint64),
                      np.stack([column("ordinary"), column("toxic")]))
     held = score(chosen.where("for_scale"), model, keep=["toxic"]).toArrow()
-    n = held["n_words"].to_numpy()
-    margin = held["margin"].to_numpy() / np.maximum(n, 1)
-    if len(margin):
-        model.slope, model.offset = scale(margin, held["toxic"].to_numpy() > 0)
+    if held.num_rows:
+        model.slope, model.by_length, model.offset = scale(
+            held["margin"].to_numpy(), held["n_words"].to_numpy(), held["toxic"].to_numpy() > 0)
     return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add `score` (0 to 1), `margin` (summed log-likelihood ratio) and `n_words` to every row's columns `keep`.
+    """Add `score` (0 to 1), `margin` (see `margins`) and `n_words` to every row's columns `keep`, or all.
 
     Whole texts are read. A null or empty text has margin 0 and the score of
     that margin. Columns with the names of the new ones are replaced.
@@ -184,9 +197,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for at, texts in words.chunks(batch["_whole_text"]):
                 found = splitter.split(texts)
-                margin, total = model.margin(found)
-                part = batch.slice(at, len(texts))
-                yield pa.record_batch([*part.columns[:-1], model.score(found), margin, total.astype(np.int64)],
+                margin = margins(model.ratios(splitter.prefixes(found, STEM_BYTES), found.hash), found)
+                part, total = batch.slice(at, len(texts)), np.diff(found.first)
+                yield pa.record_batch([*part.columns[:-1], model.score(margin, total), margin, total],
                                       names=[*kept, *new])
         return work
 

@@ -128,6 +128,12 @@ class Splitter:
         name = mix((sums[end] - sums[start]) * self.inverse[start])
         return Words(data, start, end, row, first, name)
 
+    def prefixes(self, words: Words, size: int) -> np.ndarray:
+        """Names of the first `size` bytes of each word; never the name of a whole word."""
+        sums = self._sums(words.data.astype(np.uint64) + np.uint64(1))
+        end = np.minimum(words.start + size, words.end)
+        return mix((sums[end] - sums[words.start]) * self.inverse[words.start] + np.uint64(size))
+
     def windows(self, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and name of every window of `size` consecutive words of one text."""
         n = len(words.hash) - size + 1
