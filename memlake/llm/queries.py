@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import common, decontaminate, langid, substrings, toxicity
+from memlake.llm import common, decontaminate, langid, mixing, substrings, toxicity
 from memlake.llm.common import read
 from memlake.llm.registry import QUERIES, SQL, query
 
@@ -78,3 +78,31 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(read(spark, sf_dir, "documents"), keep=["doc_id"])
     gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_mixing", r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+           FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, CAST(source AS BLOB)) - 1) % 3 + 1 AS weight,
+             3 * source_size AS ceiling FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(ceiling) OVER need, 0) AS BIGINT) AS remaining,
+             CAST(sum(weight) OVER () - coalesce(sum(weight) OVER need, 0) AS BIGINT) AS heavy FROM w
+      WINDOW need AS (ORDER BY ceiling / weight, source IS NULL, CAST(source AS BLOB)
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, remaining * weight > ceiling * heavy AS is_full FROM l),
+v AS (SELECT remaining, heavy FROM f WHERE NOT is_full ORDER BY remaining * 1.0 / heavy DESC, heavy DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN is_full OR v.heavy IS NULL THEN CAST(ceiling AS DOUBLE)
+        ELSE least(CAST(v.remaining AS DOUBLE) / v.heavy * weight, CAST(ceiling AS DOUBLE)) END AS target
+      FROM f LEFT JOIN v ON true),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+             CAST('0x' || md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || '|mix-1')[1:13] AS BIGINT)
+               / 4503599627370496.0 AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r""")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
