@@ -82,7 +82,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where("text is not null and lang is not null and id is not null")
     chosen = common.bounded_sample(labelled.select("id", "lang"), "lang", "id", rows_per_language)
-    sample = labelled.join(chosen.distinct(), ["id", "lang"], "left_semi")
+    if labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sample = labelled.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")  # at most the two bounds' product
 
     def start():
         letter = letters()
@@ -101,9 +103,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < most)
-    found = rows.select("lang", "gram", "rank").limit(MAX_LANGUAGES * most + 1).collect()
-    if len(found) > MAX_LANGUAGES * most:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = rows.select("lang", "gram", "rank").collect()
     languages = sorted({r.lang for r in found})
     place = {lang: i for i, lang in enumerate(languages)}
     keys = np.unique(np.array([r.gram for r in found], np.int64))

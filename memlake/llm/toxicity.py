@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = common.bounded_sample(tagged.where(~F.col("for_scale")), "toxic", "id", fewest(False, rows_per_class))
     scaled = common.bounded_sample(tagged.where("for_scale"), "toxic", "id", fewest(True, scale_rows_per_class))
     chosen = common.materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        counted.unionByName(scaled), "id"))
+        F.broadcast(counted.unionByName(scaled)), "id"))  # at most twice the two bounds together
 
     def start():
         splitter = words.Splitter("alnum", lower=True)
