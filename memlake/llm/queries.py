@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import common, decontaminate, jaccard, langid, mixing, substrings, toxicity
+from memlake.llm import common, decontaminate, jaccard, langid, lines, mixing, substrings, toxicity
 from memlake.llm.common import read
 from memlake.llm.registry import QUERIES, SQL, query
 
@@ -122,3 +122,10 @@ SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(other) AS co
 FROM s JOIN reach USING (doc_id) GROUP BY doc_id""")
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", F.size("removed_lines").cast("bigint").alias("n_removed"),
+                        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
