@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import common, decontaminate, jaccard, langid, lines, mixing, substrings, toxicity
+from memlake.llm import common, decontaminate, jaccard, langid, lines, mixing, neighbours, substrings, toxicity
 from memlake.llm.common import read
 from memlake.llm.registry import QUERIES, SQL, query
 
@@ -129,3 +129,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_lines", F.size("removed_lines").cast("bigint").alias("n_removed"),
                         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
