@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import common, decontaminate, jaccard, langid, lines, mixing, neighbours, substrings, toxicity
+from memlake.llm import common, decontaminate, jaccard, langid, language_model, lines, mixing, neighbours, substrings, toxicity
 from memlake.llm.common import read
 from memlake.llm.registry import QUERIES, SQL, query
 
@@ -135,3 +135,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op8_language_model")
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"), common.held_out("doc_id", 7, 2))
