@@ -20,6 +20,7 @@ from memlake.llm import common, graph, packed, words
 
 SHINGLE = 3
 PERCENT = 90
+BLOCK = 2048  # sets of a group compared in one task
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -105,6 +106,46 @@ def signatures(feature: np.ndarray, first: np.ndarray, percent: int) -> tuple[np
     return np.concatenate(names), np.concatenate(sets), np.concatenate(numbers)
 
 
+def sketch(feature: np.ndarray) -> bytes:
+    """Counts of a set's features by hash, at about half as many places as features (a power of two, 64 at least)."""
+    places = max(64, 1 << int(len(feature)).bit_length() - 1)
+    return np.minimum(np.bincount((words.mix(feature) % np.uint64(places)).astype(np.int64), minlength=places),
+                      255).astype(np.uint8).tobytes()
+
+
+def _compare(percent: int):
+    """Pairs of sets of one group that are in different components and that size and sketch do not rule out."""
+    def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        names, labels, sizes, blocks = (np.array([r[c] for r in rows], np.int64)
+                                        for c in ("class", "label", "n_shingles", "block"))
+        places = min(len(r["sketch"]) for r in rows)
+        table = np.stack([np.frombuffer(r["sketch"], np.uint8).astype(np.int16).reshape(-1, places).sum(0, np.int16)
+                          for r in rows])
+        step = max(1, (1 << 24) // table.size)
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            ok = (labels[part, None] < labels) & ((rows[0]["x"] == rows[0]["y"]) | (blocks[part, None] != blocks))
+            both = sizes[part, None] + sizes
+            ok &= np.minimum(sizes[part, None], sizes) * 100 >= np.maximum(sizes[part, None], sizes) * percent
+            if not ok.any():
+                continue
+            apart = np.abs(table[part, None] - table).sum(2, np.int64)
+            i, j = np.nonzero(ok & (apart * (100 + percent) <= both * (100 - percent)))
+            yield pa.record_batch({"a": names[at + i], "b": names[j]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(held[0][c] != row[c] for c in ("name", "x", "y")):
+                    yield from finish(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from finish(held)
+    return run
+
+
 def _sets(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
     """`keep` columns of every row with `n_shingles` and `class`, the name of its set (null if empty)."""
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("class")).schema
@@ -174,14 +215,15 @@ def _links(candidates: DataFrame, size: int, percent: int) -> DataFrame:
     First each set is compared with the most connected set it shares a signature
     with, then, in groups whose sets are not all connected yet, with the group's
     most connected one, last with every set of a group that it is not connected
-    with. Comparisons left out would join what is joined already.
+    with and that a sketch of both does not rule out; that step works on blocks
+    of a group. Comparisons left out would join what is joined already.
     """
     entries = common.materialize(candidates.select("class", F.explode("signatures").alias("name")))
     groups = entries.groupBy("name").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("who"))
     unlike = groups.where("n > 1").groupBy("n", "who").agg(F.min("name").alias("name"))  # one of each group of sets
     entries = common.materialize(entries.join(unlike.select("name", "n"), "name"))
     weight = entries.groupBy("class").agg(F.sum("n").alias("weight"))
-    entries = common.materialize(entries.select("name", "class").join(weight, "class"))
+    entries = common.materialize(entries.select("name", "class", "n").join(weight, "class"))
     hubs = entries.groupBy("name").agg(F.max(F.struct("weight", "class")).alias("hub"))
     to_hub = entries.join(hubs, "name").where("class <> hub.class")
     tried = to_hub.groupBy("class").agg(F.max("hub").alias("hub")).select(
@@ -197,9 +239,14 @@ def _links(candidates: DataFrame, size: int, percent: int) -> DataFrame:
         if step == "hub":
             pairs = open_.where("label <> hub.label").select(F.col("class").alias("a"), F.col("hub.class").alias("b"))
         else:
-            other = open_.select("name", F.col("class").alias("b"), F.col("label").alias("label_b"))
-            pairs = open_.select("name", F.col("class").alias("a"), "label").join(other, "name").where(
-                "label < label_b").select("a", "b")
+            sets = open_.join(candidates.select("class", "n_shingles", "sketch"), "class")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            dealt = sets.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn(
+                "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            dealt = dealt.select("name", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+                                 "block", "class", "label", "n_shingles", "sketch")
+            pairs = dealt.repartition("name", "x", "y").sortWithinPartitions("name", "x", "y").mapInArrow(
+                _compare(percent), "a long, b long")
         pairs = pairs.distinct()
         links = links.union(_verified(pairs, candidates, size, percent))
     return links
@@ -242,20 +289,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 names, sets, numbers = signatures(feature, first, percent)
                 order = np.lexsort((numbers, sets))
                 names, begin = names[order], np.searchsorted(sets[order], np.arange(len(part) + 1))
-                lists = []
+                lists, sketches = [], []
                 for row in range(len(part)):
                     places = np.unique(np.concatenate([np.frombuffer(p, np.int64)
                                                        for p in batch["places"][at + row].as_py()]))
                     mine = names[begin[row]: begin[row + 1]]
                     lists.append(mine[places].view(np.int64) if own[row] == batch["class"][at + row].as_py() else None)
+                    sketches.append(sketch(feature[first[row]: first[row + 1]]))
                 piece = batch.slice(at, len(part))
                 yield pa.record_batch([piece["class"], piece["n_shingles"], piece["_whole_text"],
-                                       pa.array(lists, pa.list_(pa.int64()))],
-                                      names=["class", "n_shingles", "text", "signatures"])
+                                       pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                                      names=["class", "n_shingles", "text", "signatures", "sketch"])
         return work
 
     candidates = common.by_batch(texts.select("class", "n_shingles", "_whole_text", "places"),
-                                 "class long, n_shingles long, text string, signatures array<long>", start)
+                                 "class long, n_shingles long, text string, signatures array<long>, sketch binary",
+                                 start)
     candidates = common.materialize(candidates.where("signatures is not null").dropDuplicates(["class"]))
     links = _links(candidates, size, percent)
     ids = sizes.select("class", "least")
