@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ENTRIES = 3_000_000  # of a task before they are sorted and sent
@@ -63,8 +64,8 @@ def decided(batch: Batch, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, k
     doc, place = doc[order], place[order]
     cut = np.flatnonzero(np.diff(doc, prepend=-1))
     for low, high in zip(cut, np.append(cut[1:], len(doc))):
-        batch.add(kind=1, id=int(ids[doc[low]]), text_key=int(keys[doc[low]]),
-                  places=np.unique(place[low:high]).astype(np.int64).tobytes())
+        batch.add(kind=1, bucket=-1 - int(keys[doc[low]]) % 4096, id=int(ids[doc[low]]), text_key=int(keys[doc[low]]),
+                  places=np.unique(place[low:high]).astype(np.uint32).tobytes())
 
 
 class Entries:
@@ -153,7 +154,9 @@ def settle(messages: DataFrame, rule: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            done = pa.compute.equal(batch["kind"], 1)
+            yield batch.filter(done).select(["id", "text_key", "places"])
+            for row in batch.filter(pa.compute.invert(done)).to_pylist():
                 if held and held[0]["bucket"] != row["bucket"]:
                     yield from finish(held)
                     held = []
@@ -161,8 +164,7 @@ def settle(messages: DataFrame, rule: str) -> DataFrame:
         if held:
             yield from finish(held)
 
-    sent = messages.where("kind = 0").select("bucket", "names", "docs", "places", "flags")
-    settled = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    # Decided rows go through the same exchange, so that the tasks that made the messages run once.
+    settled = messages.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
         run, "id long, text_key long, places binary")
-    known = messages.where("kind = 1").select("id", "text_key", "places")
-    return settled.unionByName(known).groupBy("id", "text_key").agg(F.collect_list("places").alias("places"))
+    return settled.groupBy("id", "text_key").agg(F.collect_list("places").alias("places"))

@@ -5,8 +5,9 @@ then pairs of a left and a right symbol (a bit of the name tells which), by new
 symbols. Names are hashes of what they stand for, so all tasks of a round name
 the same run or pair alike without exchanging tables. What a round does to a
 symbol depends on its two neighbours alone; a window of words thus knows part of
-its own symbols whatever surrounds it. Its anchor is the first symbol it knows
-on the highest level where it knows one: equal windows have equal anchors.
+its own symbols whatever surrounds it. Its anchor is, among those it knows on
+the highest level where it knows any, the one of most words, ties by hash: equal
+windows have equal anchors, and neighbouring windows mostly share theirs.
 
 Anchors that occur twice anywhere mark the windows that may repeat. Those are
 verified by the name of their whole word sequence, and all but the first
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from memlake.llm import common, packed, words
 
 WINDOW = 20
-_LEVELS = 64
+#: Rounds of runs and pairs. More leave few windows of 20 words with a symbol of their own, fewer leave short symbols.
+ROUNDS = 2
 
 
 def _merge(begin: np.ndarray, name: np.ndarray, join: np.ndarray, made) -> tuple[np.ndarray, np.ndarray]:
@@ -43,41 +45,67 @@ def anchors(found: words.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndar
     if n < size:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     window = np.flatnonzero(found.row[size - 1:] == found.row[: n - size + 1])
-    low, high = window.copy(), window + size
-    anchor, place = found.hash[window].copy(), window.copy()
-    alive = np.arange(len(window))
+    anchor, place = np.zeros(len(window), np.uint64), np.zeros(len(window), np.int64)
     text_start = np.zeros(n + 1, bool)
     text_start[found.first] = True
     begin, name = np.arange(n), found.hash
-    for level in range(2 * _LEVELS):
-        if not len(alive):
-            break
+    alive, low, high = np.arange(len(window)), window, window + size  # known symbols, by the bounds of their words
+
+    def settle(which: np.ndarray, level: int) -> None:
+        """Anchors of these windows from the symbols of this level."""
+        own, at = _strongest(begin, name, n, low[which], high[which])
+        anchor[alive[which]], place[alive[which]] = own ^ np.uint64(level), at
+
+    for level in range(2 * ROUNDS):
         if level % 2 == 0:  # runs
             join = np.concatenate([[False], name[1:] == name[:-1]]) & ~text_start[begin]
-            if join.any():
-                old = name
-                begin, name = _merge(begin, name, join, lambda at, k: words.pair(
-                    old[at], k.astype(np.uint64) + np.uint64(level << 32)))
-            else:  # every boundary stays, yet outside of a window it might not
-                begin, name = begin, name
+            made = _merge(begin, name, join, lambda at, k: words.pair(
+                name[at], k.astype(np.uint64) + np.uint64(level << 32)))
         else:  # pairs of a left and a right symbol
             left = words.mix(name ^ np.uint64(level)) & np.uint64(1) == 0
             join = np.concatenate([[False], left[:-1] & ~left[1:]]) & ~text_start[begin]
-            old = name
-            begin, name = _merge(begin, name, join, lambda at, k: words.pair(old[at], old[at + 1]))
+            made = _merge(begin, name, join, lambda at, k: words.pair(name[at], name[at + 1]))
         stays = np.zeros(n + 1, np.int64)
-        stays[begin] = 1
+        stays[made[0]] = 1
         number = np.cumsum(stays)  # symbols that begin at or before a word
-        bound = np.append(begin, n)
-        up = bound[number[low]]
-        down = bound[number[high - 1] - 1]
+        bound = np.append(made[0], n)
+        up, down = bound[number[low]], bound[number[high - 1] - 1]
         ok = up < down
+        if not ok.all():
+            settle(np.flatnonzero(~ok), level)
         alive, low, high = alive[ok], up[ok], down[ok]
-        anchor[alive] = name[number[low] - 1] ^ np.uint64(level + 1)
-        place[alive] = low
+        begin, name = made
+    settle(np.arange(len(alive)), 2 * ROUNDS)
     return window, anchor, place
 
 
+def _strongest(begin: np.ndarray, name: np.ndarray, n: int, low: np.ndarray, high: np.ndarray
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """Name and first word of the symbol of most words between bounds, ties by hash, then the first."""
+    if not len(low):
+        return np.zeros(0, np.uint64), low
+    stays = np.zeros(n + 1, np.int64)
+    stays[begin] = 1
+    number = np.cumsum(stays)
+    first, last = number[low] - 1, number[high - 1]
+    length = np.minimum(np.diff(np.append(begin, n)), 255).astype(np.uint64)
+    rank = words.mix(name) >> np.uint64(8) | (np.uint64(255) - length) << np.uint64(56)
+    best = [np.arange(len(name))]  # of 1, 2, 4, ... symbols from each on
+    wide = last - first
+    while 2 << (len(best) - 1) <= wide.max():
+        step = 1 << (len(best) - 1)
+        one = best[-1]
+        other = np.append(one[step:], one[len(one) - step:])
+        best.append(np.where(rank[other] < rank[one], other, one))
+    power = np.log2(wide).astype(np.int64)
+    pick = np.empty(len(low), np.int64)
+    for k, table in enumerate(best):
+        some = power == k
+        one, other = table[first[some]], table[last[some] - (1 << k)]
+        pick[some] = np.where(rank[other] < rank[one], other, one)
+    return name[pick], begin[pick]
+
+
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)),
@@ -116,7 +144,9 @@ def _shared_anchors(size: int):
 
 def _numbers(lists: pa.Scalar) -> np.ndarray:
     values = lists.as_py()
-    return np.unique(np.concatenate([np.frombuffer(v, np.int64) for v in values])) if values else np.zeros(0, np.int64)
+    if not values:
+        return np.zeros(0, np.int64)
+    return np.unique(np.concatenate([np.frombuffer(v, np.uint32) for v in values])).astype(np.int64)
 
 
 def _repeated_windows(size: int):
@@ -159,6 +189,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     new = ("n_words", "removed", "kept")
     kept = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
     parts = packed.buckets(docs.sparkSession)
+    # All three passes read all of its columns, so that they share one exchange.
     whole = _input(docs, id_col, text_col).select(*[F.col(c).alias(f"c_{c}") for c in kept], "_id", "_key", "_text")
 
     def bind(run):
@@ -166,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_key = [F.col("_id") == F.col("id"), F.col("_key") == F.col("text_key")]
     shared = packed.settle(whole.mapInArrow(bind(_shared_anchors(size)), packed.SCHEMA), "shared")
-    candidates = whole.join(shared, by_key).select("_id", "_key", "_text", "places")
+    candidates = whole.join(shared, by_key).drop("id", "text_key")
     repeats = packed.settle(candidates.mapInArrow(bind(_repeated_windows(size)), packed.SCHEMA), "later")
     joined = whole.join(repeats, by_key, "left").drop("id", "text_key", "_id", "_key")
     spans = "array<struct<start:bigint,end:bigint>>"
