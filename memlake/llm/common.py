@@ -26,6 +26,14 @@ def bounded_sample(rows: DataFrame, by: str, order: str, most: int) -> DataFrame
     return rows.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= most).drop("_rank")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -41,4 +49,4 @@ def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["bounded_sample", "by_batch", "fold", "held_out", "materialize", "read"]
+__all__ = ["bounded_sample", "by_batch", "fold", "fresh", "held_out", "materialize", "read"]

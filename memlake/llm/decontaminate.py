@@ -160,7 +160,8 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
     new = ("n_words", "spans", "items")
     kept = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
     spans = "array<struct<start:bigint,end:bigint>>"
-    docs = docs.select(*kept, F.col(text_col).alias("_whole_text"), F.lit(0).cast("bigint").alias("n_words"),
+    whole = common.fresh(docs, "_whole_text")
+    docs = docs.select(*kept, F.col(text_col).alias(whole), F.lit(0).cast("bigint").alias("n_words"),
                        F.array().cast(spans).alias("spans"), F.array().cast("array<string>").alias("items"))
     names = docs.columns
     spark = docs.sparkSession
@@ -174,7 +175,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
             splitter, block = words.Splitter("alnum", lower=True), Block(**one.value)
 
             def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                for at, texts in words.chunks(batch["_whole_text"]):
+                for at, texts in words.chunks(batch[whole]):
                     found = splitter.split(texts)
                     part = batch.slice(at, len(texts))
                     row, window, begin = search(found, block, slop)
@@ -193,9 +194,9 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
                     listed = [sorted(hit[r], key=lambda s: s.encode()) if r in hit else part["items"][r].as_py()
                               for r in range(len(part))]
                     yield pa.record_batch([
-                        *(part[c] for c in kept), part["_whole_text"], np.diff(found.first),
+                        *(part[c] for c in kept), part[whole], np.diff(found.first),
                         _spans(found, row, begin, end), pa.array(listed, pa.list_(pa.string()))], names=names)
             return work
 
         docs = common.by_batch(docs, docs.schema, start)
-    return docs.drop("_whole_text")
+    return docs.drop(whole)

@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from memlake.llm.common import materialize
 
 
+def near_labels(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """`node, label`: the least node within two links. Joins stars whole and longer chains in part, in one round."""
+    both = links.select(F.col(left).alias("u"), F.col(right).alias("v"))
+    both = both.union(both.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    seen = both.join(least.withColumnRenamed("u", "v"), "v").select("u", "m").union(least)
+    return seen.groupBy(F.col("u").alias("node")).agg(F.min("m").alias("label"))
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """`node, label` for every node of a link, the label being the least node that links reach.
 

@@ -229,10 +229,16 @@ def _links(candidates: DataFrame, size: int, percent: int) -> DataFrame:
     tried = to_hub.groupBy("class").agg(F.max("hub").alias("hub")).select(
         F.col("class").alias("a"), F.col("hub.class").alias("b"))
     links = _verified(tried, candidates, size, percent)
+    labels = entries.select("class").distinct().withColumn("label", F.col("class"))
+    new = links
     for step in ("hub", "all"):
-        labels = graph.components(links)
-        labelled = entries.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn(
-            "label", F.coalesce("label", "class"))
+        # Labels need not be whole components: sets of one label are connected, and that is all that is left out.
+        ends = new.join(labels.select(F.col("class").alias("a"), F.col("label").alias("x")), "a").join(
+            labels.select(F.col("class").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+        further = graph.near_labels(ends, "x", "y").select(F.col("node").alias("label"), F.col("label").alias("new"))
+        labels = common.materialize(labels.join(further, "label", "left").select(
+            "class", F.coalesce("new", "label").alias("label")))
+        labelled = entries.join(labels, "class")
         mixed = labelled.groupBy("name").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                              F.max(F.struct("weight", "class", "label")).alias("hub"))
         open_ = common.materialize(labelled.join(mixed.where("low <> high"), "name"))
@@ -247,8 +253,8 @@ def _links(candidates: DataFrame, size: int, percent: int) -> DataFrame:
                                  "block", "class", "label", "n_shingles", "sketch")
             pairs = dealt.repartition("name", "x", "y").sortWithinPartitions("name", "x", "y").mapInArrow(
                 _compare(percent), "a long, b long")
-        pairs = pairs.distinct()
-        links = links.union(_verified(pairs, candidates, size, percent))
+        new = _verified(pairs.distinct(), candidates, size, percent)
+        links = links.union(new)
     return links
 
 

@@ -123,7 +123,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
     `score` are replaced.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep is None or c in keep)]
-    docs = docs.select(*kept, F.col(text_col).alias("_whole_text"))
+    whole = common.fresh(docs, "_whole_text")
+    docs = docs.select(*kept, F.col(text_col).alias(whole))
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     model = docs.sparkSession.sparkContext.broadcast(vars(profiles))
 
@@ -133,7 +134,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             lang = np.full(batch.num_rows, UNDETERMINED, object)
             score = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch["_whole_text"]):
+            for i, text in enumerate(batch[whole]):
                 keys = grams(text.as_py() or "", letter)
                 if len(keys) and profiles.languages:
                     away = profiles.distances(top(keys, profiles.most))

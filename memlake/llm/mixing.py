@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from memlake.llm import common
+
 MOST_REPEATS = 3
 SEED = "mix-1"
 
@@ -63,13 +65,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     an empty one. Columns named as the new ones are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumns({"size": n_words(text_col), "_source": F.col(source_col).cast("string")})
-    sizes = sized.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumnRenamed("_source", "source")
-    goals = targets(sizes, most).select(F.col("source").alias("_name"), "source_size", "target")
+    source, name = common.fresh(docs, "_source"), common.fresh(docs, "_name")
+    sized = docs.withColumns({"size": n_words(text_col), source: F.col(source_col).cast("string")})
+    sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    goals = targets(sizes, most).select(F.col("source").alias(name), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(rate) + (uniform(id_col, seed) < rate - F.floor(rate)).cast("long")
-    return sized.join(goals, sized["_source"].eqNullSafe(goals["_name"])).withColumn("copies", copies).drop(
-        "_source", "_name")
+    return sized.join(goals, F.col(source).eqNullSafe(F.col(name))).withColumn("copies", copies).drop(
+        source, name)
 
 
 def emit(planned: DataFrame) -> DataFrame:

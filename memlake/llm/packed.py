@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ENTRIES = 3_000_000  # of a task before they are sorted and sent
+ENTRIES = 2_000_000  # of a task before they are sorted and sent
 #: `kind` 0: arrays for a bucket; 1: places of a document that are decided.
 SCHEMA = "kind int, bucket int, id long, text_key long, names binary, docs binary, places binary, flags binary"
 _FIELDS = ["kind", "bucket", "id", "text_key", "names", "docs", "places", "flags"]

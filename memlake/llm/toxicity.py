@@ -186,7 +186,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """
     new = ("score", "margin", "n_words")
     kept = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
-    docs = docs.select(*kept, F.col(text_col).alias("_whole_text"))
+    whole = common.fresh(docs, "_whole_text")
+    docs = docs.select(*kept, F.col(text_col).alias(whole))
     schema = docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"),
                          F.lit(0).cast("long").alias("n_words")).schema
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         splitter, model = words.Splitter("alnum", lower=True), Model(**shared.value)
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for at, texts in words.chunks(batch["_whole_text"]):
+            for at, texts in words.chunks(batch[whole]):
                 found = splitter.split(texts)
                 margin = margins(model.ratios(splitter.prefixes(found, STEM_BYTES), found.hash), found)
                 part, total = batch.slice(at, len(texts)), np.diff(found.first)
