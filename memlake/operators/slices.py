@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from memlake.functions.text import middle_trim
 from memlake.operators.prefix import id_bucket, running
 
 MIN_LINE = 4  # "[x] ", the shortest possible line head
@@ -64,36 +66,38 @@ def stride_downsample(turns: DataFrame, budget: int) -> DataFrame:
             .select(turns.columns))
 
 
-def _cut_middle(text: str, target: int) -> str:
-    if len(text) <= target:
-        return text
-    if target <= 8:
-        return text[:target]
-    head = int((target - 3) * 0.6)
-    return text[:head] + "..." + text[len(text) - (target - 3 - head):]
-
-
 def compress_longest(turns: DataFrame, budget: int) -> DataFrame:
     """Shorten the longest content again and again until the slice fits.
 
     Needs `slice_id`, `pos`, `content`, `line_length`. Meant for what
-    `stride_downsample` leaves over budget, which is two turns per slice; each
-    grouped task sees one such slice.
+    `stride_downsample` leaves over budget, which is two turns per slice: these
+    are gathered and shortened in one expression. Each step takes SHRINK of the
+    longest content, so the number of steps grows with the logarithm of lengths.
     """
-    def shrink(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", ignore_index=True)
-        texts = list(group["content"])
-        head = int(group["line_length"].sum()) - sum(map(len, texts))
-        while head + sum(map(len, texts)) > budget:
-            longest = max(range(len(texts)), key=lambda i: len(texts[i]))
-            size = len(texts[longest])
-            if size <= FLOOR:
-                break
-            texts[longest] = _cut_middle(texts[longest], max(FLOOR, int(size * SHRINK)))
-        group["line_length"] += pd.Series(map(len, texts)) - group["content"].map(len)
-        return group.assign(content=texts)
-
-    return turns.groupBy("slice_id").applyInPandas(shrink, schema=turns.schema)
+    heads = turns.groupBy("slice_id").agg(
+        F.sum(F.col("line_length") - F.length("content")).alias("_head"),
+        F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("_turns"))
+    sizes = lambda texts: F.transform(texts, F.length)
+    total = lambda texts: F.aggregate(sizes(texts), F.lit(0).cast("bigint"), lambda n, size: n + size)
+    texts = F.transform("_turns", lambda t: t["content"])
+    most = F.aggregate(sizes(texts), F.lit(0), lambda n, size: n + F.ceil(
+        F.log(F.greatest(size, F.lit(1)).cast("double")) / -math.log(SHRINK)).cast("int") + 1)
+
+    def step(texts: Column, _: Column) -> Column:
+        longest = F.array_max(sizes(texts))
+        target = F.greatest(F.lit(FLOOR), F.floor(longest * F.lit(SHRINK)).cast("int"))
+        at = F.array_position(sizes(texts), longest)
+        shorter = F.transform(texts, lambda t, i: F.when(i + 1 == at, middle_trim(t, target)).otherwise(t))
+        return F.when((F.col("_head") + total(texts) > budget) & (longest > FLOOR), shorter).otherwise(texts)
+
+    cut = heads.select("slice_id", F.explode(F.arrays_zip(
+        F.transform("_turns", lambda t: t["pos"]).alias("pos"),
+        F.aggregate(F.sequence(F.lit(1), most), texts, step).alias("content"))).alias("_cut"))
+    cut = cut.select("slice_id", "_cut.pos", F.col("_cut.content").alias("_content"))
+    length = F.col("line_length") - F.length("content") + F.length("_content")
+    joined = turns.join(cut, ["slice_id", "pos"])
+    return joined.select(*[
+        {"content": F.col("_content"), "line_length": length}.get(c, F.col(c)).alias(c) for c in turns.columns])
 
 
 def line_length(role: Column, hhmm: Column, content: Column) -> Column:

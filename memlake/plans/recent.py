@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions import scores as sc, text as tx
@@ -51,66 +50,71 @@ def recent_days(agents: DataFrame, l1_days: DataFrame, days: int = DEFAULTS.rece
     return joined.withColumn("missing", F.col("_found").isNull()).drop("_found")
 
 
-def _fit(text: str, room: int) -> str:
-    if len(text) <= room:
-        return text
-    return "…"[:room] if room <= 1 else text[:room - 1].rstrip() + "…"
+def _shortened(text: Column, room: Column) -> Column:
+    """A text in at most `room` characters, with an ellipsis for what is missing."""
+    head = F.regexp_replace(F.left(text, room - 1), r"(?U)\s+$", "")
+    return (F.when(F.length(text) <= room, text).when(room > 1, F.concat(head, F.lit("…")))
+            .otherwise(F.left(F.lit("…"), room)))
 
 
-class _Page:
-    """Lines under a character limit."""
+def _lines(days: Column) -> Column:
+    """All lines of a page as (kind, text), days newest first."""
+    def line(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
-    def __init__(self, limit: int):
-        self.limit, self.text = limit, ""
+    def about(day: Column) -> Column:
+        return F.when(day["summary"] == "", F.lit(NO_SUMMARY)).otherwise(day["summary"])
 
-    def add(self, line: str) -> bool:
-        longer = f"{self.text}\n{line}" if self.text else line
-        if len(longer) > self.limit:
-            return False
-        self.text = longer
-        return True
+    def details(day: Column) -> Column:
+        head = F.array(line("detail", F.concat(F.lit("["), day["date"], F.lit("]"))),
+                       line("summary", F.concat(F.lit(SUMMARY_LABEL), about(day))))
+        parts = [F.when(F.size(day[name]) > 0, F.concat(
+            F.array(line("detail", F.lit(label))),
+            F.transform(day[name], lambda t: line("detail", F.concat(F.lit("- "), t)))))
+            .otherwise(F.array().cast("array<struct<kind:string,text:string>>")) for name, label in SECTION_LABELS.items()]
+        return F.concat(head, *parts)
 
-    def add_all(self, lines) -> bool:
-        return all(self.add(line) for line in lines)
+    overview = F.transform(days, lambda d: line("overview", F.concat(F.lit("- "), d["date"], F.lit(": "), about(d))))
+    return F.concat(F.array(line("title", F.lit(OVERVIEW))), overview, F.flatten(F.transform(days, details)))
 
 
-def _render(days: pd.DataFrame, limit: int) -> str:
-    page = _Page(limit)
-    if not page.add(OVERVIEW):
-        return _fit(OVERVIEW, limit)
-    page.add_all(f"- {day.memory_date}: {day.summary or NO_SUMMARY}" for day in days.itertuples())
-    for day in days.itertuples():
-        summary = SUMMARY_LABEL + (day.summary or NO_SUMMARY)
-        if not page.add(f"[{day.memory_date}]"):
-            break
-        if not page.add(summary):
-            room = limit - len(page.text) - 1
-            if room > 0:
-                page.text += "\n" + _fit(summary, room)
-            break
-        sections = [(label, getattr(day, name)) for name, label in SECTION_LABELS.items()]
-        if not all(page.add(label) and page.add_all(f"- {line}" for line in lines)
-                   for label, lines in sections if len(lines)):
-            break
-    return page.text.strip()
+def _page(lines: Column, limit: int) -> Column:
+    """Lines that fit into `limit` characters.
+
+    The overview and the details each end at their first line that does not fit;
+    a title that does not fit ends the page. Of a title or a summary that does
+    not fit, its beginning is shown.
+    """
+    def add(page: Column, line: Column) -> Column:
+        empty = page["text"] == ""
+        longer = F.when(empty, line["text"]).otherwise(F.concat_ws("\n", page["text"], line["text"]))
+        room = F.when(empty, F.lit(limit)).otherwise(F.lit(limit - 1) - F.length(page["text"]))
+        listed = line["kind"] == "overview"
+        closed = F.when(listed, page["listed"]).otherwise(page["done"])
+        fits = F.length(longer) <= limit
+        short = _shortened(line["text"], room)
+        partly = line["kind"].isin("title", "summary") & (room > 0)
+        text = (F.when(closed, page["text"]).when(fits, longer)
+                .when(partly, F.when(empty, short).otherwise(F.concat_ws("\n", page["text"], short))).otherwise(page["text"]))
+        ended = ~closed & ~fits
+        return F.struct(text.alias("text"),
+                        (page["listed"] | ended & (listed | (line["kind"] == "title"))).alias("listed"),
+                        (page["done"] | ended & ~listed).alias("done"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("listed"), F.lit(False).alias("done"))
+    return F.aggregate(lines, start, add, lambda page: tx.strip(page["text"]))
 
 
 def recall_recent(agents: DataFrame, l1_days: DataFrame, days: int = DEFAULTS.recent_days,
                   settings: Settings = DEFAULTS) -> DataFrame:
-    """Recent view per agent: text, found and missing dates.
-
-    A group of the Python step is one agent's `days` rows, set by the caller.
-    """
+    """Recent view per agent: text, found and missing dates. An agent has `days` rows, set by the caller."""
     view = recent_days(agents, l1_days, days)
-    limit = max(1, settings.max_chars)
-
-    def render(group: pd.DataFrame) -> pd.DataFrame:
-        found = group[~group["missing"]].sort_values("offset")
-        return pd.DataFrame({
-            "agent_id": [group["agent_id"].iat[0]],
-            "found_dates": [sorted(found["memory_date"], reverse=True)],
-            "missing_dates": [sorted(group.loc[group["missing"], "memory_date"], reverse=True)],
-            "assembled_text": [_render(found, limit)]})
-
-    return view.drop("today").groupBy("agent_id").applyInPandas(
-        render, "agent_id string, found_dates array<date>, missing_dates array<date>, assembled_text string")
+    day = F.struct("offset", F.col("memory_date").alias("day"), F.col("memory_date").cast("string").alias("date"), "summary",
+                   *SECTION_LABELS, "missing")
+    grouped = view.groupBy("agent_id").agg(F.array_sort(F.collect_list(day)).alias("_days"))
+    found = F.filter("_days", lambda d: ~d["missing"])
+    dates = lambda days: F.sort_array(F.transform(days, lambda d: d["day"]), asc=False)
+    return grouped.select(
+        "agent_id", dates(found).alias("found_dates"),
+        dates(F.filter("_days", lambda d: d["missing"])).alias("missing_dates"),
+        _page(_lines(found), max(1, settings.max_chars)).alias("assembled_text"))
