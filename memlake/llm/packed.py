@@ -68,6 +68,26 @@ def decided(batch: Batch, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, k
                   places=np.unique(place[low:high]).astype(np.uint32).tobytes())
 
 
+def _width(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _pack_names(names: np.ndarray, rule: str) -> bytes:
+    """Names as bytes. Where `shared` is all that is asked, the upper 40 bits do: two names that look alike are told
+    to be shared, which callers verify."""
+    if rule != "shared":
+        return names.tobytes()
+    return np.ascontiguousarray((names >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack_names(data: bytes, rule: str) -> np.ndarray:
+    if rule != "shared":
+        return np.frombuffer(data, np.uint64)
+    names = np.zeros((len(data) // 5, 8), np.uint8)
+    names[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return names.view(np.uint64).ravel()
+
+
 class Entries:
     """Collects a task's entries; `rule` tells which are decided and which are sent."""
 
@@ -114,9 +134,9 @@ class Entries:
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for low, high in zip(cut, np.append(cut[1:], len(bucket))):
             used, short = np.unique(doc[at[low:high]], return_inverse=True)
-            batch.add(kind=0, bucket=int(bucket[low]), names=names[at[low:high]].tobytes(),
+            batch.add(kind=0, bucket=int(bucket[low]), names=_pack_names(names[at[low:high]], self.rule),
                       docs=np.stack([ids[used], keys[used]]).tobytes(),
-                      places=np.stack([short, place[at[low:high]]]).astype(np.uint32).tobytes(),
+                      places=place[at[low:high]].astype(np.uint32).tobytes() + short.astype(_width(len(used))).tobytes(),
                       flags=np.packbits(several[low:high]).tobytes())
         yield batch.done()
 
@@ -127,14 +147,15 @@ def settle(messages: DataFrame, rule: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        names = np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows])
+        names = [_unpack_names(r["names"], rule) for r in rows]
         docs = [np.frombuffer(r["docs"], np.int64).reshape(2, -1) for r in rows]
-        places = [np.frombuffer(r["places"], np.uint32).reshape(2, -1).astype(np.int64) for r in rows]
-        flags = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8))[: p.shape[1]]
-                                for r, p in zip(rows, places)]).astype(bool)
         offset = np.cumsum([0, *(d.shape[1] for d in docs)])
-        doc = np.concatenate([p[0] + o for p, o in zip(places, offset)])
-        place = np.concatenate([p[1] for p in places])
+        place = np.concatenate([np.frombuffer(r["places"], np.uint32, len(n)) for r, n in zip(rows, names)]).astype(np.int64)
+        doc = np.concatenate([np.frombuffer(r["places"], _width(d.shape[1]), len(n), 4 * len(n)).astype(np.int64) + o
+                              for r, n, d, o in zip(rows, names, docs, offset)])
+        flags = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8))[: len(n)]
+                                for r, n in zip(rows, names)]).astype(bool)
+        names = np.concatenate(names)
         ids, keys = np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs])
         ids, keys, number = dense(ids, keys)
         doc = number[doc]

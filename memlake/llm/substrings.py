@@ -6,8 +6,9 @@ symbols. Names are hashes of what they stand for, so all tasks of a round name
 the same run or pair alike without exchanging tables. What a round does to a
 symbol depends on its two neighbours alone; a window of words thus knows part of
 its own symbols whatever surrounds it. Its anchor is, among those it knows on
-the highest level where it knows any, the one of most words, ties by hash: equal
-windows have equal anchors, and neighbouring windows mostly share theirs.
+the highest level where it knows any, the one of most bytes, ties by hash: equal
+windows have equal anchors, neighbouring windows mostly share theirs, and long
+symbols seldom repeat by chance.
 
 Anchors that occur twice anywhere mark the windows that may repeat. Those are
 verified by the name of their whole word sequence, and all but the first
@@ -51,9 +52,11 @@ def anchors(found: words.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndar
     begin, name = np.arange(n), found.hash
     alive, low, high = np.arange(len(window)), window, window + size  # known symbols, by the bounds of their words
 
+    size_before = np.concatenate([[0], np.cumsum(found.end - found.start)])  # bytes of all words before each
+
     def settle(which: np.ndarray, level: int) -> None:
         """Anchors of these windows from the symbols of this level."""
-        own, at = _strongest(begin, name, n, low[which], high[which])
+        own, at = _strongest(begin, name, size_before, low[which], high[which])
         anchor[alive[which]], place[alive[which]] = own ^ np.uint64(level), at
 
     for level in range(2 * ROUNDS):
@@ -79,17 +82,18 @@ def anchors(found: words.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return window, anchor, place
 
 
-def _strongest(begin: np.ndarray, name: np.ndarray, n: int, low: np.ndarray, high: np.ndarray
+def _strongest(begin: np.ndarray, name: np.ndarray, size_before: np.ndarray, low: np.ndarray, high: np.ndarray
                ) -> tuple[np.ndarray, np.ndarray]:
-    """Name and first word of the symbol of most words between bounds, ties by hash, then the first."""
+    """Name and first word of the symbol of most bytes between bounds, ties by hash, then the first."""
+    n = len(size_before) - 1
     if not len(low):
         return np.zeros(0, np.uint64), low
     stays = np.zeros(n + 1, np.int64)
     stays[begin] = 1
     number = np.cumsum(stays)
     first, last = number[low] - 1, number[high - 1]
-    length = np.minimum(np.diff(np.append(begin, n)), 255).astype(np.uint64)
-    rank = words.mix(name) >> np.uint64(8) | (np.uint64(255) - length) << np.uint64(56)
+    size = np.minimum(size_before[np.append(begin[1:], n)] - size_before[begin], 65535).astype(np.uint64)
+    rank = words.mix(name) >> np.uint64(16) | (np.uint64(65535) - size) << np.uint64(48)
     best = [np.arange(len(name))]  # of 1, 2, 4, ... symbols from each on
     wide = last - first
     while 2 << (len(best) - 1) <= wide.max():
