@@ -140,9 +140,16 @@ def week_view(spark, sf):
 
 @query("shallow_rollup", f"""
 SELECT a.agent_id, '{WEEK}' AS time_key, '2024-01-22' AS window_date_start, '2024-01-28' AS window_date_end, n IS NULL AS no_l1_files,
-       coalesce(n, 0) AS topics, CASE WHEN n IS NULL THEN '本周无可用 surface L1 文件，不生成周级语义摘要。' ELSE left(texts, 200) END AS summary
+       coalesce(n, 0) AS topics, CASE WHEN n IS NULL THEN '本周无可用 surface L1 文件，不生成周级语义摘要。' ELSE texts END AS summary
 FROM (SELECT DISTINCT agent_id FROM fx_days) a LEFT JOIN (
-  SELECT agent_id, count(DISTINCT (kind, last_text)) AS n, string_agg(first_text, '；' ORDER BY memory_date) AS texts FROM fx_l1 WHERE {_WEEK_DAY} GROUP BY agent_id) w USING (agent_id)""", ("fx_l1",))
+  SELECT agent_id, count(DISTINCT (kind, last_text)) AS n FROM fx_l1 WHERE {_WEEK_DAY} GROUP BY agent_id) w USING (agent_id) LEFT JOIN (
+  -- The latest texts that fit into 200 characters together; of a longer last one its whole sentences.
+  SELECT agent_id, CASE WHEN max(len_) FILTER (back = 1) <= 200 THEN string_agg(s, '；' ORDER BY back DESC) FILTER (used <= 200)
+      ELSE coalesce(nullif(regexp_extract(left(max(s) FILTER (back = 1), 200), '(?s)^(.*[.!?。！？；])', 1), ''), left(max(s) FILTER (back = 1), 200)) END AS texts
+  FROM (SELECT *, sum(len_ + CASE WHEN back = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY agent_id ORDER BY back) AS used FROM (
+    SELECT agent_id, s, length(s) AS len_, row_number() OVER (PARTITION BY agent_id ORDER BY seen DESC) AS back FROM (
+      SELECT agent_id, first_text AS s, min(memory_date) AS seen FROM fx_l1 WHERE {_WEEK_DAY} AND first_text <> '' GROUP BY ALL)))
+  GROUP BY agent_id) t USING (agent_id)""", ("fx_l1",))
 def shallow_rollup(spark, sf):
     rolled = decay.shallow_rollup(fx.days(spark, sf), fx.l1_days(spark, sf), "2024-W07")
     return rolled.select("agent_id", "time_key", F.col("window_date_start").cast("string").alias("window_date_start"),

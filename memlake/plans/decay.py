@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from memlake.functions import timeaxis, text as tx
+from memlake.functions import let, timeaxis, text as tx
 from memlake.operators.landmarks import analyze_counts, judge
 from memlake.operators.merging import prune
 from memlake.plans.preserve import mark_status
@@ -14,8 +14,9 @@ DAY = ["agent_id", "memory_date"]
 
 # --- fixed values --------------------------------------------------------------------
 EMPTY_WEEK_SUMMARY = "本周无可用 surface L1 文件，不生成周级语义摘要。"
-MERGE_LIMITS = {"tags": 10, "topics": 8, "decisions": 12, "todos": 12, "key_items": 12, "emotional_peaks": 12,
-                "summary": 200, "mood": 20}
+# Limits of a rollup: counts of the lists, characters of the mood and of the summary of a week and of a window.
+MERGE_LIMITS = {"tags": 12, "topics": 20, "decisions": 20, "todos": 15, "key_items": 20, "emotional_peaks": 15, "mood": 40}
+SUMMARY_LIMITS = {"shallow": 200, "deep": 240}
 # ---------------------------------------------------------------------------------------
 
 
@@ -79,18 +80,49 @@ def week_view(l1_days: DataFrame) -> DataFrame:
     )).alias("periods"))
 
 
-def merge_periods(periods: Column) -> dict[str, Column]:
-    """Merge the summaries of consecutive periods into one: deduplicated, earlier first, limited."""
-    def gather(name: str) -> Column:
+def _latest_texts(parts: Column, limit: int) -> Column:
+    """The latest of some texts that fit into `limit` characters together, in order.
+
+    If the last alone is too long, its beginning up to the last sentence end
+    inside the limit, or cut at the limit where it has none.
+    """
+    kept = F.aggregate(F.reverse(parts), F.struct(F.lit("").alias("text"), F.lit(False).alias("full")), lambda got, part: F.struct(
+        F.when(got["text"] == "", F.when(F.length(part) <= limit, part).otherwise(""))
+         .when(~got["full"] & (F.length(got["text"]) + F.length(part) + 1 <= limit), F.concat_ws("；", part, got["text"]))
+         .otherwise(got["text"]).alias("text"),
+        (got["full"] | (F.length(got["text"]) + F.length(part) + F.when(got["text"] == "", 0).otherwise(1) > limit)).alias("full")),
+        lambda got: got["text"])
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    head = F.left(last, F.lit(limit))
+    whole = F.regexp_extract(head, r"(?s)^(.*[.!?。！？；])", 1)
+    return F.when(F.length(last) <= limit, kept).when(whole != "", whole).otherwise(head)
+
+
+def merge_periods(periods: Column, depth: str = "shallow") -> dict[str, Column]:
+    """Merge the summaries of consecutive periods into one.
+
+    Lists are deduplicated and kept in order; beyond a limit the latest entries
+    stay. `dropped` counts what the limits left out, texts included.
+    """
+    def gathered(name: str) -> Column:
         flat = F.flatten(F.transform(F.filter(periods, lambda p: p[name].isNotNull()), lambda p: p[name]))
-        return F.slice(F.array_distinct(flat), 1, MERGE_LIMITS[name])
+        return F.reverse(F.array_distinct(F.reverse(flat)))  # of repeated entries the latest
 
-    def joined(name: str) -> Column:
-        parts = F.array_distinct(F.filter(F.transform(periods, lambda p: p[name]), lambda v: v != ""))
-        return F.left(F.array_join(parts, "；"), F.lit(MERGE_LIMITS[name]))
+    def latest(name: str) -> Column:
+        return let(gathered(name), lambda all_: F.slice(
+            all_, F.greatest(F.size(all_) - MERGE_LIMITS[name], F.lit(0)) + 1, MERGE_LIMITS[name]))
 
-    return {"mood": joined("mood"), "summary": joined("summary"),
-            **{name: gather(name) for name in ("tags", "topics", "decisions", "todos", "key_items", "emotional_peaks")}}
+    def texts(name: str) -> Column:
+        return F.array_distinct(F.filter(F.transform(periods, lambda p: p[name]), lambda v: v != ""))
+
+    lists = ("tags", "topics", "decisions", "todos", "key_items", "emotional_peaks")
+    dropped = sum((F.greatest(F.size(gathered(name)) - MERGE_LIMITS[name], F.lit(0)) for name in lists), F.lit(0))
+    for name, limit in (("mood", MERGE_LIMITS["mood"]), ("summary", SUMMARY_LIMITS[depth])):
+        long = F.length(F.array_join(texts(name), "；")) > limit
+        dropped = dropped + F.when(long, 1).otherwise(0)
+    return {"mood": let(texts("mood"), lambda t: _latest_texts(t, MERGE_LIMITS["mood"])),
+            "summary": let(texts("summary"), lambda t: _latest_texts(t, SUMMARY_LIMITS[depth])),
+            **{name: latest(name) for name in lists}, "dropped": dropped.cast("bigint")}
 
 
 def shallow_rollup(agents: DataFrame, l1_days: DataFrame, week: str, settings: Settings = DEFAULTS,
@@ -109,7 +141,7 @@ def shallow_rollup(agents: DataFrame, l1_days: DataFrame, week: str, settings: S
     return joined.select(
         "agent_id", F.lit("shallow").alias("depth"), source.alias("time_key"), start.alias("window_date_start"),
         F.date_add(start, 6).alias("window_date_end"), F.array().cast("array<string>").alias("source_weeks"),
-        *fields, (~has).alias("no_l1_files"))
+        *fields, F.when(has, merged["dropped"]).otherwise(0).cast("bigint").alias("dropped"), (~has).alias("no_l1_files"))
 
 
 def rollup_index_rows(rollups: DataFrame) -> DataFrame:
@@ -197,11 +229,11 @@ def deep_rollup(rollups: DataFrame, registered: DataFrame, settings: Settings =
     """Multi-week rollup rows of all agents that have enough registered weeks."""
     weeks = earliest_weeks(registered, settings.deep_weeks)
     joined = deep_windows(weeks).join(window_view(rollups, weeks), "agent_id")
-    merged = merge_periods(F.col("periods"))
+    merged = merge_periods(F.col("periods"), "deep")
     return joined.select(
         "agent_id", F.lit("deep").alias("depth"), "time_key", "window_date_start", "window_date_end", "source_weeks",
         *[merged[n].alias(n) for n in ("mood", "summary", "tags", "topics", "decisions", "todos", "key_items",
-                                       "emotional_peaks")], F.lit(False).alias("no_l1_files"))
+                                       "emotional_peaks", "dropped")], F.lit(False).alias("no_l1_files"))
 
 
 def deep_delete_set(deep: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ CHUNK = [*DAY, "chunk_id"]
 # --- fixed values ---------------------------------------------------------------------
 LOW_SIGNAL_MAX_TURNS = 8
 LOW_SIGNAL_SUMMARY = "当天有对话，但缺乏可沉淀的实质内容，不生成正式记忆。"
-# limits of one day summary
+# Limits of one day summary: characters of a text, and counts of topics and tags. Decisions, todos, key items, peaks and
+# source turns have no count limit.
 LIMITS = {"topics": 8, "topic_name": 20, "topic_detail": 120, "decisions": 100, "todos": 100, "summary": 120,
           "key_item": 150, "tags": 10, "mood": 20, "peak": 100}
 # -----------------------------------------------------------------------------------------
@@ -137,26 +138,30 @@ def low_signal_context(fragments: DataFrame) -> DataFrame:
 def infer_reduce(found: DataFrame, context: DataFrame) -> DataFrame:
     """Merge chunk findings into one valid summary per day.
 
-    Findings are deduplicated by kind and text with partial aggregation, each
-    kind keeps its best few rows per day (a top-k that Spark cuts per task before
-    the shuffle), and only those bounded remains are gathered into arrays.
+    Findings are deduplicated by kind and text with partial aggregation. Topics
+    and the summary keep their best few rows per day (a top-k that Spark cuts per
+    task before the shuffle); decisions, todos, key items and peaks are all kept,
+    as trimming later deletes every turn that no finding points to.
     """
     name = F.when(F.col("kind") == "topic", F.substring_index("value", "\n", 1)).otherwise(F.col("value"))
     merged = found.groupBy(*DAY, "kind", name.alias("name")).agg(
         F.sum("weight").alias("weight"), F.max("weight").alias("highest"),
         F.min(F.struct("place", "turn_index", "value")).alias("_f"))
     family = F.when(F.col("kind").startswith("item:"), "item").otherwise(F.col("kind"))
-    best = top_k(merged.withColumn("family", family), [*DAY, "family"],
+    merged = merged.withColumn("family", family)
+    ranked = F.col("kind").isin("topic", "summary")
+    best = top_k(merged.where(ranked), [*DAY, "family"],
                  [F.desc("weight"), F.col("_f.place"), F.col("kind"), F.col("name")], LIMITS["tags"])
-    item = F.struct("rank", "kind", "name", "highest", F.col("_f.value").alias("value"),
-                    F.col("_f.turn_index").alias("turn"))
+    best = best.drop("rank").unionByName(merged.where(~ranked))
+    item = F.struct((-F.col("weight")).alias("order"), F.col("_f.place").alias("place"), "kind", "name", "highest",
+                    F.col("_f.value").alias("value"), F.col("_f.turn_index").alias("turn"))
 
-    def family_items(which: str, limit: int) -> Column:
-        return F.slice(F.array_sort(F.collect_list(F.when(F.col("family") == which, item))), 1, limit)
+    def family_items(which: str) -> Column:
+        items = F.array_sort(F.collect_list(F.when(F.col("family") == which, item)))
+        return F.slice(items, 1, 1) if which == "summary" else items
 
     gathered = best.groupBy(*DAY).agg(*[
-        family_items(which, LIMITS["tags"] if which != "summary" else 1).alias(which)
-        for which in ("topic", "summary", "decision", "todo", "item", "peak")])
+        family_items(which).alias(which) for which in ("topic", "summary", "decision", "todo", "item", "peak")])
     texts = lambda c: F.transform(c, lambda x: x["value"])
     detail = lambda v: F.regexp_extract(v, r"(?s)^[^\n]*\n(.*)$", 1)
     topics = F.transform(F.slice("topic", 1, LIMITS["topics"]),
