@@ -7,18 +7,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from memlake.functions import timeaxis
 from memlake.operators.prefix import id_bucket, ordinal
 from memlake.plans.extract import order_turns, with_days
-from memlake.session import spread
 
 PIECE = 120
 
 
-# Tables with long texts, and the column their rows are spread by.
+# Tables with long texts, and the column their rows are spread by: work is heavy per row, files may be few.
 TEXTS = {"documents": "doc_id", "benchmark": "item_id"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, TEXTS[name]) if name in TEXTS else df
+    return df.repartition(F.col(TEXTS[name])) if name in TEXTS else df
 
 
 # --- turns of conversations -------------------------------------------------------------

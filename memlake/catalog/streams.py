@@ -17,10 +17,15 @@ def _date():
 
 
 
-def _turn_stream(spark, sf):
-    schema = fx.table(spark, sf, "conversations").schema
-    # A pattern that names exactly one file: the file source wants a folder or a pattern.
-    rows = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]")
+def _arrivals(turns):
+    """The conversations in three parts, out of order: the newest first, then the oldest, long after any delay."""
+    newest, oldest = turns.agg(F.max("conv_id"), F.min("conv_id")).first()
+    third = ((newest or 0) - (oldest or 0)) / 3
+    late, early = F.col("conv_id") < (oldest or 0) + third, F.col("conv_id") >= (oldest or 0) + 2 * third
+    return [turns.filter(part) for part in (early, late, ~early & ~late)]
+
+
+def _turns(rows):
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("conv_id") * 1021 + F.col("turn") * 3).cast("int"))
     return rows.select(
         F.concat(F.lit("agent_"), (F.col("conv_id") % 5).cast("string")).alias("agent_id"), F.col("conv_id").alias("session_id"),
@@ -28,30 +33,34 @@ def _turn_stream(spark, sf):
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + minutes).alias("ts"), F.col("text").alias("content"))
 
 
-def _run(spark, writer_of):
-    """Run a stream over all there is and return the table it wrote, under the shared checkpoint folder."""
+def _run(spark, sf, writer_of):
+    """Let the table arrive part by part, run the stream over each, and return the table it wrote."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
-    writer = writer_of(f"{base}/table").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    writer.start().awaitTermination()
+    table = fx.table(spark, sf, "conversations")
+    for part in _arrivals(table):
+        part.write.mode("append").parquet(f"{base}/arrived")
+        stream = _turns(spark.readStream.schema(table.schema).parquet(f"{base}/arrived"))
+        writer = writer_of(stream, f"{base}/table").option("checkpointLocation", f"{base}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/table")
 
 
 @query("stream_session_registry", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, session_id, CAST(epoch(min(ts)) AS BIGINT) AS first_seen FROM fx_day_turns GROUP BY ALL""", ("fx_day_turns",))
 def stream_session_registry(spark, sf):
-    table = _run(spark, lambda path: intake.stream_session_registry(_turn_stream(spark, sf), path))
+    table = _run(spark, sf, intake.stream_session_registry)
     return table.select("agent_id", _date(), "session_id", F.unix_timestamp("first_seen").alias("first_seen"))
 
 
 @query("stream_turns_to_days", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, message_id, turn_index, content FROM fx_day_turns""", ("fx_day_turns",))
 def stream_turns_to_days(spark, sf):
-    table = _run(spark, lambda path: intake.stream_turns_to_days(_turn_stream(spark, sf), path))
+    table = _run(spark, sf, lambda turns, path: intake.stream_turns_to_days(turns, path, late_path=f"{path}-late"))
     return table.select("agent_id", _date(), "message_id", "turn_index", "content")
 
 
 @query("stream_day_stats", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, total_turns, user_turns, assistant_turns FROM fx_days""", ("fx_days",))
 def stream_day_stats(spark, sf):
-    table = _run(spark, lambda path: intake.stream_day_stats(_turn_stream(spark, sf), path))
+    table = _run(spark, sf, intake.stream_day_stats)
     return intake.read_day_stats(table).withColumn("memory_date", _date())

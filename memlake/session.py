@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -32,13 +33,20 @@ def build_session(app: str = "memlake", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, or a fresh one when none is named."""
+    """The shared folder for checkpoints: the cluster's own; on a local master a fresh one where none is named.
+
+    Executors of a cluster do not see the driver's disk, so that a cluster
+    without `spark.checkpoint.dir` is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="memlake-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="memlake-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
@@ -55,12 +63,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tables/{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table of few files over all cores before work that is heavy per row.
-
-    A table with at least as many files as cores is read in parallel as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

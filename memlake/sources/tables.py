@@ -18,12 +18,10 @@ def with_month(df: DataFrame, day: str = "memory_date") -> DataFrame:
 def write_layer(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace the partitions that occur in `df`; all others stay.
 
-    Rows are routed to one task per partition value and a hash of the row, so a
-    hot partition is written by several tasks and a cold one makes few files.
+    Rows are dealt by partition value; what one value has is split or joined by
+    its measured size, so a hot month is written by many tasks, a cold one by one.
     """
-    spread = F.pmod(F.hash(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() in (
-        "string", "date", "long", "timestamp") and c not in partition_by] or [F.lit(0)]), F.lit(8))
-    (df.repartition(*[F.col(c) for c in partition_by], spread)
+    (df.hint("rebalance", *[F.col(c) for c in partition_by])
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))
 

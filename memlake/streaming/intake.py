@@ -33,35 +33,33 @@ def _fold_months(path: str, incoming: DataFrame, merge) -> None:
     tables.update_layer(tables.with_month(merged), path, ["memory_month"])
 
 
-def stream_session_registry(messages: DataFrame, path: str, settings: Settings = DEFAULTS,
-                            delay: str = "2 days") -> DataStreamWriter:
+def stream_session_registry(messages: DataFrame, path: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
     """Keep the session registry table at `path` current from a message stream.
 
-    The stream holds first sightings per agent, day and session until the
-    watermark passes; each batch is folded into the months it touches.
+    First sightings of each batch are folded into the months they touch. The
+    table is the state, so that a message of any age counts.
     """
-    first = (messages.withWatermark("ts", delay)
-             .withColumn("memory_date", timeaxis.logical_day(F.col("ts"), settings))
-             .groupBy("agent_id", "memory_date", "session_id", F.window("ts", "2 days").alias("_state"))
-             .agg(F.min("ts").alias("first_seen")).drop("_state"))
+    dated = messages.withColumn("memory_date", timeaxis.logical_day(F.col("ts"), settings))
 
     def fold(batch: DataFrame, _: int) -> None:
-        _fold_months(path, batch, upsert_sessions)
+        first = batch.groupBy("agent_id", "memory_date", "session_id").agg(F.min("ts").alias("first_seen"))
+        _fold_months(path, first, upsert_sessions)
 
-    return first.writeStream.outputMode("update").foreachBatch(fold)
+    return dated.writeStream.outputMode("append").foreachBatch(fold)
 
 
-def stream_turns_to_days(turns: DataFrame, path: str, settings: Settings = DEFAULTS,
+def stream_turns_to_days(turns: DataFrame, path: str, settings: Settings = DEFAULTS, late_path: str | None = None,
                          delay: str = "1 day") -> DataStreamWriter:
-    """Append turns to their day, merging late ones.
-
-    Repeated deliveries are dropped within the watermark. Each batch is merged
-    into the stored days it touches and those are renumbered, so a late turn
-    lands in its place.
+    """Fold turns into their day, late ones too.
+
+    Each batch is merged into the stored days it touches and those are
+    renumbered, so a late turn lands in its place. Repeated deliveries, in a
+    batch or against the stored day, are one turn. No row is dropped for its
+    age: turns that are more than `delay` older than the newest stored one are
+    also written to `late_path`, by batch, so that anchors of their days can be
+    moved (`extract.remap_anchors`).
     """
-    fresh = (with_days(turns, settings).withWatermark("ts", delay)
-             .dropDuplicatesWithinWatermark(["agent_id", "session_id", "message_id"])
-             .withColumn("turn_index", F.lit(-1).cast("bigint")))
+    fresh = with_days(turns, settings).withColumn("turn_index", F.lit(-1).cast("bigint"))
 
     def merge(known: DataFrame, incoming: DataFrame) -> DataFrame:
         identity = [c for c in incoming.columns if c not in ("message_id", "turn_index")]
@@ -69,36 +67,39 @@ def stream_turns_to_days(turns: DataFrame, path: str, settings: Settings = DEFAU
         touched = union_distinct(known.join(days, DAY, "left_semi"), incoming, identity, "message_id")
         return order_turns(touched.drop("origin")).unionByName(known.join(days, DAY, "left_anti"))
 
-    def fold(batch: DataFrame, _: int) -> None:
+    def fold(batch: DataFrame, number: int) -> None:
+        batch = materialize(batch.dropDuplicates(["agent_id", "session_id", "message_id"]))
+        if late_path:
+            newest = _existing(path, tables.with_month(batch)).agg(F.max("ts").alias("_newest"))
+            late = late_turns(batch.crossJoin(F.broadcast(newest)), F.col("_newest") - F.expr(f"interval {delay}"))
+            late.drop("_newest").write.mode("overwrite").parquet(f"{late_path}/batch={number}")
         _fold_months(path, batch, merge)
 
     return fresh.writeStream.outputMode("append").foreachBatch(fold)
 
 
 def late_turns(turns: DataFrame, watermark) -> DataFrame:
-    """Turns older than a stream's watermark, to be folded in with `extract.merge_transcript`."""
-    return turns.filter(F.col("ts") < F.lit(watermark))
+    """Turns older than a point in time."""
+    return turns.filter(F.col("ts") < watermark)
 
 
-def stream_day_stats(turns: DataFrame, path: str, settings: Settings = DEFAULTS,
-                     delay: str = "1 day") -> DataStreamWriter:
-    """Keep counts per agent-day current at `path`.
+def stream_day_stats(turns: DataFrame, path: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
+    """Keep counts per agent-day current at `path`, whatever the age of a turn.
 
-    Counts are kept per day and UTC date of event time, so that state drops out
-    once the watermark has passed; `read_day_stats` adds the two parts of a day.
+    The table has the counts of each day by batch; a batch that is run again
+    replaces its own. `read_day_stats` adds the batches of a day.
     """
-    dated = with_days(turns.withWatermark("ts", delay), settings)
-    parts = (dated.groupBy(*DAY, F.window("ts", "1 day").alias("_part")).agg(
-        F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"),
-        F.count_if(F.col("role") == "assistant").alias("assistant_turns")))
+    dated = with_days(turns, settings)
 
-    def fold(batch: DataFrame, _: int) -> None:
-        _fold_months(path, batch.withColumn("_part", F.col("_part.start")),
-                     lambda known, fresh: upsert(known, fresh, [*DAY, "_part"]))
+    def fold(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(*DAY).agg(
+            F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"),
+            F.count_if(F.col("role") == "assistant").alias("assistant_turns")).withColumn("_part", F.lit(number).cast("bigint"))
+        _fold_months(path, counts, lambda known, fresh: upsert(known, fresh, [*DAY, "_part"]))
 
-    return parts.writeStream.outputMode("update").foreachBatch(fold)
+    return dated.writeStream.outputMode("append").foreachBatch(fold)
 
 
 def read_day_stats(parts: DataFrame) -> DataFrame:
-    """Counts per agent-day from the table that `stream_day_stats` keeps (a day spans two UTC dates)."""
+    """Counts per agent-day from the table that `stream_day_stats` keeps."""
     return parts.groupBy(*DAY).agg(*[F.sum(c).alias(c) for c in ("total_turns", "user_turns", "assistant_turns")])
