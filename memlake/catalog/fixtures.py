@@ -117,15 +117,19 @@ def long_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf: str) -> DataFrame:
-    """Index rows of three depths, one per document, with the whole text."""
+    """Index rows of three depths, one per document and key, with the whole text.
+
+    An agent's n-th document has the n-th day, week or start of a window back
+    from a fixed date, so that no two share a key.
+    """
     numbered = ordinal(table(spark, sf, "documents").select(F.col("source").alias("agent_id"), "doc_id", "text", "lang"),
                        ["agent_id"], [id_bucket("doc_id")], [F.col("doc_id")], name="ord").withColumn("ord", F.col("ord") + 1)
     o = F.col("ord")
     depth = F.when(o % 25 == 0, "deep").when(o % 10 == 0, "shallow").otherwise("surface")
-    key = (F.when(o % 25 == 0, F.concat(F.lit("2023-0"), (1 + o % 9).cast("string"), F.lit("-02+28d")))
-            .when(o % 10 == 0, F.concat(F.lit("2023-W"), (10 + o % 40).cast("string")))
-            .otherwise(F.concat(F.lit("2024-"), F.lpad((1 + o % 12).cast("string"), 2, "0"), F.lit("-"),
-                                F.lpad((1 + o % 28).cast("string"), 2, "0"))))
+    back = lambda day, n: F.date_sub(F.lit(day).cast("date"), n.cast("int"))
+    key = (F.when(o % 25 == 0, F.concat(back("2023-12-02", o).cast("string"), F.lit("+28d")))
+            .when(o % 10 == 0, timeaxis.week_id(back("2023-12-25", F.floor(o / 10) * 7)))
+            .otherwise(back("2024-12-28", o).cast("string")))
     return numbered.select("agent_id", "doc_id", o.alias("ord_key"), depth.alias("depth"), key.alias("time_key"), "text", "lang")
 
 
@@ -141,11 +145,10 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memory_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of index rows; of repeated time keys the first document's counts."""
+    """Vectors of index rows."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"),
                                                     F.col("embedding").cast("array<double>").alias("embedding"))
-    return (memories(spark, sf).select("agent_id", "depth", "time_key", "doc_id").join(vectors, "doc_id")
-            .groupBy("agent_id", "depth", "time_key").agg(F.min_by("embedding", "doc_id").alias("embedding")))
+    return memories(spark, sf).join(vectors, "doc_id").select("agent_id", "depth", "time_key", "embedding")
 
 
 def _pieces(text: Column) -> Column:
@@ -157,9 +160,7 @@ def _pieces(text: Column) -> Column:
 
 def memory_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One document per index key; the pieces of its text are dealt to the field families in turn."""
-    first = memories(spark, sf).groupBy("agent_id", "depth", "time_key").agg(
-        F.min_by(F.struct("text", "lang"), "ord_key").alias("m"))
-    cut = first.select("agent_id", "depth", "time_key", F.col("m.lang").alias("lang"), _pieces(F.col("m.text")).alias("p"))
+    cut = memories(spark, sf).select("agent_id", "depth", "time_key", "lang", _pieces(F.col("text")).alias("p"))
 
     def dealt(turn: int) -> Column:
         return F.filter("p", lambda x, i: (i > 0) & (i % 5 == turn))
@@ -261,15 +262,14 @@ FROM documents"""),
     "fx_memories": ((), """
 SELECT agent_id, doc_id, ord AS ord_key, text, lang,
        CASE WHEN ord % 25 = 0 THEN 'deep' WHEN ord % 10 = 0 THEN 'shallow' ELSE 'surface' END AS depth,
-       CASE WHEN ord % 25 = 0 THEN concat('2023-0', 1 + ord % 9, '-02+28d')
-            WHEN ord % 10 = 0 THEN concat('2023-W', 10 + ord % 40)
-            ELSE concat('2024-', lpad(CAST(1 + ord % 12 AS VARCHAR), 2, '0'), '-', lpad(CAST(1 + ord % 28 AS VARCHAR), 2, '0')) END AS time_key
+       CASE WHEN ord % 25 = 0 THEN CAST(DATE '2023-12-02' - CAST(ord AS INT) AS VARCHAR) || '+28d'
+            WHEN ord % 10 = 0 THEN strftime(DATE '2023-12-25' - CAST(ord // 10 * 7 AS INT), '%G-W%V')
+            ELSE CAST(DATE '2024-12-28' - CAST(ord AS INT) AS VARCHAR) END AS time_key
 FROM (SELECT source AS agent_id, doc_id, text, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents)"""),
     "fx_queries": ((), "SELECT item_id AS query_id, concat('src', item_id % 20) AS agent_id, text AS query FROM benchmark"),
     "fx_terms": (("fx_queries",), f"SELECT query_id, agent_id, {sql_tokens('query')} AS terms FROM fx_queries"),
     "fx_vectors": (("fx_memories",), """
-SELECT agent_id, depth, time_key, arg_min(embedding::DOUBLE[], doc_id) AS embedding
-FROM fx_memories JOIN embeddings ON vec_id = doc_id GROUP BY ALL"""),
+SELECT agent_id, depth, time_key, embedding::DOUBLE[] AS embedding FROM fx_memories JOIN embeddings ON vec_id = doc_id"""),
     "fx_pairs": (("fx_terms", "fx_memories"), f"""
 SELECT query_id, agent_id, depth, time_key, ord_key, {sql_lexical('terms', 'tokens')} AS lexical_raw
 FROM fx_terms JOIN (SELECT *, list_distinct({sql_tokens('text')}) AS tokens FROM fx_memories) m USING (agent_id)"""),
@@ -293,8 +293,7 @@ SELECT query_id, agent_id, depth, time_key, round(score, 6) AS score, anchor_ran
           PARTITION BY query_id, depth, time_key ORDER BY score DESC, lexical_score DESC, e DESC) = 1))
 WHERE anchor_rank <= 12"""),
     "fx_cut": (("fx_memories",), f"""
-SELECT agent_id, depth, time_key, lang, {_PIECES} AS p FROM fx_memories
-QUALIFY row_number() OVER (PARTITION BY agent_id, depth, time_key ORDER BY ord_key) = 1"""),
+SELECT agent_id, depth, time_key, lang, {_PIECES} AS p FROM fx_memories"""),
     "fx_items": (("fx_cut",), f"""
 SELECT * FROM (
   SELECT agent_id, depth, time_key, field, field_no, pos, {sql_strip('information')} AS information FROM (
