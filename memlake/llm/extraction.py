@@ -43,7 +43,7 @@ MAIN_TAGS = frozenset({"article", "main"})
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-                    r"|(?P<text>[^<]+|<)", re.S)
+                    r"|(?P<text>[^<]+|<(?![A-Za-z/!?]))", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
 
@@ -227,20 +227,20 @@ def rules(wrapper: Node, pages: int) -> dict[str, list[str]]:
 
     Where the host marks its articles (`article`, `main`), they are the slots in
     these. Else they are all but repeated groups of links and texts that are
-    equal on all of three or more pages.
+    equal on all of three or more different pages.
     """
     slots: list[tuple[str, bool, bool]] = []  # path, in a main element, furniture
 
-    def walk(node: Node, path: tuple[str, ...], repeated: bool) -> None:
+    def walk(node: Node, path: tuple[str, ...], repeated: bool, optional: bool) -> None:
         for child in node.children:
+            again, maybe = repeated or child.repeated, optional or child.optional
             if child.kind is None:
-                menu = child.links and (repeated or child.repeated)
-                constant = pages >= 3 and not child.slot and not child.optional
-                slots.append((" ".join(path), child.main, menu or constant))
+                constant = pages >= 3 and not child.slot and not maybe
+                slots.append((" ".join(path), child.main, child.links and again or constant))
             else:
-                walk(child, (*path, child.kind), repeated or child.repeated)
+                walk(child, (*path, child.kind), again, maybe)
 
-    walk(wrapper, (), False)
+    walk(wrapper, (), False, False)
     marked = any(main for _, main, _ in slots)
     keep = {path for path, main, furniture in slots if (main if marked else not furniture)}
     return {"keep": sorted(keep), "drop": sorted({path for path, _, _ in slots} - keep)}
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                                    pages_per_host)
 
     def learn(key: tuple, table: pa.Table) -> pa.Table:
-        pages = sorted(table["html"].to_pylist())
+        pages = sorted(set(table["html"].to_pylist()))  # copies tell nothing about what stays equal
         return pa.table({"name": [key[0]], "rule": [json.dumps(rules(infer(pages), len(pages)))]})
 
     wrappers = common.materialize(sample.select("host", "html").groupBy("host").applyInArrow(

@@ -148,7 +148,8 @@ def _compare(percent: int):
 
 def _sets(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
     """`keep` columns of every row with `n_shingles` and `class`, the name of its set (null if empty)."""
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("class")).schema
+    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_shingles"),
+                         F.lit(None).cast("long").alias("class")).schema
 
     def start():
         splitter = words.Splitter(lower=True)

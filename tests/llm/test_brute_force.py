@@ -413,7 +413,7 @@ def test_extraction_by_names_and_wrapper(spark):
 def test_wrapper_has_slots_options_and_repeats():
     wrapper = extraction.infer(["<div><p>a</p><p>b</p></div><h2>same</h2>", "<div><p>c</p></div><h2>same</h2><h3>x</h3>"])
     div, h2, h3 = wrapper.children
-    assert div.children[0].repeated and div.children[0].children[0].slot
+    assert div.children[0].children[0].repeated and div.children[0].children[0].slot
     assert not h2.children[0].slot and not h2.optional and h3.optional
 
 
