@@ -298,8 +298,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 names, begin = names[order], np.searchsorted(sets[order], np.arange(len(part) + 1))
                 lists, sketches = [], []
                 for row in range(len(part)):
-                    places = np.unique(np.concatenate([np.frombuffer(p, np.uint32)
-                                                       for p in batch["places"][at + row].as_py()]))
+                    places = packed.numbers(batch["places"][at + row].as_py())
                     mine = names[begin[row]: begin[row + 1]]
                     lists.append(mine[places].view(np.int64) if own[row] == batch["class"][at + row].as_py() else None)
                     sketches.append(sketch(feature[first[row]: first[row + 1]]))

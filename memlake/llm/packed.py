@@ -65,7 +65,7 @@ def decided(batch: Batch, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, k
     cut = np.flatnonzero(np.diff(doc, prepend=-1))
     for low, high in zip(cut, np.append(cut[1:], len(doc))):
         batch.add(kind=1, bucket=-1 - int(keys[doc[low]]) % 4096, id=int(ids[doc[low]]), text_key=int(keys[doc[low]]),
-                  places=np.unique(place[low:high]).astype(np.uint32).tobytes())
+                  places=np.diff(np.unique(place[low:high]), prepend=0).astype(np.uint32).tobytes())
 
 
 def _width(n: int) -> type:
@@ -141,6 +141,12 @@ class Entries:
         yield batch.done()
 
 
+def numbers(lists: list[bytes] | None) -> np.ndarray:
+    """Distinct decided places of a document, from the steps that are kept of each sorted list."""
+    found = [np.cumsum(np.frombuffer(x, np.uint32), dtype=np.int64) for x in lists or ()]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 def settle(messages: DataFrame, rule: str) -> DataFrame:
     """`id, text_key, places` (list of binary) of all decided places, from the messages of all tasks."""
     spark = messages.sparkSession

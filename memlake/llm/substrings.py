@@ -123,7 +123,14 @@ def _stretches(batch: pa.RecordBatch, texts: pa.Array, at: int) -> tuple[np.ndar
 
 
 def _shared_anchors(size: int):
-    """Message rows: for each stretch of windows with one anchor, the place first window * size + windows - 1."""
+    """Message rows: for each stretch of windows with one anchor, the place first window * size + windows - 1.
+
+    Windows that begin less than `half` before their anchor all hold the words
+    from it to `size - half` further on, the others those from `half` before it:
+    these words, too, are part of the stretch's name.
+    """
+    half = max(1, size // 2 - 2)
+
     def run(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
         splitter, held = words.Splitter(), packed.Entries(parts, "shared")
         for batch in batches:
@@ -133,26 +140,23 @@ def _shared_anchors(size: int):
                 if not len(window):
                     continue
                 ids, keys = _stretches(batch, texts, at)
+                far = place - window >= half
                 new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1]) |
-                                      (np.diff(window) != 1) | (np.arange(1, len(window)) % size == 0)])
+                                      (far[1:] != far[:-1]) | (np.diff(window) != 1) |
+                                      (np.arange(1, len(window)) % size == 0)])
                 cut = np.flatnonzero(new)
                 length = np.diff(np.append(cut, len(window)))
-                first = window[cut]
+                first, far = window[cut], far[cut]
+                core = place[cut] - np.where(far, half, 0)
+                name = words.pair(anchor[cut], splitter.spans(found, core, np.where(far, half + 1, size - half + 1)))
                 row = found.row[first]
-                held.add(anchor[cut], row, (first - found.first[row]) * size + length - 1, ids, keys)
+                held.add(name, row, (first - found.first[row]) * size + length - 1, ids, keys)
                 if held.count > packed.ENTRIES:
                     yield from held.flush()
         yield from held.flush()
     return run
 
 
-def _numbers(lists: pa.Scalar) -> np.ndarray:
-    values = lists.as_py()
-    if not values:
-        return np.zeros(0, np.int64)
-    return np.unique(np.concatenate([np.frombuffer(v, np.uint32) for v in values])).astype(np.int64)
-
-
 def _repeated_windows(size: int):
     """Message rows: the windows that repeat an earlier one, among those with a shared anchor."""
     def run(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def _repeated_windows(size: int):
                 window, name = splitter.windows(found, size)
                 wanted = np.zeros(len(found.hash) + 1, np.int64)
                 for row in range(len(texts)):
-                    places = _numbers(batch["places"][at + row])
+                    places = packed.numbers(batch["places"][at + row].as_py())
                     first = found.first[row] + places // size
                     np.add.at(wanted, first, 1)
                     np.add.at(wanted, first + places % size + 1, -1)
@@ -215,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for row, text in enumerate(texts):
                     parts = (text.as_py() or "").encode().split()
                     total.append(len(parts))
-                    start = _numbers(batch["places"][at + row])
+                    start = packed.numbers(batch["places"][at + row].as_py())
                     if len(start):
                         cut = np.flatnonzero(np.diff(start, prepend=-size - 1) > size)
                         low, high = start[cut], np.append(start[cut[1:] - 1], start[-1]) + size

@@ -134,6 +134,11 @@ class Splitter:
         end = np.minimum(words.start + size, words.end)
         return mix((sums[end] - sums[words.start]) * self.inverse[words.start] + np.uint64(size))
 
+    def spans(self, words: Words, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Names of sequences of words, each with its first word and length."""
+        sums = self._sums(words.hash)
+        return mix((sums[at + size] - sums[at]) * self.inverse[at] + size.astype(np.uint64))
+
     def windows(self, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and name of every window of `size` consecutive words of one text."""
         n = len(words.hash) - size + 1
