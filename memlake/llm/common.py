@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from memlake.session import materialize
+from memlake.session import checkpoint_dir, materialize
 
 
 def fold(column: str, parts: int) -> Column:
@@ -34,6 +35,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def write_blobs(df: DataFrame) -> DataFrame:
+    """`materialize` for rows of many MB: small row groups, so that a writer holds few rows at once."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -49,4 +57,4 @@ def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["bounded_sample", "by_batch", "fold", "fresh", "held_out", "materialize", "read"]
+__all__ = ["bounded_sample", "by_batch", "fold", "fresh", "held_out", "materialize", "read", "write_blobs"]
