@@ -290,3 +290,32 @@ def test_late_turns_find_their_place(spark, tmp_path):
 def test_window_validators(spark):
     assert column(spark, ['{"week": 1}'], lambda c: dc.week_summary_problem(F.try_parse_json(c))) == ["keys"]
     assert column(spark, ['{"window": 1}'], lambda c: dc.window_summary_problem(F.try_parse_json(c))) == ["keys"]
+
+
+def test_day_summary_keeps_every_finding(spark):
+    day = date(2024, 1, 1)
+    rows = [("a", day, 1, i, kind, f"{kind} {i:02d}", 0, i * 1000) for i in range(30) for kind in ("decision", "todo", "item:incident", "peak")]
+    rows += [("a", day, 1, i, "topic", f"word{i:02d}\ndetail", 40 - i, i) for i in range(30)]
+    found = spark.createDataFrame(rows, "agent_id string, memory_date date, chunk_id long, turn_index long, kind string, value string, "
+                                        "weight long, place long")
+    context = spark.createDataFrame([("a", day, 1, 60, 30, False, False)], "agent_id string, memory_date date, chunks long, turns long, "
+                                    "user_turns long, low_allowed boolean, low_forced boolean")
+    row = write.infer_reduce(found, context).first()
+    assert row.decisions == [f"decision {i:02d}" for i in range(30)] and len(row.todos) == 30
+    assert len(row.key_items) == len(row.emotional_peaks) == 30 and row.source_turns == list(range(30))
+    assert [t.name for t in row.topics] == [f"word{i:02d}" for i in range(8)] and len(row.tags) == 10
+
+
+def test_rollup_keeps_the_latest_and_counts_the_rest(spark):
+    shape = ("periods array<struct<summary:string,mood:string,tags:array<string>,topics:array<string>,decisions:array<string>,"
+             "todos:array<string>,key_items:array<string>,emotional_peaks:array<string>>>")
+    days = [(f"Day {d}. " + "x" * 50, "calm", [f"t{d}"], [], [f"d{d}-{i}" for i in range(5)], ["same"], [], []) for d in range(7)]
+    for depth, texts in (("shallow", 3), ("deep", 4)):
+        merged = decay.merge_periods(F.col("periods"), depth)
+        row = spark.createDataFrame([(days,)], shape).select(*[c.alias(n) for n, c in merged.items()]).first()
+        assert row.decisions == [f"d{d}-{i}" for d in range(3, 7) for i in range(5)]
+        assert row.summary == "；".join(d[0] for d in days[-texts:]) and row.mood == "calm"
+        assert row.todos == ["same"] and row.dropped == 15 + 1
+    long = [("One. Two. " + "y" * 300, "", [], [], [], [], [], [])]
+    merged = decay.merge_periods(F.col("periods"))
+    assert spark.createDataFrame([(long,)], shape).select(merged["summary"].alias("s")).first().s == "One. Two."
