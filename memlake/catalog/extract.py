@@ -12,7 +12,7 @@ from memlake.operators.merging import union_distinct
 from memlake.plans import extract
 from memlake.sources import message_log, message_tables
 
-# RE2 spellings of the redaction patterns: its \w and \b know ASCII only.
+# Fixed values, the redaction patterns in RE2's spelling: its \w and \b know ASCII only.
 _W = r"\p{L}\p{M}\p{N}_"
 _RE2 = {
     "key": (r"(?i)(sk-|pk-|api[-_]?key[\s=:]+)[^\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]{10,}"),

@@ -189,7 +189,7 @@ _LOCAL = "((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London')"
 _DAY = f"CAST({_LOCAL} - INTERVAL 3 HOUR AS DATE)"
 _PIECES = (f"list_transform(range(0, CAST(ceil(length(text) / {PIECE}.0) AS BIGINT)), "
            f"lambda k: substring(text, k * {PIECE} + 1, {PIECE}))")
-# Characters that end a match token, as a character class.
+# Fixed value: the characters that end a match token (`text.SEPARATORS` and white space), as a class of the SQL engine.
 _ENDS = r"[\n\t,，.。!！?？:：;；()（）\[\]【】/\\|\"''\-_\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
