@@ -177,7 +177,7 @@ def _messages(size: int, percent: int, parts: int):
                 if len(names):
                     keys = set_names(feature, first).view(np.int64)
                     held.add(names, sets, numbers, np.zeros(len(keys), np.int64), keys)
-                if held.count > packed.ENTRIES:
+                if held.count > packed.ENTRIES // 2:
                     yield from held.flush()
         yield from held.flush()
     return run
