@@ -17,6 +17,7 @@ occurrence of a window are removed.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,11 +111,24 @@ def _strongest(begin: np.ndarray, name: np.ndarray, size_before: np.ndarray, low
     return name[pick], begin[pick]
 
 
-def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _input(docs: DataFrame, id_col: str, text_col: str, kept: list[str]) -> DataFrame:
+    """Columns `c_...` to keep, `_id`, `_key` (names of document and text) and the deflated `_text`, dealt by document."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)),
-                             "_key": F.xxhash64(text_col), "_text": F.col(text_col)})
-    return rows.repartition(parts, "_id", "_key")
+    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in kept],
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_id"),
+                       F.xxhash64(text_col).alias("_key"), F.encode(text_col, "utf-8").alias("_text"))
+
+    def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = pa.array([None if v is None else zlib.compress(v, 1) for v in batch["_text"].to_pylist()], pa.binary())
+            yield pa.record_batch([*batch.columns[:-1], small], names=batch.schema.names)
+
+    return rows.mapInArrow(deflate, rows.schema).repartition(parts, "_id", "_key")
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    found = [None if v is None else zlib.decompress(v) for v in batch["_text"].to_pylist()]
+    return pa.array(found, pa.binary()).cast(pa.string())
 
 
 def _stretches(batch: pa.RecordBatch, texts: pa.Array, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +148,7 @@ def _shared_anchors(size: int):
     def run(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
         splitter, held = words.Splitter(), packed.Entries(parts, "shared")
         for batch in batches:
-            for at, texts in words.chunks(batch["_text"]):
+            for at, texts in words.chunks(_texts(batch)):
                 found = splitter.split(texts)
                 window, anchor, place = anchors(found, size)
                 if not len(window):
@@ -162,7 +176,7 @@ def _repeated_windows(size: int):
     def run(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
         splitter, held = words.Splitter(), packed.Entries(parts, "later")
         for batch in batches:
-            for at, texts in words.chunks(batch["_text"]):
+            for at, texts in words.chunks(_texts(batch)):
                 found = splitter.split(texts)
                 window, name = splitter.windows(found, size)
                 wanted = np.zeros(len(found.hash) + 1, np.int64)
@@ -198,7 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
     parts = packed.buckets(docs.sparkSession)
     # All three passes read all of its columns, so that they share one exchange.
-    whole = _input(docs, id_col, text_col).select(*[F.col(c).alias(f"c_{c}") for c in kept], "_id", "_key", "_text")
+    whole = _input(docs, id_col, text_col, kept)
 
     def bind(run):
         return lambda batches: run(batches, parts)
@@ -214,7 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in words.chunks(batch["_text"]):
+            for at, texts in words.chunks(_texts(batch)):
                 total, texts_kept, removed = [], [], []
                 for row, text in enumerate(texts):
                     parts = (text.as_py() or "").encode().split()
