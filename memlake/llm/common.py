@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
@@ -35,6 +36,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, jobs that run to their end pass at most `rows` rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_blobs(df: DataFrame) -> DataFrame:
     """`materialize` for rows of many MB: small row groups, so that a writer holds few rows at once."""
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid4().hex}"
@@ -57,4 +70,4 @@ def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["bounded_sample", "by_batch", "fold", "fresh", "held_out", "materialize", "read", "write_blobs"]
+__all__ = ["batch_rows", "bounded_sample", "by_batch", "fold", "fresh", "held_out", "materialize", "read", "write_blobs"]
