@@ -1,0 +1,18 @@
+"""Cases that a cut in an operator or stage would lose."""
+
+import random
+
+import corpus_pipeline
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_jaccard_stage_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(21)
+    some = lambda n: " ".join(f"n{rng.randrange(5000)}" for _ in range(n))
+    long = some(300)
+    docs = [(1, long), (2, f"{long} {some(40)}"), (3, f"{long} {some(90)}"), (4, some(300))]  # 0.88, 0.77 of the union
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in stage("ngram_jaccard")(spark, frame, "").collect()} == {1, 3, 4}
