@@ -4,7 +4,8 @@ A line is cut into threshold + 1 segments; of a line within the threshold at
 least one segment is a substring, near the same place. Each line stores its
 segments under its length and looks up its substrings under every length up to
 the threshold below its own. What meets is compared by character counts, then
-verified with a banded bit-parallel edit distance.
+verified with a banded bit-parallel edit distance. Lines too short for segments
+that tell anything, of up to twice the threshold, are compared for equality only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from memlake.llm import common, packed, words
 
 EDITS = 2
-#: Shorter lines are too short to tell a repetition from chance; they stay.
+#: Default of the length below which `dedup` leaves lines alone; the query and the pipeline's stage set no such limit.
 LEAST_CHARS = 20
 _STEP = 1 << 20  # pairs of a bucket compared at once
 
@@ -246,20 +247,20 @@ def _kept(kept: list[str], new: tuple[str, ...]):
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-          least_chars: int = LEAST_CHARS, keep: list[str] | None = None) -> DataFrame:
+          least_chars: int | None = LEAST_CHARS, keep: list[str] | None = None) -> DataFrame:
     """Add `n_lines`, `removed_lines` (numbers from 0) and `kept_text` to every row's columns `keep`, or all.
 
     Lines end at line feeds; distances count code points. A line goes if a line
     within `edits` of it, or an equal one, stands earlier: in a document of
     smaller id, or further up in the same one; lines are judged on the input.
-    Lines of fewer than `least_chars` code points stay and remove none. A null
-    text has no lines and stays null. Rows that repeat id and text are one
+    Lines of white space alone stay and remove none, also lines of fewer than
+    `least_chars` code points if that is not None. Lines of up to twice `edits`
+    code points go only if an equal one stands earlier, and remove no others. A
+    null text has no lines and stays null. Rows that repeat id and text are one
     document; rows of one id with different texts follow each other in the order
     of their hash; null ids come last. Columns named as the new ones are
     replaced.
     """
-    if least_chars <= 2 * edits:
-        raise ValueError("lines must be longer than twice the edits")
     new = ("n_lines", "removed_lines", "kept_text")
     kept = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
     spark = docs.sparkSession
@@ -268,10 +269,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
                         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_id"),
                         F.xxhash64(text_col).alias("_key"))
     lines = whole.select("_id", "_key", F.posexplode(F.split("_text", "\n")).alias("at", "line")).where(
-        F.char_length("line") >= least_chars).withColumn("name", F.xxhash64("line"))
+        F.col("line").rlike(r"\S") & (F.char_length("line") >= (least_chars or 0))).withColumn(
+        "name", F.xxhash64("line"))
     seen = common.materialize(lines.select("_id", "_key", F.col("at").cast("long").alias("at"), "name"))
     least = seen.groupBy("name").agg(F.min(F.struct("_id", "_key", "at")).alias("first"))
-    messages = lines.select("name", "line").mapInArrow(_messages(edits, packed.buckets(spark)), packed.SCHEMA)
+    longer = lines.where(F.char_length("line") > 2 * edits).select("name", "line")
+    messages = longer.mapInArrow(_messages(edits, packed.buckets(spark)), packed.SCHEMA)
     met = messages.select("bucket", "names", "docs", "places", "flags").repartition(parts, "bucket")
     pairs = common.materialize(met.sortWithinPartitions("bucket").mapInArrow(
         _meetings(edits), "a long, b long").distinct())

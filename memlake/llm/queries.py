@@ -126,7 +126,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_line_dedup")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = lines.dedup(read(spark, sf_dir, "documents"), least_chars=None, keep=["doc_id"])
     return found.select("doc_id", "n_lines", F.size("removed_lines").cast("bigint").alias("n_removed"),
                         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from memlake.llm import lines
 
 
 def stage(name):
@@ -16,3 +17,13 @@ def test_jaccard_stage_takes_five_words_and_four_fifths(spark):
     docs = [(1, long), (2, f"{long} {some(40)}"), (3, f"{long} {some(90)}"), (4, some(300))]  # 0.88, 0.77 of the union
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id for r in stage("ngram_jaccard")(spark, frame, "").collect()} == {1, 3, 4}
+
+
+def test_short_lines_are_compared(spark):
+    rows = [(1, "Read more\nOk.\n \n\nAAAAABBBBB"), (2, "Ok.\nReed morex\n \n\nOh."), (3, "AAAAABBBBB\nRead more\nOk."),
+            (4, "abcde\nab"), (5, "abcdf\nac")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) n_chars")
+    got = {r.doc_id: r for r in lines.dedup(frame, least_chars=None).collect()}
+    assert {k: r.removed_lines for k, r in got.items()} == {1: [], 2: [0, 1], 3: [0, 1, 2], 4: [], 5: [0]}
+    assert got[2].kept_text == " \n\nOh." and got[3].kept_text == ""
+    assert {r.doc_id for r in stage("line_dedup")(spark, frame, "").collect()} == {1, 2, 4, 5}
