@@ -21,6 +21,8 @@ PROFILE_GRAMS = 400
 ROWS_PER_LANGUAGE = 2000
 MAX_LANGUAGES = 2000
 UNDETERMINED = "und"
+#: A text is like a language from this share of the closeness that all but one in a hundred of its held-out rows reach.
+LEAST_SHARE, LOW_ROWS = 0.6, 0.01
 _SHIFT = 21  # bits of a code point
 
 
@@ -113,6 +115,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles(languages, keys, ranks, most)
 
 
+def least_closeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, float]:
+    """The closeness from which a text is like a language, by language, from a quarter of the labelled rows.
+
+    Profiles of the other rows score them (a bounded sample again); the rows they
+    find in their own language count. A language without such rows is left out.
+    """
+    part = common.fold(id_col, 4) == 2
+    profiles = learn(docs.where(~part), id_col, text_col, lang_col, rows_per_language)
+    labelled = docs.where(part).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                                       F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    chosen = common.bounded_sample(labelled.select("id", "lang"), "lang", "id", rows_per_language)
+    sample = labelled.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")
+    found = identify(sample, profiles, keep=["lang"]).where("lang = lang_pred and score > 0")
+    low = found.groupBy("lang").agg(F.percentile("score", F.lit(LOW_ROWS)).alias("low")).collect()
+    return {r.lang: LEAST_SHARE * r.low for r in low}
+
+
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add `lang_pred` and `score` to every row (its columns `keep`, or all), from its whole text.
 

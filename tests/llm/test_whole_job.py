@@ -1,6 +1,8 @@
 """Cases that a cut in an operator or stage would lose."""
 
+import base64
 import random
+import string
 
 import corpus_pipeline
 from memlake.llm import lines
@@ -27,3 +29,18 @@ def test_short_lines_are_compared(spark):
     assert {k: r.removed_lines for k, r in got.items()} == {1: [], 2: [0, 1], 3: [0, 1, 2], 4: [], 5: [0]}
     assert got[2].kept_text == " \n\nOh." and got[3].kept_text == ""
     assert {r.doc_id for r in stage("line_dedup")(spark, frame, "").collect()} == {1, 2, 4, 5}
+
+
+def test_language_stage_drops_gibberish_and_other_languages(spark, sf):
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9)))
+    planted = [" ".join(word() for _ in range(n)) for n in (20, 200, 2000)]
+    planted += [base64.b64encode(rng.randbytes(n)).decode() for n in (100, 1000)]
+    planted += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki "
+                "ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+                "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni "
+                "rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."]
+    rows = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    kept = {r.doc_id for r in stage("language_id")(spark, frame.unionByName(rows, allowMissingColumns=True), sf).collect()}
+    assert kept == {r.doc_id for r in frame.where("text rlike '[A-Za-z]'").collect()}
