@@ -125,12 +125,13 @@ def histograms(items: DataFrame, scored: DataFrame) -> DataFrame:
     long = scored.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("chart"), F.round(F.col(m), 6).alias("value")) for m in measures])).alias("_m")).select("_m.*")
     distinct = long.groupBy("chart", "value").agg(F.count(F.lit(1)).alias("n"))
-    span = Window.partitionBy("chart")
-    low, high = F.min("value").over(span), F.max("value").over(span)
+    spans = long.groupBy("chart").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    low, high = F.col("low"), F.col("high")
     width = F.when(high > low, (high - low) / 10)
     number = F.when(width.isNull(), F.lit(5)).otherwise(
         F.least(F.lit(9), F.floor((F.col("value") - low) / width)))
-    binned = (distinct.withColumn("bin", number.cast("double")).groupBy("chart", "bin").agg(F.sum("n").alias("n"))
+    binned = (distinct.join(F.broadcast(spans), "chart")  # three rows
+              .withColumn("bin", number.cast("double")).groupBy("chart", "bin").agg(F.sum("n").alias("n"))
               .select("chart", F.lit("").alias("series"), "bin", "n"))
     per_day = scored.select(F.explode(F.array(*[
         F.struct(F.lit(t).alias("series"), F.col(t).alias("count")) for t in KEY_ITEM_TYPES])).alias("_t")).select("_t.*")
