@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import common, decontaminate, extraction, jaccard, langid, language_model, lines, mixing, neighbours, substrings, toxicity
+from memlake.llm import common, decontaminate, divergence, extraction, jaccard, langid, language_model, lines, mixing, neighbours, substrings, toxicity
 from memlake.llm.common import read
 from memlake.llm.registry import QUERIES, SQL, query
 
@@ -146,3 +146,31 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+_LETTERS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_source_divergence", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS} AS w
+           FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+      FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+s AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + 1000000000 * (coalesce(c.n, 0) + 5) // (coalesce(o.n, 0) + 5 * s.v) AS p,
+             1 + 1000000000 * (k.total + 5) // (s.n + 5 * s.v) AS q
+      FROM g JOIN s USING (lang) JOIN k USING (lang) LEFT JOIN o USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(sum(abs(a.p - b.p)), 0) AS BIGINT) AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+      LEFT JOIN p a ON a.lang = x.lang AND a.source = x.source
+      LEFT JOIN p b ON b.lang = y.lang AND b.source = y.source AND b.term = a.term GROUP BY ALL
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
+                 ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM f)
+WHERE part = 'pair' OR rank <= 50""")
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
