@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import common, decontaminate, divergence, extraction, jaccard, langid, language_model, lines, mixing, neighbours, substrings, toxicity
+from memlake.llm import common, decontaminate, divergence, extraction, jaccard, langid, language_model, licenses, lines, mixing, neighbours, substrings, toxicity
 from memlake.llm.common import read
 from memlake.llm.registry import QUERIES, SQL, query
 
@@ -174,3 +174,10 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
 WHERE part = 'pair' OR rank <= 50""")
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
