@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import common, decontaminate, divergence, extraction, jaccard, langid, language_model, licenses, lines, mixing, neighbours, substrings, toxicity
+from memlake.llm import common, conversations, decontaminate, divergence, extraction, jaccard, langid, language_model, licenses, lines, mixing, neighbours, substrings, toxicity
 from memlake.llm.common import read
 from memlake.llm.registry import QUERIES, SQL, query
 
@@ -181,3 +181,62 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
     joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+@query("op13_conversation_repair", r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+rows0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce('=' || CAST(conv_id AS VARCHAR), '') AS key,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hit AS (SELECT *, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                      lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS h FROM rows0, crc),
+dam AS (SELECT key, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit WHERE h <> 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, encode(role), encode(text)) - 1 AS pos FROM dam),
+f AS (SELECT key, pos, turn, role, text, left(role, 1) AS initial,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'none' END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY key ORDER BY pos) || left(role, 1) AS neighbours FROM pos),
+ins AS (SELECT * FROM (VALUES (0, '', 0, []), (1, '', 1, []), (2, '', 2, []), (3, '', 3, []), (0, 'I', 2, ['user:']),
+        (1, 'I', 2, ['user:']), (3, 'I', 2, ['user:']), (2, 'I', 3, ['assistant:']), (0, 'II', 3, ['user:', 'assistant:']),
+        (1, 'II', 3, ['user:', 'assistant:'])) t(st, letters, st2, lines)),
+ops AS (SELECT * FROM (VALUES ('D', 0, '', 0, 3), ('D', 1, '', 1, 3), ('D', 2, '', 2, 3), ('D', 3, '', 3, 3), ('K', 0, 's', 1, 0),
+        ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 3, 'u', 2, 0), ('K', 2, 'a', 3, 0), ('R', 0, '', 2, 2), ('R', 1, '', 2, 2),
+        ('R', 3, '', 2, 2), ('R', 2, '', 3, 2)) t(letter, st2, needs, st3, price)),
+way(key, i, st, best) AS (
+  SELECT DISTINCT key, 0::BIGINT, 0, {'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]} FROM f
+  UNION ALL
+  SELECT w.key, w.i + 1, o.st3, min({'c': w.best.c + 2 * length(n.letters) + o.price + CASE WHEN o.letter <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END,
+         'a': w.best.a || n.letters || o.letter, 'l': w.best.l || n.lines || CASE o.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text]
+              ELSE [CASE o.st3 WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END})
+  FROM way w JOIN f ON f.key = w.key AND f.pos = w.i JOIN ins n ON n.st = w.st
+       JOIN ops o ON o.st2 = n.st2 AND (o.letter = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (o.letter = 'R' OR o.needs = f.initial)))
+  GROUP BY w.key, w.i, o.st3),
+per AS (SELECT key, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (neighbours IS NOT NULL AND neighbours NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key),
+fin AS (SELECT p.key, min({'c': w.best.c + 2 * length(n.letters), 'a': w.best.a || n.letters, 'l': w.best.l || n.lines}) AS best
+        FROM per p JOIN way w ON w.key = p.key AND w.i = p.n JOIN ins n ON n.st = w.st AND n.st2 IN (0, 3) GROUP BY p.key)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM rows0) LEFT JOIN per USING (key) LEFT JOIN fin USING (key)""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage the rows as the contract says, repair them, and give the digest of every original conversation."""
+    rows = read(spark, sf_dir, "conversations")
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"),
+                       (F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20).alias("_hit"))
+    text = F.when(F.col("_hit") == 1, "").when(F.col("_hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    damaged = rows.where("_hit != 0").select(
+        "conv_id", "turn", F.when(F.col("_hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("_hit") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"))
+    found = conversations.digest(conversations.repair(damaged))
+    every = rows.select("conv_id", conversations._key("conv_id").alias("key")).distinct()
+    none = {"gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "",
+            "repaired_sha256": "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"}
+    return every.join(found, "key", "left").fillna(none).select("conv_id", *none)
