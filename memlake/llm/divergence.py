@@ -64,9 +64,8 @@ def _count_chunk(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.Reco
     width = max(len(coded.dictionary), 1)
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     in_row, n = np.unique(row * width + code, return_counts=True)
-    groups = pa.StructArray.from_arrays([langs, sources], ["lang", "source"])
-    names = {}
-    group = np.array([names.setdefault((g["lang"], g["source"]), len(names)) for g in groups.to_pylist()], np.int64)
+    names: dict[tuple[str, str], int] = {}
+    group = np.array([names.setdefault(g, len(names)) for g in zip(langs.to_pylist(), sources.to_pylist())], np.int64)
     key, place = np.unique(group[in_row // width] * width + in_row % width, return_inverse=True)
     pairs = list(names)
     lang, source = (pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1))
@@ -159,7 +158,8 @@ def distances(left: Quad, right: Quad, p: np.ndarray, zero: np.ndarray, out: np.
 def audit_block(rows: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
     """Distances of all pairs of sources of two tiles over the terms of a block; in a tile's own block also its terms.
 
-    `rows` has a row without a term for each source, and one for each count.
+    `rows` has a row without a term for each source, which also says how many
+    terms the block has (`width`), and one for each count.
     """
     heads = rows[rows["term"].isna()].sort_values("place")
     cells = rows[rows["term"].notna()]
@@ -184,6 +184,8 @@ def audit_block(rows: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
     right = left if own else quadtree(present, middle, len(names))
     out = np.zeros((len(names), len(names)), np.int64)
     distances(left, right, p, zero, out)
+    absent = int(heads["width"].iloc[0]) - len(terms)  # terms of the block that none of these sources has: one empty quadrant
+    out += np.abs(zero[:, None] - zero) * absent
     a, b = np.nonzero(np.triu(np.ones_like(out, bool), 1) if own else
                       (np.arange(len(names))[:, None] < middle) & (np.arange(len(names)) >= middle))
     part, source, item, value = ["pair"] * len(a), [names[i] for i in a], [names[i] for i in b], out[a, b].tolist()
@@ -197,7 +199,7 @@ def audit_block(rows: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
     for i, found in best.items():
         for v, term in sorted(found)[:top]:
             part.append("term"), source.append(names[i]), item.append(term), value.append(-v)
-    return pd.DataFrame({"lang": lang, "source": source, "part": part, "item": item, "value": value})
+    return pd.DataFrame({"lang": [lang] * len(part), "source": source, "part": part, "item": item, "value": value}, dtype=object)
 
 
 # --- audit ----------------------------------------------------------------------------------
@@ -235,8 +237,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     kept = common.materialize(counts.drop("docs").join(totals, ["lang", "term"]))
 
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_own"))
-    whole = kept.groupBy("lang", "term").agg(F.max("total").alias("total")).groupBy("lang").agg(
-        F.count(F.lit(1)).alias("terms"), F.sum("total").alias("n_lang"))
+    terms = kept.groupBy("lang", "term").agg(F.max("total").alias("total"))
+    whole = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("n_lang"))
     # One row per source of a language: its place among them decides its tile.
     groups = docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(whole, "lang", "left").fillna(
         0, ["n_own", "terms", "n_lang"])
@@ -246,15 +248,18 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         "blocks": F.greatest(F.ceil(F.col("terms") / BLOCK_TERMS), F.lit(1)).cast("long")})
     groups = common.materialize(groups.withColumn("tile", F.floor(F.col("place") / TILE).cast("int")))
 
+    block = F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block")
+    widths = terms.join(groups.select("lang", "blocks").distinct(), "lang").groupBy("lang", block).agg(
+        F.count(F.lit(1)).alias("width"))
     share = lambda n, all_: _share(n, F.col(all_), F.col("terms"), added, scale)
     keys = ["lang", "block", "tile", "other"]
     heads = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
                           F.lit(None).cast("string").alias("term"), share(F.lit(0).cast("long"), "n_own").alias("p"),
-                          F.lit(0).cast("long").alias("q"))
+                          F.lit(0).cast("long").alias("q")).join(widths, ["lang", "block"], "left").fillna(0, ["width"])
     cells = kept.join(groups, ["lang", "source"]).withColumns({
-        "block": F.pmod(F.xxhash64("term"), F.col("blocks")), "p": share(F.col("n"), "n_own"),
+        "block": block, "width": F.lit(0).cast("long"), "p": share(F.col("n"), "n_own"),
         "q": share(F.col("total"), "n_lang")})
-    columns = ["lang", "block", "tile", "tiles", "place", "source", "term", "p", "q"]
+    columns = ["lang", "block", "tile", "tiles", "place", "source", "term", "p", "q", "width"]
     rows = heads.select(columns).unionByName(cells.select(columns))
     # Each pair of tiles is a group of its own: a tile goes to as many groups as the language has tiles.
     paired = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_t")).select(
