@@ -34,7 +34,7 @@ def _turns(rows):
 
 
 def _run(spark, sf, writer_of):
-    """Let the table arrive part by part, run the stream over each, and return the table it wrote."""
+    """Let the table arrive part by part, run the stream over each, and return the path of the table it wrote."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
     table = fx.table(spark, sf, "conversations")
     for part in _arrivals(table):
@@ -42,25 +42,26 @@ def _run(spark, sf, writer_of):
         stream = _turns(spark.readStream.schema(table.schema).parquet(f"{base}/arrived"))
         writer = writer_of(stream, f"{base}/table").option("checkpointLocation", f"{base}/state")
         writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/table")
+    return f"{base}/table"
 
 
 @query("stream_session_registry", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, session_id, CAST(epoch(min(ts)) AS BIGINT) AS first_seen FROM fx_day_turns GROUP BY ALL""", ("fx_day_turns",))
 def stream_session_registry(spark, sf):
-    table = _run(spark, sf, intake.stream_session_registry)
+    table = intake.read_sessions(spark, _run(spark, sf, intake.stream_session_registry))
     return table.select("agent_id", _date(), "session_id", F.unix_timestamp("first_seen").alias("first_seen"))
 
 
 @query("stream_turns_to_days", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, message_id, turn_index, content FROM fx_day_turns""", ("fx_day_turns",))
 def stream_turns_to_days(spark, sf):
-    table = _run(spark, sf, lambda turns, path: intake.stream_turns_to_days(turns, path, late_path=f"{path}-late"))
-    return table.select("agent_id", _date(), "message_id", "turn_index", "content")
+    path = _run(spark, sf, lambda turns, path: intake.stream_turns_to_days(turns, path, late_path=f"{path}-late"))
+    return intake.read_turns(spark, path).select("agent_id", _date(), "message_id", "turn_index", "content")
 
 
 @query("stream_day_stats", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, total_turns, user_turns, assistant_turns FROM fx_days""", ("fx_days",))
 def stream_day_stats(spark, sf):
-    table = _run(spark, sf, intake.stream_day_stats)
-    return intake.read_day_stats(table).withColumn("memory_date", _date())
+    path = _run(spark, sf, intake.stream_day_stats)
+    intake.compact(spark, path, intake.merge_day_stats, most=1)
+    return intake.read_day_stats(spark, path).withColumn("memory_date", _date())

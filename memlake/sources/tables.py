@@ -1,14 +1,23 @@
-"""Partitioned Parquet tables: read, replace partitions, delete rows."""
+"""Partitioned tables: read, replace partitions, delete rows. Each is a store of its own (`snapshots`)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.session import materialize
+from memlake.sources.snapshots import Change, Store
+
+TABLE = "rows"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return Store(spark, path).has(TABLE)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read(spark: SparkSession, path: str, only: dict[str, Iterable] | None = None) -> DataFrame:
+    """The table's current version; `only` (partition column to values) leaves out partitions unread."""
+    return Store(spark, path).read(TABLE, only)
 
 
 def with_month(df: DataFrame, day: str = "memory_date") -> DataFrame:
@@ -18,34 +27,17 @@ def with_month(df: DataFrame, day: str = "memory_date") -> DataFrame:
 def write_layer(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace the partitions that occur in `df`; all others stay.
 
-    Rows are dealt by partition value; what one value has is split or joined by
-    its measured size, so a hot month is written by many tasks, a cold one by one.
+    Readers see the old rows until all new ones are written. `df` may be computed
+    from the table itself.
     """
-    (df.hint("rebalance", *[F.col(c) for c in partition_by])
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_by).parquet(path))
-
-
-def update_layer(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """`write_layer` for rows that were computed from the table itself."""
-    write_layer(materialize(df), path, partition_by)
-
-
-def delete_rows(spark: SparkSession, path: str, doomed: DataFrame, keys: list[str],
-                partition_by: list[str]) -> int:
-    """Delete rows by key. Only partitions that hold such rows are rewritten."""
-    table = read(spark, path)
-    affected = materialize(table.join(doomed.select(keys).distinct(), keys, "left_semi")
-                           .select(partition_by).distinct())
-    inside = table.join(affected, partition_by, "left_semi")
-    kept = materialize(inside.join(doomed.select(keys), keys, "left_anti"))
-    write_layer(kept, path, partition_by)
-    # A dynamic overwrite cannot express "no rows left": drop those folders.
-    # The list holds partition values, not rows.
-    emptied = affected.join(kept.select(partition_by).distinct(), partition_by, "left_anti").collect()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for row in emptied:
-        folder = "/".join([path.rstrip("/"), *[f"{c}={row[c]}" for c in partition_by]])
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(conf).delete(target, True)
-    return len(emptied)
+    Store(df.sparkSession, path).publish({TABLE: Change(df, tuple(partition_by))})
+
+
+def delete_rows(spark: SparkSession, path: str, doomed: DataFrame, keys: list[str]) -> int:
+    """Delete rows by key, null keys included. Only partitions that hold such rows are rewritten; returns how many are gone."""
+    return Store(spark, path).drop_rows(TABLE, doomed, keys)
+
+
+def expire(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Remove what only versions before the last `keep` use."""
+    return Store(spark, path).expire(keep)

@@ -1,105 +1,140 @@
-"""Streams: session registration, day transcripts with late turns, live counts."""
+"""Streams: session registration, day transcripts with late turns, live counts.
+
+A batch writes its own rows only, as partitions (month, batch) of the table, and
+the batch's number is published in the same moment, so that a batch that runs
+again after a crash changes nothing. The readers below merge the batches of a
+month; `compact` folds them into one. The table is the state: a row of any age
+counts, and what a batch costs is the size of the batch.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from memlake.functions import timeaxis
-from memlake.operators.merging import union_distinct, upsert, upsert_sessions
 from memlake.plans.extract import order_turns, with_days
 from memlake.session import materialize
 from memlake.settings import DEFAULTS, Settings
 from memlake.sources import tables
+from memlake.sources.snapshots import Change, Store
 
 DAY = ["agent_id", "memory_date"]
+BY = ("memory_month", "batch")
+#: The batch number of rows that `compact` has folded.
+BASE = -1
+COUNTS = ("total_turns", "user_turns", "assistant_turns")
 
 
-def _existing(path: str, like: DataFrame) -> DataFrame:
-    """The table at `path`, or an empty one shaped like `like` before its first write."""
-    spark = like.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.schema(like.schema).parquet(path)
-    return like.limit(0)
+def _append(path: str, rows: DataFrame, number: int, marks: dict | None = None) -> None:
+    """Add the rows of a batch, once."""
+    store = Store(rows.sparkSession, path)
+    if (store.mark("batch") if store.mark("batch") is not None else -1) >= number:
+        return
+    rows = tables.with_month(rows).withColumn("batch", F.lit(number).cast("bigint"))
+    store.publish({tables.TABLE: Change(rows, BY)}, {**(marks or {}), "batch": number})
 
 
-def _fold_months(path: str, incoming: DataFrame, merge) -> None:
-    """Merge rows into the months of the table that they touch, and rewrite only those."""
-    fresh = tables.with_month(materialize(incoming))
-    months = fresh.select("memory_month").distinct()
-    known = _existing(path, fresh).join(months, "memory_month", "left_semi")
-    merged = merge(known.drop("memory_month"), fresh.drop("memory_month"))
-    tables.update_layer(tables.with_month(merged), path, ["memory_month"])
+def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], most: int = 16) -> list[str]:
+    """Fold months with more than `most` batches into one; returns those months.
 
+    `merge` is the merge of the table's reader: `merge_sessions`, `merge_turns` or
+    `merge_day_stats`.
+    """
+    from memlake.sources.snapshots import part_values
 
-def stream_session_registry(messages: DataFrame, path: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
-    """Keep the session registry table at `path` current from a message stream.
+    store = Store(spark, path)
+    months: dict[str, list[str]] = {}
+    for name in store.parts(tables.TABLE):
+        months.setdefault(part_values(name)["memory_month"], []).append(name)
+    crowded = {m: names for m, names in months.items() if len(names) > most}
+    if crowded:
+        columns = store.read(tables.TABLE).columns
+        rows = merge(store.read(tables.TABLE, {"memory_month": crowded}).drop("memory_month", "batch"))
+        rows = tables.with_month(rows).withColumn("batch", F.lit(BASE).cast("bigint")).select(columns)
+        store.publish({tables.TABLE: Change(rows, BY, emptied=tuple(n for names in crowded.values() for n in names))})
+    return sorted(crowded)
 
-    First sightings of each batch are folded into the months they touch. The
-    table is the state, so that a message of any age counts.
-    """
+
+# --- sessions ---------------------------------------------------------------------------------
+
+def stream_session_registry(messages: DataFrame, path: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
+    """Keep the session registry table at `path` current from a message stream; read it with `read_sessions`."""
     dated = messages.withColumn("memory_date", timeaxis.logical_day(F.col("ts"), settings))
 
-    def fold(batch: DataFrame, _: int) -> None:
-        first = batch.groupBy("agent_id", "memory_date", "session_id").agg(F.min("ts").alias("first_seen"))
-        _fold_months(path, first, upsert_sessions)
+    def fold(batch: DataFrame, number: int) -> None:
+        _append(path, batch.groupBy(*DAY, "session_id").agg(F.min("ts").alias("first_seen")), number)
 
     return dated.writeStream.outputMode("append").foreachBatch(fold)
 
 
+def merge_sessions(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*DAY, "session_id").agg(F.min("first_seen").alias("first_seen"))
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions per day with their earliest sighting."""
+    return merge_sessions(tables.read(spark, path))
+
+
+# --- turns ------------------------------------------------------------------------------------
+
 def stream_turns_to_days(turns: DataFrame, path: str, settings: Settings = DEFAULTS, late_path: str | None = None,
                          delay: str = "1 day") -> DataStreamWriter:
-    """Fold turns into their day, late ones too.
-
-    Each batch is merged into the stored days it touches and those are
-    renumbered, so a late turn lands in its place. Repeated deliveries, in a
-    batch or against the stored day, are one turn. No row is dropped for its
-    age: turns that are more than `delay` older than the newest stored one are
-    also written to `late_path`, by batch, so that anchors of their days can be
-    moved (`extract.remap_anchors`).
-    """
-    fresh = with_days(turns, settings).withColumn("turn_index", F.lit(-1).cast("bigint"))
+    """Fold turns into their day, late ones too; read the days with `read_turns`.
 
-    def merge(known: DataFrame, incoming: DataFrame) -> DataFrame:
-        identity = [c for c in incoming.columns if c not in ("message_id", "turn_index")]
-        days = incoming.select(*DAY).distinct()
-        touched = union_distinct(known.join(days, DAY, "left_semi"), incoming, identity, "message_id")
-        return order_turns(touched.drop("origin")).unionByName(known.join(days, DAY, "left_anti"))
+    No row is dropped for its age: turns that are more than `delay` older than
+    the newest stored one are also appended to the table at `late_path`, from
+    which `late_turns.fold_late_turns` brings written days up to date.
+    """
+    dated = with_days(turns, settings)
 
     def fold(batch: DataFrame, number: int) -> None:
         batch = materialize(batch.dropDuplicates(["agent_id", "session_id", "message_id"]))
-        if late_path:
-            newest = _existing(path, tables.with_month(batch)).agg(F.max("ts").alias("_newest"))
-            late = late_turns(batch.crossJoin(F.broadcast(newest)), F.col("_newest") - F.expr(f"interval {delay}"))
-            late.drop("_newest").write.mode("overwrite").parquet(f"{late_path}/batch={number}")
-        _fold_months(path, batch, merge)
+        store = Store(batch.sparkSession, path)
+        newest = store.mark("newest")
+        # One number a batch goes to the driver, and is published with the batch.
+        latest = batch.agg(F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()[0]
+        if late_path and newest is not None:
+            bound = F.timestamp_micros(F.lit(newest)) - F.expr(f"interval {delay}")
+            _append(late_path, batch.filter(F.col("ts") < bound), number)
+        known = [t for t in (newest, latest) if t is not None]
+        _append(path, batch, number, {"newest": max(known)} if known else None)
 
-    return fresh.writeStream.outputMode("append").foreachBatch(fold)
+    return dated.writeStream.outputMode("append").foreachBatch(fold)
 
 
-def late_turns(turns: DataFrame, watermark) -> DataFrame:
-    """Turns older than a point in time."""
-    return turns.filter(F.col("ts") < watermark)
+def merge_turns(rows: DataFrame) -> DataFrame:
+    """Turns with repeated deliveries as one, that of the least message."""
+    identity = [c for c in rows.columns if c not in ("message_id", "memory_month", "batch")]
+    return rows.groupBy(*identity).agg(F.min("message_id").alias("message_id"))
 
 
-def stream_day_stats(turns: DataFrame, path: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
-    """Keep counts per agent-day current at `path`, whatever the age of a turn.
+def read_turns(spark: SparkSession, path: str) -> DataFrame:
+    """All days' turns, each repeated delivery once, numbered within the day."""
+    return order_turns(merge_turns(tables.read(spark, path)))
 
-    The table has the counts of each day by batch; a batch that is run again
-    replaces its own. `read_day_stats` adds the batches of a day.
-    """
+
+# --- counts -----------------------------------------------------------------------------------
+
+def stream_day_stats(turns: DataFrame, path: str, settings: Settings = DEFAULTS) -> DataStreamWriter:
+    """Keep counts per agent-day current at `path`, whatever the age of a turn; read them with `read_day_stats`."""
     dated = with_days(turns, settings)
 
     def fold(batch: DataFrame, number: int) -> None:
-        counts = batch.groupBy(*DAY).agg(
+        _append(path, batch.groupBy(*DAY).agg(
             F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"),
-            F.count_if(F.col("role") == "assistant").alias("assistant_turns")).withColumn("_part", F.lit(number).cast("bigint"))
-        _fold_months(path, counts, lambda known, fresh: upsert(known, fresh, [*DAY, "_part"]))
+            F.count_if(F.col("role") == "assistant").alias("assistant_turns")), number)
 
     return dated.writeStream.outputMode("append").foreachBatch(fold)
 
 
-def read_day_stats(parts: DataFrame) -> DataFrame:
-    """Counts per agent-day from the table that `stream_day_stats` keeps."""
-    return parts.groupBy(*DAY).agg(*[F.sum(c).alias(c) for c in ("total_turns", "user_turns", "assistant_turns")])
+def merge_day_stats(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*DAY).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def read_day_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Counts per agent-day."""
+    return merge_day_stats(tables.read(spark, path))

@@ -263,10 +263,10 @@ def test_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     df = tables.with_month(spark.createDataFrame([("a", date(2024, m, d)) for m in (1, 2) for d in (1, 2, 3)], "agent_id string, memory_date date"))
     tables.write_layer(df, path, ["memory_month"])
-    tables.update_layer(tables.read(spark, path).filter("memory_date = '2024-01-01'"), path, ["memory_month"])
+    tables.write_layer(tables.read(spark, path).filter("memory_date = '2024-01-01'"), path, ["memory_month"])
     assert tables.read(spark, path).count() == 4
     emptied = tables.delete_rows(spark, path, spark.createDataFrame([("a", date(2024, 1, 1)), ("a", date(2024, 2, 3))], "agent_id string, memory_date date"),
-                                 ["agent_id", "memory_date"], ["memory_month"])
+                                 ["agent_id", "memory_date"])
     assert emptied == 1 and [str(r.memory_date) for r in tables.read(spark, path).orderBy("memory_date").collect()] == ["2024-02-01", "2024-02-02"]
 
 
@@ -283,7 +283,7 @@ def test_late_turns_find_their_place(spark, tmp_path):
     early, late = datetime(2024, 1, 5, 9), datetime(2024, 1, 5, 11)
     deliver([("a", "s", 1, "user", early, "first"), ("a", "s", 3, "user", late, "third")])
     deliver([("a", "s", 2, "assistant", datetime(2024, 1, 5, 10), "second"), ("a", "s", 3, "user", late, "third")])
-    rows = spark.read.parquet(table).orderBy("turn_index").collect()
+    rows = intake.read_turns(spark, table).orderBy("turn_index").collect()
     assert [(r.turn_index, r.content) for r in rows] == [(0, "first"), (1, "second"), (2, "third")]
 
 
