@@ -272,13 +272,13 @@ def tool_items(spark, sf):
 SELECT folder, session_id, arg_max(name, (plain, name)) AS file_name FROM (
   SELECT 'host' || user_id % 7 AS folder, 's' || user_id AS session_id, event_type = 'click' AS plain,
          CASE event_type WHEN 'click' THEN 's' || user_id || '.jsonl' ELSE 's' || user_id || '.jsonl.reset.' || strftime(ts, '%Y-%m-%d') END AS name
-  FROM events WHERE event_type <> 'view') GROUP BY ALL""")
+  FROM events) GROUP BY ALL""")
 def resolve_session_version(spark, sf):
     name = F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit(".jsonl"))
     file_name = F.when(F.col("event_type") == "click", name).otherwise(
         F.concat(name, F.lit(".reset."), F.date_format("ts", "yyyy-MM-dd")))
     folder = F.concat(F.lit("host"), (F.col("user_id") % 7).cast("string"))
-    files = fx.table(spark, sf, "events").filter("event_type != 'view'").select(
+    files = fx.table(spark, sf, "events").select(
         F.concat_ws("/", F.lit("/logs"), folder, file_name).alias("file_path"), file_name.alias("file_name")).distinct()
     return message_log.resolve_session_version(files).select(
         F.element_at(F.split("file_path", "/"), -2).alias("folder"), "session_id", "file_name")

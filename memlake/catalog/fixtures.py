@@ -11,13 +11,8 @@ from memlake.plans.extract import order_turns, with_days
 PIECE = 120
 
 
-# Tables with long texts, and the column their rows are spread by: work is heavy per row, files may be few.
-TEXTS = {"documents": "doc_id", "benchmark": "item_id"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return df.repartition(F.col(TEXTS[name])) if name in TEXTS else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # --- turns of conversations -------------------------------------------------------------
@@ -55,33 +50,39 @@ def l2_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l1_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Day summaries of three days in four, drawn from the first and last turn of the day."""
-    per_day = with_days(turns(spark, sf)).groupBy("agent_id", "memory_date").agg(
+    """Summaries of all days but thin ones. Every turn of the day is dealt, by its number, to one of the five lists."""
+    per_day = day_turns(spark, sf).groupBy("agent_id", "memory_date").agg(
         F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"),
         F.count_if(F.col("role") == "assistant").alias("assistant_turns"),
-        F.min_by("content", "message_id").alias("first_text"), F.max_by("content", "message_id").alias("last_text"))
+        F.array_sort(F.collect_list(F.struct("message_id", "turn_index", "content"))).alias("said"))
     d = F.datediff("memory_date", F.lit("2023-12-01").cast("date"))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("milestone", "bug_fix", "incident", "question")]), (d % 4 + 1).cast("int"))
-    return per_day.filter(d % 4 != 0).select(
+
+    def dealt(turn: int, value=lambda x: x["content"]) -> Column:
+        return F.transform(F.filter("said", lambda x: x["message_id"] % 5 == turn), value)
+
+    return per_day.filter("user_turns > 1").select(
         "agent_id", "memory_date", "total_turns", "user_turns", "assistant_turns",
         F.lit(0).cast("bigint").alias("tools_called_count"), F.lit("normal").alias("memory_signal"),
-        F.col("first_text").alias("summary"), F.array("agent_id", kind).alias("tags"), kind.alias("day_mood"),
-        F.array(F.struct(kind.alias("name"), F.col("last_text").alias("detail"))).alias("topics"),
-        F.array("last_text", F.lit(" ")).alias("decisions"), F.array("first_text").alias("todos"),
-        F.array(F.struct(kind.alias("type"), F.col("last_text").alias("desc"))).alias("key_items"),
-        F.array(F.struct(F.lit(2).cast("bigint").alias("turn"), kind.alias("emotion"), (d % 5 + 1).cast("int").alias("intensity"),
-                         F.col("first_text").alias("context"))).alias("emotional_peaks"),
+        F.col("said")[0]["content"].alias("summary"), F.array("agent_id", kind).alias("tags"), kind.alias("day_mood"),
+        dealt(0, lambda x: F.struct(kind.alias("name"), x["content"].alias("detail"))).alias("topics"),
+        dealt(1).alias("decisions"), dealt(2).alias("todos"),
+        dealt(3, lambda x: F.struct(kind.alias("type"), x["content"].alias("desc"))).alias("key_items"),
+        dealt(4, lambda x: F.struct(x["turn_index"].alias("turn"), kind.alias("emotion"), (d % 5 + 1).cast("int").alias("intensity"),
+                                    x["content"].alias("context"))).alias("emotional_peaks"),
         F.array(F.lit(0).cast("bigint"), F.col("user_turns")).alias("compress_hints"),
         _status(d % 3 != 0, F.lit(False)).alias("status"))
 
 
 def day_markers(spark: SparkSession, sf: str) -> DataFrame:
-    return days(spark, sf).filter("d % 8 = 0").select("agent_id", "memory_date", F.lit("nocontent").alias("marker"))
+    """A marker for every thin day; some are marked as without conversation, which leaves them without a summary or thin-day mark."""
+    marker = F.when(F.col("d") % 2 == 0, "nocontent").otherwise("noconversation")
+    return days(spark, sf).filter("user_turns <= 1").select("agent_id", "memory_date", marker.alias("marker"))
 
 
 def l0_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Surface index rows of every other summarised day, plus week rows."""
-    return l1_days(spark, sf).filter(F.datediff("memory_date", F.lit("2023-12-01").cast("date")) % 2 == 1).select(
+    """Surface index rows of all summarised days."""
+    return l1_days(spark, sf).select(
         "agent_id", F.lit("surface").alias("depth"), F.col("memory_date").cast("string").alias("time_key"), "summary",
         "tags", F.col("day_mood").alias("mood"), F.lit(None).cast("string").alias("window_date_start"),
         F.col("total_turns").alias("access_count"))
@@ -223,6 +224,21 @@ def sql_calibrated(value: str, key: str, order: str) -> str:
             f"+ 0.2 * CASE WHEN {value} > 0 THEN 1 / (1 + exp(-({value} - {mid}) / greatest({mid}, 1e-6))) ELSE 0.0::DOUBLE END)")
 
 
+def sql_latest(texts: str, limit: int) -> str:
+    """Per agent and week the latest distinct texts `s` (in order of `at_`) that fit into `limit` characters together.
+
+    Of a longer last one its whole sentences. `cut` is 1 if something was left out.
+    """
+    return f"""
+SELECT agent_id, week, coalesce(CASE WHEN max(n) FILTER (back = 1) <= {limit} THEN string_agg(s, '；' ORDER BY back DESC) FILTER (used <= {limit})
+    ELSE coalesce(nullif(regexp_extract(left(max(s) FILTER (back = 1), {limit}), '(?s)^(.*[.!?。！？；])', 1), ''), left(max(s) FILTER (back = 1), {limit})) END, '') AS text,
+  CASE WHEN max(used) > {limit} THEN 1 ELSE 0 END AS cut
+FROM (SELECT *, sum(n + CASE WHEN back = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY agent_id, week ORDER BY back) AS used FROM (
+  SELECT agent_id, week, s, length(s) AS n, row_number() OVER (PARTITION BY agent_id, week ORDER BY seen DESC) AS back FROM (
+    SELECT agent_id, week, s, min(at_) AS seen FROM ({texts}) WHERE s <> '' GROUP BY ALL)))
+GROUP BY agent_id, week"""
+
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_turns": ((), """
 SELECT concat('agent_', conv_id % 5) AS agent_id, conv_id AS session_id, conv_id * 1000 + turn AS message_id, role,
@@ -238,13 +254,42 @@ SELECT agent_id, memory_date, count(*) AS total_turns, count(*) FILTER (role = '
        date_diff('day', DATE '2023-12-01', memory_date) AS d
 FROM fx_day_turns GROUP BY agent_id, memory_date"""),
     "fx_l2": (("fx_days",), "SELECT agent_id, memory_date, d % 3 <> 0 AS archived, d % 7 = 0 AS trimmed FROM fx_days"),
-    "fx_l1": (("fx_days",), """
-SELECT *, ['milestone', 'bug_fix', 'incident', 'question'][d % 4 + 1] AS kind, d % 5 + 1 AS intensity, d % 3 <> 0 AS archived
-FROM fx_days WHERE d % 4 <> 0"""),
-    "fx_markers": (("fx_days",), "SELECT agent_id, memory_date, 'nocontent' AS marker FROM fx_days WHERE d % 8 = 0"),
+    "fx_l1": (("fx_days", "fx_day_turns"), """
+SELECT d.*, ['milestone', 'bug_fix', 'incident', 'question'][d % 4 + 1] AS kind, d % 5 + 1 AS intensity, d % 3 <> 0 AS archived,
+       coalesce(topics, []) AS topics, coalesce(decisions, []) AS decisions, coalesce(todos, []) AS todos,
+       coalesce(items, []) AS items, coalesce(peaks, []) AS peaks
+FROM fx_days d LEFT JOIN (
+  SELECT agent_id, memory_date, list(content ORDER BY message_id) FILTER (message_id % 5 = 0) AS topics,
+         list(content ORDER BY message_id) FILTER (message_id % 5 = 1) AS decisions,
+         list(content ORDER BY message_id) FILTER (message_id % 5 = 2) AS todos,
+         list(content ORDER BY message_id) FILTER (message_id % 5 = 3) AS items,
+         list({'turn': turn_index, 'text': content} ORDER BY message_id) FILTER (message_id % 5 = 4) AS peaks
+  FROM fx_day_turns GROUP BY ALL) USING (agent_id, memory_date) WHERE user_turns > 1"""),
+    "fx_markers": (("fx_days",), """
+SELECT agent_id, memory_date, CASE WHEN d % 2 = 0 THEN 'nocontent' ELSE 'noconversation' END AS marker FROM fx_days WHERE user_turns <= 1"""),
     "fx_l0": (("fx_l1",), """
 SELECT agent_id, 'surface' AS depth, CAST(memory_date AS VARCHAR) AS time_key, first_text AS summary, kind AS mood,
-       total_turns AS access_count, memory_date FROM fx_l1 WHERE d % 2 = 1"""),
+       total_turns AS access_count, memory_date, d FROM fx_l1"""),
+    # All entries of the lists of a week's summaries, in order (`o`), and what a rollup of the week keeps of them.
+    "fx_week_items": (("fx_l1",), f"""
+SELECT agent_id, week, field, d * 100000 + p AS o, v FROM (
+  SELECT agent_id, strftime(memory_date, '%G-W%V') AS week, d, field, unnest(vs) AS v, generate_subscripts(vs, 1) AS p FROM (
+    SELECT agent_id, memory_date, d, 'tags' AS field, [agent_id, kind] AS vs FROM fx_l1
+    UNION ALL SELECT agent_id, memory_date, d, 'topics', list_transform(topics, lambda x: kind || ': ' || x) FROM fx_l1
+    UNION ALL SELECT agent_id, memory_date, d, 'decisions', list_filter(list_transform(decisions, lambda x: {sql_strip('x')}), lambda x: x <> '') FROM fx_l1
+    UNION ALL SELECT agent_id, memory_date, d, 'todos', list_filter(list_transform(todos, lambda x: {sql_strip('x')}), lambda x: x <> '') FROM fx_l1
+    UNION ALL SELECT agent_id, memory_date, d, 'key_items', list_transform(items, lambda x: kind || ': ' || x) FROM fx_l1
+    UNION ALL SELECT agent_id, memory_date, d, 'emotional_peaks',
+              list_transform(peaks, lambda x: memory_date || ' ' || kind || ' ' || intensity || ' ' || x.text) FROM fx_l1))"""),
+    "fx_limits": ((), "SELECT * FROM (VALUES ('tags', 12), ('topics', 20), ('decisions', 20), ('todos', 15), ('key_items', 20), ('emotional_peaks', 15)) t(field, most)"),
+    "fx_week_kept": (("fx_week_items", "fx_limits"), """
+SELECT agent_id, week, field, v, o, n, back, most FROM (
+  SELECT *, row_number() OVER (PARTITION BY agent_id, week, field ORDER BY o DESC) AS back, count(*) OVER (PARTITION BY agent_id, week, field) AS n
+  FROM (SELECT agent_id, week, field, v, max(o) AS o FROM fx_week_items GROUP BY ALL)) JOIN fx_limits USING (field) WHERE back <= most"""),
+    "fx_week_texts": (("fx_l1",), f"""
+SELECT s.agent_id, s.week, s.text AS summary, m.text AS mood, s.cut + m.cut AS cut
+FROM ({sql_latest("SELECT agent_id, strftime(memory_date, '%G-W%V') AS week, first_text AS s, d AS at_ FROM fx_l1", 200)}) s
+JOIN ({sql_latest("SELECT agent_id, strftime(memory_date, '%G-W%V') AS week, kind AS s, d AS at_ FROM fx_l1", 40)}) m USING (agent_id, week)"""),
     "fx_day_items": ((), f"""
 SELECT concat('agent_', user_id) AS agent_id, {_DAY} AS memory_date,
        CASE WHEN event_id % 7 = 0 THEN 'bug_fix' WHEN event_type = 'signup' THEN 'milestone' WHEN event_type = 'error' THEN 'incident'

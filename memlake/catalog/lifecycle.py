@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from memlake.catalog import fixtures as fx
 from memlake.catalog.registry import query
@@ -40,11 +41,11 @@ SELECT agent_id, strftime(memory_date, '%G-W%V') AS week_id, kind, CAST(memory_d
 
 @query("archive_manifest", f"""
 SELECT agent_id, week_id, count(*) FILTER (NOT starts_with(kind, 'l0_')) AS file_count, {_joined('l1')}, {_joined('l2')},
-       {_joined('nocontent')}, {_joined('l0_index')}, {_joined('l0_embedding')} FROM ({_MEMBERS}) GROUP BY agent_id, week_id""",
+       {_joined('nocontent')}, {_joined('noconversation')}, {_joined('l0_index')}, {_joined('l0_embedding')} FROM ({_MEMBERS}) GROUP BY agent_id, week_id""",
        ("fx_l0", "fx_l2", "fx_markers"))
 def archive_manifest(spark, sf):
     listed = preserve.manifest(preserve.archive_weeks(store(spark, sf)))
-    kinds = ("l1", "l2", "nocontent", "l0_index", "l0_embedding")
+    kinds = ("l1", "l2", "nocontent", "noconversation", "l0_index", "l0_embedding")
     return listed.select("agent_id", "week_id", "file_count",
                          *[F.array_join(f"{k}_dates", ",").alias(f"{k}_dates") for k in kinds])
 
@@ -104,7 +105,7 @@ SELECT agent_id, memory_date, CASE WHEN skip_reason IS NULL THEN CASE WHEN has_l
 FROM (SELECT *, CASE WHEN NOT archived THEN 'status_not_archived' WHEN trimmed THEN 'already_trimmed'
                      WHEN NOT has_l1 AND NOT thin THEN 'missing_l1_and_nocontent' END AS skip_reason
       FROM (SELECT l2.*, l1.memory_date IS NOT NULL AS has_l1, m.memory_date IS NOT NULL AS thin
-            FROM fx_l2 l2 LEFT JOIN fx_l1 l1 USING (agent_id, memory_date) LEFT JOIN fx_markers m USING (agent_id, memory_date)
+            FROM fx_l2 l2 LEFT JOIN fx_l1 l1 USING (agent_id, memory_date) LEFT JOIN (FROM fx_markers WHERE marker = 'nocontent') m USING (agent_id, memory_date)
             WHERE l2.memory_date <= DATE '2024-02-04'))"""
 _TRIM_VIEWS = ("fx_l2", "fx_l1", "fx_markers")
 
@@ -122,39 +123,56 @@ def trim_plan(spark, sf):
 @query("trim_l2", f"""
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, turn_index, message_id
 FROM fx_day_turns t LEFT JOIN ({_PLAN}) p USING (agent_id, memory_date) LEFT JOIN fx_l1 l USING (agent_id, memory_date)
-WHERE p.mode IS NULL OR (p.mode = 'trim_from_l1' AND turn_index IN (0, 2, l.user_turns))""", _TRIM_VIEWS)
+WHERE p.mode IS NULL OR (p.mode = 'trim_from_l1' AND (turn_index IN (0, l.user_turns) OR list_contains(list_transform(l.peaks, lambda x: x.turn), turn_index)))""", _TRIM_VIEWS)
 def trim_l2(spark, sf):
     turns, _, _ = decay.trim_l2(fx.day_turns(spark, sf), fx.l2_days(spark, sf), fx.l1_days(spark, sf),
                                 fx.day_markers(spark, sf), "2024-W08")
     return turns.select("agent_id", _date(), "turn_index", "message_id")
 
 
-@query("week_view", """
-SELECT agent_id, strftime(memory_date, '%G-W%V') AS week, string_agg(CAST(memory_date AS VARCHAR) || '|' || kind || '|' || first_text, chr(10) ORDER BY memory_date) AS days
-FROM fx_l1 GROUP BY ALL""", ("fx_l1",))
+# How the lists of a summary or rollup are compared: one line per entry.
+_LINES = {"tags": lambda x: x, "decisions": lambda x: x, "todos": lambda x: x,
+          "topics": lambda x: F.concat_ws(": ", x["name"], x["detail"]), "key_items": lambda x: F.concat_ws(": ", x["type"], x["desc"]),
+          "emotional_peaks": lambda x: F.concat_ws(" ", x["date"].cast("string"), x["emotion"], x["intensity"].cast("string"), x["context"])}
+
+
+def _lists():
+    return [F.array_join(F.transform(name, line), "\n").alias(name) for name, line in _LINES.items()]
+
+
+def _pivot(kept: str) -> str:
+    columns = ", ".join(f"coalesce(string_agg(v, chr(10) ORDER BY o) FILTER (field = '{name}'), '') AS {name}" for name in _LINES)
+    return f"SELECT agent_id, week, {columns}, CAST(sum(CASE WHEN back = 1 THEN greatest(n - most, 0) ELSE 0 END) AS BIGINT) AS beyond FROM ({kept}) GROUP BY ALL"
+
+
+_PERIOD_LISTS = ", ".join(f"coalesce(string_agg(v, chr(10) ORDER BY o) FILTER (field = '{name}'), '') AS {name}" for name in _LINES)
+
+
+@query("week_view", f"""
+SELECT l.agent_id, strftime(memory_date, '%G-W%V') AS week, CAST(memory_date AS VARCHAR) AS memory_date, first_text AS summary, kind AS mood,
+       {', '.join(f"coalesce(i.{name}, '') AS {name}" for name in _LINES)}
+FROM fx_l1 l LEFT JOIN (SELECT agent_id, o // 100000 AS d, {_PERIOD_LISTS} FROM fx_week_items GROUP BY ALL) i USING (agent_id, d)""",
+       ("fx_l1", "fx_week_items"))
 def week_view(spark, sf):
     view = decay.week_view(fx.l1_days(spark, sf))
-    lines = F.transform("periods", lambda p: F.concat_ws("|", p["memory_date"].cast("string"), p["mood"], p["summary"]))
-    return view.select("agent_id", "week", F.array_join(lines, "\n").alias("days"))
+    return view.select("agent_id", "week", F.explode("periods").alias("p")).select("agent_id", "week", "p.*").select(
+        "agent_id", "week", _date(), "summary", "mood", *_lists())
+
+
+_ROLLUP = ", ".join(f"coalesce({name}, '') AS {name}" for name in _LINES)
 
 
 @query("shallow_rollup", f"""
-SELECT a.agent_id, '{WEEK}' AS time_key, '2024-01-22' AS window_date_start, '2024-01-28' AS window_date_end, n IS NULL AS no_l1_files,
-       coalesce(n, 0) AS topics, CASE WHEN n IS NULL THEN '本周无可用 surface L1 文件，不生成周级语义摘要。' ELSE texts END AS summary
-FROM (SELECT DISTINCT agent_id FROM fx_days) a LEFT JOIN (
-  SELECT agent_id, count(DISTINCT (kind, last_text)) AS n FROM fx_l1 WHERE {_WEEK_DAY} GROUP BY agent_id) w USING (agent_id) LEFT JOIN (
-  -- The latest texts that fit into 200 characters together; of a longer last one its whole sentences.
-  SELECT agent_id, CASE WHEN max(len_) FILTER (back = 1) <= 200 THEN string_agg(s, '；' ORDER BY back DESC) FILTER (used <= 200)
-      ELSE coalesce(nullif(regexp_extract(left(max(s) FILTER (back = 1), 200), '(?s)^(.*[.!?。！？；])', 1), ''), left(max(s) FILTER (back = 1), 200)) END AS texts
-  FROM (SELECT *, sum(len_ + CASE WHEN back = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY agent_id ORDER BY back) AS used FROM (
-    SELECT agent_id, s, length(s) AS len_, row_number() OVER (PARTITION BY agent_id ORDER BY seen DESC) AS back FROM (
-      SELECT agent_id, first_text AS s, min(memory_date) AS seen FROM fx_l1 WHERE {_WEEK_DAY} AND first_text <> '' GROUP BY ALL)))
-  GROUP BY agent_id) t USING (agent_id)""", ("fx_l1",))
+SELECT a.agent_id, '{WEEK}' AS time_key, '2024-01-22' AS window_date_start, '2024-01-28' AS window_date_end, w.week IS NULL AS no_l1_files,
+       CASE WHEN w.week IS NULL THEN '本周无可用 surface L1 文件，不生成周级语义摘要。' ELSE t.summary END AS summary, coalesce(t.mood, '') AS mood,
+       {_ROLLUP}, coalesce(beyond + cut, 0) AS dropped
+FROM (SELECT DISTINCT agent_id FROM fx_days) a LEFT JOIN (FROM ({_pivot("FROM fx_week_kept")}) WHERE week = '{WEEK}') w USING (agent_id)
+LEFT JOIN (FROM fx_week_texts WHERE week = '{WEEK}') t USING (agent_id)""", ("fx_week_kept", "fx_week_texts"))
 def shallow_rollup(spark, sf):
     rolled = decay.shallow_rollup(fx.days(spark, sf), fx.l1_days(spark, sf), "2024-W07")
     return rolled.select("agent_id", "time_key", F.col("window_date_start").cast("string").alias("window_date_start"),
-                         F.col("window_date_end").cast("string").alias("window_date_end"), "no_l1_files",
-                         F.size("topics").cast("bigint").alias("topics"), "summary")
+                         F.col("window_date_end").cast("string").alias("window_date_end"), "no_l1_files", "summary", "mood",
+                         *_lists(), "dropped")
 
 
 # Verdicts: days with d % 6 = 1 are landmarks, days with d % 6 = 5 have no verdict.
@@ -171,13 +189,26 @@ def shallow_delete_set(spark, sf):
                                     verdicts, WEEK).select("agent_id", _date(), "artefact")
 
 
+_GONE = f"archived AND {_WEEK_DAY}"
+
+
 @query("apply_day_deletes", f"""
-SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date FROM fx_l1 WHERE NOT (archived AND {_WEEK_DAY})""", ("fx_l1",))
+SELECT 'l1_days' AS table_name, agent_id, CAST(memory_date AS VARCHAR) AS item FROM fx_l1 WHERE NOT ({_GONE})
+UNION ALL SELECT 'l2_days', agent_id, CAST(memory_date AS VARCHAR) FROM fx_l2 WHERE NOT ({_GONE})
+UNION ALL SELECT 'turns', t.agent_id, t.memory_date || ' ' || turn_index FROM fx_day_turns t JOIN fx_l2 USING (agent_id, memory_date) WHERE NOT ({_GONE})
+UNION ALL SELECT 'day_markers', agent_id, memory_date || ' ' || marker FROM fx_markers WHERE NOT ({_WEEK_DAY})
+UNION ALL SELECT unnest(['l0_index', 'l0_embeddings']), agent_id, CAST(memory_date AS VARCHAR) FROM fx_l1 WHERE NOT ({_GONE})""",
+       ("fx_l1", "fx_l2", "fx_markers", "fx_day_turns"))
 def apply_day_deletes(spark, sf):
     everything, days = store(spark, sf), fx.days(spark, sf)
     none = days.limit(0).select("agent_id", "memory_date", F.lit(True).alias("landmark"))
     doomed = decay.shallow_delete_set(days, everything["l1_days"], everything["l2_days"], everything["day_markers"], none, WEEK)
-    return decay.apply_day_deletes(everything, doomed)["l1_days"].select("agent_id", _date())
+    left = decay.apply_day_deletes(everything, doomed)
+    more = {"turns": ["turn_index"], "day_markers": ["marker"]}
+    parts = [left[t].select(F.lit(t).alias("table_name"), "agent_id", F.concat_ws(
+        " ", F.col("time_key" if t.startswith("l0_") else "memory_date").cast("string"), *[F.col(c).cast("string") for c in more.get(t, [])]
+        ).alias("item")) for t in left]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _WEEKS = "SELECT agent_id, strftime(memory_date, '%G-W%V') AS week, CAST(date_trunc('week', memory_date) AS DATE) AS monday FROM fx_day_items GROUP BY ALL"
@@ -215,13 +246,27 @@ _ROLLED = """SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY monday)
   SELECT agent_id, strftime(memory_date, '%G-W%V') AS week, min(CAST(date_trunc('week', memory_date) AS DATE)) AS monday FROM fx_l1 GROUP BY ALL)"""
 
 
+_OLD_WEEKS = f"SELECT agent_id, week, monday FROM ({_ROLLED}) WHERE position <= 4 AND available >= 4"
+_DEEP_KEPT = f"""SELECT *, 'all' AS week FROM (
+  SELECT *, row_number() OVER (PARTITION BY agent_id, field ORDER BY o DESC) AS back, count(*) OVER (PARTITION BY agent_id, field) AS n
+  FROM (SELECT agent_id, field, v, max(o) AS o FROM fx_week_kept JOIN ({_OLD_WEEKS}) USING (agent_id, week) GROUP BY ALL))
+JOIN fx_limits USING (field) WHERE back <= most"""
+
+
+def _deep_text(column: str, limit: int) -> str:
+    return fx.sql_latest(f"SELECT agent_id, 'all' AS week, {column} AS s, monday AS at_ FROM fx_week_texts JOIN ({_OLD_WEEKS}) USING (agent_id, week)", limit)
+
+
 @query("deep_rollup", f"""
 SELECT agent_id, CAST(min(monday) AS VARCHAR) || '+' || (max(monday) - min(monday) + 7) || 'd' AS time_key,
-       array_to_string(list_sort(list(week)), ',') AS source_weeks FROM ({_ROLLED}) WHERE position <= 4 AND available >= 4 GROUP BY agent_id""", ("fx_l1",))
+       array_to_string(list_sort(list(o.week)), ',') AS source_weeks, any_value(s.text) AS summary, any_value(m.text) AS mood,
+       {', '.join(f"any_value({name}) AS {name}" for name in _LINES)}, any_value(beyond + s.cut + m.cut) AS dropped
+FROM ({_OLD_WEEKS}) o JOIN ({_pivot(_DEEP_KEPT)}) USING (agent_id) JOIN ({_deep_text('summary', 240)}) s USING (agent_id)
+JOIN ({_deep_text('mood', 40)}) m USING (agent_id) GROUP BY agent_id""", ("fx_week_kept", "fx_week_texts"))
 def deep_rollup(spark, sf):
     rollups = _all_rollups(spark, sf)
     deep = decay.deep_rollup(rollups, rollups.select("agent_id", F.col("time_key").alias("week")))
-    return deep.select("agent_id", "time_key", F.array_join("source_weeks", ",").alias("source_weeks"))
+    return deep.select("agent_id", "time_key", F.array_join("source_weeks", ",").alias("source_weeks"), "summary", "mood", *_lists(), "dropped")
 
 
 @query("deep_cleanup", f"""
@@ -233,15 +278,20 @@ def deep_cleanup(spark, sf):
     return merging.prune(registered, doomed.withColumnRenamed("time_key", "week"), ["agent_id", "week"])
 
 
+def stored_index(spark, sf):
+    """The index before a run that is still to write every second day's row."""
+    return fx.l0_index(spark, sf).filter(F.datediff(F.to_date("time_key"), F.lit("2023-12-01").cast("date")) % 2 == 1)
+
+
 @query("backfill_targets", """
 SELECT a.agent_id, CAST(day AS VARCHAR) AS memory_date
 FROM (SELECT DISTINCT agent_id FROM fx_days) a, (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-02-29', INTERVAL 1 DAY)) AS DATE) AS day)
 WHERE (a.agent_id, day) NOT IN (
-  SELECT (l2.agent_id, l2.memory_date) FROM fx_l2 l2 LEFT JOIN fx_l1 l1 USING (agent_id, memory_date) LEFT JOIN fx_markers m USING (agent_id, memory_date)
-  LEFT JOIN fx_l0 i USING (agent_id, memory_date) WHERE m.marker IS NOT NULL OR (l1.kind IS NOT NULL AND i.time_key IS NOT NULL))""", ("fx_l2", "fx_l0", "fx_markers"))
+  SELECT (l2.agent_id, l2.memory_date) FROM fx_l2 l2 LEFT JOIN fx_l1 l1 USING (agent_id, memory_date) LEFT JOIN (FROM fx_markers WHERE marker = 'nocontent') m USING (agent_id, memory_date)
+  LEFT JOIN (FROM fx_l0 WHERE d % 2 = 1) i USING (agent_id, memory_date) WHERE m.marker IS NOT NULL OR (l1.kind IS NOT NULL AND i.time_key IS NOT NULL))""", ("fx_l2", "fx_l0", "fx_markers"))
 def backfill_targets(spark, sf):
     return jobs.backfill_targets(fx.days(spark, sf), date(2024, 1, 1), date(2024, 2, 29), fx.l2_days(spark, sf), fx.l1_days(spark, sf),
-                                 fx.day_markers(spark, sf), fx.l0_index(spark, sf)).select("agent_id", _date())
+                                 fx.day_markers(spark, sf), stored_index(spark, sf)).select("agent_id", _date())
 
 
 @query("rerun_targets", """
@@ -270,9 +320,9 @@ def mark_rerun_done(spark, sf):
 
 
 @query("rescore_range", """
-SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, CASE WHEN kind = 'bug_fix' THEN 1 ELSE 0 END AS bug_fix
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, CASE WHEN kind = 'bug_fix' THEN len(items) ELSE 0 END AS bug_fix
 FROM fx_l1 WHERE memory_date >= DATE '2024-01-15'""", ("fx_l1",))
 def rescore_range(spark, sf):
     empty = landmarks.count_documents(fx.l1_days(spark, sf)).limit(0)
     return jobs.rescore_range(empty, fx.l1_days(spark, sf), start=date(2024, 1, 15)).select(
-        "agent_id", _date(), F.element_at("key_items", "bug_fix").alias("bug_fix"))
+        "agent_id", _date(), F.coalesce(F.element_at("key_items", "bug_fix"), F.lit(0).cast("bigint")).alias("bug_fix"))

@@ -111,7 +111,7 @@ def _agents(spark, sf):
 
 @query("recent_days", """
 SELECT w.agent_id, CAST(w.day AS VARCHAR) AS memory_date, kind IS NULL AS missing, coalesce(regexp_replace(first_text, '^\\s+|\\s+$', '', 'g'), '') AS summary,
-       CASE WHEN kind IS NULL THEN '' ELSE kind || ': ' || regexp_replace(last_text, '^\\s+|\\s+$', '', 'g') END AS topics
+       coalesce(array_to_string(list_transform(topics, lambda x: kind || ': ' || regexp_replace(x, '^\\s+|\\s+$', '', 'g')), chr(10)), '') AS topics
 FROM (SELECT agent_id, CAST(last_day + 1 - i AS DATE) AS day FROM (SELECT agent_id, max(memory_date) AS last_day, unnest([1, 2, 3, 4, 5]) AS i FROM fx_days GROUP BY agent_id)) w
 LEFT JOIN fx_l1 l ON l.agent_id = w.agent_id AND l.memory_date = w.day""", ("fx_l1",))
 def recent_days(spark, sf):

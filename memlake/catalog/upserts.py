@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.catalog import fixtures as fx
+from memlake.catalog.lifecycle import stored_index
 from memlake.catalog.registry import query
 from memlake.operators import landmarks, merging
 from memlake.plans import write
@@ -16,15 +17,14 @@ def _date():
 
 
 @query("l0_upsert", """
-SELECT agent_id, coalesce(n.time_key, o.time_key) AS time_key, coalesce(n.summary, o.summary) AS summary,
-       CASE WHEN n.time_key IS NULL THEN o.access_count ELSE coalesce(o.access_count, 0) END AS access_count,
-       coalesce(n.time_key, o.time_key) || '|0|surface|' || coalesce(n.time_key, o.time_key) AS ord_key
-FROM fx_l0 o FULL JOIN (SELECT agent_id, CAST(memory_date AS VARCHAR) AS time_key, first_text AS summary FROM fx_l1 WHERE d % 3 = 0) n
-USING (agent_id, time_key)""", ("fx_l0",))
+SELECT agent_id, time_key, CASE WHEN d % 2 = 1 AND d % 3 <> 0 THEN 'stored' ELSE summary END AS summary,
+       CASE WHEN d % 2 = 1 THEN access_count ELSE 0 END AS access_count, time_key || '|0|surface|' || time_key AS ord_key FROM fx_l0""", ("fx_l0",))
 def l0_upsert(spark, sf):
-    fresh = write.index_rows(fx.l1_days(spark, sf).filter(F.datediff("memory_date", F.lit("2023-12-01").cast("date")) % 3 == 0))
-    merged = merging.upsert_index(fx.l0_index(spark, sf), fresh)
-    return merged.select("agent_id", "time_key", "summary", "access_count", "ord_key")
+    """Every second day is stored; a run writes the others, and every third anew."""
+    d = F.datediff("memory_date", F.lit("2023-12-01").cast("date"))
+    fresh = write.index_rows(fx.l1_days(spark, sf).filter((d % 2 == 0) | (d % 3 == 0)))
+    old = stored_index(spark, sf).withColumn("summary", F.lit("stored"))
+    return merging.upsert_index(old, fresh).select("agent_id", "time_key", "summary", "access_count", "ord_key")
 
 
 @query("index_order_after_rollup", """
@@ -39,17 +39,23 @@ _EMBED = "'摘要：' || regexp_replace(first_text, '^\\s+|\\s+$', '', 'g') || c
 
 
 @query("embedding_upsert", f"""
-SELECT agent_id, CAST(memory_date AS VARCHAR) AS time_key, {_EMBED} AS text_used, d % 6 <> 1 AS recomputed
-FROM fx_l1 WHERE d % 2 = 1""", ("fx_l1",))
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS time_key, {_EMBED} AS text_used,
+       CASE WHEN d % 6 = 1 THEN '-1,-1' ELSE length({_EMBED}) || ',' || (length({_EMBED}) - length(replace({_EMBED}, 'e', ''))) END AS embedding
+FROM fx_l1""", ("fx_l1",))
 def embedding_upsert(spark, sf):
-    """Stored vectors are current for some days and stale for the others; only stale ones are computed."""
+    """Stored vectors are current for some days and stale for the others; only stale ones are computed.
+
+    The vector is the text's length and its number of `e`.
+    """
     index = write.with_embed_text(fx.l0_index(spark, sf))
     current = F.datediff("time_key", F.lit("2023-12-01").cast("date")) % 6 == 1
     old = index.select("agent_id", "depth", "time_key",
                        F.when(current, F.col("text_used")).otherwise("stale").alias("text_used"),
-                       F.array(F.lit(0.0)).alias("embedding"))
-    merged = merging.upsert_embeddings(old, index, write.hashed_embedding(16))
-    return merged.select("agent_id", "time_key", "text_used", (F.size("embedding") == 16).alias("recomputed"))
+                       F.array(F.lit(-1.0), F.lit(-1.0)).alias("embedding"))
+    plain = lambda rows: rows.withColumn("embedding", F.array(
+        F.length("text_used").cast("double"), (F.length("text_used") - F.length(F.replace("text_used", F.lit("e"), F.lit("")))).cast("double")))
+    merged = merging.upsert_embeddings(old, index, plain)
+    return merged.select("agent_id", "time_key", "text_used", F.array_join(F.col("embedding").cast("array<bigint>").cast("array<string>"), ",").alias("embedding"))
 
 
 @query("upsert_counts", """
@@ -64,7 +70,7 @@ def upsert_counts(spark, sf):
 
 @query("merge_days", """
 SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, total_turns, user_turns,
-       CASE WHEN d % 4 <> 0 THEN first_text END AS summary, coalesce(d % 4 <> 0 AND d % 3 <> 0, false) AS archived
+       CASE WHEN user_turns > 1 THEN first_text END AS summary, user_turns > 1 AND d % 3 <> 0 AS archived
 FROM fx_days""", ("fx_days",))
 def merge_days(spark, sf):
     days = fx.days(spark, sf)
@@ -82,9 +88,8 @@ def register_weeks(spark, sf):
     return merging.register_weeks(weeks.filter("d % 2 = 0"), weeks)
 
 
-@query("prune_index", """
-SELECT agent_id, time_key FROM fx_l0 o WHERE NOT EXISTS (
-  SELECT 1 FROM fx_markers m WHERE m.agent_id = o.agent_id AND CAST(m.memory_date AS VARCHAR) = o.time_key)""", ("fx_l0", "fx_markers"))
+@query("prune_index", "SELECT agent_id, time_key FROM fx_l0 WHERE d % 7 <> 0", ("fx_l0",))
 def prune_index(spark, sf):
-    doomed = fx.day_markers(spark, sf).select("agent_id", F.lit("surface").alias("depth"), F.col("memory_date").cast("string").alias("time_key"))
+    doomed = fx.l2_days(spark, sf).filter("status.trimmed").select(
+        "agent_id", F.lit("surface").alias("depth"), F.col("memory_date").cast("string").alias("time_key"))
     return merging.prune(fx.l0_index(spark, sf), doomed, ["agent_id", "depth", "time_key"]).select("agent_id", "time_key")
