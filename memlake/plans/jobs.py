@@ -1,17 +1,14 @@
-"""Jobs over ranges: backfills, reruns of failures, rescoring, the weekly run."""
+"""Targets of backfills and reruns, and rescoring. The runs themselves are in `daily` and `weekly`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
 from memlake.functions import timeaxis
-from memlake.operators.merging import register_weeks, upsert_index, without
-from memlake.plans import decay, preserve
+from memlake.operators.merging import without
 from memlake.plans.write import record_counts
-from memlake.settings import DEFAULTS, Settings
 
 DAY = ["agent_id", "memory_date"]
 
@@ -34,59 +31,6 @@ def backfill_targets(agents: DataFrame, first: date, last: date, l2_days: DataFr
     return without(wanted, complete_days(l2_days, l1_days, markers, index), keys=DAY)
 
 
-def backfill_days(targets: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All missing days in one plan: `run` gets the target days and extracts and writes them together."""
-    return run(targets.select(*DAY))
-
-
-def weeks_to_backfill(first: date, last: date) -> list[str]:
-    """Week ids from the week of `first` to the last week complete by `last`."""
-    monday = first - timedelta(days=first.weekday())
-    out = []
-    while monday + timedelta(days=6) <= last:
-        year, number, _ = monday.isocalendar()
-        out.append(f"{year}-W{number:02d}")
-        monday += timedelta(days=7)
-    return out
-
-
-def backfill_weeks(state: dict[str, DataFrame], first: date, last: date, apply: bool = False,
-                   settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
-    """Decay runs in week order; each works on what the one before left."""
-    for week in weeks_to_backfill(first, last):
-        state = decay_source_week(state, week, apply, settings)
-    return state
-
-
-def decay_source_week(state: dict[str, DataFrame], source_week: str, apply: bool, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
-    """Trim, roll up and clean one source week.
-
-    `state` holds the store tables plus `agents`, `landmark_counts`, `rollups`
-    and `shallow_weeks` (agent_id, week). Without `apply` nothing is deleted.
-    """
-    store = dict(state)
-    plan = decay.trim_plan(store["l2_days"], store["l1_days"], store["day_markers"], timeaxis.week_sunday(F.lit(source_week)))
-    store["turns"] = decay.trim_turns(store["turns"], plan, decay.anchor_turns(store["l1_days"]))
-    store["l2_days"] = preserve.mark_status(store["l2_days"], plan.filter("mode is not null"), "trimmed")
-    weekly = decay.shallow_rollup(store["agents"], store["l1_days"], source_week, settings, source_week=source_week)
-    store["rollups"] = store["rollups"].join(weekly.select("agent_id", "depth", "time_key"),
-                                             ["agent_id", "depth", "time_key"], "left_anti").unionByName(weekly)
-    store["shallow_weeks"] = register_weeks(store["shallow_weeks"], weekly.withColumn("week", F.col("time_key")))
-    store["l0_index"] = upsert_index(store["l0_index"].drop("ord_key"), decay.rollup_index_rows(weekly), "shallow").drop("ord_key")
-    verdicts = decay.week_verdicts(store["landmark_counts"], source_week, settings)
-    doomed = decay.shallow_delete_set(store["agents"], store["l1_days"], store["l2_days"], store["day_markers"], verdicts, source_week)
-    if apply:
-        store = decay.apply_day_deletes(store, doomed)
-    deep = decay.deep_rollup(store["rollups"], store["shallow_weeks"], settings)
-    store["rollups"] = store["rollups"].unionByName(deep)
-    store["l0_index"] = upsert_index(store["l0_index"], decay.rollup_index_rows(deep), "deep").drop("ord_key")
-    if apply:
-        consumed = decay.deep_delete_set(deep)
-        store["rollups"], store["shallow_weeks"], store["l0_index"], store["l0_embeddings"] = decay.apply_deep_deletes(
-            store["rollups"], store["shallow_weeks"], store["l0_index"], store["l0_embeddings"], consumed)
-    return store
-
-
 def rerun_targets(failures: DataFrame) -> DataFrame:
     """Agent-days to run again: failures not yet marked done. A null agent means the whole day."""
     return failures.filter(~F.coalesce("rerun_done", F.lit(False))).select("agent_id", "memory_date").distinct()
