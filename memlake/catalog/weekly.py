@@ -101,7 +101,7 @@ def _after(first: str, last: str, windows: int) -> str:
     text = lambda column, none, limit: fx.sql_latest(
         f"SELECT agent_id, period AS week, coalesce({column}, '{none}') AS s, monday AS at_ FROM spans LEFT JOIN fx_week_texts USING (agent_id, week) WHERE depth = 'deep'", limit)
     return f""", facts AS (
-  SELECT l2.agent_id, l2.memory_date, l2.archived OR {inside} AS archived, trimmed AS was_trimmed, {inside} AND d % 6 <> 1 AS gone,
+  SELECT l2.agent_id, l2.memory_date, l2.archived OR {inside} AS archived, trimmed AS was_trimmed, {inside} AND NOT (d % 6 = 1 AND l1.kind IS NOT NULL) AS gone,
          l1.kind IS NOT NULL AS has_l1, memory_date <= DATE '{last}' AND (l2.archived OR {inside}) AND NOT trimmed
            AND (l1.kind IS NOT NULL OR coalesce(marker = 'nocontent', false)) AS trims
   FROM fx_l2 l2 JOIN (SELECT agent_id, memory_date, d FROM fx_days) USING (agent_id, memory_date)

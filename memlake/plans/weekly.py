@@ -111,19 +111,19 @@ def decay_week(state: dict[str, DataFrame], week: str, apply: bool, settings: Se
 
     columns = state["rollups"].columns
     weekly = materialize(decay.shallow_rollup(state["agents"], state["l1_days"], week, settings, source_week=week)).select(columns)
-    rollups = materialize(prune(state["rollups"], weekly, L0).unionByName(weekly))
-    registered = materialize(register_weeks(state["shallow_weeks"], weekly.withColumn("week", F.col("time_key"))))
+    rollups = prune(state["rollups"], weekly, L0).unionByName(weekly)
+    registered = register_weeks(state["shallow_weeks"], weekly.withColumn("week", F.col("time_key")))
     deep = materialize(decay.deep_rollup(rollups, registered, settings)).select(columns)
     out["rollups"] = prune(rollups, deep, L0).unionByName(deep)
     out["shallow_weeks"] = registered
-    fresh = materialize(decay.rollup_index_rows(weekly).unionByName(decay.rollup_index_rows(deep)))
+    fresh = decay.rollup_index_rows(weekly).unionByName(decay.rollup_index_rows(deep))
     out["l0_index"], out["l0_embeddings"] = index_and_embed(state["l0_index"], state["l0_embeddings"], fresh, embed, model, "deep")
     if not apply:
         return out
     doomed = materialize(decay.shallow_delete_set(state["agents"], state["l1_days"], state["l2_days"], state["day_markers"],
                                                   verdicts(state["landmark_counts"], week, settings), week))
     out = {**out, **{t: rows for t, rows in decay.apply_day_deletes({**state, **out}, doomed).items() if t in ARCHIVED}}
-    consumed = materialize(decay.deep_delete_set(deep))
+    consumed = decay.deep_delete_set(deep)
     out["rollups"], out["shallow_weeks"], out["l0_index"], out["l0_embeddings"] = decay.apply_deep_deletes(
         out["rollups"], out["shallow_weeks"], out["l0_index"], out["l0_embeddings"], consumed)
     return out
@@ -151,8 +151,6 @@ def run_week(store: Store, week: str, archive_path: str | None = None, apply: bo
     marks = {step: sunday.isoformat()}
     if archive_path:
         state.update(archive_files.archive_store({t: state[t] for t in ARCHIVED}, archive_path, [week]))
-        for t in ("l1_days", "l2_days"):
-            state[t] = materialize(state[t])
     changed = {**{t: state[t] for t in ("l1_days", "l2_days") if archive_path}, **decay_week(state, week, apply, settings, embed, model, verdicts)}
     if {"session_registry", "session_archive", "current_sessions"} <= set(state):
         archive = sessions.session_preserve(state["session_registry"], state["session_archive"], state["current_sessions"], week)

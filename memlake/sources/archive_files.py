@@ -37,7 +37,6 @@ def write_archive(tables: dict[str, DataFrame], path: str, weeks: list[str], ove
     spark = next(iter(tables.values())).sparkSession
     store = Store(spark, path)
     archive = preserve.archive_weeks(tables, weeks, manifest(spark, path, weeks), overwrite)
-    archive = {t: materialize(rows) for t, rows in archive.items()}
     fresh = materialize(preserve.manifest(archive))
     if fresh.isEmpty():
         return fresh
