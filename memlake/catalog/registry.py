@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _AREAS = ("extract", "landmark", "recalling", "chunking", "upserts", "lifecycle", "sessions", "reading", "summaries",
-          "streams", "weekly")
+          "streams", "weekly", "daily")
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:

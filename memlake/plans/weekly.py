@@ -65,15 +65,16 @@ class Slice:
     def __init__(self, store: Store, months: set[str], years: set[str]):
         self.store, self.parts = store, {}
         self.tables: dict[str, DataFrame] = {}
-        for name, about in store.version()["tables"].items():
+        version = store.version()
+        for name, about in version["tables"].items():
             if name in DAYS:
                 only = {"memory_month": sorted(months)}
             elif name in KEYED:
                 only = {"depth": ["surface", "shallow", "deep"], "period": sorted(months | years)}
             else:
                 only = None
-            self.parts[name] = tuple(store.parts(name, only)) if about["by"] else ()
-            self.tables[name] = store.read(name, only).drop("memory_month", "period")
+            self.parts[name] = tuple(store.parts(name, only, version)) if about["by"] else ()
+            self.tables[name] = store.read(name, only, version).drop("memory_month", "period")
 
     def publish(self, tables: dict[str, DataFrame], marks: dict) -> None:
         """Put changed tables in place of the slice."""
