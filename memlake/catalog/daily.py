@@ -16,7 +16,11 @@ from memlake.sources.snapshots import Store
 
 DAY = ["agent_id", "memory_date"]
 FIRST, LAST = date(2023, 12, 1), date(2026, 12, 31)
-_D = F.datediff("memory_date", F.lit("2023-12-01").cast("date"))
+
+
+def _number():
+    return F.datediff("memory_date", F.lit("2023-12-01").cast("date"))
+
 
 
 def _store(spark, sf) -> Store:
@@ -36,11 +40,11 @@ def failing() -> daily.Inference:
 
     def chunks(fragments):
         calls.append(1)
-        bad = (_D % 4 == 2) | (F.lit(len(calls) == 1) & (_D % 4 == 1))
+        bad = (_number() % 4 == 2) | (F.lit(len(calls) == 1) & (_number() % 4 == 1))
         return sound.chunks(fragments).withColumn("valid", ~bad)
 
     def days(chunked, fragments):
-        bad = _D % 8 == 3
+        bad = _number() % 8 == 3
         return sound.days(chunked, fragments).withColumns({"valid": ~bad, "problem": F.when(bad, "keys")})
 
     return daily.Inference(chunks, days)

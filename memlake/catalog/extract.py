@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from memlake.catalog import fixtures as fx
@@ -10,6 +12,7 @@ from memlake.functions import text as tx, timeaxis
 from memlake.functions.text import estimate_tokens
 from memlake.operators.merging import union_distinct
 from memlake.plans import extract
+from memlake.session import checkpoint_dir
 from memlake.sources import message_log, message_tables
 
 # Fixed values, the redaction patterns in RE2's spelling: its \w and \b know ASCII only.
@@ -282,3 +285,46 @@ def resolve_session_version(spark, sf):
         F.concat_ws("/", F.lit("/logs"), folder, file_name).alias("file_path"), file_name.alias("file_name")).distinct()
     return message_log.resolve_session_version(files).select(
         F.element_at(F.split("file_path", "/"), -2).alias("folder"), "session_id", "file_name")
+
+
+# --- log files -------------------------------------------------------------------------------------
+
+_LINE = """CASE (conv_id + turn) % 7 WHEN 0 THEN ' ' WHEN 1 THEN '{broken ' || conv_id || ':' || turn WHEN 2 THEN '{"type":"session","id":"' || conv_id || ':' || turn || '"}'
+  WHEN 3 THEN '{"type":"message","timestamp":"never","message":{"role":"user","content":"' || conv_id || ':' || turn || '"}}'
+  WHEN 4 THEN '{"type":"message","timestamp":"2024-01-01T10:00:00Z","message":{"role":"toolResult","content":"' || conv_id || ':' || turn || '"}}' END"""
+
+
+def write_log_files(spark, sf) -> str:
+    """Conversations as JSON lines, a file for each agent and session, with five kinds of lines that are no messages."""
+    rows = fx.table(spark, sf, "conversations")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    good = F.to_json(F.struct(F.lit("message").alias("type"), stamp.alias("timestamp"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    lines = rows.select(F.concat(F.lit("agent_"), (F.col("conv_id") % 5).cast("string")).alias("agent"), F.concat(F.lit("s"), (F.col("conv_id") % 3).cast("string")).alias("session"),
+                        F.coalesce(F.expr(_LINE), good).alias("value"))
+    base = f"{checkpoint_dir(spark)}/logs-{uuid4().hex}"
+    lines.repartition("agent", "session").write.partitionBy("agent", "session").text(f"{base}/written")
+    # Spark names its own files; sessions are told by theirs. One rename for each of the fifteen files.
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(path(f"{base}/written/*/*/part-*")):
+        session = found.getPath().getParent()
+        folder = path(f"{base}/logs/{session.getParent().getName().split('=')[1]}")
+        files.mkdirs(folder)
+        files.rename(found.getPath(), path(folder, f"{session.getName().split('=')[1]}.jsonl"))
+    files.mkdirs(path(f"{base}/logs"))
+    return f"{base}/logs"
+
+
+@query("message_log_files", f"""
+SELECT 'agent_' || conv_id % 5 AS agent_id, 's' || conv_id % 3 AS session_id, ['good', 'blank', 'unparsable', 'other_type', 'no_time', 'tool_result'][
+         CASE WHEN (conv_id + turn) % 7 > 4 THEN 1 ELSE (conv_id + turn) % 7 + 2 END] AS outcome,
+       coalesce({_LINE}, role || '|' || (1704067200 + conv_id * 60 + turn) || '|' || text) AS content
+FROM conversations""")
+def message_log_files(spark, sf):
+    """Messages and quarantined lines of written files; together they are all lines."""
+    path = write_log_files(spark, sf)
+    good = message_log.read_message_log(spark, path).select(
+        "agent_id", "session_id", F.lit("good").alias("outcome"),
+        F.concat_ws("|", "role", F.unix_timestamp("ts").cast("string"), F.col("blocks")[0]["text"]).alias("content"))
+    bad = message_log.quarantine(spark, path)
+    return good.unionByName(bad.select("agent_id", "session_id", F.col("problem").alias("outcome"), F.col("value").alias("content")))

@@ -12,7 +12,12 @@ PIECE = 120
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A shared table. Texts that lie in fewer pieces than there are cores (one small file) are spread over them; others stay where they are."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name != "documents":
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 # --- turns of conversations -------------------------------------------------------------

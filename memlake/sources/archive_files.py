@@ -36,15 +36,18 @@ def write_archive(tables: dict[str, DataFrame], path: str, weeks: list[str], ove
     """
     spark = next(iter(tables.values())).sparkSession
     store = Store(spark, path)
-    archive = preserve.archive_weeks(tables, weeks, manifest(spark, path, weeks), overwrite)
+    version = store.version()
+    known = store.read(MANIFEST, {"week_id": weeks}, version) if MANIFEST in version["tables"] else None
+    archive = preserve.archive_weeks(tables, weeks, known, overwrite)
     fresh = materialize(preserve.manifest(archive))
     if fresh.isEmpty():
         return fresh
     changes = {}
     for table, rows in {**archive, MANIFEST: fresh}.items():
-        if store.has(table):
-            others = store.read(table, {"week_id": weeks}).join(fresh.select(AGENT_WEEK), AGENT_WEEK, "left_anti")
-            changes[table] = Change(others.unionByName(rows), WEEK, emptied=tuple(store.parts(table, {"week_id": weeks})))
+        parts = store.parts(table, {"week_id": weeks}, version) if table in version["tables"] else {}
+        if parts:
+            others = store.read(table, {"week_id": weeks}, version).join(fresh.select(AGENT_WEEK), AGENT_WEEK, "left_anti")
+            changes[table] = Change(others.unionByName(rows), WEEK, emptied=tuple(parts))
         else:
             changes[table] = Change(rows, WEEK)
     store.publish(changes)
@@ -71,10 +74,10 @@ def archive_store(tables: dict[str, DataFrame], path: str, weeks: list[str], ove
     """
     write_archive(tables, path, weeks, overwrite)
     store = Store(next(iter(tables.values())).sparkSession, path)
-    marked = dict(tables)
+    marked, version = dict(tables), store.version()
     for table in ("l1_days", "l2_days"):
-        if store.has(table):
-            stored = store.read(table, {"week_id": weeks}).select(*preserve.DAY)
+        if table in version["tables"]:
+            stored = store.read(table, {"week_id": weeks}, version).select(*preserve.DAY)
             unflagged = tables[table].where(~F.coalesce("status.archived", F.lit(False))).select(*preserve.DAY)
             marked[table] = preserve.mark_status(tables[table], stored.join(unflagged, preserve.DAY, "left_semi"), "archived")
     return marked

@@ -28,30 +28,43 @@ def _blocks(content: Column) -> Column:
     return F.when(kind.startswith("ARRAY"), as_list).when(kind == "STRING", single).otherwise(empty)
 
 
-def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Raw messages from JSON lines.
+def check_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Every line with what it holds (`ts`, `role`, `blocks`) and its first `problem`.
 
-    Blank and broken lines, other record types, unreadable timestamps and tool
-    results are skipped. Other columns of `lines` are kept.
+    Problems: `blank`, `unparsable` (no JSON), `other_type` (no message record),
+    `no_time` (unreadable timestamp), `tool_result`; null for messages. Other
+    columns of `lines` and the line itself are kept.
     """
     rest = [c for c in lines.columns if c != value]
-    parsed = lines.select(*rest, parse_strict(tx.strip(F.col(value))).alias("_d")).filter(F.col("_d").isNotNull())
+    parsed = lines.select(*rest, value, parse_strict(tx.strip(F.col(value))).alias("_d"))
     fields = parsed.select(
-        *rest, _text("_d", "$.type").alias("_type"),
+        *rest, value, F.col("_d").isNull().alias("_broken"), _text("_d", "$.type").alias("_type"),
         F.try_to_timestamp(_text("_d", "$.timestamp")).alias("ts"),
         F.coalesce(_text("_d", "$.message.role"), F.lit("unknown")).alias("role"),
         F.try_variant_get("_d", "$.message.content", "variant").alias("_content"))
-    return (fields.filter((F.col("_type") == "message") & F.col("ts").isNotNull() & (F.col("role") != "toolResult"))
-            .select(*rest, "ts", "role", F.coalesce(
-                _blocks(F.col("_content")), F.array().cast(BLOCKS)).alias("blocks")))
+    problem = (F.when(F.coalesce(tx.strip(F.col(value)), F.lit("")) == "", "blank").when(F.col("_broken"), "unparsable")
+                .when(~F.coalesce(F.col("_type") == "message", F.lit(False)), "other_type")
+                .when(F.col("ts").isNull(), "no_time").when(F.col("role") == "toolResult", "tool_result"))
+    blocks = F.coalesce(_blocks(F.col("_content")), F.array().cast(BLOCKS))
+    return fields.select(*rest, value, "ts", "role", blocks.alias("blocks"), problem.alias("problem"))
 
 
-def read_message_log(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of all session files under `path`, laid out as `<agent>/<session file>`.
+def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Raw messages from JSON lines.
+
+    Blank and broken lines, other record types, unreadable timestamps and tool
+    results are skipped (`check_log_lines` says which). Other columns of `lines`
+    are kept.
+    """
+    return check_log_lines(lines, value).filter("problem is null").drop(value, "problem")
+
 
-    Of several files of a session only the current version is read. Messages
-    carry the position of their line (`file_block`, `line_id`), which orders
-    messages with equal timestamps.
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of the session files under `path`, laid out as `<agent>/<session file>`.
+
+    Of several files of a session only the current version is read. Lines carry
+    their file, the byte at which their block of the file begins (`file_block`)
+    and `line_id`, which orders the lines of a block.
     """
     # Listing reads no file content: only the path column of the binary source is selected.
     paths = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -62,7 +75,28 @@ def read_message_log(spark: SparkSession, path: str) -> DataFrame:
              .select("value", F.col("_metadata.file_path").alias("file_path"),
                      F.col("_metadata.file_block_start").alias("file_block"),
                      F.monotonically_increasing_id().alias("line_id")))
-    return parse_log_lines(lines.join(chosen, "file_path")).drop("file_path")
+    return lines.join(chosen, "file_path")
+
+
+def read_message_log(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of all session files under `path` (see `read_log_lines`).
+
+    Their position (`file_block`, `line_id`) orders messages with equal timestamps.
+    """
+    return parse_log_lines(read_log_lines(spark, path)).drop("file_path")
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that `read_message_log` leaves out, with their problem and place.
+
+    A line is found again by its file, the byte where its block begins and its
+    number in the block, from 0. Messages and quarantined lines together are all
+    lines.
+    """
+    checked = check_log_lines(read_log_lines(spark, path))
+    first = checked.groupBy("file_path", "file_block").agg(F.min("line_id").alias("_first"))
+    return checked.filter("problem is not null").join(first, ["file_path", "file_block"]).select(
+        "agent_id", "session_id", "file_path", "file_block", (F.col("line_id") - F.col("_first")).alias("line_in_block"), "problem", "value")
 
 
 def resolve_session_version(files: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from memlake import schemas
 from memlake.functions import documents as dc, scores as sc, text as tx, timeaxis as ta
 from memlake.operators import landmarks, merging
 from memlake.operators.diversity import assemble, diversify
-from memlake.plans import decay, extract, jobs, preserve, recent, write
+from memlake.plans import daily, decay, embedding, extract, late_turns, preserve, recent, weekly, write
 from memlake.settings import Settings
 from memlake.sources import message_log, message_tables, tables
 from memlake.streaming import intake
@@ -99,7 +99,7 @@ def test_time_keys(spark):
     assert got == ["2024-02-29", "None", "2020-12-31", "None", "None", "2024-01-18", "2024-01-01", "None", "None"]
     assert column(spark, ["2024-W01"], lambda c: ta.shift_week(c, -1)) == ["2023-W52"]
     assert ta.date_window("2024-02-01, 2024-01-01") == (date(2024, 1, 1), date(2024, 2, 1))
-    assert jobs.weeks_to_backfill(date(2024, 1, 3), date(2024, 1, 20)) == ["2024-W01", "2024-W02"]
+    assert weekly.weeks_between(date(2024, 1, 3), date(2024, 1, 20)) == ["2024-W01", "2024-W02"]
     weeks = spark.range(1).select(ta.complete_weeks(F.lit("2024-01-03").cast("date"), F.lit("2024-01-20").cast("date")).alias("w")).first().w
     assert weeks == ["2024-W01", "2024-W02"]
 
@@ -232,22 +232,104 @@ def test_archive_and_restore_round_trip(spark, sf):
     assert "l1_days" not in only and only["day_markers"].filter("marker = 'nocontent'").count() == 0
 
 
-def test_decay_week_preview_deletes_nothing(spark, sf):
-    from memlake.catalog import fixtures as fx
-    from memlake.catalog.lifecycle import store
-    state = store(spark, sf)
-    state["agents"] = fx.days(spark, sf).select("agent_id").distinct()
-    state["landmark_counts"] = landmarks.count_documents(state["l1_days"])
-    state["rollups"] = decay.shallow_rollup(state["agents"], state["l1_days"], "2024-W10").limit(0)
-    state["shallow_weeks"] = spark.createDataFrame([], "agent_id string, week string")
-    week = state["l1_days"].select(ta.week_id(F.col("memory_date")).alias("w")).first().w
-    seen = jobs.decay_source_week(state, week, apply=False)
-    assert seen["l1_days"].count() == state["l1_days"].count()
-    assert seen["rollups"].count() == state["agents"].count() == seen["shallow_weeks"].count()
-    gone = jobs.decay_source_week(state, week, apply=True)
-    assert gone["l1_days"].count() < state["l1_days"].count()
-    rolled = seen["rollups"].filter("NOT no_l1_files").count()
-    assert seen["l0_index"].filter("depth = 'shallow'").count() == rolled
+def test_a_week_without_cleanup_deletes_nothing_and_repeats_nothing(spark, sf):
+    """Three weeks without cleanup: every agent has one row per week and window, however often it is rolled up."""
+    from memlake.catalog.weekly import _folder, lifecycle_store
+    store = lifecycle_store(spark, sf)
+    before = store.read("l1_days").count()
+    assert weekly.backfill_weeks(store, date(2024, 1, 1), date(2024, 1, 21), settings=Settings(deep_weeks=2)) == [f"2024-W0{i}" for i in range(1, 4)]
+    agents, rollups = store.read("agents").count(), store.read("rollups")
+    assert store.read("l1_days").count() == before and store.read("shallow_weeks").count() == 3 * agents
+    assert rollups.where("depth = 'shallow'").count() == 3 * agents and rollups.where("depth = 'deep'").count() == agents
+    assert rollups.select("agent_id", "depth", "time_key").distinct().count() == rollups.count()
+    for table in ("turns", "rollups", "l0_index"):  # read from files: the plan does not remember the weeks
+        assert store.read(table)._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    version = store.version()["name"]
+    assert weekly.backfill_weeks(store, date(2024, 1, 1), date(2024, 1, 21), settings=Settings(deep_weeks=2)) == []
+    assert store.version()["name"] == version
+
+
+def test_an_interrupted_archive_is_invisible(spark, sf, tmp_path, monkeypatch):
+    from memlake.catalog.lifecycle import store as lifecycle_tables
+    from memlake.sources import archive_files
+    from memlake.sources.snapshots import Store
+    tables_, path = lifecycle_tables(spark, sf), str(tmp_path / "archive")
+    weeks = weekly.weeks_between(date(2024, 1, 1), date(2024, 1, 21))
+    assert archive_files.write_archive(tables_, path, weeks[:1]).count() > 0
+    counts = lambda: (archive_files.manifest(spark, path).count(), Store(spark, path).read("turns").count())
+    first = counts()
+    monkeypatch.setattr(Store, "_move", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        archive_files.write_archive(tables_, path, weeks)
+    monkeypatch.undo()
+    assert counts() == first
+    archive_files.write_archive(tables_, path, weeks)
+    assert counts()[0] >= first[0] and archive_files.write_archive(tables_, path, weeks).count() == 0
+    # A restore lists the files of its week only.
+    back = archive_files.read_archive(spark, path, week=weeks[0])
+    assert {f.split("/data/")[1].split("/")[1].split("=")[1] for f in back["turns"].inputFiles()} == set(Store(spark, path).parts("turns", {"week_id": [weeks[0]]}))
+
+
+def test_only_changed_texts_are_embedded(spark):
+    asked = []
+
+    def embed(rows):
+        rows = rows.withColumn("embedding", F.array(F.length("text_used").cast("double")))
+        asked.append(sorted((r.depth, r.time_key) for r in rows.collect()))
+        return rows
+
+    ddl = schemas.L0_INDEX
+    row = lambda depth, key, text: ("a", depth, key, text, ["t"], "", None, 0)
+    index, vectors = spark.createDataFrame([], ddl), spark.createDataFrame([], embedding.EMBEDDINGS)
+    first = [row("surface", "2024-01-01", "one"), row("shallow", "2024-W01", "week"), row("deep", "2024-01-01+28d", "window")]
+    index, vectors = embedding.index_and_embed(index, vectors, spark.createDataFrame(first, ddl), embed, "m1")
+    again = [first[0], row("shallow", "2024-W01", "new"), first[2]]
+    index, vectors = embedding.index_and_embed(index, vectors, spark.createDataFrame(again, ddl), embed, "m1")
+    index, vectors = embedding.index_and_embed(index, vectors, spark.createDataFrame(again[:1], ddl), embed, "m2")
+    assert asked == [sorted((r[1], r[2]) for r in first), [("shallow", "2024-W01")], [("surface", "2024-01-01")]]
+    got = {r.time_key: (r.text_used, r.embedding[0], r.model) for r in vectors.collect()}
+    assert {k: v[2] for k, v in got.items()} == {"2024-01-01": "m2", "2024-W01": "m1", "2024-01-01+28d": "m1"}
+    assert all(v[1] == len(v[0]) for v in got.values()) and "new" in got["2024-W01"][0] and index.count() == 3
+
+
+def test_the_ledger_hands_out_open_days_only(spark):
+    day = date(2024, 1, 1)
+    ledger = daily.enroll(spark.createDataFrame([], daily.LEDGER), spark.createDataFrame(
+        [(a, day) for a in "abc"] + [("a", day)], "agent_id string, memory_date date"))
+    handed = lambda l: sorted(r.agent_id for r in daily.hand_out(l, 1).collect())
+    outcome = lambda *rows: spark.createDataFrame([(a, day, ok, p) for a, ok, p in rows], "agent_id string, memory_date date, succeeded boolean, problem string")
+    assert handed(ledger) == ["a", "b", "c"]
+    ledger = daily.settle(ledger, outcome(("a", True, None), ("b", False, "x"), ("c", False, "y")), 1, "r1")
+    assert handed(ledger) == ["b", "c"]
+    ledger = daily.settle(ledger, outcome(("b", False, "z"), ("c", True, None)), 1, "r2")
+    rows = {r.agent_id: (r.status, r.attempts, r.problem, r.run_name) for r in ledger.collect()}
+    assert rows == {"a": ("done", 1, None, "r1"), "b": ("failed", 2, "z", "r2"), "c": ("done", 2, None, "r2")} and handed(ledger) == []
+    everyone = spark.createDataFrame([(None, day)], "agent_id string, memory_date date")
+    assert handed(daily.reopen(ledger, everyone)) == ["b"]
+
+
+def test_late_turns_move_anchors_and_trimming_keeps_their_turns(spark):
+    from memlake.catalog.daily import written_store
+    day = date(2024, 1, 5)
+    said = [(9, "user", "We decided to ship."), (11, "assistant", "Great news!"), (13, "user", "Plain words here"), (15, "user", "You must call Bob.")]
+    make = lambda rows: extract.order_turns(spark.createDataFrame(
+        [("a", day, "s", datetime(2024, 1, 5, h), f"{h:02d}:00", r, t, "text", 0) for h, r, t in rows],
+        "agent_id string, memory_date date, session_id string, ts timestamp, hhmm string, role string, content string, message_type string, message_id long")).drop("message_id")
+    early, late = make([said[0], *said[1:]]), make([(8, "user", "Hello there"), said[1], (10, "user", "Anything")])
+    anchored = lambda store: sorted(r.content for r in store.read("turns").join(decay.anchor_turns(store.read("l1_days")).distinct(), ["agent_id", "memory_date", "turn_index"]).collect())
+    store = written_store(spark, early)
+    kept = anchored(store)
+    late_turns.fold_late_turns(store, late)
+    turns = [r.content for r in store.read("turns").orderBy("turn_index").collect()]
+    assert turns == ["Hello there", "We decided to ship.", "Anything", "Great news!", "Plain words here", "You must call Bob."]
+    l1 = store.read("l1_days").first()
+    assert anchored(store) == kept and l1.total_turns == 6 and l1.user_turns == 5
+    assert [turns[p.turn] for p in l1.emotional_peaks] == ["Great news!"]
+    again, scratch = written_store(spark, early), written_store(spark, make([(8, "user", "Hello there"), said[0], (10, "user", "Anything"), *said[1:]]))
+    late_turns.fold_late_turns(again, late, daily.built_in())
+    plain = lambda s, t: sorted(str(r) for r in s.read(t).drop("status", "memory_month", "period").collect())
+    for table in ("turns", "l1_days", "landmark_counts", "l0_index", "l0_embeddings", "day_markers"):
+        assert plain(again, table) == plain(scratch, table), table
 
 
 def test_upserts_are_idempotent(spark, sf):
