@@ -120,12 +120,43 @@ def _fragments(spark, sf):
 _WORDS = f"""SELECT agent_id, memory_date, turn_index, unnest({fx.sql_tokens('content')}) AS word FROM fx_day_turns"""
 
 
-@query("infer_map", f"""
-SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, left(word, 20) AS word, count(*) AS n
-FROM ({_WORDS}) WHERE length(word) >= 4 GROUP BY agent_id, memory_date, left(word, 20)""", ("fx_day_turns",))
+# Fixed value: the characters of a word, which the SQL engine's boundaries do not know beyond ASCII.
+_W = r"\p{L}\p{M}\p{N}_"
+
+
+def _cue(words: str, others: str) -> str:
+    return f"regexp_matches(s, '(?i)(^|[^{_W}])({words})($|[^{_W}])|{others}')"
+
+
+_CUES = {"decision": _cue("decided?|agreed|we will|let''s use", "决定|确定"), "todo": _cue("todo|to-do|need to|must|should", "待办|需要"),
+         "milestone": _cue("released?|launched|completed|shipped", "完成|发布"), "bug_fix": _cue("fixed|bug|patch(ed)?", "修复"),
+         "config_change": _cue("config(ured)?|setting|enabled|disabled", "配置"), "incident": _cue("outage|incident|crash(ed)?|failure", "故障")}
+_TYPES = "CASE " + " ".join(f"WHEN {_CUES[t]} THEN '{t}'" for t in ("milestone", "bug_fix", "config_change", "incident", "decision")) + (
+    " WHEN regexp_matches(s, '[?？]') THEN 'question' END")
+# Findings of the built-in summariser: sentences by cue, and words with the least sentence of the first turn that has them.
+_FOUND = rf""", sentences AS (
+  SELECT agent_id, memory_date, turn_index, pos, s FROM (
+    SELECT agent_id, memory_date, turn_index, generate_subscripts(parts, 1) - 1 AS pos, {fx.sql_strip('unnest(parts)')} AS s FROM (
+      SELECT *, string_split_regex(regexp_replace(content, '([.!?。！？])\s*', '\1' || chr(1), 'g'), '\x01|\n+') AS parts FROM fx_day_turns)) WHERE s <> ''),
+found AS (
+  SELECT agent_id, memory_date, turn_index, 'summary' AS kind, left(s, 120) AS value, 0 AS weight, pos FROM sentences WHERE pos = 0
+  UNION ALL SELECT agent_id, memory_date, turn_index, 'decision', left(s, 100), 0, pos FROM sentences WHERE {_CUES['decision']}
+  UNION ALL SELECT agent_id, memory_date, turn_index, 'todo', left(s, 100), 0, pos FROM sentences WHERE {_CUES['todo']}
+  UNION ALL SELECT agent_id, memory_date, turn_index, 'peak', left(s, 100), least(5, 2 + len(regexp_extract_all(s, '[!！]'))), pos FROM sentences WHERE regexp_matches(s, '[!！]')
+  UNION ALL SELECT agent_id, memory_date, turn_index, 'item:' || type, left(s, 150), 0, pos FROM (SELECT *, {_TYPES} AS type FROM sentences) WHERE type IS NOT NULL
+  UNION ALL SELECT agent_id, memory_date, first.t, 'topic', left(word, 20) || chr(10) || first.d, n, 0 FROM (
+    SELECT agent_id, memory_date, word, count(*) AS n, min({{'t': turn_index, 'd': left(s, 120)}}) AS first FROM (
+      SELECT agent_id, memory_date, turn_index, s, unnest({fx.sql_tokens('s')}) AS word FROM sentences) WHERE length(word) >= 4 GROUP BY ALL))
+"""
+
+
+@query("infer_map", _FOUND + """
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, turn_index, kind, value, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight
+FROM found GROUP BY ALL""", ("fx_day_turns",))
 def infer_map(spark, sf):
-    found = write.infer_map(_fragments(spark, sf)).filter("kind = 'topic'")
-    return found.groupBy("agent_id", _date(), F.substring_index("value", "\n", 1).alias("word")).agg(F.sum("weight").alias("n"))
+    """All findings of all chunks."""
+    found = write.infer_map(_fragments(spark, sf))
+    return found.groupBy("agent_id", _date(), "turn_index", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 
 
 _DAY_TAGS = f"""
@@ -135,14 +166,41 @@ SELECT agent_id, memory_date, string_agg(word, ',' ORDER BY n DESC, place, word)
   QUALIFY row_number() OVER (PARTITION BY agent_id, memory_date ORDER BY count(*) DESC, min(turn_index), left(word, 20)) <= 10) GROUP BY ALL"""
 
 
-@query("infer_reduce", f"""
-SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, CASE WHEN user_turns = 0 THEN 'low' ELSE 'normal' END AS memory_signal,
-       CASE WHEN user_turns = 0 THEN '' ELSE tags END AS tags
-FROM fx_days LEFT JOIN ({_DAY_TAGS}) USING (agent_id, memory_date)""", ("fx_days",))
+_MERGED = """, merged AS (
+  SELECT agent_id, memory_date, CASE WHEN starts_with(kind, 'item:') THEN 'item' ELSE kind END AS family, kind, name, sum(weight) AS weight, max(weight) AS highest,
+         min({'t': turn_index, 'p': pos, 'v': value}) AS first
+  FROM (SELECT *, CASE WHEN kind = 'topic' THEN split_part(value, chr(10), 1) ELSE value END AS name FROM found) GROUP BY ALL),
+best AS (SELECT *, first.t AS turn, first.v AS value, row_number() OVER (
+           PARTITION BY agent_id, memory_date, family ORDER BY weight DESC, first.t, first.p, kind, name) AS place FROM merged
+         QUALIFY family NOT IN ('topic', 'summary') OR place <= CASE family WHEN 'topic' THEN 10 ELSE 1 END),
+day AS (SELECT agent_id, memory_date,
+    string_agg(name || ': ' || substring(value, strpos(value, chr(10)) + 1), chr(10) ORDER BY place) FILTER (family = 'topic' AND place <= 8) AS topics,
+    string_agg(name, ',' ORDER BY place) FILTER (family = 'topic') AS tags, max(value) FILTER (family = 'summary') AS summary,
+    string_agg(value, chr(10) ORDER BY place) FILTER (family = 'decision') AS decisions,
+    string_agg(value, chr(10) ORDER BY place) FILTER (family = 'todo') AS todos,
+    string_agg(substring(kind, 6) || ': ' || value, chr(10) ORDER BY place) FILTER (family = 'item') AS key_items,
+    string_agg(turn || ' emphasis ' || highest || ' ' || value, chr(10) ORDER BY place) FILTER (family = 'peak') AS emotional_peaks,
+    array_to_string(list_sort(list(DISTINCT turn)), ',') AS source_turns FROM best GROUP BY ALL)"""
+_SUMMARY = ("summary", "topics", "decisions", "todos", "key_items", "tags", "emotional_peaks", "source_turns")
+
+
+@query("infer_reduce", _FOUND + _MERGED + f"""
+SELECT agent_id, CAST(memory_date AS VARCHAR) AS memory_date, CASE WHEN low THEN 'low' ELSE 'normal' END AS memory_signal,
+       CASE WHEN low OR emotional_peaks IS NULL THEN '' ELSE 'emphatic' END AS day_mood,
+       CASE WHEN low THEN '{write.LOW_SIGNAL_SUMMARY}' ELSE coalesce(summary, '') END AS summary,
+       {', '.join(f"CASE WHEN low THEN '' ELSE coalesce({c}, '') END AS {c}" for c in _SUMMARY[1:])}
+FROM (SELECT *, user_turns = 0 OR (total_turns <= 8 AND tags IS NULL) AS low FROM fx_days LEFT JOIN day USING (agent_id, memory_date))""", ("fx_days",))
 def infer_reduce(spark, sf):
+    """All fields of all day summaries."""
     fragments = _fragments(spark, sf)
     days = write.infer_reduce(write.infer_map(fragments), write.low_signal_context(fragments))
-    return days.select("agent_id", _date(), "memory_signal", F.array_join("tags", ",").alias("tags"))
+    lines = lambda name, line: F.array_join(F.transform(name, line), "\n").alias(name)
+    return days.select(
+        "agent_id", _date(), "memory_signal", "day_mood", "summary", lines("topics", lambda t: F.concat_ws(": ", t["name"], t["detail"])),
+        F.array_join("decisions", "\n").alias("decisions"), F.array_join("todos", "\n").alias("todos"),
+        lines("key_items", lambda k: F.concat_ws(": ", k["type"], k["desc"])), F.array_join("tags", ",").alias("tags"),
+        lines("emotional_peaks", lambda p: F.concat_ws(" ", p["turn"].cast("string"), p["emotion"], p["intensity"].cast("string"), p["context"])),
+        F.array_join(F.col("source_turns").cast("array<string>"), ",").alias("source_turns"))
 
 
 @query("low_signal_context", """

@@ -91,7 +91,11 @@ def extract_summaries(fragments: DataFrame) -> DataFrame:
     Kept as rows so that nothing is collected before limits are applied.
     """
     spoken = sentences(fragments)
-    place = (F.col("turn_index") * 1_000_000 + F.coalesce("from_char", F.lit(0)) + F.col("sentence_pos")).alias("place")
+    def at(sentence: Column) -> Column:
+        return F.struct(F.col("turn_index").cast("bigint").alias("turn"), F.coalesce("from_char", F.lit(0)).cast("bigint").alias("char"),
+                        sentence.cast("bigint").alias("sentence"))
+
+    place = at(F.col("sentence_pos")).alias("place")
 
     def found(kind: Column | str, value: Column, weight: Column, rows: DataFrame = spoken) -> DataFrame:
         kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -112,8 +116,7 @@ def extract_summaries(fragments: DataFrame) -> DataFrame:
     words = spoken.select(*CHUNK, "turn_index", "from_char", "sentence_pos", "sentence",
                           F.explode(tx.match_tokens(F.col("sentence"))).alias("word")).filter(F.length("word") >= 4)
     # One row per word of a chunk, with its count and the first turn that has it.
-    at = (F.col("turn_index") * 1_000_000 + F.coalesce("from_char", F.lit(0))).alias("place")
-    first = F.min(F.struct(at, "turn_index", cut(LIMITS["topic_detail"]).alias("detail"))).alias("_f")
+    first = F.min(F.struct(at(F.lit(0)).alias("place"), "turn_index", cut(LIMITS["topic_detail"]).alias("detail"))).alias("_f")
     counted = words.groupBy(*CHUNK, "word").agg(F.count(F.lit(1)).alias("weight"), first)
     topics = counted.select(*CHUNK, F.col("_f.turn_index").alias("turn_index"), F.lit("topic").alias("kind"),
                             F.concat_ws("\n", F.left("word", F.lit(LIMITS["topic_name"])), "_f.detail").alias("value"),
