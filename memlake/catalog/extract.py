@@ -53,6 +53,38 @@ def logical_day_turns(spark, sf):
         "agent_id", "message_id", F.col("memory_date").cast("string").alias("memory_date"), "hhmm")
 
 
+# Windows of an agent: a day and a half from every noon and midnight of January, each month, and two that are empty or upside down.
+_SPANS = """
+SELECT 'w' || n AS window_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 12 HOUR * n AS window_start, TIMESTAMP '2024-01-02 12:00:00' + INTERVAL 12 HOUR * n AS window_end
+FROM (SELECT CAST(unnest(range(0, 62)) AS INT) AS n)
+UNION ALL SELECT 'm' || n, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MONTH * n, TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 1 MONTH * n FROM (SELECT CAST(unnest(range(0, 12)) AS INT) AS n)
+UNION ALL SELECT 'empty', TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-05 00:00:00' UNION ALL SELECT 'back', TIMESTAMP '2024-01-06 00:00:00', TIMESTAMP '2024-01-05 00:00:00'"""
+
+
+@query("overlapping_windows", f"""
+SELECT agent_id, window_id, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS ids FROM (
+  SELECT CASE WHEN user_id % 3 < 2 THEN 'most' ELSE 'agent_' || user_id % 7 END AS agent_id, event_id, ts FROM events) e
+JOIN (SELECT agent_id, s.* FROM (SELECT unnest(['most', 'agent_0', 'agent_1', 'agent_2', 'agent_3', 'agent_4']) AS agent_id), ({_SPANS}) s) w USING (agent_id)
+WHERE ts >= window_start AND ts < window_end GROUP BY ALL""")
+def overlapping_windows(spark, sf):
+    """Messages in windows that overlap, last a month or are empty; one agent has most messages, two have no windows."""
+    agent = F.when(F.col("user_id") % 3 < 2, "most").otherwise(F.concat(F.lit("agent_"), (F.col("user_id") % 7).cast("string")))
+    messages = fx.table(spark, sf, "events").select(agent.alias("agent_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    stamp = lambda text: F.lit(text).cast("timestamp")
+    half = spark.range(62).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("window_id"),
+                                  (stamp("2024-01-01 00:00:00") + F.make_dt_interval(F.lit(0), (F.col("id") * 12).cast("int"))).alias("window_start"),
+                                  (stamp("2024-01-02 12:00:00") + F.make_dt_interval(F.lit(0), (F.col("id") * 12).cast("int"))).alias("window_end"))
+    first = lambda n: F.add_months(F.lit("2024-01-01").cast("date"), n.cast("int")).cast("timestamp")
+    months = spark.range(12).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("window_id"), first(F.col("id")).alias("window_start"),
+                                    first(F.col("id") + 1).alias("window_end"))
+    none = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("window_id"), stamp(a).alias("window_start"), stamp(b).alias("window_end"))
+                                 for n, a, b in (("empty", "2024-01-05", "2024-01-05"), ("back", "2024-01-06", "2024-01-05"))])).alias("w")).select("w.*")
+    agents = F.explode(F.array(*[F.lit(a) for a in ("most", *[f"agent_{i}" for i in range(5)])])).alias("agent_id")
+    windows = half.unionByName(months).unionByName(none).select("*", agents)
+    found = timeaxis.assign_windows(messages, windows, keys=("agent_id",))
+    return found.groupBy("agent_id", "window_id").agg(F.count(F.lit(1)).alias("messages"), F.sum("event_id").alias("ids"))
+
+
 @query("window_messages", """
 SELECT CAST(memory_date AS VARCHAR) AS memory_date, agent_id, message_id
 FROM (SELECT DISTINCT memory_date FROM fx_day_turns) w JOIN fx_turns t

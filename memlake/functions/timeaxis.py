@@ -45,19 +45,33 @@ def day_windows(days: DataFrame, *, start_offset: int = 0, start_hour: int = 3,
                 .withColumn("window_end", bound(end_offset, end_hour, end_minute)))
 
 
-def assign_windows(messages: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFrame:
-    """Range join for windows that overlap or leave gaps.
+#: Shortest slice of time that windows are laid out over, in seconds; longer windows take slices of four, sixteen, ... times.
+SLICE = 6 * 3600
 
-    Windows are laid out over the UTC dates they touch, so the join is an equi
-    join on the date and the range test is a residual filter.
+
+def assign_windows(messages: DataFrame, windows: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Messages with every window of theirs, `[window_start, window_end)`; windows may overlap, last for months or leave gaps.
+
+    With `keys` (such as the agent) a message meets the windows of its key only.
+    Windows are laid out over slices of time about as long as themselves, a few
+    each; a message looks once per slice length in use, and the join is an equi
+    join on key, slice length and slice. A key with most of the messages is so cut
+    by time. Empty windows and null times match nothing.
     """
-    covered = windows.select(
-        "*",
-        F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))).alias("_utc_date"))
-    return (messages.withColumn("_utc_date", F.to_date(F.col(ts).cast("timestamp")))
-            .join(covered, "_utc_date")
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    lasts = seconds(F.col("window_end")) - seconds(F.col("window_start"))
+    length = F.lit(SLICE).cast("bigint") * F.pow(F.lit(4.0), F.greatest(F.lit(0), F.ceil(F.log(4.0, lasts / SLICE)))).cast("bigint")
+    sized = windows.where("window_start < window_end").withColumn("_length", length)
+    # One number for each fourfold length of windows goes to the driver.
+    lengths = sorted(r[0] for r in sized.select("_length").distinct().collect())
+    slice_of = lambda second: F.floor(second / F.col("_length"))
+    covered = sized.withColumn("_slice", F.explode(F.sequence(slice_of(seconds(F.col("window_start"))), slice_of(seconds(F.col("window_end"))))))
+    probes = messages.withColumn("_length", F.explode(F.array(*[F.lit(n).cast("bigint") for n in lengths]))) if lengths else (
+        messages.withColumn("_length", F.lit(0).cast("bigint")).limit(0))
+    probes = probes.withColumn("_slice", slice_of(seconds(F.col(ts))))
+    return (probes.join(covered, [*keys, "_length", "_slice"])
             .filter((F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end")))
-            .drop("_utc_date"))
+            .drop("_length", "_slice"))
 
 
 # --- ISO weeks -----------------------------------------------------------------
