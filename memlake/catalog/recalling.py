@@ -12,6 +12,7 @@ from memlake.operators.prefix import id_bucket
 from memlake.operators.ranking import calibrate, top_k
 from memlake.plans import recall as rc
 from memlake.session import materialize
+from memlake.settings import Settings
 
 _L2_VIEWS = ("fx_l1_ranked", "fx_l2_ranked")
 
@@ -199,3 +200,69 @@ def iso_week_calendar(spark, sf):
         timeaxis.week_monday(week).cast("string").alias("week_start"), timeaxis.week_sunday(week).cast("string").alias("week_end"),
         timeaxis.shift_week(week, -3).alias("three_before"), timeaxis.previous_week(day).alias("previous"),
         timeaxis.trim_boundary(week).cast("string").alias("trim_boundary"), "orders")
+
+
+CAP = 600
+
+
+@query("recall_capped", _CHOSEN + f"""
+, said AS (SELECT query_id, source_layer, rank, {_LINE} AS line FROM chosen JOIN walk USING (query_id, place)),
+one AS (SELECT query_id, '### 相关摘要' || coalesce(string_agg(chr(10) || line, '' ORDER BY rank) FILTER (used <= {CAP}), '') AS text
+        FROM (SELECT *, 8 + sum(1 + length(line)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM said WHERE source_layer = 'l1') GROUP BY query_id),
+two AS (SELECT query_id, '### 相关对话摘录' || coalesce(string_agg(chr(10) || line, '' ORDER BY rank) FILTER (used <= {CAP}), '') AS text
+        FROM (SELECT s.*, begin + sum(1 + length(line)) OVER (PARTITION BY query_id ORDER BY rank) AS used
+              FROM (SELECT said.*, CASE WHEN one.text IS NULL THEN 10 ELSE length(one.text) + 11 END AS begin FROM said LEFT JOIN one USING (query_id)
+                    WHERE source_layer = 'l2') s WHERE begin <= {CAP}) GROUP BY query_id)
+SELECT q.query_id, q.agent_id, coalesce(concat_ws(chr(10), one.text, two.text), '') AS assembled_text
+FROM fx_queries q LEFT JOIN one USING (query_id) LEFT JOIN two USING (query_id)""", (*_L2_VIEWS, "fx_queries"))
+def recall_capped(spark, sf):
+    """Answers of six hundred characters at most: each section ends at its first line that does not fit."""
+    answers = rc.recall(fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_documents(spark, sf), fx.memory_turns(spark, sf),
+                        fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=_today(), settings=Settings(max_chars=CAP))
+    return answers.select("query_id", "agent_id", "assembled_text")
+
+
+@query("index_entries", f"""
+SELECT doc_id, CASE WHEN k IN (0, 2, 3, 6) THEN 'surface' WHEN k = 1 THEN 'shallow' WHEN k = 4 THEN 'deep' ELSE 'other' END AS depth,
+       CASE WHEN k = 1 THEN 'week' WHEN k = 4 THEN 'window' WHEN k = 5 THEN 'week' ELSE 'day' END || doc_id AS time_key,
+       {fx.sql_strip("concat_ws(' ', nullif(text, ''), nullif(lang || ' ' || source, ' '), nullif(lang, ''), nullif(text || ' ' || lang, ' '))")} AS text
+FROM (SELECT *, doc_id % 7 AS k FROM documents)""")
+def index_entries(spark, sf):
+    """Entries with and without depth, granularity and keys."""
+    k, name = F.col("doc_id") % 7, lambda n: F.concat(F.lit(n), F.col("doc_id").cast("string"))
+    depth = F.when(k == 0, "surface").when(k == 1, " SHALLOW").when(k == 4, "deep").when(k == 5, "Other").when(k == 6, "").otherwise(None)
+    entries = fx.table(spark, sf, "documents").select(
+        "doc_id", depth.alias("depth"), F.when(k == 2, "Daily").when(k == 3, "surface ").when(k == 5, "weekly").alias("granularity"),
+        F.when(k != 5, name("day")).alias("date"), name("week").alias("week"), name("window").alias("window"),
+        F.col("text").alias("summary"), F.array("lang", "source").alias("tags"), F.col("lang").alias("mood"), F.array("text", "lang").alias("decisions"))
+    return rc.index_entries(entries).select("doc_id", "depth", "time_key", "text")
+
+
+@query("runtime_penalty", f"""
+SELECT doc_id, floor((CASE WHEN n >= 2 THEN {sc.RUNTIME_PENALTY} * greatest(0.0, least(1.0, score)) ELSE score END)::DOUBLE * 10000 + 0.5) / 10000 AS score
+FROM (SELECT doc_id, doc_id % 13 / 10.0 AS score, {' + '.join(f"CAST(contains(lower(t), '{m}') AS INT)" for m in sc.RUNTIME_MARKERS)} AS n
+      FROM (SELECT doc_id, text || ' ' || [{', '.join(f"upper('{m}')" for m in sc.RUNTIME_MARKERS)}][doc_id % {len(sc.RUNTIME_MARKERS)} + 1]
+              || CASE WHEN doc_id % 3 = 0 THEN '{sc.RUNTIME_MARKERS[0]}' ELSE '' END AS t FROM documents))""")
+def runtime_penalty(spark, sf):
+    """Texts with one or two marks of a host program's own output."""
+    marks = F.array(*[F.upper(F.lit(m)) for m in sc.RUNTIME_MARKERS])
+    own = F.element_at(marks, (F.col("doc_id") % len(sc.RUNTIME_MARKERS) + 1).cast("int"))
+    text = F.concat("text", F.lit(" "), own, F.when(F.col("doc_id") % 3 == 0, sc.RUNTIME_MARKERS[0]).otherwise(""))
+    score = (F.col("doc_id") % 13) / F.lit(10.0)
+    return fx.table(spark, sf, "documents").select("doc_id", fx.four_digits(sc.runtime_penalty(score, text)).alias("score"))
+
+
+@query("date_windows", """
+SELECT given, CAST(day AS VARCHAR) AS day, count(*) AS orders FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders),
+  (VALUES ('1995-02-10, 1995-01-20', DATE '1995-01-20', DATE '1995-02-10'), ('1996-03-01', DATE '1996-03-01', DATE '1996-03-01'),
+          ('1997-01-01,1997-01-03,', DATE '1997-01-01', DATE '1997-01-03')) w(given, a, b)
+WHERE day BETWEEN a AND b GROUP BY ALL""")
+def date_windows(spark, sf):
+    """Orders in windows given as one date, two dates, and two in the wrong order."""
+    days = fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day"))
+    parts = []
+    for given in ("1995-02-10, 1995-01-20", "1996-03-01", "1997-01-01,1997-01-03,"):
+        start, end = timeaxis.date_window(given)
+        parts.append(days.where(timeaxis.date_in_range(F.col("day"), start=start, end=end)).withColumn("given", F.lit(given)))
+    counted = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("given", "day").agg(F.count(F.lit(1)).alias("orders"))
+    return counted.withColumn("day", F.col("day").cast("string"))

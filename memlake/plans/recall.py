@@ -25,6 +25,36 @@ from memlake.settings import DEFAULTS, Settings
 ROW = ["agent_id", "depth", "time_key"]
 
 
+DEPTHS = ("surface", "shallow", "deep")
+
+
+def entry_depth(depth: Column, granularity: Column) -> Column:
+    """Depth of an index entry; a daily granularity or none at all stands for a day, an unknown depth stays as it is."""
+    known, fine = F.lower(tx.strip(F.coalesce(depth, F.lit("")))), F.lower(tx.strip(F.coalesce(granularity, F.lit(""))))
+    return F.when(known.isin(*DEPTHS), known).when(fine.isin("daily", "surface"), "surface").when(known == "", "surface").otherwise(known)
+
+
+def entry_time_key(depth: Column, day: Column, week: Column, window: Column) -> Column:
+    """The key that fits the depth; of an unknown depth the first that there is."""
+    day, week, window = (tx.strip(F.coalesce(c, F.lit(""))) for c in (day, week, window))
+    return (F.when(depth == "surface", day).when(depth == "shallow", week).when(depth == "deep", window)
+             .when(day != "", day).when(week != "", week).otherwise(window))
+
+
+def index_entries(entries: DataFrame) -> DataFrame:
+    """Index entries as recall searches them: depth, time key and one text over all fields.
+
+    Entries have `depth` or `granularity`, a `time_key` or one of `date`, `week`
+    and `window`, and any of the fields of `text.flatten_entry_text`. Those that the
+    jobs write (`write.index_rows`, `decay.rollup_index_rows`) have depth and key.
+    """
+    column = lambda name: F.col(name).cast("string") if name in entries.columns else F.lit(None).cast("string")
+    fields = {n: F.col(n) for n in ("summary", "tags", "mood", "day_mood", "topics", "decisions", "todos", "key_items", "emotional_peaks") if n in entries.columns}
+    placed = entries.withColumns({"text": tx.flatten_entry_text(fields), "depth": entry_depth(column("depth"), column("granularity"))})
+    key = entry_time_key(F.col("depth"), column("date"), column("week"), column("window"))
+    return placed.withColumn("time_key", F.coalesce(F.nullif(column("time_key"), F.lit("")), key))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Queries that have at least one term, with their terms and the parts of these."""
     return (queries.withColumn("terms", tx.match_tokens(F.col("query"))).filter(F.size("terms") > 0)
