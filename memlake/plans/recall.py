@@ -178,7 +178,9 @@ def recall_summaries(queries: DataFrame, anchors: DataFrame, documents: DataFram
                      limit: int = DEFAULTS.l1_limit) -> DataFrame:
     """Best pieces of the anchored documents per query."""
     terms = query_terms(queries).select("query_id", "terms", "parts")
-    pieces = searchable(summary_candidates(documents), "information")
+    # Only anchored documents are taken apart.
+    wanted = documents.join(anchors.select(*ROW).distinct(), ROW, "left_semi")
+    pieces = searchable(summary_candidates(wanted), "information")
     hits = (anchors.select("query_id", *ROW, "anchor_rank").join(pieces, ROW).join(terms, "query_id"))
     spread = F.col("anchor_rank") * 10 + F.col("field_no")
     return _ranked(hits, [spread.cast("bigint"), id_bucket("pos")], ["anchor_rank", "field_no", "pos"],
@@ -191,7 +193,8 @@ def recall_turns(queries: DataFrame, anchors: DataFrame, turns: DataFrame,
     """Best transcript turns of the anchored days per query."""
     terms = query_terms(queries).select("query_id", "terms", "parts")
     days = anchors.filter("depth = 'surface'").select("query_id", *ROW, "anchor_rank")
-    spoken = searchable(turns.select(
+    wanted = turns.join(days.select("agent_id", "time_key").distinct(), ["agent_id", "time_key"], "left_semi")
+    spoken = searchable(wanted.select(
         "agent_id", "time_key", "turn_index", F.coalesce(tx.strip(F.col("role")), F.lit("")).alias("role"),
         F.coalesce(tx.strip(F.col("hhmm")), F.lit("")).alias("hhmm"),
         tx.strip(F.col("content")).alias("information")).filter("information != ''"), "information")
