@@ -60,7 +60,8 @@ UNION ALL SELECT 'manifest', agent_id, week_id, CAST(count(*) FILTER (NOT starts
        ("fx_l0", "fx_l2", "fx_markers", "fx_day_turns"))
 def archive_restore_files(spark, sf):
     """All weeks are archived to files, half of them in a second run; then the files of one week are read back, next to the manifest."""
-    path, tables = _folder(spark, "archive"), lifecycle.store(spark, sf)
+    store = lifecycle_store(spark, sf)
+    path, tables = _folder(spark, "archive"), {t: store.read(t).drop("memory_month", "period") for t in weekly.ARCHIVED}
     weeks = sorted(r.week_id for r in preserve.archive_weeks({"l2_days": tables["l2_days"]})["l2_days"].select("week_id").distinct().collect())
     for part in (weeks[::2], weeks):
         archive_files.write_archive(tables, path, part)

@@ -7,7 +7,7 @@ partition column.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,6 +25,16 @@ def _day(table: str) -> Column:
     return F.try_to_date("time_key") if table.startswith("l0_") else F.col("memory_date")
 
 
+def _spans(weeks: list[str]) -> list[tuple[date, date]]:
+    """First and last days of runs of consecutive weeks."""
+    mondays = sorted(date.fromisocalendar(int(week.split("-W")[0]), int(week.split("-W")[1]), 1) for week in set(weeks))
+    spans: list[tuple[date, date]] = []
+    for monday in mondays:
+        begin = spans.pop()[0] if spans and spans[-1][1] + timedelta(days=1) == monday else monday
+        spans.append((begin, monday + timedelta(days=6)))
+    return spans
+
+
 def _in_weeks(df: DataFrame, table: str, weeks: list[str] | None) -> DataFrame:
     """Rows of the given ISO weeks with their `week_id`; of the index only day rows are archived."""
     if table.startswith("l0_"):
@@ -35,10 +45,7 @@ def _in_weeks(df: DataFrame, table: str, weeks: list[str] | None) -> DataFrame:
         return tagged
     # Plain date ranges reach the Parquet scan as filters; the derived week id would not.
     within = F.lit(False)
-    for week in weeks:
-        year, number = week.split("-W")
-        start = date.fromisocalendar(int(year), int(number), 1)
-        end = date.fromisocalendar(int(year), int(number), 7)
+    for start, end in _spans(weeks):
         if table.startswith("l0_"):
             within = within | F.col("time_key").between(start.isoformat(), end.isoformat())
         else:

@@ -146,6 +146,8 @@ def infer_reduce(found: DataFrame, context: DataFrame) -> DataFrame:
     task before the shuffle); decisions, todos, key items and peaks are all kept,
     as trimming later deletes every turn that no finding points to.
     """
+    # A union that keeps its inputs' partitioning fails where the adaptive plan coalesces the inputs differently.
+    found.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     name = F.when(F.col("kind") == "topic", F.substring_index("value", "\n", 1)).otherwise(F.col("value"))
     merged = found.groupBy(*DAY, "kind", name.alias("name")).agg(
         F.sum("weight").alias("weight"), F.max("weight").alias("highest"),
