@@ -183,8 +183,50 @@ def _messages(size: int, percent: int, parts: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (`a`, `b`) whose sets are similar enough, compared in full."""
+def _near(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (`a`, `b`) that sizes and sketches do not rule out, and so all that are similar enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+            apart = np.zeros(batch.num_rows, np.int64)
+            for at, (x, y) in enumerate(zip(batch["sketch_a"], batch["sketch_b"])):
+                x, y = (np.frombuffer(side.as_buffer(), np.uint8).astype(np.int32) for side in (x, y))
+                places = min(len(x), len(y))
+                apart[at] = np.abs(x.reshape(-1, places).sum(0) - y.reshape(-1, places).sum(0)).sum()
+            good = apart * (100 + percent) <= both * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    side = lambda name: candidates.select(
+        F.col("class").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(alike)
+    return common.materialize(joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(
+        run, "a long, b long"))
+
+
+def _texts(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """`class, text`: one text of each of the classes, given with their least ids (`class, least`)."""
+    def start():
+        splitter = words.Splitter(lower=True)
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at, texts in words.chunks(batch["text"]):
+                part = batch.slice(at, len(texts))
+                own = set_names(*shingles(splitter, texts, size)).view(np.int64)
+                yield part.filter(pa.array(own == part["class"].to_numpy()))  # an id may have several texts
+        return work
+
+    wanted = common.materialize(classes.select("class", F.col("least").alias("_id")))
+    found = docs.join(wanted, "_id").select("class", F.col("_whole_text").alias("text"))
+    return common.materialize(common.by_batch(found, "class long, text string", start).dropDuplicates(["class"]))
+
+
+def _verified(pairs: DataFrame, candidates: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (`a`, `b`) whose sets are similar enough, compared in full.
+
+    Most pairs share a signature by chance; sketches settle those, so that only
+    texts of sets that have a likely partner are moved.
+    """
     def start():
         splitter = words.Splitter(lower=True)
 
@@ -201,17 +243,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield batch.select(["a", "b"]).filter(pa.array(good))
         return work
 
-    x = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"), F.col("n_shingles").alias("n_a"))
-    y = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"), F.col("n_shingles").alias("n_b"))
-    sizes = x.select("a", "n_a"), y.select("b", "n_b")
-    near = pairs.join(sizes[0], "a").join(sizes[1], "b").where(
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-    joined = near.join(x.drop("n_a"), "a").join(y.drop("n_b"), "b").select("a", "b", "text_a", "text_b")
+    near = _near(pairs, candidates, percent)
+    ends = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    texts = _texts(docs, ends.join(candidates.select("class", "least"), "class"), size)
+    x = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
+    y = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
+    joined = near.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
     return common.materialize(common.by_batch(joined, "a long, b long", start))
 
 
-def _links(candidates: DataFrame, size: int, percent: int) -> DataFrame:
-    """Verified links that connect all candidates (`class, n_shingles, text, signatures`) which links connect.
+def _links(candidates: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links that connect all candidates (`class, n_shingles, least, signatures, sketch`) which links connect.
 
     First each set is compared with the most connected set it shares a signature
     with, then, in groups whose sets are not all connected yet, with the group's
@@ -229,7 +271,7 @@ def _links(candidates: DataFrame, size: int, percent: int) -> DataFrame:
     to_hub = entries.join(hubs, "name").where("class <> hub.class")
     tried = to_hub.groupBy("class").agg(F.max("hub").alias("hub")).select(
         F.col("class").alias("a"), F.col("hub.class").alias("b"))
-    links = _verified(tried, candidates, size, percent)
+    links = _verified(tried, candidates, docs, size, percent)
     labels = entries.select("class").distinct().withColumn("label", F.col("class"))
     new = links
     for step in ("hub", "all"):
@@ -254,7 +296,7 @@ def _links(candidates: DataFrame, size: int, percent: int) -> DataFrame:
                                  "block", "class", "label", "n_shingles", "sketch")
             pairs = dealt.repartition("name", "x", "y").sortWithinPartitions("name", "x", "y").mapInArrow(
                 _compare(percent), "a long, b long")
-        new = _verified(pairs.distinct(), candidates, size, percent)
+        new = _verified(pairs.distinct(), candidates, docs, size, percent)
         links = links.union(new)
     return links
 
@@ -303,16 +345,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     lists.append(mine[places].view(np.int64) if own[row] == batch["class"][at + row].as_py() else None)
                     sketches.append(sketch(feature[first[row]: first[row + 1]]))
                 piece = batch.slice(at, len(part))
-                yield pa.record_batch([piece["class"], piece["n_shingles"], piece["_whole_text"],
+                yield pa.record_batch([piece["class"], piece["n_shingles"], piece["_id"],
                                        pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                                      names=["class", "n_shingles", "text", "signatures", "sketch"])
+                                      names=["class", "n_shingles", "least", "signatures", "sketch"])
         return work
 
-    candidates = common.by_batch(texts.select("class", "n_shingles", "_whole_text", "places"),
-                                 "class long, n_shingles long, text string, signatures array<long>, sketch binary",
-                                 start)
+    schema = texts.select("class", "n_shingles", F.col("_id").alias("least"), F.lit(None).cast("array<long>").alias(
+        "signatures"), F.lit(None).cast("binary").alias("sketch")).schema
+    candidates = common.by_batch(texts.select("class", "n_shingles", "_id", "_whole_text", "places"), schema, start)
     candidates = common.materialize(candidates.where("signatures is not null").dropDuplicates(["class"]))
-    links = _links(candidates, size, percent)
+    links = _links(candidates, whole, size, percent)
     ids = sizes.select("class", "least")
     ends = links.join(ids.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").join(
         ids.select(F.col("class").alias("b"), F.col("least").alias("y")), "b")
