@@ -21,6 +21,7 @@ from memlake.llm import common, graph, packed, words
 SHINGLE = 3
 PERCENT = 90
 BLOCK = 2048  # sets of a group compared in one task
+CHUNK_BYTES = 1 << 19  # of texts whose features are held at once
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -155,7 +156,7 @@ def _sets(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
         splitter = words.Splitter(lower=True)
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for at, texts in words.chunks(batch["_whole_text"]):
+            for at, texts in words.chunks(batch["_whole_text"], CHUNK_BYTES):
                 feature, first = shingles(splitter, texts, size)
                 n = np.diff(first)
                 part = batch.slice(at, len(texts))
@@ -171,13 +172,13 @@ def _messages(size: int, percent: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, held = words.Splitter(lower=True), packed.Entries(parts, "shared")
         for batch in batches:
-            for _, texts in words.chunks(batch["_whole_text"]):
+            for _, texts in words.chunks(batch["_whole_text"], CHUNK_BYTES):
                 feature, first = shingles(splitter, texts, size)
                 names, sets, numbers = signatures(feature, first, percent)
                 if len(names):
                     keys = set_names(feature, first).view(np.int64)
                     held.add(names, sets, numbers, np.zeros(len(keys), np.int64), keys)
-                if held.count > packed.ENTRIES // 2:
+                if held.count > packed.ENTRIES // 4:
                     yield from held.flush()
         yield from held.flush()
     return run
@@ -210,7 +211,7 @@ def _texts(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
         splitter = words.Splitter(lower=True)
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for at, texts in words.chunks(batch["text"]):
+            for at, texts in words.chunks(batch["text"], CHUNK_BYTES):
                 part = batch.slice(at, len(texts))
                 own = set_names(*shingles(splitter, texts, size)).view(np.int64)
                 yield part.filter(pa.array(own == part["class"].to_numpy()))  # an id may have several texts
@@ -332,7 +333,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         splitter = words.Splitter(lower=True)
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for at, part in words.chunks(batch["_whole_text"]):
+            for at, part in words.chunks(batch["_whole_text"], CHUNK_BYTES):
                 feature, first = shingles(splitter, part, size)
                 own = set_names(feature, first).view(np.int64)
                 names, sets, numbers = signatures(feature, first, percent)

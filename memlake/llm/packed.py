@@ -16,6 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ENTRIES = 2_000_000  # of a task before they are sorted and sent
+SLICE_BYTES = 1 << 20  # of messages handed to Spark at once
 #: `kind` 0: arrays for a bucket; 1: places of a document that are decided.
 SCHEMA = "kind int, bucket int, id long, text_key long, names binary, docs binary, places binary, flags binary"
 _FIELDS = ["kind", "bucket", "id", "text_key", "names", "docs", "places", "flags"]
@@ -138,7 +139,10 @@ class Entries:
                       docs=np.stack([ids[used], keys[used]]).tobytes(),
                       places=place[at[low:high]].astype(np.uint32).tobytes() + short.astype(_width(len(used))).tobytes(),
                       flags=np.packbits(several[low:high]).tobytes())
-        yield batch.done()
+        done = batch.done()
+        step = max(1, done.num_rows * SLICE_BYTES // max(1, done.nbytes))
+        for at in range(0, done.num_rows, step):
+            yield done.slice(at, step)
 
 
 def numbers(lists: list[bytes] | None) -> np.ndarray:
