@@ -310,14 +310,66 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in held)
 
 
-def test_kneser_ney_sums_to_one():
-    """Over known words, both classes give all of their mass but what is left to unknown words."""
-    stem = np.array([1, 1, 2, 2, 3], np.uint64)
-    word = np.array([10, 11, 12, 13, 14], np.uint64)
-    counts = np.array([[5, 1, 9, 0, 2], [0, 7, 1, 4, 0]])
+def test_kneser_ney_against_the_formula():
+    """Probabilities by plain sums, to 1e-9; with what unknown items keep, each class sums to one after every parent."""
+    rng = np.random.default_rng(3)
+    stem = np.sort(rng.integers(1, 6, 40)).astype(np.uint64)
+    word = np.arange(100, 140).astype(np.uint64)
+    counts = rng.integers(0, 9, (2, 40)).astype(float)
+    counts[:, counts.sum(0) == 0] = 1
+    counts[1, stem == stem[0]] = 0  # one class knows nothing of this stem
+    counts[0, stem == stem[0]] = np.maximum(counts[0, stem == stem[0]], 1)
+    p, parents, weight, unseen = toxicity.probabilities(word, stem, counts)
+    for c in (0, 1):
+        for k, parent in enumerate(parents):
+            inside = np.flatnonzero(stem == parent)
+            total, pool = sum(counts[c, i] for i in inside), sum(counts[0, i] + counts[1, i] for i in inside)
+            escape = sum(min(counts[c, i], 3) for i in inside) / total if total else 1
+            kinds = len(inside)
+            for i in inside:
+                shared = (counts[0, i] + counts[1, i] - 0.75 + 0.75 * kinds / (kinds + 1)) / pool
+                want = (max(counts[c, i] - 3, 0) / total if total else 0) + escape * shared
+                assert abs(p[c, i] - want) < 1e-9
+            assert abs(p[c, inside].sum() + weight[c, k] * unseen[k] - 1) < 1e-9
     model = toxicity.estimate(stem, word, counts)
-    assert model.ratios(stem, word)[1] > 1 and model.ratios(stem, word)[0] < 0
-    assert model.ratios(np.array([1], np.uint64), np.array([99], np.uint64)).shape == (1,)
+    by_stem = np.stack([np.bincount(stem.astype(int), x)[parents.astype(int)] for x in counts])
+    first = toxicity.probabilities(parents, np.zeros(len(parents), np.uint64), by_stem)[0]
+    at = np.searchsorted(parents, stem)
+    assert np.allclose(model.ratios(stem, word), np.log(first[1, at] * p[1] / first[0, at] / p[0]), atol=1e-9)
+    new = model.ratios(stem[:1], np.array([999], np.uint64))  # an unknown word of a known stem
+    assert np.allclose(new, np.log(first[1, 0] * weight[1, 0] / first[0, 0] / weight[0, 0]), atol=1e-9)
+
+
+def test_usual_ratio_of_a_words_company():
+    stem, word = np.array([1, 1, 2], np.uint64), np.array([10, 11, 12], np.uint64)
+    model = toxicity.estimate(stem, word, np.array([[5, 1, 9], [1, 7, 2]]))
+    model.learn_usuals(word, stem, np.array([4, 0, 6]), np.array([2.0, 0.0, -3.0]))
+    every, first = -0.1, (2.0 + 5 * -0.1) / 9
+    assert np.allclose(model.usuals(stem, word), [(2 + 5 * first) / 9, first, (-3 + 5 * (-3 - 0.5) / 11) / 11])
+    assert np.allclose(model.usuals(np.array([1, 7], np.uint64), np.array([99, 99], np.uint64)), [first, every])
+
+
+def test_short_and_wholly_toxic_texts(spark):
+    rng = random.Random(7)
+    usual, bad = [f"w{i}" for i in range(300)], ["blarg", "zorkish", "frumpy"]
+    docs = []
+    for key in range(1200):
+        tokens = [rng.choice(usual) for _ in range(rng.choice([20, 60, 200]))]
+        for _ in range(3 * (key % 3 == 0)):
+            tokens[rng.randrange(len(tokens))] = rng.choice(bad)
+        docs.append((key, " ".join(tokens)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(frame, spark.createDataFrame(
+        [(key, int(key % 3 == 0)) for key, _ in docs], "doc_id long, toxic int"))
+    texts = ["blarg", "blarg zorkish", "blarg zorkish frumpy blarg", "blarg zorkish frumpy blarg w1", "blarg w1 w2", "w1", "w1 w2",
+             "", " ".join(usual)]
+    rows = toxicity.score(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    got = [r.score for r in rows]
+    assert min(got[:5]) > 0.5 > max(got[5:]), got
+    for fewer, more in ((0, 1), (1, 2), (3, 2), (4, 0)):  # more toxic words, or fewer others; scores near 1 may round to it
+        weights = [(rows[i].margin - model.even) * rows[i].n_words ** 0.5 for i in (fewer, more)]
+        assert weights[0] < weights[1] and got[fewer] <= got[more]
 
 
 def test_mixing_targets(spark):
