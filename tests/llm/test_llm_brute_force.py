@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -470,12 +471,56 @@ def test_wrapper_has_slots_options_and_repeats():
 
 
 def test_open_quotes_and_deep_pages_end():
-    assert extraction.article('<p title="x>never closed</p><p>b</p>', frozenset(), frozenset()) == "never closed\n\nb"
+    assert extraction.article('<p title="x>never closed</p><p>b</p>', frozenset()) == "never closed\n\nb"
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
-    assert extraction.article(deep, frozenset(), frozenset()) == "core"
+    assert extraction.article(deep, frozenset()) == "core"
     assert extraction.infer([deep, deep]).children
 
 
+def test_names_that_keep_the_article():
+    text = lambda page: extraction.article(page, frozenset())
+    for name in ("no-header", "has-sidebar", "ad-free", "header"):
+        assert text(f'<body class="{name}"><p>kept</p></body>') == "kept"
+    for name in ("no-header", "with-sidebar", "ad-free"):
+        assert text(f'<body><div class="{name}"><p>kept</p></div></body>') == "kept"
+    for name in ("ad", "site-header", "left-sidebar", "cookie-notice"):
+        assert text(f'<body><div class="{name}"><p>gone</p></div><p>kept</p></body>') == "kept"
+    assert text('<header>site</header><article><header class="entry-header"><h1>Title</h1></header><p>x</p></article>'
+                ) == "Title\n\nx"
+
+
+def test_long_blocks_and_lists_take_linear_time():
+    begin = time.perf_counter()
+    inline = "<article><p>" + "<b>a</b> " * 100_000 + "</p></article>"
+    assert extraction.article(inline, frozenset()) == " ".join(["a"] * 100_000)
+    assert extraction.article("<p>" + "<b>a " * 20_000, frozenset()) == " ".join(["a"] * 20_000)
+    pages = ["<dl>" + "".join(f"<dt>{k}{i}<dd>x{i}" for i in range(5000)) + "</dl>" for k in "ab"]
+    wrapper = extraction.infer(pages)
+    assert [(c.kind, c.repeated) for c in wrapper.children[0].children] == [("dt", True), ("dd", True)]
+    assert time.perf_counter() - begin < 30
+
+
+def test_wrappers_from_all_pages_in_a_tree_of_merges(spark, monkeypatch):
+    """Pages over many tasks, merged two by two, a few hosts at once, give what one wrapper of all pages gives."""
+    monkeypatch.setattr(extraction, "FAN_IN", 2)
+    monkeypatch.setattr(extraction, "HOSTS_AT_ONCE", 2)
+    rows = []
+    for i in range(120):
+        varied = "new" if i == 77 else "old"  # equal on all pages of the host but one
+        rows.append((i, f"http://h{i % 4}.example/{i}", f"<body><h2>{varied}</h2><h3>always</h3><div><p>Text {i}</p></div></body>"))
+    rows += [(200 + i, "http://mixed.example/", f"<body><div><p>plain {i}</p></div></body>") for i in range(20)]
+    rows.append((300, "http://mixed.example/", "<body><div><p>aside</p></div><article><p>marked</p></article></body>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    got = {r.page_id: r.text for r in extraction.extract(frame).collect()}
+    by_host = {h: [html for i, _, html in rows[:120] if i % 4 == h] for h in range(4)}
+    for i, _, html in rows[:120]:
+        pages = by_host[i % 4]
+        drop = frozenset(extraction.furniture(extraction.infer(pages), len(pages)))
+        assert got[i] == extraction.article(html, drop)
+        assert got[i] == (f"{'new' if i == 77 else 'old'}\n\n" if i % 4 == 1 else "") + f"Text {i}"
+    assert all(got[200 + i] == f"plain {i}" for i in range(20)) and got[300] == "marked"
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(12)
     line = lambda n: " ".join(rng.choice(["the", "and", "of", "house", "river", f"n{rng.randrange(900)}"]) for _ in range(n))
