@@ -139,10 +139,14 @@ class Entries:
                       docs=np.stack([ids[used], keys[used]]).tobytes(),
                       places=place[at[low:high]].astype(np.uint32).tobytes() + short.astype(_width(len(used))).tobytes(),
                       flags=np.packbits(several[low:high]).tobytes())
-        done = batch.done()
-        step = max(1, done.num_rows * SLICE_BYTES // max(1, done.nbytes))
-        for at in range(0, done.num_rows, step):
-            yield done.slice(at, step)
+        yield from slices(batch.done())
+
+
+def slices(messages: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Messages in parts of about `SLICE_BYTES`."""
+    step = max(1, messages.num_rows * SLICE_BYTES // max(1, messages.nbytes))
+    for at in range(0, messages.num_rows, step):
+        yield messages.slice(at, step)
 
 
 def numbers(lists: list[bytes] | None) -> np.ndarray:
