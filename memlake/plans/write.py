@@ -293,11 +293,12 @@ def hashed_embedding(dimensions: int = 64) -> Callable[[DataFrame], DataFrame]:
         slots = F.transform(tx.match_tokens(F.col("text_used")), lambda w: F.struct(
             F.pmod(F.xxhash64(w), F.lit(dimensions)).alias("slot"),
             F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(
-            F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda total, s: total + s["sign"]))
-        length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, v: total + v * v))
-        return rows.withColumn("_raw", raw).withColumn("embedding", F.when(
-            length > 0, F.transform("_raw", lambda v: v / length)).otherwise(F.col("_raw"))).drop("_raw")
+        # Words are split and hashed once for a row, not once for each slot.
+        raw = let(slots, lambda words: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(
+            F.filter(words, lambda s: s["slot"] == i), F.lit(0.0), lambda total, s: total + s["sign"])))
+        length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, v: total + v * v))
+        return rows.withColumn("_raw", raw).withColumn("embedding", let(length, lambda size: F.when(
+            size > 0, F.transform("_raw", lambda v: v / size)).otherwise(F.col("_raw")))).drop("_raw")
 
     return embed
 
