@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from memlake.catalog import fixtures as fx, lifecycle
@@ -15,13 +13,16 @@ from memlake.plans import daily, late_turns, weekly, write
 from memlake.sources.snapshots import Store
 
 DAY = ["agent_id", "memory_date"]
-FIRST, LAST = date(2023, 12, 1), date(2026, 12, 31)
 
 
 def _number():
     return F.datediff("memory_date", F.lit("2023-12-01").cast("date"))
 
 
+def _all_days(store: Store) -> tuple:
+    """First and last day with a transcript."""
+    return tuple(store.read("l2_days").agg(F.min("memory_date"), F.max("memory_date")).first())
+
 
 def _store(spark, sf) -> Store:
     """Lifecycle tables before a run that is still to write the index row of every second day."""
@@ -90,8 +91,9 @@ UNION ALL SELECT 'l0_embeddings', agent_id, CAST(memory_date AS VARCHAR), '' FRO
 def backfill_days(spark, sf):
     """All incomplete days are written, with one retry and inference that fails for some; a second call finds only days that failed."""
     store = _store(spark, sf)
+    first, last = _all_days(store)
     for _ in range(2):
-        daily.backfill_days(store, FIRST, LAST, inference=failing())
+        daily.backfill_days(store, first, last, inference=failing())
     return _rows(store)
 
 
@@ -99,7 +101,7 @@ def backfill_days(spark, sf):
 def rerun_failures(spark, sf):
     """The same run, then its failed days again with inference that works."""
     store = _store(spark, sf)
-    daily.backfill_days(store, FIRST, LAST, inference=failing())
+    daily.backfill_days(store, *_all_days(store), inference=failing())
     daily.rerun_failures(store)
     return _rows(store)
 
