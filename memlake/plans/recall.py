@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from memlake.functions import let, scores as sc, text as tx
 from memlake.functions.timeaxis import characterized_date
 from memlake.operators.diversity import assemble, diversify
+from memlake.operators.lexical import score_rows
 from memlake.operators.prefix import id_bucket
 from memlake.operators.ranking import calibrate, top_k
 from memlake.session import materialize
@@ -77,25 +78,27 @@ def score_index(queries: DataFrame, l0_index: DataFrame, embeddings: DataFrame |
 
     The join with the agent's queries is where an agent with much data shows:
     AQE splits its partition when both sides are large and broadcasts the
-    queries when they are measured to be small. Token sets and norms are
-    computed once per row before it.
+    queries when they are measured to be small. Rows meet blocks of queries, not
+    single ones, and vectors only after their texts are scored.
     """
-    terms = query_terms(queries).select("query_id", "agent_id", "terms", "parts")
-    rows = searchable(l0_index.filter(F.col("depth").isin("surface", "shallow", "deep")
-                                      & (F.col("time_key") != "")), "text").select(
-        *ROW, "ord_key", "haystack", "tokens")
-    if vectors is None or embeddings is None:
-        return terms.join(rows, "agent_id").select(
-            "query_id", *ROW, "ord_key", _lexical().alias("lexical_raw"), F.lit(0.0).alias("embedding_raw"),
-            F.lit(False).alias("hybrid"))
-    covered = embeddings.select("agent_id").distinct().withColumn("_has_rows", F.lit(True))
-    asked = vectors.select("query_id", F.col("embedding").alias("_q"), sc.norm(F.col("embedding")).alias("_qn"))
-    keyed = embeddings.select(*ROW, F.col("embedding").alias("_v"), sc.norm(F.col("embedding")).alias("_vn"))
-    terms = terms.join(asked, "query_id", "left").join(covered, "agent_id", "left")
-    pairs = terms.join(rows.join(keyed, ROW, "left"), "agent_id")
+    known = materialize(query_terms(queries).select("query_id", "agent_id", "terms"))
+    rows = l0_index.filter(F.col("depth").isin("surface", "shallow", "deep") & (F.col("time_key") != "")).select(
+        *ROW, "ord_key", tx.match_tokens(F.col("text")).alias("tokens"))
+    numbered, found = score_rows(known, rows, [*ROW, "ord_key"])
+    numbered = materialize(numbered.drop("terms"))
+    hybrid = vectors is not None and embeddings is not None
+    if hybrid:
+        covered = embeddings.select("agent_id").distinct().withColumn("_has_rows", F.lit(True))
+        asked = vectors.select("query_id", F.col("embedding").alias("_q"), sc.norm(F.col("embedding")).alias("_qn"))
+        keyed = embeddings.select(*ROW, F.col("embedding").alias("_v"), sc.norm(F.col("embedding")).alias("_vn"))
+        numbered = numbered.join(asked, "query_id", "left").join(covered, "agent_id", "left")
+        found = found.join(keyed, ROW, "left")
+    pairs = found.select("*", F.posexplode("_scores").alias("_pos", "lexical_raw")).join(numbered, ["agent_id", "_block", "_pos"])
+    if not hybrid:
+        return pairs.select("query_id", *ROW, "ord_key", "lexical_raw", F.lit(0.0).alias("embedding_raw"), F.lit(False).alias("hybrid"))
     similarity = sc.cosine(F.col("_q"), F.col("_v"), F.col("_qn"), F.col("_vn"))
     return pairs.select(
-        "query_id", *ROW, "ord_key", _lexical().alias("lexical_raw"),
+        "query_id", *ROW, "ord_key", "lexical_raw",
         F.greatest(F.lit(0.0), F.coalesce(similarity, F.lit(0.0))).alias("embedding_raw"),
         (F.col("_q").isNotNull() & F.coalesce("_has_rows", F.lit(False))).alias("hybrid"))
 

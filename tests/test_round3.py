@@ -33,3 +33,23 @@ def test_embedding_splits_words_once(spark):
         raw = [sum(w.sign for w in words if w.text_used == row.text_used and w.slot == i) for i in range(8)]
         size = sum(v * v for v in raw) ** 0.5
         assert row.embedding == [v / size if size else v for v in raw]
+
+
+def test_lexical_blocks_equal_pairwise_scores(spark):
+    from memlake.functions import scores as sc, text as tx
+    from memlake.operators import lexical
+
+    long = "y" * 45
+    queries = spark.createDataFrame([(i, "a" if i % 3 else "b", t) for i, t in enumerate(
+        ["plan the plan", "an é x", long, "wholly other", "the", "", *[f"word{i} lan an" for i in range(70)]])], "query_id long, agent_id string, text string")
+    rows = spark.createDataFrame([(i, "a" if i % 2 else "b", t) for i, t in enumerate(
+        ["The plan, planned", "an lan", "yyy", long + "y", "", None, "é xx word1 word69", "w ord é", "𝄞lan ano"])], "row long, agent_id string, text string")
+    terms = queries.select("query_id", "agent_id", tx.match_tokens(F.col("text")).alias("terms")).where("size(terms) > 0").localCheckpoint()
+    tokens = rows.select("row", "agent_id", tx.match_tokens(F.col("text")).alias("tokens"))
+    numbered, found = lexical.score_rows(terms, tokens, ["agent_id", "row"])
+    # One row for a row and a block of queries, not one for each pair of a row and a query.
+    assert found.count() == sum(-(-terms.where(F.col("agent_id") == r.agent_id).count() // lexical.BLOCK_QUERIES) for r in rows.collect())
+    got = found.select("*", F.posexplode("_scores").alias("_pos", "s")).join(numbered, ["agent_id", "_block", "_pos"])
+    pairs = terms.withColumn("parts", sc.term_parts(F.col("terms"))).join(tokens.withColumn("tokens", F.array_distinct("tokens")), "agent_id")
+    want = pairs.select("query_id", "row", sc.lexical_score(F.col("terms"), F.col("parts"), F.col("tokens"), F.array_join("tokens", " ")).alias("s"))
+    assert sorted(got.select("query_id", "row", "s").collect()) == sorted(want.collect())
