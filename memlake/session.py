@@ -19,9 +19,15 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """A union that keeps its inputs' partitioning fails where the adaptive plan coalesces the inputs differently."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def build_session(app: str = "memlake", master: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
