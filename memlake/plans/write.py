@@ -12,7 +12,7 @@ from memlake.functions import documents, let, text as tx
 from memlake.operators.landmarks import count_documents
 from memlake.operators.merging import upsert
 from memlake.operators.ranking import top_k
-from memlake.session import materialize
+from memlake.session import materialize, plain_unions
 from memlake.settings import DEFAULTS, Settings
 
 DAY = ["agent_id", "memory_date"]
@@ -95,24 +95,28 @@ def extract_summaries(fragments: DataFrame) -> DataFrame:
         return F.struct(F.col("turn_index").cast("bigint").alias("turn"), F.coalesce("from_char", F.lit(0)).cast("bigint").alias("char"),
                         sentence.cast("bigint").alias("sentence"))
 
-    place = at(F.col("sentence_pos")).alias("place")
-
-    def found(kind: Column | str, value: Column, weight: Column, rows: DataFrame = spoken) -> DataFrame:
-        kind = F.lit(kind) if isinstance(kind, str) else kind
-        return rows.select(*CHUNK, "turn_index", kind.alias("kind"), value.alias("value"),
-                           weight.cast("bigint").alias("weight"), place)
-
     cut = lambda n: F.left(F.col("sentence"), F.lit(n))
-    parts = [found("summary", cut(LIMITS["summary"]), F.lit(0), spoken.filter("sentence_pos = 0")),
-             found("decision", cut(LIMITS["decisions"]), F.lit(0), spoken.filter(F.col("sentence").rlike(CUES["decision"]))),
-             found("todo", cut(LIMITS["todos"]), F.lit(0), spoken.filter(F.col("sentence").rlike(CUES["todo"]))),
-             found("peak", cut(LIMITS["peak"]), F.least(F.lit(5), F.lit(2) + F.regexp_count("sentence", F.lit("[!！]"))),
-                   spoken.filter(F.col("sentence").rlike("[!！]")))]
-    item_type = F.coalesce(*[F.when(F.col("sentence").rlike(CUES[t]), F.lit(t)) for t in
+    cue = {name: F.col("sentence").rlike(pattern).alias(f"_{name}") for name, pattern in CUES.items()}
+    # Each pattern is tried once on a sentence, and all that is found in it comes of the same pass.
+    marked = spoken.select(*CHUNK, "turn_index", "from_char", "sentence_pos", "sentence", F.struct(*cue.values()).alias("_cue"),
+                           F.regexp_count("sentence", F.lit("[!！]")).alias("_calls"))
+    hit = lambda name: F.col(f"_cue._{name}")
+    item_type = F.coalesce(*[F.when(hit(t), F.lit(t)) for t in
                              ("milestone", "bug_fix", "config_change", "incident", "decision")],
                            F.when(F.col("sentence").rlike("[?？]"), F.lit("question")))
-    parts.append(found(F.concat(F.lit("item:"), item_type), cut(LIMITS["key_item"]), F.lit(0),
-                       spoken.filter(item_type.isNotNull())))
+
+    def found(kind: Column | str, value: Column, weight: Column, when: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.when(when, F.struct(kind.alias("kind"), value.alias("value"), weight.cast("bigint").alias("weight")))
+
+    findings = F.filter(F.array(
+        found("summary", cut(LIMITS["summary"]), F.lit(0), F.col("sentence_pos") == 0),
+        found("decision", cut(LIMITS["decisions"]), F.lit(0), hit("decision")),
+        found("todo", cut(LIMITS["todos"]), F.lit(0), hit("todo")),
+        found("peak", cut(LIMITS["peak"]), F.least(F.lit(5), F.lit(2) + F.col("_calls")), F.col("_calls") > 0),
+        found(F.concat(F.lit("item:"), item_type), cut(LIMITS["key_item"]), F.lit(0), item_type.isNotNull())), lambda x: x.isNotNull())
+    rows = marked.select(*CHUNK, "turn_index", F.explode(findings).alias("_x"), at(F.col("sentence_pos")).alias("place")).select(
+        *CHUNK, "turn_index", "_x.*", "place")
     words = spoken.select(*CHUNK, "turn_index", "from_char", "sentence_pos", "sentence",
                           F.explode(tx.match_tokens(F.col("sentence"))).alias("word")).filter(F.length("word") >= 4)
     # One row per word of a chunk, with its count and the first turn that has it.
@@ -121,10 +125,7 @@ def extract_summaries(fragments: DataFrame) -> DataFrame:
     topics = counted.select(*CHUNK, F.col("_f.turn_index").alias("turn_index"), F.lit("topic").alias("kind"),
                             F.concat_ws("\n", F.left("word", F.lit(LIMITS["topic_name"])), "_f.detail").alias("value"),
                             "weight", F.col("_f.place").alias("place"))
-    rows = topics
-    for part in parts:
-        rows = rows.unionByName(part)
-    return rows
+    return topics.unionByName(rows)
 
 
 # --- per-day summaries ------------------------------------------------------------------------
@@ -146,8 +147,7 @@ def infer_reduce(found: DataFrame, context: DataFrame) -> DataFrame:
     task before the shuffle); decisions, todos, key items and peaks are all kept,
     as trimming later deletes every turn that no finding points to.
     """
-    # A union that keeps its inputs' partitioning fails where the adaptive plan coalesces the inputs differently.
-    found.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    plain_unions(found.sparkSession)
     name = F.when(F.col("kind") == "topic", F.substring_index("value", "\n", 1)).otherwise(F.col("value"))
     merged = found.groupBy(*DAY, "kind", name.alias("name")).agg(
         F.sum("weight").alias("weight"), F.max("weight").alias("highest"),
