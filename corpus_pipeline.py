@@ -21,8 +21,8 @@ SHINGLE, PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts that are null, without a letter, or like no language go."""
-    found = langid.identify(docs, langid.learn(docs))
-    least = langid.least_closeness(docs)
+    found = langid.identify(docs, langid.learn(docs, rows_per_language=None))
+    least = langid.least_closeness(docs, rows_per_language=None)
     enough = F.lit(min(least.values(), default=LEAST_CLOSENESS))
     if least:
         by_lang = F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair])

@@ -24,6 +24,7 @@ UNDETERMINED = "und"
 #: A text is like a language from this share of the closeness that all but one in a hundred of its held-out rows reach.
 LEAST_SHARE, LOW_ROWS = 0.6, 0.01
 _SHIFT = 21  # bits of a code point
+_CELLS = 4096
 
 
 def letters() -> np.ndarray:
@@ -73,9 +74,17 @@ class Profiles:
         return places.sum(0) / (len(profile) * self.most)
 
 
+def _sampled(labelled: DataFrame, rows_per_language: int | None) -> DataFrame:
+    """The rows of least hashed id of each language, or all rows."""
+    if rows_per_language is None:
+        return labelled
+    chosen = common.bounded_sample(labelled.select("id", "lang"), "lang", "id", rows_per_language)
+    return labelled.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")  # at most the rows of all languages
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          rows_per_language: int = ROWS_PER_LANGUAGE, most: int = PROFILE_GRAMS) -> Profiles:
-    """Profiles from a bounded sample of labelled rows, `rows_per_language` of each language.
+          rows_per_language: int | None = ROWS_PER_LANGUAGE, most: int = PROFILE_GRAMS) -> Profiles:
+    """Profiles from a bounded sample of labelled rows, `rows_per_language` of each language, or from all of them (None).
 
     Rows without text or language are left out; no labelled row at all gives no
     language. The sample is the rows of least hashed id; counts are added up by
@@ -83,10 +92,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where("text is not null and lang is not null and id is not null")
-    chosen = common.bounded_sample(labelled.select("id", "lang"), "lang", "id", rows_per_language)
     if labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sample = labelled.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")  # at most the two bounds' product
+    sample = _sampled(labelled, rows_per_language)
 
     def start():
         letter = letters()
@@ -116,21 +124,25 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def least_closeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, float]:
+                    rows_per_language: int | None = ROWS_PER_LANGUAGE) -> dict[str, float]:
     """The closeness from which a text is like a language, by language, from a quarter of the labelled rows.
 
-    Profiles of the other rows score them (a bounded sample again); the rows they
-    find in their own language count. A language without such rows is left out.
+    Profiles of the other rows score them (a bounded sample again, or all); the rows they
+    find in their own language count, in cells of 1/4096. A language without such rows is left out.
     """
     part = common.fold(id_col, 4) == 2
     profiles = learn(docs.where(~part), id_col, text_col, lang_col, rows_per_language)
     labelled = docs.where(part).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                                        F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    chosen = common.bounded_sample(labelled.select("id", "lang"), "lang", "id", rows_per_language)
-    sample = labelled.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")
-    found = identify(sample, profiles, keep=["lang"]).where("lang = lang_pred and score > 0")
-    low = found.groupBy("lang").agg(F.percentile("score", F.lit(LOW_ROWS)).alias("low")).collect()
-    return {r.lang: LEAST_SHARE * r.low for r in low}
+    found = identify(_sampled(labelled, rows_per_language), profiles, keep=["lang"]).where("lang = lang_pred and score > 0")
+    # A bounded number of cells for each language goes to the driver, whatever the number of rows.
+    cells = found.groupBy("lang", F.floor(F.col("score") * _CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    low: dict[str, float] = {}
+    for lang in {r.lang for r in cells}:
+        own = sorted((r.cell, r.n) for r in cells if r.lang == lang)
+        upto = np.cumsum([n for _, n in own])
+        low[lang] = LEAST_SHARE * own[int(np.searchsorted(upto, LOW_ROWS * (upto[-1] - 1), "right"))][0] / _CELLS
+    return low
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
