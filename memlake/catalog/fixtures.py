@@ -150,11 +150,11 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
                                                  F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def memory_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of index rows."""
+def memory_vectors(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """Vectors of index rows (`memories`, or those given)."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"),
                                                     F.col("embedding").cast("array<double>").alias("embedding"))
-    return memories(spark, sf).join(vectors, "doc_id").select("agent_id", "depth", "time_key", "embedding")
+    return (memories(spark, sf) if rows is None else rows).join(vectors, "doc_id").select("agent_id", "depth", "time_key", "embedding")
 
 
 def _pieces(text: Column) -> Column:
@@ -164,9 +164,9 @@ def _pieces(text: Column) -> Column:
         text, k * PIECE + 1, F.lit(PIECE)))).otherwise(F.array().cast("array<string>"))
 
 
-def memory_documents(spark: SparkSession, sf: str) -> DataFrame:
+def memory_documents(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """One document per index key; the pieces of its text are dealt to the field families in turn."""
-    cut = memories(spark, sf).select("agent_id", "depth", "time_key", "lang", _pieces(F.col("text")).alias("p"))
+    cut = (memories(spark, sf) if rows is None else rows).select("agent_id", "depth", "time_key", "lang", _pieces(F.col("text")).alias("p"))
 
     def dealt(turn: int) -> Column:
         return F.filter("p", lambda x, i: (i > 0) & (i % 5 == turn))
@@ -180,9 +180,9 @@ def memory_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.transform(dealt(0), lambda x: F.struct(F.lit("calm").alias("emotion"), x.alias("context"))).alias("emotional_peaks"))
 
 
-def memory_turns(spark: SparkSession, sf: str) -> DataFrame:
+def memory_turns(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Transcript turns of surface days: the pieces of the day's documents."""
-    return memories(spark, sf).filter("depth = 'surface'").select(
+    return (memories(spark, sf) if rows is None else rows).filter("depth = 'surface'").select(
         "agent_id", "time_key", "ord_key", F.posexplode(_pieces(F.col("text"))).alias("k", "content")).select(
         "agent_id", "time_key", (F.col("ord_key") * 100000 + F.col("k")).alias("turn_index"),
         F.when(F.col("k") % 2 == 0, "user").otherwise("assistant").alias("role"),

@@ -21,13 +21,20 @@ def _today():
     return F.lit("2024-06-30").cast("date")
 
 
-def _scored(spark, sf):
-    return rc.score_index(fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_vectors(spark, sf),
-                          fx.query_vectors(spark, sf))
+def _memories(spark, sf):
+    """Index rows, written once, and what recall reads besides: vectors, and documents and turns of some keys."""
+    rows = materialize(fx.memories(spark, sf))
+    of = lambda make: lambda keys: make(spark, sf, rows.join(keys, rc.ROW, "left_semi"))
+    return rows, of(fx.memory_documents), of(fx.memory_turns), fx.memory_vectors(spark, sf, rows)
 
 
-def _anchors(spark, sf):
-    return materialize(rc.recall_anchors(materialize(_scored(spark, sf))))
+def _scored(spark, sf, memories=None):
+    rows, _, _, vectors = memories or _memories(spark, sf)
+    return rc.score_index(fx.memory_queries(spark, sf), rows, vectors, fx.query_vectors(spark, sf))
+
+
+def _anchors(spark, sf, memories=None):
+    return materialize(rc.recall_anchors(materialize(_scored(spark, sf, memories))))
 
 
 @query("lexical_score", """
@@ -82,7 +89,8 @@ def recall_anchors(spark, sf):
 @query("recall_summaries", """
 SELECT query_id, depth, time_key, field, information, floor((score)::DOUBLE * 10000 + 0.5) / 10000 AS score, layer_rank FROM fx_l1_ranked""", ("fx_l1_ranked",))
 def recall_summaries(spark, sf):
-    found = rc.recall_summaries(fx.memory_queries(spark, sf), _anchors(spark, sf), fx.memory_documents(spark, sf))
+    memories = _memories(spark, sf)
+    found = rc.recall_summaries(fx.memory_queries(spark, sf), _anchors(spark, sf, memories), memories[1])
     return found.select("query_id", "depth", "time_key", "field", "information", fx.four_digits(F.col("score")).alias("score"),
                         F.col("layer_rank").cast("bigint").alias("layer_rank"))
 
@@ -90,7 +98,8 @@ def recall_summaries(spark, sf):
 @query("recall_turns", """
 SELECT query_id, time_key, role, hhmm, information, floor((score)::DOUBLE * 10000 + 0.5) / 10000 AS score, layer_rank FROM fx_l2_ranked""", ("fx_l2_ranked",))
 def recall_turns(spark, sf):
-    found = rc.recall_turns(fx.memory_queries(spark, sf), _anchors(spark, sf), fx.memory_turns(spark, sf))
+    memories = _memories(spark, sf)
+    found = rc.recall_turns(fx.memory_queries(spark, sf), _anchors(spark, sf, memories), memories[2])
     return found.select("query_id", "time_key", "role", "hhmm", "information", fx.four_digits(F.col("score")).alias("score"),
                         F.col("layer_rank").cast("bigint").alias("layer_rank"))
 
@@ -164,8 +173,7 @@ def diversified(spark, sf):
 
 def _candidates(spark, sf):
     return materialize(rc.recall_candidates(
-        fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_documents(spark, sf), fx.memory_turns(spark, sf),
-        fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=_today()))
+        fx.memory_queries(spark, sf), *_memories(spark, sf), fx.query_vectors(spark, sf), today=_today()))
 
 
 _LINE = """'- [' || depth || ' ' || time_key || CASE source_layer WHEN 'l2' THEN ' ' || hhmm || ' ' || role || '] ' ELSE '] ' || CASE field
@@ -181,8 +189,7 @@ FROM fx_queries q LEFT JOIN lines a ON a.query_id = q.query_id AND a.source_laye
 LEFT JOIN lines b ON b.query_id = q.query_id AND b.source_layer = 'l2'""", (*_L2_VIEWS, "fx_queries"))
 def recall(spark, sf):
     """The whole recall path: index, summaries, turns, weighing, selection, answer text."""
-    answers = rc.recall(fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_documents(spark, sf),
-                        fx.memory_turns(spark, sf), fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=_today())
+    answers = rc.recall(fx.memory_queries(spark, sf), *_memories(spark, sf), fx.query_vectors(spark, sf), today=_today())
     return answers.select("query_id", "agent_id", "assembled_text")
 
 
@@ -217,8 +224,8 @@ SELECT q.query_id, q.agent_id, coalesce(concat_ws(chr(10), one.text, two.text),
 FROM fx_queries q LEFT JOIN one USING (query_id) LEFT JOIN two USING (query_id)""", (*_L2_VIEWS, "fx_queries"))
 def recall_capped(spark, sf):
     """Answers of six hundred characters at most: each section ends at its first line that does not fit."""
-    answers = rc.recall(fx.memory_queries(spark, sf), fx.memories(spark, sf), fx.memory_documents(spark, sf), fx.memory_turns(spark, sf),
-                        fx.memory_vectors(spark, sf), fx.query_vectors(spark, sf), today=_today(), settings=Settings(max_chars=CAP))
+    answers = rc.recall(fx.memory_queries(spark, sf), *_memories(spark, sf), fx.query_vectors(spark, sf), today=_today(),
+                        settings=Settings(max_chars=CAP))
     return answers.select("query_id", "agent_id", "assembled_text")
 
 

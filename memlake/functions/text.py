@@ -11,6 +11,7 @@ WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u
               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # --- fixed values: separators that end a match token ----------------------------
 SEPARATORS = "\n\t,，.。!！?？:：;；()（）[]【】/\\|\"'-_"
+BLANKS = "".join(dict.fromkeys(SEPARATORS + WHITESPACE))  # what ends a token
 # --- fixed values: what is redacted, in this order -------------------------------
 REDACTED = "[REDACTED]"
 REDACT_PATTERNS = {
@@ -129,8 +130,7 @@ def estimate_tokens(length: Column, chars_per_token: int) -> Column:
 
 def spaced(text: Column) -> Column:
     """Lower-cased text with every separator and blank turned into a plain space."""
-    blanks = "".join(dict.fromkeys(SEPARATORS + WHITESPACE))
-    return F.translate(F.lower(text), blanks, " " * len(blanks))
+    return F.translate(F.lower(text), BLANKS, " " * len(BLANKS))
 
 
 def match_tokens(text: Column) -> Column:

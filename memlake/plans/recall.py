@@ -8,10 +8,16 @@ Inputs
   vectors     query_id, embedding (doubles); optional
   documents   agent_id, depth, time_key and the L1 / rollup fields
   turns       agent_id, time_key, turn_index, role, hhmm, content
+
+`documents` and `turns` may be functions that give the rows of some keys
+(agent_id, depth, time_key): rows that are derived, as the test tables' are, are
+then made for the anchored keys only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.functions import let, scores as sc, text as tx
@@ -26,6 +32,7 @@ from memlake.settings import DEFAULTS, Settings
 ROW = ["agent_id", "depth", "time_key"]
 
 
+Rows = DataFrame | Callable[[DataFrame], DataFrame]
 DEPTHS = ("surface", "shallow", "deep")
 
 
@@ -83,7 +90,7 @@ def score_index(queries: DataFrame, l0_index: DataFrame, embeddings: DataFrame |
     """
     known = materialize(query_terms(queries).select("query_id", "agent_id", "terms"))
     rows = l0_index.filter(F.col("depth").isin("surface", "shallow", "deep") & (F.col("time_key") != "")).select(
-        *ROW, "ord_key", tx.match_tokens(F.col("text")).alias("tokens"))
+        *ROW, "ord_key", F.lower("text").alias("tokens"))  # split where they are scored
     numbered, found = score_rows(known, rows, [*ROW, "ord_key"])
     numbered = materialize(numbered.drop("terms"))
     hybrid = vectors is not None and embeddings is not None
@@ -177,12 +184,19 @@ def _ranked(candidates: DataFrame, coarse: list[Column], tie_order: list[str], i
     return top_k(flat, ["query_id"], order, limit, name="layer_rank").withColumn("score", F.round("score", 6))
 
 
-def recall_summaries(queries: DataFrame, anchors: DataFrame, documents: DataFrame,
+def _wanted(rows: Rows, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the keys; Spark does not move the join below what derives the rows, a function does."""
+    keys = keys.select(*ROW).distinct()
+    rows = rows(keys) if callable(rows) else rows
+    return rows.join(keys.select(*by).distinct(), by, "left_semi")
+
+
+def recall_summaries(queries: DataFrame, anchors: DataFrame, documents: Rows,
                      limit: int = DEFAULTS.l1_limit) -> DataFrame:
     """Best pieces of the anchored documents per query."""
     terms = query_terms(queries).select("query_id", "terms", "parts")
     # Only anchored documents are taken apart.
-    wanted = documents.join(anchors.select(*ROW).distinct(), ROW, "left_semi")
+    wanted = _wanted(documents, anchors, ROW)
     pieces = searchable(summary_candidates(wanted), "information")
     hits = (anchors.select("query_id", *ROW, "anchor_rank").join(pieces, ROW).join(terms, "query_id"))
     spread = F.col("anchor_rank") * 10 + F.col("field_no")
@@ -191,12 +205,12 @@ def recall_summaries(queries: DataFrame, anchors: DataFrame, documents: DataFram
                    [F.desc("score"), F.desc("raw_score"), "depth", "time_key", "field", "information"], limit)
 
 
-def recall_turns(queries: DataFrame, anchors: DataFrame, turns: DataFrame,
+def recall_turns(queries: DataFrame, anchors: DataFrame, turns: Rows,
                  limit: int = DEFAULTS.l2_limit) -> DataFrame:
     """Best transcript turns of the anchored days per query."""
     terms = query_terms(queries).select("query_id", "terms", "parts")
     days = anchors.filter("depth = 'surface'").select("query_id", *ROW, "anchor_rank")
-    wanted = turns.join(days.select("agent_id", "time_key").distinct(), ["agent_id", "time_key"], "left_semi")
+    wanted = _wanted(turns, days, ["agent_id", "time_key"])
     spoken = searchable(wanted.select(
         "agent_id", "time_key", "turn_index", F.coalesce(tx.strip(F.col("role")), F.lit("")).alias("role"),
         F.coalesce(tx.strip(F.col("hhmm")), F.lit("")).alias("hhmm"),
@@ -245,7 +259,7 @@ def weigh_candidates(queries: DataFrame, summaries: DataFrame, turns: DataFrame,
             .drop("_today", "_from", "_to", "_ratio"))
 
 
-def recall_candidates(queries: DataFrame, l0_index: DataFrame, documents: DataFrame, turns: DataFrame,
+def recall_candidates(queries: DataFrame, l0_index: DataFrame, documents: Rows, turns: Rows,
                       embeddings: DataFrame | None = None, vectors: DataFrame | None = None,
                       today: Column | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Weighed candidates of both layers, before selection."""
@@ -256,7 +270,7 @@ def recall_candidates(queries: DataFrame, l0_index: DataFrame, documents: DataFr
     return weigh_candidates(queries, summaries, excerpts, today, settings)
 
 
-def recall(queries: DataFrame, l0_index: DataFrame, documents: DataFrame, turns: DataFrame,
+def recall(queries: DataFrame, l0_index: DataFrame, documents: Rows, turns: Rows,
            embeddings: DataFrame | None = None, vectors: DataFrame | None = None,
            today: Column | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Answer text and ranked memories for every query with a text.

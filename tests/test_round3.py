@@ -85,3 +85,41 @@ def test_pipeline_learns_languages_from_all_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(common, "bounded_sample", sampled)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert 0 < corpus_pipeline.language_id(spark, docs, sf).count() <= docs.count()
+
+
+def test_lexical_texts_equal_token_lists(spark):
+    from memlake.functions import text as tx
+    from memlake.operators import lexical
+
+    texts = ["The plan, planned-plan", "a\u3000b\u2028c\u00a0d，e", "İstanbul ΣΑΣ é_x", "", None, "  ", *[f"word{i} shared tail{i % 7}" for i in range(300)]]
+    rows = spark.createDataFrame([(i, "a" if i % 2 else "b", t) for i, t in enumerate(texts)], "row long, agent_id string, text string")
+    terms = spark.createDataFrame([(i, "a" if i % 3 else "b", ["plan", "c", f"word{i}", "tail", "σας", "i̇stanbul"]) for i in range(40)],
+                                  "query_id long, agent_id string, terms array<string>").localCheckpoint()
+    lists = lexical.score_rows(terms, rows.select("row", "agent_id", tx.match_tokens(F.col("text")).alias("tokens")), ["agent_id", "row"])[1]
+    plain = lexical.score_rows(terms, rows.select("row", "agent_id", F.lower("text").alias("tokens")), ["agent_id", "row"])[1]
+    assert sorted(plain.collect()) == sorted(lists.collect()) and plain.count() == len(texts)
+
+
+def test_lexical_keeps_nothing_of_tokens_without_a_hit():
+    from memlake.operators.lexical import Block
+
+    block = Block([["plan", "word"], ["other"]])
+    rows = [{f"zz{i}", f"qq{i}", "plans"} for i in range(5000)]
+    assert block.scores(rows).tolist() == [[0.5, 0.0]] * 5000
+    assert block.used == 2 and len(block.bits) == 1024  # bits of `plans` alone; each batch copied the bits of all tokens
+    assert block.scores([{"word"}, set(), {"oth"}]).tolist() == [[1.0, 0.0], [0.0, 0.0], [0.0, 0.5]]
+
+
+def test_recall_derives_anchored_documents_only(spark, sf):
+    from memlake.catalog import fixtures as fx, recalling
+    from memlake.plans import recall as rc
+    from memlake.session import materialize
+
+    index, documents, turns, vectors = recalling._memories(spark, sf)
+    asked = fx.memory_queries(spark, sf)
+    anchors = materialize(rc.recall_anchors(materialize(rc.score_index(asked, index, vectors, fx.query_vectors(spark, sf)))))
+    keys = anchors.select(*rc.ROW).distinct()
+    assert documents(keys).count() == keys.count() < fx.memory_documents(spark, sf).count()  # all were cut into pieces before
+    for find, some, whole in ((rc.recall_summaries, documents, fx.memory_documents), (rc.recall_turns, turns, fx.memory_turns)):
+        got, want = (find(asked, anchors, rows).select("query_id", "time_key", "information", "score", "layer_rank") for rows in (some, whole(spark, sf)))
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
