@@ -28,6 +28,12 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that tasks hand to Python hold about 4 MB. The default of 64 MB is held several times over, rounded up to
+    powers of two, beside the heap: by each task and by its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def build_session(app: str = "memlake", master: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)

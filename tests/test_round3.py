@@ -117,9 +117,24 @@ def test_recall_derives_anchored_documents_only(spark, sf):
 
     index, documents, turns, vectors = recalling._memories(spark, sf)
     asked = fx.memory_queries(spark, sf)
-    anchors = materialize(rc.recall_anchors(materialize(rc.score_index(asked, index, vectors, fx.query_vectors(spark, sf)))))
+    anchors = materialize(rc.recall_anchors(materialize(rc.score_index(asked, index, vectors, fx.query_vectors(spark, sf))), limit=1))
     keys = anchors.select(*rc.ROW).distinct()
     assert documents(keys).count() == keys.count() < fx.memory_documents(spark, sf).count()  # all were cut into pieces before
     for find, some, whole in ((rc.recall_summaries, documents, fx.memory_documents), (rc.recall_turns, turns, fx.memory_turns)):
         got, want = (find(asked, anchors, rows).select("query_id", "time_key", "information", "score", "layer_rank") for rows in (some, whole(spark, sf)))
         assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
+
+
+def test_pipeline_and_operators_hand_small_batches_to_python(spark, sf):
+    import __spark_entry__
+    import corpus_pipeline
+
+    key, largest = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    rows = spark.range(0, 4000, 1, 1).select(F.expr("repeat(cast(id as string), 4000)").alias("text"))
+    for start in (lambda: corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf),
+                  lambda: __spark_entry__.queries()["op7_mixing"](spark, sf)):
+        spark.conf.unset(key)
+        start()
+        sizes = rows.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        largest.append(max(r.n for r in sizes))
+    assert max(largest) < 8 << 20  # up to 64 MB before
