@@ -8,10 +8,14 @@ empty; columns beyond those of `documents` travel along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memlake.llm import decontaminate, jaccard, langid, lines, mixing
 from memlake.llm.common import materialize, read
+from memlake.session import small_batches
 
 #: The least closeness to a language if no language has held-out rows to take it from.
 LEAST_CLOSENESS = 0.1
@@ -58,8 +62,20 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(mixing.plan(docs)).drop("copies")
 
 
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard),
-          ("decontamination", decontamination), ("mixing", mixture)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [(name, _in_small_batches(stage)) for name, stage in (
+    ("language_id", language_id), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination), ("mixing", mixture))]
 ORACLE_SQL = None  # no SQL for language profiles and edit distance; tests compare with brute force
 
 
