@@ -296,13 +296,12 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     has the uniform probability. The id must be an integer.
     """
     spark = docs.sparkSession
-    parts = packed.buckets(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # more buckets repeat the ids of documents more often
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"),
                        F.xxhash64(text_col).alias("_key"), held_out.cast("int").alias("_held"),
                        F.col(text_col).alias("_text"))
     sent = rows.mapInArrow(_messages(parts), packed.SCHEMA).select("bucket", "names", "docs", "places", "flags")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # each with a few buckets, of which it holds one
-    cells = common.write_blobs(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    cells = common.write_blobs(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _gather, CELLS))
     totals = _totals(cells, None)
     totals = _totals(cells, totals)
