@@ -13,11 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from memlake.llm import words
 
 ENTRIES = 2_000_000  # of a task before they are sorted and sent
 SLICE_BYTES = 1 << 20  # of messages handed to Spark at once
-#: `kind` 0: arrays for a bucket; 1: places of a document that are decided.
+#: `kind` 0: arrays for a bucket; 1: places of the documents of a group that are decided.
 SCHEMA = "kind int, bucket int, id long, text_key long, names binary, docs binary, places binary, flags binary"
 _FIELDS = ["kind", "bucket", "id", "text_key", "names", "docs", "places", "flags"]
 
@@ -59,14 +61,63 @@ class Batch:
         return pa.record_batch([pa.array(self.rows[n], t) for n, t in zip(_FIELDS, kinds)], names=_FIELDS)
 
 
-def decided(batch: Batch, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> None:
-    """Report places (numbers) of documents, one row a document."""
-    order = np.argsort(doc, kind="stable")
+def decided(batch: Batch, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, groups: int) -> None:
+    """Report places (numbers) of documents, one row a group of documents: steps of the places, counts as `flags`."""
+    if not len(doc):
+        return
+    group = words.mix(words.mix(ids.view(np.uint64)) ^ keys.view(np.uint64)) % np.uint64(groups)
+    order = in_order(group[doc], doc, place)
     doc, place = doc[order], place[order]
-    cut = np.flatnonzero(np.diff(doc, prepend=-1))
-    for low, high in zip(cut, np.append(cut[1:], len(doc))):
-        batch.add(kind=1, bucket=-1 - int(keys[doc[low]]) % 4096, id=int(ids[doc[low]]), text_key=int(keys[doc[low]]),
-                  places=np.diff(np.unique(place[low:high]), prepend=0).astype(np.uint32).tobytes())
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    count = np.diff(np.append(first, len(doc)))
+    step = np.diff(place, prepend=0)
+    step[first] = place[first]
+    used = doc[first]
+    own = group[used]
+    cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    for low, high in zip(cut, np.append(cut[1:], len(used))):
+        part = used[low:high]
+        steps = step[first[low]: first[high - 1] + count[high - 1]]
+        batch.add(kind=1, bucket=-1 - int(own[low]), docs=np.stack([ids[part], keys[part]]).tobytes(),
+                  places=_narrow(steps), flags=count[low:high].astype(np.uint32).tobytes())
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    return values.astype(_width(int(values.max()) + 1)).tobytes()
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of the groups, with the steps of all its places."""
+    def finish(rows: list[dict]) -> pa.RecordBatch:
+        docs = np.concatenate([np.frombuffer(r["docs"], np.int64).reshape(2, -1) for r in rows], 1)
+        counts = [np.frombuffer(r["flags"], np.uint32).astype(np.int64) for r in rows]
+        step = np.concatenate([np.frombuffer(r["places"], np.uint16 if len(r["places"]) == 2 * c.sum() else np.uint32)
+                               .astype(np.int64) for r, c in zip(rows, counts)])
+        count = np.concatenate(counts)
+        total, first = np.cumsum(step), np.cumsum(count) - count
+        place = total - np.repeat(total[first] - step[first], count)
+        ids, keys, number = dense(*docs)
+        doc = np.repeat(number, count)
+        order = in_order(doc, doc, place)
+        doc, place = doc[order], place[order]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        step = np.diff(place, prepend=0)
+        step[first] = place[first]
+        ends = np.append(first, len(doc))
+        lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [
+            None, pa.py_buffer(ends * 4), pa.py_buffer(step.astype(np.uint32))]).cast(pa.binary())
+        return pa.record_batch([ids, keys, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1), pa.int32()), lists)],
+                               names=["id", "text_key", "places"])
+
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield from slices(finish(held))
+                held = []
+            held.append(row)
+    if held:
+        yield from slices(finish(held))
 
 
 def _width(n: int) -> type:
@@ -93,7 +144,7 @@ class Entries:
     """Collects a task's entries; `rule` tells which are decided and which are sent."""
 
     def __init__(self, parts: int, rule: str):
-        self.parts, self.rule = parts, rule
+        self.parts, self.rule, self.groups = parts, rule, max(1, parts // 4)
         self.clear()
 
     def clear(self) -> None:
@@ -128,7 +179,7 @@ class Entries:
             own = several[group]
         else:  # "later": every entry but the least
             own = ~first
-        decided(batch, doc[own], place[own], ids, keys)
+        decided(batch, doc[own], place[own], ids, keys, self.groups)
         bucket = (names[at] % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         at, several, bucket = at[order], several[order], bucket[order]
@@ -137,7 +188,7 @@ class Entries:
             used, short = np.unique(doc[at[low:high]], return_inverse=True)
             batch.add(kind=0, bucket=int(bucket[low]), names=_pack_names(names[at[low:high]], self.rule),
                       docs=np.stack([ids[used], keys[used]]).tobytes(),
-                      places=place[at[low:high]].astype(np.uint32).tobytes() + short.astype(_width(len(used))).tobytes(),
+                      places=_narrow(place[at[low:high]]) + short.astype(_width(len(used))).tobytes(),
                       flags=np.packbits(several[low:high]).tobytes())
         yield from slices(batch.done())
 
@@ -156,17 +207,27 @@ def numbers(lists: list[bytes] | None) -> np.ndarray:
 
 
 def settle(messages: DataFrame, rule: str) -> DataFrame:
-    """`id, text_key, places` (list of binary) of all decided places, from the messages of all tasks."""
+    """`id, text_key, places` (list of binary) of all decided places, from the messages of all tasks.
+
+    A task tells the decisions of its buckets as tasks told their entries: packed,
+    one row for a group of documents, not one for each document and bucket.
+    """
     spark = messages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = ["bucket", "docs", "places", "flags"]
 
-    def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    def finish(rows: list[dict]) -> list[np.ndarray]:
+        """Ids and keys of documents, and the numbers and places of the decided entries."""
         names = [_unpack_names(r["names"], rule) for r in rows]
         docs = [np.frombuffer(r["docs"], np.int64).reshape(2, -1) for r in rows]
         offset = np.cumsum([0, *(d.shape[1] for d in docs)])
-        place = np.concatenate([np.frombuffer(r["places"], np.uint32, len(n)) for r, n in zip(rows, names)]).astype(np.int64)
-        doc = np.concatenate([np.frombuffer(r["places"], _width(d.shape[1]), len(n), 4 * len(n)).astype(np.int64) + o
-                              for r, n, d, o in zip(rows, names, docs, offset)])
+        place, doc = [], []
+        for r, n, d, o in zip(rows, names, docs, offset):
+            short = np.dtype(_width(d.shape[1]))
+            wide = len(r["places"]) - short.itemsize * len(n)  # bytes of the places
+            place.append(np.frombuffer(r["places"], np.uint16 if wide == 2 * len(n) else np.uint32, len(n)).astype(np.int64))
+            doc.append(np.frombuffer(r["places"], short, len(n), wide).astype(np.int64) + o)
+        place, doc = np.concatenate(place), np.concatenate(doc)
         flags = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8))[: len(n)]
                                 for r, n in zip(rows, names)]).astype(bool)
         names = np.concatenate(names)
@@ -181,25 +242,40 @@ def settle(messages: DataFrame, rule: str) -> DataFrame:
             at = np.flatnonzero(first)
             several = np.diff(np.append(at, len(names))) > 1
             own = (several | np.logical_or.reduceat(flags, at))[np.cumsum(first) - 1] & ~flags  # flagged: told at home
-        if own.any():
-            batch = Batch()
-            decided(batch, doc[own], place[own], ids, keys)
-            yield batch.done().select(["id", "text_key", "places"])
+        used, short = np.unique(doc[own], return_inverse=True)
+        return [ids[used], keys[used], short, place[own]]
+
+    def tell(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found = [f for f in found if len(f[3])]
+        if not found:
+            return
+        offset = np.cumsum([0, *(len(f[0]) for f in found)])
+        ids, keys, number = dense(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+        doc = number[np.concatenate([f[2] + o for f, o in zip(found, offset)])]
+        batch = Batch()
+        decided(batch, doc, np.concatenate([f[3] for f in found]), ids, keys, max(1, parts))
+        yield from slices(batch.done().select(told))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        found: list[list[np.ndarray]] = []
         for batch in batches:
             done = pa.compute.equal(batch["kind"], 1)
-            yield batch.filter(done).select(["id", "text_key", "places"])
+            yield batch.filter(done).select(told)
             for row in batch.filter(pa.compute.invert(done)).to_pylist():
                 if held and held[0]["bucket"] != row["bucket"]:
-                    yield from finish(held)
+                    found.append(finish(held))
                     held = []
+                    if sum(len(f[3]) for f in found) > ENTRIES:
+                        yield from tell(found)
+                        found = []
                 held.append(row)
         if held:
-            yield from finish(held)
+            found.append(finish(held))
+        yield from tell(found)
 
     # Decided rows go through the same exchange, so that the tasks that made the messages run once.
     settled = messages.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        run, "id long, text_key long, places binary")
-    return settled.groupBy("id", "text_key").agg(F.collect_list("places").alias("places"))
+        run, "bucket int, docs binary, places binary, flags binary")
+    return settled.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _by_document, "id long, text_key long, places array<binary>")
