@@ -35,10 +35,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def write_blobs(df: DataFrame) -> DataFrame:
+def write_blobs(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """`materialize` for rows of many MB: small row groups, so that a writer holds few rows at once."""
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid4().hex}"
-    df.write.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").option(
+        "compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,11 +12,13 @@ predictive probabilities of several seatings.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm import common, packed, words
@@ -28,10 +30,14 @@ BURN, SAMPLES = 1, 2
 CHUNK_BYTES = 1 << 19  # of texts split at once
 SENT_TOKENS = 600_000  # of a task before they are sorted and sent
 PIECE = 150_000  # entries of a bucket worked on at once
+QUARTERS = 4  # rows of a bucket, by the upper bits of the words' names
+SUMS = 1_500_000  # of documents that a task holds before they are sent
 _ONE_BY_ONE = 64  # customers of a dish seated singly; later ones in blocks of a sixteenth of those before
 _START, _END = np.uint64(0x0BE61717), np.uint64(0xE2D0FDEC)
 _NO_ID = -(2**63)
-CELLS = "bucket int, words binary, entries binary, context binary, doc binary, n binary, ids binary"
+#: A quarter of a bucket's words, or with a `bucket` below 0 the documents of one message.
+CELLS = ("bucket int, quarter int, flush long, words binary, entries binary, context binary, doc binary, n binary, "
+         "held binary, flushes binary")
 
 
 @dataclass
@@ -60,18 +66,43 @@ def tokens(splitter: words.Splitter, texts: pa.Array) -> tuple[np.ndarray, np.nd
     return name, words.mix(before) >> np.uint64(64 - CONTEXT_BITS), row
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    most = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _wide(data: bytes, n: int, at: int = 0, size: int | None = None) -> np.ndarray:
+    """`n` values written by `_narrow`, in `size` bytes from `at` on."""
+    size = len(data) - at if size is None else size
+    return np.frombuffer(data, {0: np.uint8, 1: np.uint8, 2: np.uint16, 4: np.uint32}[size // max(n, 1)], n, at)
+
+
 def _messages(parts: int):
+    """Messages of a task, in flushes: to each bucket, and one with the flush's documents.
+
+    Buckets know documents by flush and position. A flush is named by its rows
+    and their order, so that messages of tasks that read other rows in a second
+    attempt do not mix; `_join` misses them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = words.Splitter(lower=True)
         held: list[list[np.ndarray]] = [[], [], [], []]
-        docs = count = 0
+        docs = count = flushes = 0
 
         def flush():
-            nonlocal docs, count
+            nonlocal docs, count, flushes
             if not count:
                 return
             name, context, doc = (np.concatenate(x) for x in held[:3])
-            ids = np.concatenate(held[3], 1)
+            known = np.concatenate(held[3], 1)
+            for values in held:
+                values.clear()
+            said = np.array([TaskContext.get().partitionId(), flushes]).tobytes() + known.tobytes()
+            key = int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
+            batch = packed.Batch()
+            batch.add(kind=1, bucket=-1 - key % parts, id=key, docs=known[[0, 2]].tobytes(),
+                      places=np.bincount(doc, minlength=docs).astype(np.int64).tobytes())
+            own = np.packbits(known[2].astype(bool)).tobytes()
             place = context << np.uint64(32) | doc.astype(np.uint64)
             order = np.lexsort((place, name))
             name, place = name[order], place[order]
@@ -82,18 +113,15 @@ def _messages(parts: int):
             order = np.argsort(bucket, kind="stable")
             name, place, n, bucket = name[order], place[order], n[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            batch = packed.Batch()
             for low, high in zip(cut, np.append(cut[1:], len(bucket))):
                 part = place[low:high]
-                used, short = np.unique(part & np.uint64(0xFFFFFFFF), return_inverse=True)
                 names, entries = words.distinct(name[low:high])
-                batch.add(kind=0, bucket=int(bucket[low]), names=names.tobytes(),
-                          flags=entries.astype(np.uint32).tobytes(), docs=ids[:, used.astype(np.int64)].tobytes(),
-                          places=(part >> np.uint64(32)).astype(np.uint16).tobytes() +
-                          short.astype(np.uint32).tobytes() + n[low:high].astype(np.uint32).tobytes())
-            for values in held:
-                values.clear()
+                doc = _narrow(part & np.uint64(0xFFFFFFFF))
+                batch.add(kind=0, bucket=int(bucket[low]), id=key, text_key=docs << 8 | len(doc) // len(part),
+                          names=names.tobytes(), flags=entries.astype(np.uint32).tobytes(), docs=own,
+                          places=(part >> np.uint64(32)).astype(np.uint16).tobytes() + doc + _narrow(n[low:high]))
             docs = count = 0
+            flushes += 1
             yield from packed.slices(batch.done())
 
         for batch in batches:
@@ -110,35 +138,57 @@ def _messages(parts: int):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket, its entries in the order of word and context."""
+    """Rows for each bucket, the entries of each in the order of word and context; rows of documents as they come."""
+    types = {"bucket": pa.int32(), "quarter": pa.int32(), "flush": pa.int64()}
+
+    def cell(**values) -> pa.RecordBatch:
+        names = [field.split(" ")[0] for field in CELLS.split(", ")]
+        return pa.record_batch([pa.array([values.get(n)], types.get(n, pa.binary())) for n in names], names=names)
+
     def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        names = [np.frombuffer(r["names"], np.uint64) for r in rows]
-        entries = [np.frombuffer(r["flags"], np.uint32) for r in rows]
-        size = [int(e.sum()) for e in entries]
-        ids = [np.frombuffer(r["docs"], np.int64).reshape(3, -1) for r in rows]
-        offset = np.cumsum([0, *(i.shape[1] for i in ids)])
-        context = np.concatenate([np.frombuffer(r["places"], np.uint16, s) for r, s in zip(rows, size)])
-        doc = np.concatenate([np.frombuffer(r["places"], np.uint32, s, 2 * s) + np.uint32(o)
-                              for r, s, o in zip(rows, size, offset)])
-        n = np.concatenate([np.frombuffer(r["places"], np.uint32, s, 6 * s) for r, s in zip(rows, size)])
-        vocabulary, number = np.unique(np.concatenate(names), return_inverse=True)
-        number = np.repeat(number, np.concatenate(entries))
-        order = np.argsort(number << CONTEXT_BITS | context, kind="stable")
-        yield pa.record_batch({
-            "bucket": pa.array([rows[0]["bucket"]], pa.int32()), "words": [vocabulary.tobytes()],
-            "entries": [np.bincount(number, minlength=len(vocabulary)).astype(np.uint32).tobytes()],
-            "context": [context[order].tobytes()], "doc": [doc[order].tobytes()], "n": [n[order].tobytes()],
-            "ids": [np.concatenate(ids, 1).tobytes()]})
-
-    held: list[dict] = []
+        docs = [r["text_key"] >> 8 for r in rows]
+        offset = np.cumsum([0, *docs])
+        held = np.concatenate([np.unpackbits(np.frombuffer(r["docs"], np.uint8))[:k] for r, k in zip(rows, docs)])
+        held, flushes = np.packbits(held).tobytes(), np.array([[r["id"] for r in rows], docs], np.int64).tobytes()
+        for quarter in range(QUARTERS):
+            found: list[list[np.ndarray]] = [[], [], [], [], []]
+            for r, o in zip(rows, offset):
+                names, entries = np.frombuffer(r["names"], np.uint64), np.frombuffer(r["flags"], np.uint32)
+                ends = np.concatenate([[0], np.cumsum(entries, dtype=np.int64)])
+                size, width = int(ends[-1]), r["text_key"] & 255
+                own = np.flatnonzero((names >> np.uint64(32)) * np.uint64(QUARTERS) >> np.uint64(32) == quarter)
+                if not len(own):
+                    continue
+                own = slice(own[0], own[-1] + 1)  # names are in order
+                part = slice(ends[own.start], ends[own.stop])
+                doc = _wide(r["places"], size, 2 * size, width * size)[part].astype(np.uint32) + np.uint32(o)
+                for values, one in zip(found, (names[own], entries[own], np.frombuffer(r["places"], np.uint16, size)[part],
+                                               doc, _wide(r["places"], size, (2 + width) * size)[part])):
+                    values.append(one)
+            if not found[0]:
+                continue
+            names, entries, context, doc, n = map(np.concatenate, found)
+            del found
+            vocabulary, number = np.unique(names, return_inverse=True)
+            number = np.repeat(number, entries)
+            order = np.argsort(number << CONTEXT_BITS | context, kind="stable")
+            yield cell(bucket=rows[0]["bucket"], quarter=quarter, words=vocabulary.tobytes(),
+                       entries=np.bincount(number, minlength=len(vocabulary)).astype(np.uint32).tobytes(),
+                       context=context[order].tobytes(), doc=doc[order].tobytes(), n=_narrow(n[order]),
+                       held=held, flushes=flushes)
+
+    met: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield from finish(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from finish(held)
+            if row["bucket"] < 0:
+                yield cell(bucket=row["bucket"], flush=row["id"], doc=row["docs"], n=row["places"])
+                continue
+            if met and met[0]["bucket"] != row["bucket"]:
+                yield from finish(met)
+                met = []
+            met.append(row)
+    if met:
+        yield from finish(met)
 
 
 class Bucket:
@@ -166,8 +216,8 @@ def pieces(batch: pa.RecordBatch, row: int, most: int = PIECE) -> Iterator[tuple
     """
     read = lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind)
     names, entries = read("words", np.uint64), read("entries", np.uint32).astype(np.int64)
-    context, doc, n = read("context", np.uint16), read("doc", np.uint32), read("n", np.uint32)
-    held = read("ids", np.int64).reshape(3, -1)[2]
+    context, doc = read("context", np.uint16), read("doc", np.uint32)
+    n, held = _wide(batch["n"][row].as_buffer(), len(doc)), np.unpackbits(read("held", np.uint8))
     ends = np.cumsum(entries)
     low = 0
     while low < len(names):
@@ -175,7 +225,7 @@ def pieces(batch: pa.RecordBatch, row: int, most: int = PIECE) -> Iterator[tuple
         high = max(low + 1, int(np.searchsorted(ends, begin + most, "right")))
         part = slice(begin, int(ends[high - 1]))
         word = np.repeat(np.arange(high - low), entries[low:high])
-        yield Bucket([batch["bucket"][row].as_py(), low], word, high - low, context[part], doc[part].astype(np.int64),
+        yield Bucket([batch["bucket"][row].as_py(), batch["quarter"][row].as_py(), low], word, high - low, context[part], doc[part].astype(np.int64),
                      n[part].astype(np.int64), held), names[low:high]
         low = high
 
@@ -284,6 +334,87 @@ def _totals(cells: DataFrame, known: Totals | None) -> Totals:
     return Totals(one(a, -1), one(b, -1), customers, tables, one(a, -2), one(b, -2))
 
 
+_SUMS = "flush long, kind int, places binary, sums binary, tokens long"
+
+
+def _sums(shared):
+    """One row from a task to a flush: positions of documents and their known tokens, base and model's log10."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = Totals(**shared.value)
+        held: list[np.ndarray] = []  # flush, position; tokens, known, base, score
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            at, values = (np.concatenate([x[i] for x in held], 1) for i in (0, 1))
+            order = np.lexsort((at[1], at[0]))
+            at, values = at[:, order], values[:, order]
+            new = np.flatnonzero(np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(0)]))
+            held[:] = [(at[:, new], np.add.reduceat(values, new, 1))]
+            return held[0]
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            at, values = merge()
+            cut = np.flatnonzero(np.concatenate([[True], at[0, 1:] != at[0, :-1]]))
+            for low, high in zip(cut, np.append(cut[1:], at.shape[1])):
+                part = values[:, low:high]
+                yield pa.record_batch({
+                    "flush": at[0, low:low + 1], "kind": pa.array([1], pa.int32()), "places": [at[1, low:high].astype(np.uint32).tobytes()],
+                    "sums": [part[1:].tobytes()], "tokens": [int(part[0].sum())]})
+            held.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flushes, sizes = np.frombuffer(batch["flushes"][i].as_buffer(), np.int64).reshape(2, -1)
+                used, short = np.unique(np.frombuffer(batch["doc"][i].as_buffer(), np.uint32), return_inverse=True)
+                values, begin = np.zeros((4, len(used))), 0
+                for bucket, _ in pieces(batch, i):
+                    log = np.log10(predict(bucket, totals, bucket.generator()))
+                    plain = np.log10((bucket.word_count + 1) / (totals.tokens + totals.vocabulary + 1))
+                    word, doc = bucket.word[bucket.kind], short[begin: begin + len(bucket.doc)]
+                    begin += len(bucket.doc)
+                    for row, value in enumerate((1, bucket.word_count[word] > 0, plain[word], log[bucket.kind])):
+                        values[row] += np.bincount(doc, value * bucket.n, len(used))
+                first = np.cumsum(sizes) - sizes
+                flush = np.searchsorted(first + sizes, used, "right")
+                held.append((np.stack([flushes[flush], used - first[flush]]), values))
+                if sum(x[0].shape[1] for x in held) > SUMS and merge()[0].shape[1] > SUMS // 2:
+                    yield from send()
+        yield from send()
+    return run
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the documents of each flush with the sums of all buckets."""
+    flush = known = None
+    missing = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if missing:
+            raise RuntimeError("rows of the input came in another order when a lost task was run again")
+        if flush is not None:
+            ids, held, n = documents
+            yield pa.record_batch([
+                pa.array(ids, mask=ids == _NO_ID), pa.array(held == 1), pa.array(n),
+                pa.array(np.rint(known[0]).astype(np.int64)), pa.array(known[1]), pa.array(known[2])],
+                names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == 0:
+                yield from done()
+                flush, n = row["flush"], np.frombuffer(row["sums"], np.int64)
+                documents = [*np.frombuffer(row["places"], np.int64).reshape(2, -1), n]
+                known, missing = np.zeros((3, len(n))), int(n.sum())
+            else:
+                if row["flush"] != flush:
+                    raise RuntimeError("rows of the input came in another order when a lost task was run again")
+                at = np.frombuffer(row["places"], np.uint32)
+                known[:, at] += np.frombuffer(row["sums"], np.float64).reshape(3, -1)
+                missing -= row["tokens"]
+    yield from done()
+
+
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows for which the column `held_out` is false and score all rows.
 
@@ -296,43 +427,20 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     has the uniform probability. The id must be an integer.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # more buckets repeat the ids of documents more often
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"),
                        F.xxhash64(text_col).alias("_key"), held_out.cast("int").alias("_held"),
                        F.col(text_col).alias("_text"))
-    sent = rows.mapInArrow(_messages(parts), packed.SCHEMA).select("bucket", "names", "docs", "places", "flags")
-    cells = common.write_blobs(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _gather, CELLS))
+    sent = rows.mapInArrow(_messages(parts), packed.SCHEMA).drop("kind")
+    written = common.write_blobs(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _gather, CELLS), "zstd")
+    cells = written.where("bucket >= 0")
     totals = _totals(cells, None)
     totals = _totals(cells, totals)
-    shared = spark.sparkContext.broadcast(vars(totals))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = Totals(**shared.value)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, keys, held = np.frombuffer(batch["ids"][i].as_buffer(), np.int64).reshape(3, -1)
-                a, b, number = packed.dense(ids, keys)
-                out = np.zeros(len(a), np.int64)
-                out[number] = held
-                sums = np.zeros((5, len(a)))
-                for bucket, names in pieces(batch, i):
-                    log = np.log10(predict(bucket, totals, bucket.generator()))
-                    plain = np.log10((bucket.word_count + 1) / (totals.tokens + totals.vocabulary + 1))
-                    word, doc = bucket.word[bucket.kind], number[bucket.doc]
-                    for row, value in enumerate((1, bucket.word_count[word] > 0, names[word] == _END, plain[word],
-                                                 log[bucket.kind])):
-                        sums[row] += np.bincount(doc, value * bucket.n, len(a))
-                whole = sums[:3].astype(np.int64)
-                yield pa.record_batch({"_id": a, "_key": b, "_held": out, "n_tokens": whole[0], "n_known": whole[1],
-                                       "rows": whole[2], "base_score": sums[3], "score": sums[4]})
-
-    sums = cells.mapInArrow(run, "_id long, _key long, _held long, n_tokens long, n_known long, rows long, "
-                                 "base_score double, score double")
-    sums = sums.groupBy("_id", "_key", "_held").agg(*[F.sum(c).alias(c) for c in (
-        "n_tokens", "n_known", "rows", "base_score", "score")])
-    each = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))  # repeated rows add up
-    per = lambda c: (F.col(c) / F.col("rows")).cast(dict(sums.dtypes)[c]).alias(c)
-    return each.select(F.when(F.col("_id") != _NO_ID, F.col("_id")).alias(id_col), (F.col("_held") == 1).alias("held_out"),
-                       per("n_tokens"), per("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"),
-                       per("base_score"), per("score"))
+    sums = cells.mapInArrow(_sums(spark.sparkContext.broadcast(vars(totals))), _SUMS)
+    listed = written.where("bucket < 0").select("flush", F.lit(0).alias("kind"), F.col("doc").alias("places"),
+                                                F.col("n").alias("sums"), F.lit(0).cast("long").alias("tokens"))
+    found = listed.union(sums).repartition(parts, "flush").sortWithinPartitions("flush", "kind").mapInArrow(
+        _join, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
+                        F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
