@@ -55,7 +55,7 @@ def create_store(store: Store, tables: dict[str, DataFrame]) -> None:
             rows = rows.withColumns({"model": F.lit("").cast("string"), "fingerprint": F.lit("")}).select(
                 *[f.split(" ")[0] for f in EMBEDDINGS.split(", ")])
         rows, by = partitioned(name, rows)
-        changes[name] = Change(rows, by, whole=True)
+        changes[name] = Change(rows, by, whole=True, shared=True)  # a folder for each month would cost more than its rows
     store.publish(changes)
 
 
@@ -92,7 +92,10 @@ def week_of(week: str) -> tuple[date, date]:
 
 def _to_trim(store: Store, sunday: date) -> set[str]:
     """Months with days up to `sunday` that may still be trimmed; month names, not days, go to the driver."""
-    open_ = store.read("l2_days").where((F.col("memory_date") <= F.lit(sunday)) & ~F.coalesce("status.trimmed", F.lit(False)))
+    version = store.version()
+    months = {(part_values(n) or {}).get("memory_month") for n in store.parts("l2_days", None, version)}
+    past = sorted(m for m in months if m is not None and m <= sunday.strftime("%Y-%m"))
+    open_ = store.read("l2_days", {"memory_month": past}, version).where((F.col("memory_date") <= F.lit(sunday)) & ~F.coalesce("status.trimmed", F.lit(False)))
     return {r.memory_month for r in open_.select("memory_month").distinct().collect()}
 
 
