@@ -36,9 +36,9 @@ def day_turns(spark: SparkSession, sf: str) -> DataFrame:
     return order_turns(with_days(turns(spark, sf)))
 
 
-def days(spark: SparkSession, sf: str) -> DataFrame:
-    """Transcript days with a day number that drives the flags of the lifecycle views."""
-    return (with_days(turns(spark, sf)).groupBy("agent_id", "memory_date").agg(
+def days(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Transcript days with a day number that drives the flags of the lifecycle views; `of` day turns that are stored already."""
+    return ((with_days(turns(spark, sf)) if of is None else of).groupBy("agent_id", "memory_date").agg(
         F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"))
         .withColumn("d", F.datediff("memory_date", F.lit("2023-12-01").cast("date")).cast("bigint")))
 
@@ -50,13 +50,13 @@ def _status(archived: Column, trimmed: Column) -> Column:
     return F.struct(*[part for name, value in flags.items() for part in (value.alias(name), no_time.alias(f"{name}_at"))])
 
 
-def l2_days(spark: SparkSession, sf: str) -> DataFrame:
-    return days(spark, sf).select("agent_id", "memory_date", _status(F.col("d") % 3 != 0, F.col("d") % 7 == 0).alias("status"))
+def l2_days(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    return days(spark, sf, of).select("agent_id", "memory_date", _status(F.col("d") % 3 != 0, F.col("d") % 7 == 0).alias("status"))
 
 
-def l1_days(spark: SparkSession, sf: str) -> DataFrame:
+def l1_days(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     """Summaries of all days but thin ones. Every turn of the day is dealt, by its number, to one of the five lists."""
-    per_day = day_turns(spark, sf).groupBy("agent_id", "memory_date").agg(
+    per_day = (day_turns(spark, sf) if of is None else of).groupBy("agent_id", "memory_date").agg(
         F.count(F.lit(1)).alias("total_turns"), F.count_if(F.col("role") == "user").alias("user_turns"),
         F.count_if(F.col("role") == "assistant").alias("assistant_turns"),
         F.array_sort(F.collect_list(F.struct("message_id", "turn_index", "content"))).alias("said"))
@@ -79,15 +79,15 @@ def l1_days(spark: SparkSession, sf: str) -> DataFrame:
         _status(d % 3 != 0, F.lit(False)).alias("status"))
 
 
-def day_markers(spark: SparkSession, sf: str) -> DataFrame:
+def day_markers(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     """A marker for every thin day; some are marked as without conversation, which leaves them without a summary or thin-day mark."""
     marker = F.when(F.col("d") % 2 == 0, "nocontent").otherwise("noconversation")
-    return days(spark, sf).filter("user_turns <= 1").select("agent_id", "memory_date", marker.alias("marker"))
+    return days(spark, sf, of).filter("user_turns <= 1").select("agent_id", "memory_date", marker.alias("marker"))
 
 
-def l0_index(spark: SparkSession, sf: str) -> DataFrame:
+def l0_index(spark: SparkSession, sf: str, l1: DataFrame | None = None) -> DataFrame:
     """Surface index rows of all summarised days."""
-    return l1_days(spark, sf).select(
+    return (l1_days(spark, sf) if l1 is None else l1).select(
         "agent_id", F.lit("surface").alias("depth"), F.col("memory_date").cast("string").alias("time_key"), "summary",
         "tags", F.col("day_mood").alias("mood"), F.lit(None).cast("string").alias("window_date_start"),
         F.col("total_turns").alias("access_count"))

@@ -12,6 +12,7 @@ from memlake.catalog.registry import query
 from memlake.functions import timeaxis
 from memlake.operators import landmarks, merging
 from memlake.plans import decay, jobs, preserve, write
+from memlake.session import materialize
 
 
 def _date():
@@ -21,11 +22,13 @@ WEEK = "2024-W04"
 
 
 def store(spark, sf):
-    index = fx.l0_index(spark, sf)
+    turns = materialize(fx.day_turns(spark, sf))  # numbered once, summarised once
+    l1 = materialize(fx.l1_days(spark, sf, turns))
+    index = fx.l0_index(spark, sf, l1)
     vectors = write.hashed_embedding(8)(write.with_embed_text(index)).select(
         "agent_id", "depth", "time_key", "text_used", "embedding")
-    return {"l1_days": fx.l1_days(spark, sf), "l2_days": fx.l2_days(spark, sf), "turns": fx.day_turns(spark, sf),
-            "day_markers": fx.day_markers(spark, sf), "l0_index": index, "l0_embeddings": vectors}
+    return {"l1_days": l1, "l2_days": fx.l2_days(spark, sf, turns), "turns": turns,
+            "day_markers": fx.day_markers(spark, sf, turns), "l0_index": index, "l0_embeddings": vectors}
 
 
 def _joined(kind: str) -> str:

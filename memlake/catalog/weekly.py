@@ -77,8 +77,8 @@ def archive_restore_files(spark, sf):
 
 def lifecycle_store(spark, sf) -> Store:
     """A store with the lifecycle tables, no rollups yet; days with d % 6 = 1 are landmarks."""
-    tables, days = lifecycle.store(spark, sf), fx.days(spark, sf)
-    agents = days.select("agent_id").distinct()
+    tables = lifecycle.store(spark, sf)
+    agents = tables["l2_days"].select("agent_id").distinct()
     store = Store(spark, _folder(spark, "store"))
     weekly.create_store(store, {
         **tables, "agents": agents, "landmark_counts": landmarks.count_documents(tables["l1_days"]),
