@@ -1,13 +1,16 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-A context restaurant seats the words that follow one class of previous words
-(`CONTEXT_BITS` bits of the word's hash, so that their totals are a table of
-fixed size); all share the root restaurant as parent, whose base is uniform.
+A context restaurant seats the words that follow one previous word; all share
+the root restaurant as parent, whose base is uniform. Contexts go by
+`CONTEXT_BITS` bits of the word's hash, enough to tell all words apart.
 Customers are all training tokens. Tokens are dealt by their word, so a bucket
 holds a word's customers in every context; the seating of a dish, given all
 others, is drawn anew in each sweep and kept by a Metropolis step. Between
-sweeps over all buckets the contexts' totals are added up. Scores average the
-predictive probabilities of several seatings.
+sweeps over all buckets the contexts' totals are added up: each bucket tells the
+sums of its contexts to their homes, which tell every bucket the totals of the
+contexts that it has. No task holds the totals of all contexts, and buckets are
+stored by number, so that totals come to them and they do not move. Scores
+average the predictive probabilities of several seatings.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +26,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm import common, packed, words
+from memlake.session import checkpoint_dir
 
-CONTEXT_BITS = 16
+CONTEXT_BITS = 40
 DISCOUNT, STRENGTH = 0.8, 20.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
 BURN, SAMPLES = 1, 2
 CHUNK_BYTES = 1 << 19  # of texts split at once
 SENT_TOKENS = 600_000  # of a task before they are sorted and sent
-PIECE = 150_000  # entries of a bucket worked on at once
-QUARTERS = 4  # rows of a bucket, by the upper bits of the words' names
-SUMS = 1_500_000  # of documents that a task holds before they are sent
+PIECE = 75_000  # entries of a bucket worked on at once
+QUARTERS = 8  # rows of a bucket, by the upper bits of the words' names
+SUMS = 750_000  # of documents that a task holds before they are sent
+NEW_SUMS = 200_000  # of them, not yet added up
 _ONE_BY_ONE = 64  # customers of a dish seated singly; later ones in blocks of a sixteenth of those before
 _START, _END = np.uint64(0x0BE61717), np.uint64(0xE2D0FDEC)
 _NO_ID = -(2**63)
-#: A quarter of a bucket's words, or with a `bucket` below 0 the documents of one message.
-CELLS = ("bucket int, quarter int, flush long, words binary, entries binary, context binary, doc binary, n binary, "
-         "held binary, flushes binary")
+#: A part of a bucket's words, or with a `bucket` below 0 the documents of one message.
+CELLS = ("bucket int, quarter int, flush long, words binary, entries binary, contexts binary, context binary, doc binary, "
+         "n binary, held binary, flushes binary")
+#: Sums or totals of a bucket's contexts that have one home: customers and tables. The first row of a bucket has its own sums too.
+_SHARES = "home int, bucket int, quarter int, names binary, a binary, b binary, tokens long, vocabulary long, root_customers long, root_tables long"
+_SCALARS = ("tokens", "vocabulary", "root_customers", "root_tables")
 
 
 @dataclass
 class Totals:
-    """Of all training tokens: their number, distinct words, customers and tables of contexts and of the root."""
+    """Of all training tokens: their number, distinct words, customers and tables of a bucket's contexts and of the root."""
     tokens: int
     vocabulary: int
     customers: np.ndarray
@@ -71,19 +80,42 @@ def _narrow(values: np.ndarray) -> bytes:
     return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
 
+def _pack(names: np.ndarray) -> bytes:
+    """Sorted names of contexts: steps from each to the next, byte by byte, the upper ones mostly zero."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8].T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    size = CONTEXT_BITS // 8
+    steps = np.zeros((len(data) // size, 8), np.uint8)
+    steps[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _wide(data: bytes, n: int, at: int = 0, size: int | None = None) -> np.ndarray:
     """`n` values written by `_narrow`, in `size` bytes from `at` on."""
     size = len(data) - at if size is None else size
     return np.frombuffer(data, {0: np.uint8, 1: np.uint8, 2: np.uint16, 4: np.uint32}[size // max(n, 1)], n, at)
 
 
-def _messages(parts: int):
+def _numbers(spark, parts: int) -> np.ndarray:
+    """Numbers of buckets, one for each partition that rows are dealt to, so that no task has several buckets."""
+    some = spark.range(64 * parts).select(F.col("id").cast("int").alias("bucket"))
+    own = some.groupBy(F.pmod(F.hash("bucket"), F.lit(parts))).agg(F.min("bucket")).collect()
+    left = iter(range(64 * parts, 65 * parts))  # for a partition that none of them falls to
+    return np.array([number for _, number in own] + [next(left) for _ in range(parts - len(own))])
+
+
+def _messages(parts: int, numbers: np.ndarray | None = None):
     """Messages of a task, in flushes: to each bucket, and one with the flush's documents.
 
     Buckets know documents by flush and position. A flush is named by its rows
     and their order, so that messages of tasks that read other rows in a second
     attempt do not mix; `_join` misses them.
     """
+    numbers = np.arange(parts) if numbers is None else numbers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = words.Splitter(lower=True)
         held: list[list[np.ndarray]] = [[], [], [], []]
@@ -103,7 +135,8 @@ def _messages(parts: int):
             batch.add(kind=1, bucket=-1 - key % parts, id=key, docs=known[[0, 2]].tobytes(),
                       places=np.bincount(doc, minlength=docs).astype(np.int64).tobytes())
             own = np.packbits(known[2].astype(bool)).tobytes()
-            place = context << np.uint64(32) | doc.astype(np.uint64)
+            contexts, context = np.unique(context, return_inverse=True)
+            place = context.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64)
             order = np.lexsort((place, name))
             name, place = name[order], place[order]
             new = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (place[1:] != place[:-1])]))
@@ -116,10 +149,12 @@ def _messages(parts: int):
             for low, high in zip(cut, np.append(cut[1:], len(bucket))):
                 part = place[low:high]
                 names, entries = words.distinct(name[low:high])
-                doc = _narrow(part & np.uint64(0xFFFFFFFF))
-                batch.add(kind=0, bucket=int(bucket[low]), id=key, text_key=docs << 8 | len(doc) // len(part),
-                          names=names.tobytes(), flags=entries.astype(np.uint32).tobytes(), docs=own,
-                          places=(part >> np.uint64(32)).astype(np.uint16).tobytes() + doc + _narrow(n[low:high]))
+                used, context = np.unique(part >> np.uint64(32), return_inverse=True)
+                context, doc = _narrow(context), _narrow(part & np.uint64(0xFFFFFFFF))
+                batch.add(kind=0, bucket=int(numbers[bucket[low]]), id=key,
+                          text_key=docs << 16 | len(context) // len(part) << 8 | len(doc) // len(part),
+                          names=names.tobytes() + _pack(contexts[used]), flags=entries.astype(np.uint32).tobytes(), docs=own,
+                          places=context + doc + _narrow(n[low:high]))
             docs = count = 0
             flushes += 1
             yield from packed.slices(batch.done())
@@ -146,24 +181,28 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([values.get(n)], types.get(n, pa.binary())) for n in names], names=names)
 
     def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        docs = [r["text_key"] >> 8 for r in rows]
+        docs = [r["text_key"] >> 16 for r in rows]
         offset = np.cumsum([0, *docs])
         held = np.concatenate([np.unpackbits(np.frombuffer(r["docs"], np.uint8))[:k] for r, k in zip(rows, docs)])
         held, flushes = np.packbits(held).tobytes(), np.array([[r["id"] for r in rows], docs], np.int64).tobytes()
+        known = [_unpack(r["names"][2 * len(r["flags"]):]) for r in rows]  # eight bytes a word, then contexts
+        contexts = np.unique(np.concatenate(known))
+        known = [np.searchsorted(contexts, k).astype(np.uint32) for k in known]
         for quarter in range(QUARTERS):
             found: list[list[np.ndarray]] = [[], [], [], [], []]
-            for r, o in zip(rows, offset):
-                names, entries = np.frombuffer(r["names"], np.uint64), np.frombuffer(r["flags"], np.uint32)
+            for r, o, k in zip(rows, offset, known):
+                entries = np.frombuffer(r["flags"], np.uint32)
+                names = np.frombuffer(r["names"], np.uint64, len(entries))
                 ends = np.concatenate([[0], np.cumsum(entries, dtype=np.int64)])
-                size, width = int(ends[-1]), r["text_key"] & 255
+                size, near, width = int(ends[-1]), r["text_key"] >> 8 & 255, r["text_key"] & 255
                 own = np.flatnonzero((names >> np.uint64(32)) * np.uint64(QUARTERS) >> np.uint64(32) == quarter)
                 if not len(own):
                     continue
                 own = slice(own[0], own[-1] + 1)  # names are in order
                 part = slice(ends[own.start], ends[own.stop])
-                doc = _wide(r["places"], size, 2 * size, width * size)[part].astype(np.uint32) + np.uint32(o)
-                for values, one in zip(found, (names[own], entries[own], np.frombuffer(r["places"], np.uint16, size)[part],
-                                               doc, _wide(r["places"], size, (2 + width) * size)[part])):
+                doc = _wide(r["places"], size, near * size, width * size)[part].astype(np.uint32) + np.uint32(o)
+                for values, one in zip(found, (names[own], entries[own], k[_wide(r["places"], size, 0, near * size)[part]],
+                                               doc, _wide(r["places"], size, (near + width) * size)[part])):
                     values.append(one)
             if not found[0]:
                 continue
@@ -171,10 +210,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             del found
             vocabulary, number = np.unique(names, return_inverse=True)
             number = np.repeat(number, entries)
-            order = np.argsort(number << CONTEXT_BITS | context, kind="stable")
+            used, context = np.unique(context, return_inverse=True)
+            order = np.argsort(number << 32 | context, kind="stable")
             yield cell(bucket=rows[0]["bucket"], quarter=quarter, words=vocabulary.tobytes(),
                        entries=np.bincount(number, minlength=len(vocabulary)).astype(np.uint32).tobytes(),
-                       context=context[order].tobytes(), doc=doc[order].tobytes(), n=_narrow(n[order]),
+                       contexts=_pack(contexts[used]), context=_narrow(context[order]), doc=doc[order].tobytes(), n=_narrow(n[order]),
                        held=held, flushes=flushes)
 
     met: list[dict] = []
@@ -216,7 +256,8 @@ def pieces(batch: pa.RecordBatch, row: int, most: int = PIECE) -> Iterator[tuple
     """
     read = lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind)
     names, entries = read("words", np.uint64), read("entries", np.uint32).astype(np.int64)
-    context, doc = read("context", np.uint16), read("doc", np.uint32)
+    doc = read("doc", np.uint32)
+    context = _wide(batch["context"][row].as_buffer(), len(doc))
     n, held = _wide(batch["n"][row].as_buffer(), len(doc)), np.unpackbits(read("held", np.uint8))
     ends = np.cumsum(entries)
     low = 0
@@ -302,46 +343,119 @@ def predict(bucket: Bucket, totals: Totals, rng: np.random.Generator) -> np.ndar
     return total / SAMPLES
 
 
-def _totals(cells: DataFrame, known: Totals | None) -> Totals:
-    """Totals over all buckets; with those of a sweep before, after sweeps that use them."""
-    shared = cells.sparkSession.sparkContext.broadcast(vars(known) if known else None)
-    width = 1 << CONTEXT_BITS
+def _homes(names: np.ndarray, homes: int) -> np.ndarray:
+    """Where the contexts' first of each home begin, and their end; names are in order."""
+    at = [(home << CONTEXT_BITS) // homes + ((home << CONTEXT_BITS) % homes > 0) for home in range(homes + 1)]
+    return np.searchsorted(names, np.array(at, np.uint64))
+
 
+def _known(batch: pa.RecordBatch, row: int, homes: int, scalars: dict) -> Totals:
+    """Totals for a bucket: those of its contexts as their homes told them."""
+    cut = _homes(_unpack(batch["contexts"][row].as_py()), homes)
+    customers, tables = np.zeros(cut[-1], np.int64), np.zeros(cut[-1], np.int64)
+    told = np.zeros(homes, bool)
+    for share in batch["totals"][row].as_py():
+        low, high = cut[share["home"]], cut[share["home"] + 1]
+        customers[low:high], tables[low:high] = _wide(share["a"], high - low), _wide(share["b"], high - low)
+        told[share["home"]] = True
+    if (~told & (np.diff(cut) > 0)).any():
+        raise RuntimeError("totals of a bucket's contexts are missing")
+    return Totals(customers=customers, tables=tables, **scalars)
+
+
+def _shares(homes: int, scalars: dict | None):
+    """Sums of each bucket's contexts, a row to each home; with totals of a sweep before, after sweeps that use them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                customers, seated = np.zeros(width, np.int64), np.zeros(width, np.int64)
-                sums = np.zeros((2, 2), np.int64)
+                names = _unpack(batch["contexts"][i].as_py())
+                totals = _known(batch, i, homes, scalars) if scalars else None
+                customers, seated = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+                sums = np.zeros(4, np.int64)
                 for bucket, _ in pieces(batch, i):
                     tables, root_tables = np.minimum(bucket.count, 1), np.minimum(bucket.word_count, 1)
-                    if shared.value:
-                        for tables, root_tables in seatings(bucket, Totals(**shared.value), bucket.generator(), BURN + 1):
+                    if totals:
+                        for tables, root_tables in seatings(bucket, totals, bucket.generator(), BURN + 1):
                             pass
-                    customers += np.bincount(bucket.context, bucket.count, width).astype(np.int64)
-                    seated += np.bincount(bucket.context, tables, width).astype(np.int64)
-                    sums += [[bucket.count.sum(), (bucket.word_count > 0).sum()], [tables.sum(), root_tables.sum()]]
-                at = np.flatnonzero(customers)
-                yield pa.record_batch({"at": np.concatenate([at, [-1, -2]]),
-                                       "a": np.concatenate([customers[at], sums[:, 0]]),
-                                       "b": np.concatenate([seated[at], sums[:, 1]])})
-
-    rows = cells.mapInArrow(run, "at long, a long, b long").groupBy("at").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # at most 2 ** CONTEXT_BITS + 2 rows
-    at, a, b = (rows[c].to_numpy() for c in ("at", "a", "b"))
-    customers, tables = np.zeros(width, np.int64), np.zeros(width, np.int64)
-    customers[at[at >= 0]], tables[at[at >= 0]] = a[at >= 0], b[at >= 0]
-    one = lambda values, k: int(values[at == k].sum())
-    return Totals(one(a, -1), one(b, -1), customers, tables, one(a, -2), one(b, -2))
+                    customers += np.bincount(bucket.context, bucket.count, len(names)).astype(np.int64)
+                    seated += np.bincount(bucket.context, tables, len(names)).astype(np.int64)
+                    sums += [bucket.count.sum(), (bucket.word_count > 0).sum(), tables.sum(), root_tables.sum()]
+                cut = _homes(names, homes)
+                at = np.flatnonzero(np.diff(cut))
+                parts = [slice(cut[h], cut[h + 1]) for h in at]
+                first = np.arange(len(at)) == 0
+                yield pa.record_batch({
+                    "home": pa.array(at, pa.int32()), "bucket": pa.array([batch["bucket"][i].as_py()] * len(at), pa.int32()),
+                    "quarter": pa.array([batch["quarter"][i].as_py()] * len(at), pa.int32()),
+                    "names": pa.array([_pack(names[p]) for p in parts], pa.binary()),
+                    "a": pa.array([_narrow(customers[p]) for p in parts], pa.binary()),
+                    "b": pa.array([_narrow(seated[p]) for p in parts], pa.binary()),
+                    **{name: pa.array(first * value, pa.int64()) for name, value in zip(_SCALARS, sums)}})
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shares of each home with totals over all buckets in place of each bucket's sums."""
+    schema = None
+
+    def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        names = [_unpack(r["names"]) for r in rows]
+        size = [len(x) for x in names]
+        number = np.unique(np.concatenate(names), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        for name in ("a", "b"):
+            total = np.bincount(number, np.concatenate([_wide(r[name], n) for r, n in zip(rows, size)])).astype(np.int64)
+            for r, low, high in zip(rows, ends - size, ends):
+                r[name] = _narrow(total[number[low:high]])
+        for r in rows:
+            r["names"] = None
+        yield from packed.slices(pa.RecordBatch.from_pylist(rows, schema))
+
+    met: list[dict] = []
+    for batch in batches:
+        schema = batch.schema
+        for row in batch.to_pylist():
+            if met and met[0]["home"] != row["home"]:
+                yield from finish(met)
+                met = []
+            met.append(row)
+    if met:
+        yield from finish(met)
+
+
+def _totals(cells: DataFrame, parts: int, scalars: dict | None = None) -> tuple[DataFrame, dict]:
+    """Totals of contexts for each bucket, and of all tokens."""
+    told = cells.mapInArrow(_shares(parts, scalars), _SHARES)
+    totals = common.write_blobs(told.repartition(parts, "home").sortWithinPartitions("home").mapInArrow(_add, _SHARES).drop("names"), "zstd")
+    sums = totals.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _SCALARS]).first()
+    return totals, sums.asDict()
+
+
+def _with_totals(cells: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
+    """Buckets, where they are, with the totals that were told to them."""
+    told = totals.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("quarter", "home", "a", "b")).alias("totals"))
+    return cells.hint("merge").join(told, "bucket").withColumn(
+        "totals", F.filter("totals", lambda t: t["quarter"] == F.col("quarter")))
+
+
+def _stored(cells: DataFrame, parts: int) -> DataFrame:
+    """Buckets as files by number, in small row groups; read so that a join by bucket moves none of them."""
+    spark, name = cells.sparkSession, f"memlake_cells_{uuid4().hex}"
+    cells.write.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").option("compression", "zstd").option(
+        "path", f"{checkpoint_dir(spark)}/tables/{name}").bucketBy(parts, "bucket").saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the frame knows them
+    return stored
 
 
 _SUMS = "flush long, kind int, places binary, sums binary, tokens long"
 
 
-def _sums(shared):
+def _sums(homes: int, scalars: dict):
     """One row from a task to a flush: positions of documents and their known tokens, base and model's log10."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = Totals(**shared.value)
         held: list[np.ndarray] = []  # flush, position; tokens, known, base, score
+        merged = 0
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
             at, values = (np.concatenate([x[i] for x in held], 1) for i in (0, 1))
@@ -368,6 +482,7 @@ def _sums(shared):
                 flushes, sizes = np.frombuffer(batch["flushes"][i].as_buffer(), np.int64).reshape(2, -1)
                 used, short = np.unique(np.frombuffer(batch["doc"][i].as_buffer(), np.uint32), return_inverse=True)
                 values, begin = np.zeros((4, len(used))), 0
+                totals = _known(batch, i, homes, scalars)
                 for bucket, _ in pieces(batch, i):
                     log = np.log10(predict(bucket, totals, bucket.generator()))
                     plain = np.log10((bucket.word_count + 1) / (totals.tokens + totals.vocabulary + 1))
@@ -378,8 +493,11 @@ def _sums(shared):
                 first = np.cumsum(sizes) - sizes
                 flush = np.searchsorted(first + sizes, used, "right")
                 held.append((np.stack([flushes[flush], used - first[flush]]), values))
-                if sum(x[0].shape[1] for x in held) > SUMS and merge()[0].shape[1] > SUMS // 2:
-                    yield from send()
+                if sum(x[0].shape[1] for x in held) > merged + NEW_SUMS:
+                    merged = merge()[0].shape[1]
+                    if merged > SUMS:
+                        yield from send()
+                        merged = 0
         yield from send()
     return run
 
@@ -431,16 +549,15 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"),
                        F.xxhash64(text_col).alias("_key"), held_out.cast("int").alias("_held"),
                        F.col(text_col).alias("_text"))
-    sent = rows.mapInArrow(_messages(parts), packed.SCHEMA).drop("kind")
-    written = common.write_blobs(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _gather, CELLS), "zstd")
+    sent = rows.mapInArrow(_messages(parts, _numbers(spark, parts)), packed.SCHEMA).drop("kind")
+    written = _stored(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, CELLS), parts)
     cells = written.where("bucket >= 0")
-    totals = _totals(cells, None)
-    totals = _totals(cells, totals)
-    sums = cells.mapInArrow(_sums(spark.sparkContext.broadcast(vars(totals))), _SUMS)
+    totals, scalars = _totals(cells, parts)
+    totals, scalars = _totals(_with_totals(cells, totals, parts), parts, scalars)
+    sums = _with_totals(cells, totals, parts).mapInArrow(_sums(parts, scalars), _SUMS)
     listed = written.where("bucket < 0").select("flush", F.lit(0).alias("kind"), F.col("doc").alias("places"),
                                                 F.col("n").alias("sums"), F.lit(0).cast("long").alias("tokens"))
     found = listed.union(sums).repartition(parts, "flush").sortWithinPartitions("flush", "kind").mapInArrow(
         _join, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
-                        F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+                        F.lit(scalars["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
