@@ -44,8 +44,8 @@ _NO_ID = -(2**63)
 #: A part of a bucket's words, or with a `bucket` below 0 the documents of one message.
 CELLS = ("bucket int, quarter int, flush long, words binary, entries binary, contexts binary, context binary, doc binary, "
          "n binary, held binary, flushes binary")
-#: Sums or totals of a bucket's contexts that have one home: customers and tables. The first row of a bucket has its own sums too.
-_SHARES = "home int, bucket int, quarter int, names binary, a binary, b binary, tokens long, vocabulary long, root_customers long, root_tables long"
+#: Sums or totals of a bucket's contexts that have one home, by quarter: customers and tables. The first row of a bucket has its own sums too.
+_SHARES = "home int, bucket int, quarter array<int>, names array<binary>, a array<binary>, b array<binary>, tokens long, vocabulary long, root_customers long, root_tables long"
 _SCALARS = ("tokens", "vocabulary", "root_customers", "root_tables")
 
 
@@ -343,6 +343,11 @@ def predict(bucket: Bucket, totals: Totals, rng: np.random.Generator) -> np.ndar
     return total / SAMPLES
 
 
+def homes_of(parts: int) -> int:
+    """Homes of contexts; fewer than buckets, so that what they tell each other is few rows."""
+    return max(1, parts // 4)
+
+
 def _homes(names: np.ndarray, homes: int) -> np.ndarray:
     """Where the contexts' first of each home begin, and their end; names are in order."""
     at = [(home << CONTEXT_BITS) // homes + ((home << CONTEXT_BITS) % homes > 0) for home in range(homes + 1)]
@@ -366,6 +371,21 @@ def _known(batch: pa.RecordBatch, row: int, homes: int, scalars: dict) -> Totals
 def _shares(homes: int, scalars: dict | None):
     """Sums of each bucket's contexts, a row to each home; with totals of a sweep before, after sweeps that use them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket_, told, own = None, {}, np.zeros(4, np.int64)  # of the bucket at hand: by home, the lists of a row
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal own
+            if told:
+                first = np.arange(len(told)) == 0
+                columns = zip(*told.values())
+                yield pa.record_batch({
+                    "home": pa.array(list(told), pa.int32()), "bucket": pa.array([bucket_] * len(told), pa.int32()),
+                    **{name: pa.array(list(column), pa.list_(kind)) for name, kind, column in zip(
+                        ("quarter", "names", "a", "b"), (pa.int32(), *[pa.binary()] * 3), columns)},
+                    **{name: pa.array(first * value, pa.int64()) for name, value in zip(_SCALARS, own)}})
+            told.clear()
+            own = np.zeros(4, np.int64)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 names = _unpack(batch["contexts"][i].as_py())
@@ -380,17 +400,17 @@ def _shares(homes: int, scalars: dict | None):
                     customers += np.bincount(bucket.context, bucket.count, len(names)).astype(np.int64)
                     seated += np.bincount(bucket.context, tables, len(names)).astype(np.int64)
                     sums += [bucket.count.sum(), (bucket.word_count > 0).sum(), tables.sum(), root_tables.sum()]
+                if batch["bucket"][i].as_py() != bucket_:
+                    yield from send()
+                    bucket_ = batch["bucket"][i].as_py()
+                own += sums
                 cut = _homes(names, homes)
-                at = np.flatnonzero(np.diff(cut))
-                parts = [slice(cut[h], cut[h + 1]) for h in at]
-                first = np.arange(len(at)) == 0
-                yield pa.record_batch({
-                    "home": pa.array(at, pa.int32()), "bucket": pa.array([batch["bucket"][i].as_py()] * len(at), pa.int32()),
-                    "quarter": pa.array([batch["quarter"][i].as_py()] * len(at), pa.int32()),
-                    "names": pa.array([_pack(names[p]) for p in parts], pa.binary()),
-                    "a": pa.array([_narrow(customers[p]) for p in parts], pa.binary()),
-                    "b": pa.array([_narrow(seated[p]) for p in parts], pa.binary()),
-                    **{name: pa.array(first * value, pa.int64()) for name, value in zip(_SCALARS, sums)}})
+                for home in np.flatnonzero(np.diff(cut)):
+                    part = slice(cut[home], cut[home + 1])
+                    for values, value in zip(told.setdefault(int(home), ([], [], [], [])), (
+                            batch["quarter"][i].as_py(), _pack(names[part]), _narrow(customers[part]), _narrow(seated[part]))):
+                        values.append(value)
+        yield from send()
     return run
 
 
@@ -399,14 +419,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = None
 
     def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        names = [_unpack(r["names"]) for r in rows]
+        each = [(r, i) for r in rows for i in range(len(r["quarter"]))]
+        names = [_unpack(r["names"][i]) for r, i in each]
         size = [len(x) for x in names]
         number = np.unique(np.concatenate(names), return_inverse=True)[1]
         ends = np.cumsum(size)
         for name in ("a", "b"):
-            total = np.bincount(number, np.concatenate([_wide(r[name], n) for r, n in zip(rows, size)])).astype(np.int64)
-            for r, low, high in zip(rows, ends - size, ends):
-                r[name] = _narrow(total[number[low:high]])
+            total = np.bincount(number, np.concatenate([_wide(r[name][i], n) for (r, i), n in zip(each, size)])).astype(np.int64)
+            for (r, i), low, high in zip(each, ends - size, ends):
+                r[name][i] = _narrow(total[number[low:high]])
         for r in rows:
             r["names"] = None
         yield from packed.slices(pa.RecordBatch.from_pylist(rows, schema))
@@ -425,8 +446,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _totals(cells: DataFrame, parts: int, scalars: dict | None = None) -> tuple[DataFrame, dict]:
     """Totals of contexts for each bucket, and of all tokens."""
-    told = cells.mapInArrow(_shares(parts, scalars), _SHARES)
-    totals = common.write_blobs(told.repartition(parts, "home").sortWithinPartitions("home").mapInArrow(_add, _SHARES).drop("names"), "zstd")
+    told = cells.mapInArrow(_shares(homes_of(parts), scalars), _SHARES)
+    totals = common.write_blobs(told.repartition(homes_of(parts), "home").sortWithinPartitions("home").mapInArrow(_add, _SHARES).drop("names"), "zstd")
     sums = totals.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _SCALARS]).first()
     return totals, sums.asDict()
 
@@ -434,8 +455,10 @@ def _totals(cells: DataFrame, parts: int, scalars: dict | None = None) -> tuple[
 def _with_totals(cells: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
     """Buckets, where they are, with the totals that were told to them."""
     told = totals.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("quarter", "home", "a", "b")).alias("totals"))
-    return cells.hint("merge").join(told, "bucket").withColumn(
-        "totals", F.filter("totals", lambda t: t["quarter"] == F.col("quarter")))
+    own = lambda t, name: F.element_at(t[name], F.array_position(t["quarter"], F.col("quarter")).cast("int"))
+    return cells.hint("merge").join(told, "bucket").withColumn("totals", F.transform(
+        F.filter("totals", lambda t: F.array_contains(t["quarter"], F.col("quarter"))),
+        lambda t: F.struct(t["home"].alias("home"), own(t, "a").alias("a"), own(t, "b").alias("b"))))
 
 
 def _stored(cells: DataFrame, parts: int) -> DataFrame:
@@ -554,7 +577,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     cells = written.where("bucket >= 0")
     totals, scalars = _totals(cells, parts)
     totals, scalars = _totals(_with_totals(cells, totals, parts), parts, scalars)
-    sums = _with_totals(cells, totals, parts).mapInArrow(_sums(parts, scalars), _SUMS)
+    sums = _with_totals(cells, totals, parts).mapInArrow(_sums(homes_of(parts), scalars), _SUMS)
     listed = written.where("bucket < 0").select("flush", F.lit(0).alias("kind"), F.col("doc").alias("places"),
                                                 F.col("n").alias("sums"), F.lit(0).cast("long").alias("tokens"))
     found = listed.union(sums).repartition(parts, "flush").sortWithinPartitions("flush", "kind").mapInArrow(

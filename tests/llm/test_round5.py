@@ -54,7 +54,7 @@ def test_buckets_hear_the_totals_of_all_buckets(spark):
     met = set()
     for row in asked["rows"]:
         batch = pa.RecordBatch.from_pylist([{"contexts": bytes(row.contexts), "totals": [t.asDict() for t in row.totals]}])
-        known = language_model._known(batch, 0, asked["parts"], asked["scalars"])
+        known = language_model._known(batch, 0, language_model.homes_of(asked["parts"]), asked["scalars"])
         for context, n, t in zip(language_model._unpack(bytes(row.contexts)).tolist(), known.customers, known.tables):
             assert (n, t) == (customers[context], len(kinds[context]))
             met.add(context)
