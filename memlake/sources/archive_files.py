@@ -31,8 +31,9 @@ def write_archive(tables: dict[str, DataFrame], path: str, weeks: list[str], ove
     """Archive the weeks of some tables; returns the manifest of what this run archived.
 
     Agent-weeks that are in the archive already stay as they are unless
-    `overwrite`. Other agents of a week keep their rows. A run that finds nothing
-    to archive publishes nothing.
+    `overwrite`. Other agents of a week keep their rows; weeks without a row to
+    archive are not written again. A run that finds nothing to archive publishes
+    nothing.
     """
     spark = next(iter(tables.values())).sparkSession
     store = Store(spark, path)
@@ -42,11 +43,13 @@ def write_archive(tables: dict[str, DataFrame], path: str, weeks: list[str], ove
     fresh = materialize(preserve.manifest(archive))
     if fresh.isEmpty():
         return fresh
+    # Names of weeks, not rows, go to the driver.
+    touched = [r.week_id for r in fresh.where("week_id is not null").select("week_id").distinct().collect()]
     changes = {}
     for table, rows in {**archive, MANIFEST: fresh}.items():
-        parts = store.parts(table, {"week_id": weeks}, version) if table in version["tables"] else {}
+        parts = store.parts(table, {"week_id": touched}, version) if table in version["tables"] else {}
         if parts:
-            others = store.read(table, {"week_id": weeks}, version).join(fresh.select(AGENT_WEEK), AGENT_WEEK, "left_anti")
+            others = store.read(table, {"week_id": touched}, version).join(fresh.select(AGENT_WEEK), AGENT_WEEK, "left_anti")
             changes[table] = Change(others.unionByName(rows), WEEK, emptied=tuple(parts))
         else:
             changes[table] = Change(rows, WEEK)
