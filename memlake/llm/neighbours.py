@@ -246,7 +246,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
                 ok = np.isfinite(value)
                 yield pa.record_batch({"query_id": np.repeat(own, ok.sum(1)), "vec_id": names[ok], "score": value[ok]})
 
-    joined = packs.join(graphs, ["dim", "shard"]).select("dim", "vectors", "ids", "graph", "entry", "queries")
+    # Packs look as small as before they were told to every shard; as a broadcast all of them would go through the driver.
+    joined = packs.hint("merge").join(graphs, ["dim", "shard"]).select("dim", "vectors", "ids", "graph", "entry", "queries")
     hits = joined.mapInArrow(find, "query_id long, vec_id long, score double")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
