@@ -11,6 +11,10 @@ sums of its contexts to their homes, which tell every bucket the totals of the
 contexts that it has. No task holds the totals of all contexts, and buckets are
 stored by number, so that totals come to them and they do not move. Scores
 average the predictive probabilities of several seatings.
+
+A word of very many tokens is dealt as several, by context, so that no bucket
+grows with it. These buckets are told its customers in all and its tables as the
+sweep before left them, as they are told contexts' totals.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ BURN, SAMPLES = 1, 2
 CHUNK_BYTES = 1 << 19  # of texts split at once
 SENT_TOKENS = 600_000  # of a task before they are sorted and sent
 PIECE = 75_000  # entries of a bucket worked on at once
+SPLIT = 150_000  # tokens of a word, about, that go to one bucket
+_SAMPLED = 16  # a text of so many is looked at for words to split
 QUARTERS = 8  # rows of a bucket, by the upper bits of the words' names
 SUMS = 750_000  # of documents that a task holds before they are sent
 NEW_SUMS = 200_000  # of them, not yet added up
@@ -43,12 +49,59 @@ _START, _END = np.uint64(0x0BE61717), np.uint64(0xE2D0FDEC)
 _NO_ID = -(2**63)
 #: A part of a bucket's words, or with a `bucket` below 0 the documents of one message.
 CELLS = ("bucket int, quarter int, flush long, words binary, entries binary, contexts binary, context binary, doc binary, "
-         "n binary, held binary, flushes binary")
+         "n binary, held binary, flushes binary, whole binary")
 #: Sums or totals of a bucket's contexts that have one home, by quarter: customers and tables. The first row of a bucket has its own sums too.
-_SHARES = "home int, bucket int, quarter array<int>, names array<binary>, a array<binary>, b array<binary>, tokens long, vocabulary long, root_customers long, root_tables long"
+_SHARES = "home int, bucket int, quarter array<int>, names array<binary>, a array<binary>, b array<binary>, tokens long, vocabulary long, root_customers long, root_tables long, whole binary"
 _SCALARS = ("tokens", "vocabulary", "root_customers", "root_tables")
 
 
+@dataclass
+class Shared:
+    """Of words that several buckets have, in the order of `Split.names`: customers, and customers and tables in the root."""
+    count: np.ndarray
+    root: np.ndarray
+    root_tables: np.ndarray
+    seated: bool  # or there is one table for each context so far
+
+
+@dataclass
+class Split:
+    """Words dealt as several: their names in order, how many each is, the names of all of those in order and whose they are."""
+    names: np.ndarray
+    pieces: np.ndarray
+    parts: np.ndarray
+    of: np.ndarray
+
+    @staticmethod
+    def plan(names: np.ndarray, count: np.ndarray) -> Split:
+        order = np.argsort(names)
+        names, pieces = names[order], -(-count[order] // SPLIT)
+        of = np.repeat(np.arange(len(names)), pieces)
+        parts = words.pair(names[of], (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)).astype(np.uint64))
+        order = np.argsort(parts)
+        return Split(names, pieces, parts[order], of[order])
+
+    def deal(self, name: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Names of tokens, those of split words by context."""
+        if not len(self.names):
+            return name
+        at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+        hit = np.flatnonzero(self.names[at] == name)
+        name = name.copy()
+        name[hit] = words.pair(name[hit], words.mix(context[hit]) % self.pieces[at[hit]].astype(np.uint64))
+        return name
+
+    def whole(self, name: np.ndarray) -> np.ndarray:
+        """For each name that was dealt the number of its split word, counted from one, or zero."""
+        if not len(self.parts):
+            return np.zeros(len(name), np.int64)
+        at = np.minimum(np.searchsorted(self.parts, name), len(self.parts) - 1)
+        return np.where(self.parts[at] == name, self.of[at] + 1, 0)
+
+
+NONE = Split(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 @dataclass
 class Totals:
     """Of all training tokens: their number, distinct words, customers and tables of a bucket's contexts and of the root."""
@@ -58,6 +111,7 @@ class Totals:
     tables: np.ndarray
     root_customers: int
     root_tables: int
+    shared: Shared | None = None
 
 
 def tokens(splitter: words.Splitter, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +161,26 @@ def _numbers(spark, parts: int) -> np.ndarray:
     return np.array([number for _, number in own] + [next(left) for _ in range(parts - len(own))])
 
 
-def _messages(parts: int, numbers: np.ndarray | None = None):
+def _frequent(rows: DataFrame) -> Split:
+    """Words of more than `SPLIT` tokens, as a sample of the texts has them; where it errs, only buckets are more or less even."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = words.Splitter(lower=True)
+        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, texts in words.chunks(batch["_text"], CHUNK_BYTES):
+                new, n = np.unique(tokens(splitter, texts)[0], return_counts=True)
+                found, at = np.unique(np.concatenate([names, new]), return_inverse=True)
+                names, counts = found, np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+        often = counts >= 8
+        yield pa.record_batch({"name": names[often].view(np.int64), "n": counts[often]})
+
+    some = rows.where(F.pmod(F.xxhash64("_id", "_key"), F.lit(_SAMPLED)) == 0).select("_text").mapInArrow(count, "name long, n long")
+    # At most one row for each `SPLIT` tokens goes to the driver.
+    found = some.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") * _SAMPLED > SPLIT).collect()
+    return Split.plan(np.array([r.name for r in found], np.int64).view(np.uint64), np.array([r.n * _SAMPLED for r in found], np.int64))
+
+
+def _messages(parts: int, numbers: np.ndarray | None = None, split: Split = NONE):
     """Messages of a task, in flushes: to each bucket, and one with the flush's documents.
 
     Buckets know documents by flush and position. A flush is named by its rows
@@ -135,6 +208,7 @@ def _messages(parts: int, numbers: np.ndarray | None = None):
             batch.add(kind=1, bucket=-1 - key % parts, id=key, docs=known[[0, 2]].tobytes(),
                       places=np.bincount(doc, minlength=docs).astype(np.int64).tobytes())
             own = np.packbits(known[2].astype(bool)).tobytes()
+            name = split.deal(name, context)
             contexts, context = np.unique(context, return_inverse=True)
             place = context.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64)
             order = np.lexsort((place, name))
@@ -172,7 +246,7 @@ def _messages(parts: int, numbers: np.ndarray | None = None):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(split: Split = NONE):
     """Rows for each bucket, the entries of each in the order of word and context; rows of documents as they come."""
     types = {"bucket": pa.int32(), "quarter": pa.int32(), "flush": pa.int64()}
 
@@ -215,24 +289,27 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield cell(bucket=rows[0]["bucket"], quarter=quarter, words=vocabulary.tobytes(),
                        entries=np.bincount(number, minlength=len(vocabulary)).astype(np.uint32).tobytes(),
                        contexts=_pack(contexts[used]), context=_narrow(context[order]), doc=doc[order].tobytes(), n=_narrow(n[order]),
-                       held=held, flushes=flushes)
+                       held=held, flushes=flushes, whole=_narrow(whole) if (whole := split.whole(vocabulary)).any() else b"")
 
-    met: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] < 0:
-                yield cell(bucket=row["bucket"], flush=row["id"], doc=row["docs"], n=row["places"])
-                continue
-            if met and met[0]["bucket"] != row["bucket"]:
-                yield from finish(met)
-                met = []
-            met.append(row)
-    if met:
-        yield from finish(met)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] < 0:
+                    yield cell(bucket=row["bucket"], flush=row["id"], doc=row["docs"], n=row["places"])
+                    continue
+                if met and met[0]["bucket"] != row["bucket"]:
+                    yield from finish(met)
+                    met = []
+                met.append(row)
+        if met:
+            yield from finish(met)
+    return run
 
 
 class Bucket:
     """Tokens of some words: entries (word, context, document, n), grouped into types (word, context)."""
+    whole: np.ndarray | None = None  # for each word the number of the split word that it is a part of, or -1
 
     def __init__(self, seed: list[int], word: np.ndarray, n_words: int, context: np.ndarray, doc: np.ndarray,
                  n: np.ndarray, held: np.ndarray):
@@ -259,6 +336,8 @@ def pieces(batch: pa.RecordBatch, row: int, most: int = PIECE) -> Iterator[tuple
     doc = read("doc", np.uint32)
     context = _wide(batch["context"][row].as_buffer(), len(doc))
     n, held = _wide(batch["n"][row].as_buffer(), len(doc)), np.unpackbits(read("held", np.uint8))
+    whole = batch["whole"][row].as_buffer()
+    whole = _wide(whole, len(names)) if whole.size else np.zeros(0, np.uint8)
     ends = np.cumsum(entries)
     low = 0
     while low < len(names):
@@ -266,8 +345,11 @@ def pieces(batch: pa.RecordBatch, row: int, most: int = PIECE) -> Iterator[tuple
         high = max(low + 1, int(np.searchsorted(ends, begin + most, "right")))
         part = slice(begin, int(ends[high - 1]))
         word = np.repeat(np.arange(high - low), entries[low:high])
-        yield Bucket([batch["bucket"][row].as_py(), batch["quarter"][row].as_py(), low], word, high - low, context[part], doc[part].astype(np.int64),
-                     n[part].astype(np.int64), held), names[low:high]
+        bucket = Bucket([batch["bucket"][row].as_py(), batch["quarter"][row].as_py(), low], word, high - low, context[part], doc[part].astype(np.int64),
+                        n[part].astype(np.int64), held)
+        if len(whole) and whole[low:high].any():
+            bucket.whole = whole[low:high].astype(np.int64) - 1
+        yield bucket, names[low:high]
         low = high
 
 
@@ -307,7 +389,7 @@ def seatings(bucket: Bucket, totals: Totals, rng: np.random.Generator, sweeps: i
     root_level = np.full(len(root), -np.inf)
     several = bucket.count > 1
     for _ in range(sweeps):
-        parent = root_word(root, root_tables, totals)[bucket.word]
+        parent = root_word(*of_all(bucket, root, root_tables, totals), totals)[bucket.word]
         others = np.maximum(totals.tables[bucket.context] - tables, 0)
         weight, more = (STRENGTH + DISCOUNT * others) * parent, DISCOUNT * parent
         new, new_level = seat(bucket.count[several], weight[several], more[several], DISCOUNT, rng)
@@ -324,6 +406,29 @@ def seatings(bucket: Bucket, totals: Totals, rng: np.random.Generator, sweeps: i
         yield tables, root_tables
 
 
+def of_all(bucket: Bucket, root: np.ndarray, root_tables: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of words in the root; of split words those of all their buckets."""
+    if bucket.whole is None or totals.shared is None:
+        return root, root_tables
+    own = bucket.whole >= 0
+    at = bucket.whole[own]
+    root, root_tables = root.astype(float), root_tables.copy()
+    if totals.shared.seated:
+        root[own] = np.maximum(totals.shared.root[at], root[own])
+    else:  # the other buckets' tables are taken to have grown as these have: contexts are dealt by their hash
+        kinds = np.bincount(bucket.word, np.minimum(bucket.count, 1), bucket.n_words)[own]
+        root[own] = np.where(kinds > 0, totals.shared.root[at] * root[own] / np.maximum(kinds, 1), totals.shared.root[at])
+    root_tables[own] = totals.shared.root_tables[at]
+    return root, root_tables
+
+
+def counts_of_all(bucket: Bucket, totals: Totals) -> np.ndarray:
+    """Customers of words; of split words those of all their buckets."""
+    if bucket.whole is None or totals.shared is None:
+        return bucket.word_count
+    return np.where(bucket.whole >= 0, totals.shared.count[np.maximum(bucket.whole, 0)], bucket.word_count)
+
+
 def root_word(root: np.ndarray, root_tables: np.ndarray, totals: Totals) -> np.ndarray:
     """Probability of words in the root restaurant."""
     base = 1 / (totals.vocabulary + 1)
@@ -337,7 +442,7 @@ def predict(bucket: Bucket, totals: Totals, rng: np.random.Generator) -> np.ndar
     for sweep, (tables, root_tables) in enumerate(seatings(bucket, totals, rng, BURN + SAMPLES)):
         if sweep >= BURN:
             root = np.bincount(bucket.word, tables, bucket.n_words)
-            parent = root_word(root, root_tables, totals)[bucket.word]
+            parent = root_word(*of_all(bucket, root, root_tables, totals), totals)[bucket.word]
             left = (STRENGTH + DISCOUNT * totals.tables[bucket.context]) * parent
             total += (bucket.count - DISCOUNT * tables + left) / (STRENGTH + totals.customers[bucket.context])
     return total / SAMPLES
@@ -372,6 +477,7 @@ def _shares(homes: int, scalars: dict | None):
     """Sums of each bucket's contexts, a row to each home; with totals of a sweep before, after sweeps that use them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket_, told, own = None, {}, np.zeros(4, np.int64)  # of the bucket at hand: by home, the lists of a row
+        whole: list[np.ndarray] = []  # split words, their customers here, and those in the root
 
         def send() -> Iterator[pa.RecordBatch]:
             nonlocal own
@@ -382,8 +488,10 @@ def _shares(homes: int, scalars: dict | None):
                     "home": pa.array(list(told), pa.int32()), "bucket": pa.array([bucket_] * len(told), pa.int32()),
                     **{name: pa.array(list(column), pa.list_(kind)) for name, kind, column in zip(
                         ("quarter", "names", "a", "b"), (pa.int32(), *[pa.binary()] * 3), columns)},
-                    **{name: pa.array(first * value, pa.int64()) for name, value in zip(_SCALARS, own)}})
+                    **{name: pa.array(first * value, pa.int64()) for name, value in zip(_SCALARS, own)},
+                    "whole": pa.array([np.concatenate(whole, 1).tobytes() if whole and one else None for one in first], pa.binary())})
             told.clear()
+            whole.clear()
             own = np.zeros(4, np.int64)
 
         for batch in batches:
@@ -391,7 +499,7 @@ def _shares(homes: int, scalars: dict | None):
                 names = _unpack(batch["contexts"][i].as_py())
                 totals = _known(batch, i, homes, scalars) if scalars else None
                 customers, seated = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-                sums = np.zeros(4, np.int64)
+                sums, split = np.zeros(4, np.int64), []
                 for bucket, _ in pieces(batch, i):
                     tables, root_tables = np.minimum(bucket.count, 1), np.minimum(bucket.word_count, 1)
                     if totals:
@@ -399,11 +507,16 @@ def _shares(homes: int, scalars: dict | None):
                             pass
                     customers += np.bincount(bucket.context, bucket.count, len(names)).astype(np.int64)
                     seated += np.bincount(bucket.context, tables, len(names)).astype(np.int64)
-                    sums += [bucket.count.sum(), (bucket.word_count > 0).sum(), tables.sum(), root_tables.sum()]
+                    alone = bucket.whole < 0 if bucket.whole is not None else slice(None)
+                    sums += [bucket.count.sum(), (bucket.word_count[alone] > 0).sum(), tables.sum(), root_tables[alone].sum()]
+                    if bucket.whole is not None:
+                        root = np.bincount(bucket.word, tables, bucket.n_words).astype(np.int64)
+                        split.append(np.stack([bucket.whole, bucket.word_count, root])[:, ~alone])
                 if batch["bucket"][i].as_py() != bucket_:
                     yield from send()
                     bucket_ = batch["bucket"][i].as_py()
                 own += sums
+                whole += split
                 cut = _homes(names, homes)
                 for home in np.flatnonzero(np.diff(cut)):
                     part = slice(cut[home], cut[home + 1])
@@ -444,12 +557,31 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(met)
 
 
+def _agreed(sums: dict, told: list[bytes], scalars: dict | None) -> dict:
+    """Sums over all buckets with those of split words, whose tables in the root are seated here, once for all their buckets."""
+    if not told:
+        return sums
+    at, count, root = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in told], 1)
+    count, root = (np.bincount(at, values).astype(np.int64) for values in (count, root))
+    tables = np.minimum(root, 1)
+    vocabulary = sums["vocabulary"] + int((count > 0).sum())
+    if scalars:
+        rng, level = np.random.default_rng([len(root), BURN]), np.full(len(root), -np.inf)
+        base = 1 / (vocabulary + 1)
+        for _ in range(BURN + 1):
+            rest = np.maximum(scalars["root_tables"] - tables, 0)
+            new, new_level = seat(root, (ROOT_STRENGTH + ROOT_DISCOUNT * rest) * base, np.full(len(root), ROOT_DISCOUNT * base), ROOT_DISCOUNT, rng)
+            take = np.log(rng.random(len(new))) < new_level - level
+            tables, level = np.where(take, new, tables), np.where(take, new_level, level)
+    return {**sums, "vocabulary": vocabulary, "root_tables": sums["root_tables"] + int(tables.sum()), "shared": Shared(count, root, tables, bool(scalars))}
+
+
 def _totals(cells: DataFrame, parts: int, scalars: dict | None = None) -> tuple[DataFrame, dict]:
     """Totals of contexts for each bucket, and of all tokens."""
     told = cells.mapInArrow(_shares(homes_of(parts), scalars), _SHARES)
     totals = common.write_blobs(told.repartition(homes_of(parts), "home").sortWithinPartitions("home").mapInArrow(_add, _SHARES).drop("names"), "zstd")
-    sums = totals.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _SCALARS]).first()
-    return totals, sums.asDict()
+    sums = totals.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _SCALARS], F.collect_list("whole").alias("whole")).first().asDict()
+    return totals, _agreed(sums, sums.pop("whole"), scalars)
 
 
 def _with_totals(cells: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
@@ -508,10 +640,11 @@ def _sums(homes: int, scalars: dict):
                 totals = _known(batch, i, homes, scalars)
                 for bucket, _ in pieces(batch, i):
                     log = np.log10(predict(bucket, totals, bucket.generator()))
-                    plain = np.log10((bucket.word_count + 1) / (totals.tokens + totals.vocabulary + 1))
+                    count = counts_of_all(bucket, totals)
+                    plain = np.log10((count + 1) / (totals.tokens + totals.vocabulary + 1))
                     word, doc = bucket.word[bucket.kind], short[begin: begin + len(bucket.doc)]
                     begin += len(bucket.doc)
-                    for row, value in enumerate((1, bucket.word_count[word] > 0, plain[word], log[bucket.kind])):
+                    for row, value in enumerate((1, count[word] > 0, plain[word], log[bucket.kind])):
                         values[row] += np.bincount(doc, value * bucket.n, len(used))
                 first = np.cumsum(sizes) - sizes
                 flush = np.searchsorted(first + sizes, used, "right")
@@ -572,8 +705,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"),
                        F.xxhash64(text_col).alias("_key"), held_out.cast("int").alias("_held"),
                        F.col(text_col).alias("_text"))
-    sent = rows.mapInArrow(_messages(parts, _numbers(spark, parts)), packed.SCHEMA).drop("kind")
-    written = _stored(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, CELLS), parts)
+    split = _frequent(rows)
+    sent = rows.mapInArrow(_messages(parts, _numbers(spark, parts), split), packed.SCHEMA).drop("kind")
+    written = _stored(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(split), CELLS), parts)
     cells = written.where("bucket >= 0")
     totals, scalars = _totals(cells, parts)
     totals, scalars = _totals(_with_totals(cells, totals, parts), parts, scalars)
